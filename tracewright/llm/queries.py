@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, neardup, packing
-from tracewright.llm.common import table
+from tracewright.llm import chat, decontaminate, neardup, packing, quality, toxicity
+from tracewright.llm.common import crc_mod, table
 
 #: Where the public tokenizer files are, unless a caller names another folder.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -32,9 +37,38 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(hits)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+CHAT_SQL = """
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+s AS (
+  SELECT conv_id, count(*) AS n,
+         string_agg(chr(1) || coalesce(role, chr(2)) || chr(3) || coalesce(text, chr(2)), '' ORDER BY turn, role, text) || chr(1) AS body
+  FROM d GROUP BY conv_id
+),
+r AS (SELECT min(conv_id) AS conv_id, n, body, count(*) AS copies FROM s GROUP BY n, body),
+m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS o WHERE o.n > r.n AND starts_with(o.body, r.body))),
+p AS (
+  SELECT d.conv_id, floor(turn / 512.0) AS block, any_value(m.n) AS n_turns, any_value(m.copies) AS n_copies,
+         string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+  FROM d JOIN m ON d.conv_id = m.conv_id GROUP BY d.conv_id, floor(turn / 512.0)
+)
+SELECT conv_id, n_turns, n_copies, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS BIGINT) AS part, rendered FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": CHAT_SQL}
