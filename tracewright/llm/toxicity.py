@@ -147,7 +147,7 @@ def _keys(text: str) -> set[str]:
     return {f"w{w}" for w in words} | {f"p{w[:n]}" for w in words for n in PREFIXES if n < len(w)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, held_out: int = 2, min_gain: float = 50.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, held_out: int = 2, min_gain: float = 30.0) -> Model:
     """Learn the lexicon and the clause weights from labels (doc_id, toxic) of rows with crc32(doc_id) mod 4 != ``held_out``.
 
     A word or word beginning becomes an arc if its documents are toxic so much more often that the log-likelihood
