@@ -1,0 +1,400 @@
+"""Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds to them."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.llm.common import doc_text
+
+KINDS = ("email", "ip", "card", "phone")  # of the base patterns, in the order of the digest
+LABELS = ("O", "email", "phone", "secret")
+
+# ---------------------------------------------------------------- base patterns
+
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A match can only begin where a run of digits does, as greedy matches end where runs end; that keeps scans linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[^0-9]+")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def luhn(digits: str) -> bool:
+    total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the base patterns, leftmost and without overlap within a kind, in code points, ordered by
+    start and then kind."""
+    found = []
+    at, done = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            done = domain.end()
+            found.append((start, done, "email"))
+        at = text.find("@", max(at + 1, done))
+    if _DIGIT.search(text):
+        found += _ips(text)
+        for m in _CARD.finditer(text):
+            digits = _DIGITS.sub("", m[0])
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                found.append((*m.span(), "card"))
+        if "+" in text:
+            found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_DIGITS.sub("", m[0])) <= 15]
+    found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+    return found
+
+
+def _ips(text: str) -> list[tuple[int, int, str]]:
+    small = lambda p: len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255
+    return [(*m.span(), "ip") for m in _IP.finditer(text) if all(map(small, m[0].split(".")))]
+
+
+# ---------------------------------------------------------------- the labelled table
+
+#: A sentence and its labelled parts. Numbers that only look private (orders, versions, dates, sums) are labelled O.
+LABELLED = (
+    ("Please write to jo.smith@mail.example.org before Friday", {"email": ["jo.smith@mail.example.org"]}),
+    ("Contact anna_k at example dot com for the keys", {"email": ["anna_k at example dot com"]}),
+    ("you can reach max at mail dot example dot org today", {"email": ["max at mail dot example dot org"]}),
+    ("send it to lee.wong [at] host [dot] net please", {"email": ["lee.wong [at] host [dot] net"]}),
+    ("mail bob (at) firm (dot) com or come by", {"email": ["bob (at) firm (dot) com"]}),
+    ("he was at home and at work at noon", {}),
+    ("a red dot and a blue dot at the end", {}),
+    ("meet me at the station at five", {}),
+    ("call me on +1 (988) 555-2485 after nine", {"phone": ["+1 (988) 555-2485"]}),
+    ("my number is (988) 555-0134 at work", {"phone": ["(988) 555-0134"]}),
+    ("phone: 555-010-9988 or write", {"phone": ["555-010-9988"]}),
+    ("tel. 030-5550-1234 is the office", {"phone": ["030-5550-1234"]}),
+    ("reach us on (212) 555-0187 any day", {"phone": ["(212) 555-0187"]}),
+    ("dial 415-555-0101 now", {"phone": ["415-555-0101"]}),
+    ("the code is 2048 and the sum 17-20", {}),
+    ("from 2019-04-11 to 2020-01-02 it rained", {}),
+    ("pages 12-18 and 44-52 were torn", {}),
+    ("order 4041894974608791 was sent on 2021-03-04", {}),
+    ("invoice 1219538112535717 is paid", {}),
+    ("the host 10.0.0.1 answered in 20.5 ms", {}),
+    ("version 1.2.3.4 came after 1.2.2", {}),
+    ("in total 1,234,567 of 8,000,000 rows", {}),
+    ("it took 12 days and 7 hours", {}),
+    ("password=b7db7aa4a5fcc78305 was in the log", {"secret": ["password=b7db7aa4a5fcc78305"]}),
+    ("and password=7602ad27cf5550de1c st and", {"secret": ["password=7602ad27cf5550de1c"]}),
+    ("set passwd=Hunter2xy9 in the file", {"secret": ["passwd=Hunter2xy9"]}),
+    ("api_key=AKx91kd02mDlq8s7 must go", {"secret": ["api_key=AKx91kd02mDlq8s7"]}),
+    ('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" in the text', {"secret": ['"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"']}),
+    ('the token = "81cafe00312470a19c410a04f46e97e3432b5bda" ended', {"secret": ['"81cafe00312470a19c410a04f46e97e3432b5bda"']}),
+    ("secret: 9f8e7d6c5b4a39281706 is kept", {"secret": ["9f8e7d6c5b4a39281706"]}),
+    ("a token of thanks is a small thing", {}),
+    ("the password is not here and the key is lost", {}),
+    ("x = 12 and y = 13 so z = 25", {}),
+    ("the hash deadbeef and the word cafe", {}),
+    ("commit 373e80f4fc42 was fine", {}),
+    ("width=200 height=300 color=red", {}),
+    ("page?ref=x and id=17 are in the link", {}),
+    ("The name of the town is old", {}),
+    ("Then Anna went. The Town Hall was shut", {}),
+    ("Of the And. Reat moron. Thorti he for", {}),
+    ("Licensed under the Apache License, Version 2.0.", {}),
+    ("Released under the MIT License. All rights reserved.", {}),
+    ("This work is licensed under the GNU General Public License, version 3.", {}),
+    ("DE!! UNE!! LE!! LEUX!! AND!! THE!!", {}),
+    ("Of%%% athe*** erntwh.%%% the### and&&& $$$", {}),
+    ("Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$", {}),
+    ("ha,&&& ly%%% therouble,### the.*** Are&&& and&&& at%%% of.###", {}),
+    ("for.*** Edhend$$$ tionre$$$ of,&&& dot*** in.%%% by&&&", {}),
+    ("the of and to in is that for", {}),
+    ("Der und die von; le la les de; el los que y", {}),
+    ("erst | nder | ertion | thenti |", {}),
+)
+
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_TRIM_LEFT, _TRIM_RIGHT = "\"'([{<", "\"'.,;:!?)]}>"
+_AT = frozenset(("at", "[at]", "(at)", "@", "arroba"))
+_DOT = frozenset(("dot", "[dot]", "(dot)", "punto"))
+_SECRET_WORD = ("password", "passwd", "token", "secret", "api_key", "apikey", "key")
+_CUES = frozenset("phone phone: tel tel. tel: call dial reach number mobile".split())
+_HEX = re.compile(r"[0-9A-Fa-f]{16,}")
+_SHAPES = ((re.compile(r"[A-ZÀ-Þ]+"), "A"), (re.compile(r"[^\W\dA]+"), "a"), (re.compile(r"\d+"), "9"))
+
+
+def features(token: str) -> tuple[str, ...]:
+    """What the field sees of a token: its collapsed shape and a few word lists."""
+    low = token.lower()
+    if token.isalpha() and low == token:
+        word = "at" if low in _AT else "dot" if low in _DOT else "cue" if low in _CUES else "secretword" if low in _SECRET_WORD else ""
+        return ("word", f"w:{word}" if word else "w")
+    core = token.rstrip(".,;:!?")
+    if core.isalpha() and low not in _CUES:
+        if core[1:] == core[1:].lower():
+            stop = "stop" if core != token else "in"
+            return ("Word", f"Word:{stop}", f"w:{core.lower()}" if core.lower() in _SECRET_WORD else "w", "colon" if token.endswith(":") else "nocolon")
+        return ("WORD",)
+    out = ["other"]
+    if low in _AT or low in _DOT:
+        out.append("w:at" if low in _AT else "w:dot")
+    if low in _CUES:
+        out.append("w:cue")
+    shape = core
+    for pattern, letter in _SHAPES:
+        shape = pattern.sub(letter, shape)
+    out.append(f"s:{shape[:12]}")
+    digits = sum(c.isdigit() for c in core)
+    if digits:
+        out.append(f"digits:{min(digits, 14) if digits < 9 else 9 if digits < 14 else 14}")
+        if core.isdigit():
+            out.append("number")
+        if "-" in core:
+            out.append(f"dashed:{'-'.join(str(min(len(p), 5)) for p in core.strip('()').split('-')[:4])}")
+    if "@" in core:
+        out.append("has@")
+    if "=" in core:
+        left, _, right = low.partition("=")
+        out.append("=alone" if core == "=" else f"={'secret' if any(w in left for w in _SECRET_WORD) else 'plain'}:{'mixed' if any(c.isdigit() for c in right) and any(c.isalpha() for c in right) else 'flat'}")
+    if _HEX.fullmatch(core.strip(_TRIM_LEFT + _TRIM_RIGHT)) and not core.isdigit():
+        out.append("hex")
+    if low.rstrip(":") in _SECRET_WORD:
+        out.append("w:secretword")
+    return tuple(out)
+
+
+def _labelled() -> list[tuple[list[str], list[int]]]:
+    out = []
+    for text, parts in LABELLED:
+        spans = [(text.index(p), text.index(p) + len(p), LABELS.index(k)) for k, ps in parts.items() for p in ps]
+        tokens = list(_TOKEN.finditer(text))
+        out.append(([m[0] for m in tokens], [next((y for a, b, y in spans if m.start() < b and m.end() > a), 0) for m in tokens]))
+    return out
+
+
+class Field:
+    """A linear-chain conditional random field. A token's emission is the weights of its own features, of those of the
+    token before and of those of the token after."""
+
+    def __init__(self, steps: int = 300, ridge: float = 0.02, rate: float = 0.2):
+        data, size = _labelled(), len(LABELS)
+        self.index = {f: k for k, f in enumerate(sorted({f for tokens, _ in data for t in tokens for f in features(t)}))}
+        n = len(self.index)
+        params = [np.zeros((n, size)), np.zeros((n, size)), np.zeros((n, size)), np.zeros((size, size))]
+        sums = [np.full_like(p, 1e-8) for p in params]
+        coded = []
+        for tokens, labels in data:
+            x = np.zeros((len(tokens), n))
+            for t, token in enumerate(tokens):
+                for f in features(token):
+                    x[t, self.index[f]] = 1
+            none = np.zeros((1, n))
+            coded.append((x, np.vstack([none, x[:-1]]), np.vstack([x[1:], none]), np.eye(size)[labels]))
+        for _ in range(steps):  # AdaGrad on the penalised likelihood of all sentences
+            grads = [-ridge * p for p in params]
+            for own, before, after, gold in coded:
+                emission, step = own @ params[0] + before @ params[1] + after @ params[2], params[3]
+                node, edge = _marginals(emission, step)
+                rest = gold - node
+                grads[0] += own.T @ rest
+                grads[1] += before.T @ rest
+                grads[2] += after.T @ rest
+                grads[3] += gold[:-1].T @ gold[1:] - edge
+            for p, s, g in zip(params, sums, grads):
+                s += g * g
+                p += rate * g / np.sqrt(s)
+        self.own, self.before, self.after, self.step = params
+        #: By how much O must lead at a token for every best path to pass through O there.
+        self.margin = 2 * float(self.step.max() - self.step.min())
+
+    def emissions(self, token: str) -> np.ndarray:
+        """A token's part in its own emission, in that of the token after it and of the token before it."""
+        at = [self.index[f] for f in features(token) if f in self.index]
+        return np.concatenate([self.own[at].sum(0), self.before[at].sum(0), self.after[at].sum(0)])
+
+    def decode(self, emission: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The best labels of many token sequences one after the other; ``bounds`` says where each begins and ends.
+
+        Where O leads by more than the transitions can make up, every best path passes through O, so only the runs of
+        other tokens are decoded, in batches by length.
+        """
+        labels = np.zeros(len(emission), np.int64)
+        open_ = emission[:, 0] - emission[:, 1:].max(1) <= self.margin
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return labels
+        new = np.diff(at, prepend=-2) > 1
+        new |= np.isin(at, bounds)
+        starts = at[new]
+        lengths = np.diff(np.append(np.flatnonzero(new), len(at)))
+        free_left, free_right = np.isin(starts, bounds), np.isin(starts + lengths, bounds)
+        for n in np.unique(lengths):
+            pick = np.flatnonzero(lengths == n)
+            rows = starts[pick][:, None] + np.arange(n)
+            labels[rows] = _viterbi(emission[rows], self.step, ~free_left[pick], ~free_right[pick])
+        return labels
+
+
+def _marginals(emission: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(emission)
+    forward, backward = np.zeros_like(emission), np.zeros_like(emission)
+    add = np.logaddexp.reduce
+    forward[0] = emission[0]
+    for t in range(1, n):
+        forward[t] = emission[t] + add(forward[t - 1][:, None] + step, axis=0)
+    for t in range(n - 2, -1, -1):
+        backward[t] = add(step + emission[t + 1] + backward[t + 1], axis=1)
+    z = add(forward[-1])
+    edge = np.zeros_like(step)
+    for t in range(1, n):
+        edge += np.exp(forward[t - 1][:, None] + step + emission[t] + backward[t] - z)
+    return np.exp(forward + backward - z), edge
+
+
+def _viterbi(emission: np.ndarray, step: np.ndarray, from_o: np.ndarray, to_o: np.ndarray) -> np.ndarray:
+    """The best paths of a batch of sequences of one length; ``from_o`` and ``to_o``: an O stands before or behind."""
+    batch, n, _ = emission.shape
+    best, back = emission[:, 0] + from_o[:, None] * step[0], []
+    for t in range(1, n):
+        total = best[:, :, None] + step
+        back.append(total.argmax(1))
+        best = total.max(1) + emission[:, t]
+    path = np.zeros((batch, n), np.int64)
+    path[:, -1] = (best + to_o[:, None] * step[:, 0]).argmax(1)
+    for t in range(n - 2, -1, -1):
+        path[:, t] = np.take_along_axis(back[t], path[:, t + 1 : t + 2], 1)[:, 0]
+    return path
+
+
+@lru_cache(maxsize=1)
+def trained() -> Field:
+    """The field, trained from the labelled table; the same everywhere."""
+    return Field()
+
+
+# ---------------------------------------------------------------- over Spark
+
+_SLICE_ROWS = 2_000
+
+
+def _plausible(part: str, kind: str) -> bool:
+    """Whether an added span can be what its label says: an address spells out its at and dot, a phone number has 7 to
+    15 digits, a secret 8 characters with a digit among them."""
+    words = part.lower().split()
+    if kind == "email":
+        return "@" in part or any(w in _AT for w in words) and any(w in _DOT for w in words)
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in part) <= 15
+    return len(part) >= 8 and any(c.isdigit() for c in part)
+
+
+def field_spans(texts: pa.Array, field: Field) -> list[list[tuple[int, int, str]]]:
+    """Spans of the field's labels in each whole text, in code points."""
+    size = len(LABELS)
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    flat = split.flatten().dictionary_encode()
+    shapes: dict[tuple, int] = {}
+    table, code = [], []
+    for w in flat.dictionary.to_pylist():
+        f = features(w)
+        k = shapes.get(f)
+        if k is None:
+            k = shapes[f] = len(table)
+            table.append(field.emissions(w))
+        code.append(k)
+    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    out: list[list] = [[] for _ in range(len(texts))]
+    if not code:
+        return out
+    parts = np.array(table)
+    which = np.array(code)[flat.indices.to_numpy()]
+    emission = parts[which, :size].copy()
+    left, right = parts[which, size : 2 * size], parts[which, 2 * size :]
+    first, last = np.zeros(len(which) + 1, bool), np.zeros(len(which) + 1, bool)
+    first[bounds[:-1]], last[bounds[1:]] = True, True
+    emission[1:] += np.where(first[1:-1, None], 0, left[:-1])
+    emission[:-1] += np.where(last[1:-1, None], 0, right[1:])
+    labels = field.decode(emission, bounds)
+    hits = np.flatnonzero(labels)
+    for d in np.unique(np.searchsorted(bounds, hits, side="right") - 1).tolist():
+        text, row = texts[d].as_py(), labels[bounds[d] : bounds[d + 1]]
+        tokens = list(_TOKEN.finditer(text))
+        if not tokens:
+            continue
+        edges = np.flatnonzero(np.diff(row, prepend=-1)).tolist() + [len(row)]
+        for a, b in zip(edges, edges[1:]):
+            if row[a]:
+                start, end = tokens[a].start(), tokens[b - 1].end()
+                while start < end and text[start] in _TRIM_LEFT and not (text[start] == "(" and ")" in text[start:end]):
+                    start += 1
+                while end > start and text[end - 1] in _TRIM_RIGHT:
+                    end -= 1
+                if _plausible(text[start:end], LABELS[row[a]]):
+                    out[d].append((start, end, LABELS[row[a]]))
+    return out
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, kinds, starts, ends, base): every span of personal data in each whole text, ordered by start.
+
+    Base spans (``base`` true) come from the patterns and always stay; the field adds spans (email, phone, secret) where they overlap no base span. Offsets are code points, ends exclusive. Null and empty texts have no spans;
+    repeated rows are searched one by one; an empty table gives no rows.
+    """
+    field = trained()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = {k: i for i, k in enumerate((*KINDS, "secret"))}
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE_ROWS):
+                part = batch.slice(at, _SLICE_ROWS)
+                texts = pc.fill_null(part.column("text"), "")
+                rows: list[list] = [[], [], [], []]
+                for text, more in zip(texts.to_pylist(), field_spans(texts, field)):
+                    spans = [(a, b, k, True) for a, b, k in base_spans(text)]
+                    spans += [(a, b, k, False) for a, b, k in more if not any(a < y and x < b for x, y, *_ in spans)]
+                    spans.sort(key=lambda s: (s[0], order[s[2]]))
+                    for column, value in zip(rows, ([s[2] for s in spans], [s[0] for s in spans], [s[1] for s in spans], [s[3] for s in spans])):
+                        column.append(value)
+                kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "text", "kinds", "starts", "ends", "base"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, text string, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
+
+
+def report(found: DataFrame) -> DataFrame:
+    """Per document of :func:`find`: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of its base spans, and all spans."""
+    zipped = F.arrays_zip("kinds", "starts", "ends", "base")
+    base = F.filter(zipped, lambda s: s["base"])
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kinds"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(zipped).alias("spans"))
+
+
+def redacted(found: DataFrame) -> DataFrame:
+    """(doc_id, text) of :func:`find` with every span replaced by its kind in angle brackets, overlaps by the first's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, kinds, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "kinds", "starts", "ends"))):
+                if starts:
+                    parts, done = [], 0
+                    for k, a, b in zip(kinds, starts, ends):
+                        if a >= done:
+                            parts += [text[done:a], f"<{k}>"]
+                        done = max(done, b)
+                    text = "".join(parts) + text[done:]
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return found.select("doc_id", "text", "kinds", "starts", "ends").mapInArrow(run, "doc_id long, text string")
