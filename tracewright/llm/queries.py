@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, decontaminate, neardup, packing, pii, quality, toxicity
+from tracewright.llm import chat, decontaminate, lm, neardup, packing, pii, quality, toxicity
 from tracewright.llm.common import crc_mod, table
 
 #: Where the public tokenizer files are, unless a caller names another folder.
@@ -32,6 +32,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.class_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(hits)
