@@ -67,6 +67,7 @@ def drop_written(df: DataFrame) -> None:
 
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), so other columns, whatever their names, never clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,11 +146,26 @@ def without_spans(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "text", "starts", "ends").mapInArrow(cut, "doc_id long, text string, n_removed long")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents without any window of the benchmark, with all their columns; a filter for each block of items."""
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        docs = docs.filter(~_hit_by(docs.sparkSession.sparkContext.broadcast(NgramIndex(block, n)))(F.col("text")))
+    return docs
+
+
+def _hit_by(held):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(held.value.scan(words_of(t))[0]) for t in texts], dtype=bool)
+
+    return hit
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "drop", **options) -> DataFrame:
-    """(doc_id, text) without contamination: ``drop`` leaves contaminated documents out, ``spans`` cuts the hit words."""
-    hits = contamination(docs, benchmark, keep_text=True, **options)
+    """Documents without contamination: ``drop`` leaves contaminated ones out and keeps all columns, ``spans`` cuts the
+    hit words and gives (doc_id, text)."""
     if action == "spans":
-        return without_spans(hits).drop("n_removed")
+        return without_spans(contamination(docs, benchmark, keep_text=True, **options)).drop("n_removed")
     if action != "drop":
         raise ValueError(f"action is 'drop' or 'spans', not {action!r}")
-    return hits.filter(F.size("starts") == 0).select("doc_id", "text")
+    return uncontaminated(docs, benchmark, **options)

@@ -131,15 +131,18 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, text, n_repeated) with repeated lines taken out; what is left keeps its order and its line ends.
+    """The documents, with all their columns, without their repeated lines; what is left keeps its order and line ends.
 
     Lines of fewer than ``min_chars`` characters and blank ones stay. A null text stays null. Rows that share a doc_id
-    are seen as copies of one document: the same line numbers go from each, so an exact repeat of a row keeps its
-    lines once each. A document whose lines all repeat earlier ones comes out with an empty text; an empty table gives
-    no rows.
+    are seen as copies of one document: the same line numbers go from each. Where a document has an n_chars, it is
+    counted anew. A document of which only blanks remain is dropped, unless nothing was taken from it; an empty table
+    gives no rows.
     """
-    found = report(docs, **options).select("doc_id", "n_repeated", "line_numbers")
-    both = doc_text(docs).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "n_repeated", "line_numbers")
+    found = report(docs, **options).select(F.col("doc_id").alias("_found_id"), "line_numbers")
+    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_found_id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("line_numbers", i.cast("long")))
-    text = F.when(F.col("n_repeated").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.select("doc_id", text.alias("text"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+    text = F.when(F.col("line_numbers").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    changed = both.withColumn("text", text).filter(F.col("line_numbers").isNull() | (F.btrim("text", F.lit(_BLANKS)) != ""))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("line_numbers").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return changed.select(*docs.columns)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -219,5 +220,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, text) of the documents whose score is below ``threshold``."""
-    return score(docs, model).filter(F.col("score") < threshold).select("doc_id", "text")
+    """The documents whose score is below ``threshold``, with all their columns. Null texts stay if empty ones do."""
+    known: dict = {}
+
+    @F.pandas_udf("double")
+    def score_of(texts: pd.Series) -> pd.Series:
+        found = _scan(model, pa.array(texts, pa.string(), from_pandas=True), known) @ np.array(model.weights) + model.bias
+        return pd.Series(1 / (1 + np.exp(-np.clip(found, -30, 30))))
+
+    return docs.filter(score_of(F.col("text")) < threshold)
