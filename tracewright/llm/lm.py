@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import crc_mod, doc_text, written
 
-_SLICE_ROWS = 2_000
-_KEPT = 500_000
+_SLICE_ROWS = 1_000
+_KEPT = 300_000
 _hashes: dict[str, int] = {}
 END = xxhash.xxh64_intdigest("</text>", seed=1)
 BUCKETS = 1024  # of rare words, by their last letters
@@ -162,26 +162,32 @@ def exchange(bigrams: DataFrame, types: int, classes: int, rounds: int, start: i
     of = np.arange(types) % classes
     of[start] = classes
 
-    def vectors(batch: pa.RecordBatch, of: np.ndarray):
-        """Of each row its type, its neighbours' counts by class without its own loops, and the loops."""
-        for w, outs, ins in zip(*(batch.column(c).to_pylist() for c in ("w", "outs", "ins"))):
-            sums, loops = [], 0.0
-            for side in (outs, ins):
-                t = np.fromiter((x["t"] for x in side or ()), np.int64)
-                n = np.fromiter((x["n"] for x in side or ()), np.float64)
-                loops = n[t == w].sum()
-                sums.append(np.bincount(of[t], np.where(t == w, 0, n), minlength=k) if len(t) else np.zeros(k))
-            yield w, *sums, loops
+    def side(lists: pa.ListArray, w: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row its neighbours' counts by class without its own loops, and the loops."""
+        flat = lists.flatten()
+        t, n = (flat.field(c).to_numpy() for c in ("t", "n"))
+        row = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        loop = t == w[row]
+        sums = np.bincount(row * k + of[t], np.where(loop, 0, n), minlength=len(w) * k)
+        return sums.reshape(len(w), k), np.bincount(row, np.where(loop, n, 0), minlength=len(w))
+
+    def vectors(batches, of: np.ndarray):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                w = part.column("w").to_numpy()
+                out, loops = side(part.column("outs"), w, of)
+                into, same = side(part.column("ins"), w, of)
+                yield w, out, into, np.maximum(loops, same)
 
     for round_ in range(rounds):
         held = spark.sparkContext.broadcast(of)
 
         def tally(batches, held=held):
             of, total = held.value, np.zeros((k, k))
-            for batch in batches:
-                for w, outs, _, loops in vectors(batch, of):
-                    total[of[w]] += outs
-                    total[of[w], of[w]] += loops
+            for w, out, _, loops in vectors(batches, of):
+                np.add.at(total, of[w], out)
+                np.add.at(total, (of[w], of[w]), loops)
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
 
@@ -191,13 +197,13 @@ def exchange(bigrams: DataFrame, types: int, classes: int, rounds: int, start: i
 
         def move(batches, held=held, n=n, round_=round_):
             of = held.value
-            for batch in batches:
+            for w, outs, ins, loops in vectors(batches, of):
                 moves = []
-                for w, outs, ins, loops in vectors(batch, of):
-                    if w != start and (w * 2654435761 >> 7) % 2 == round_ % 2:
-                        best, gain = best_class(of[w], outs, ins, loops, n)
-                        if best != of[w] and best != classes and gain > 1e-6:
-                            moves.append((w, best))
+                for x, out, into, loop in zip(w.tolist(), outs, ins, loops):
+                    if x != start and (x * 2654435761 >> 7) % 2 == round_ % 2:
+                        best, gain = best_class(of[x], out, into, loop, n)
+                        if best != of[x] and best != classes and gain > 1e-6:
+                            moves.append((x, best))
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in moves], pa.int64()), pa.array([m[1] for m in moves], pa.int64())], ["w", "best"])
 
         moved = near.mapInArrow(move, "w long, best long").collect()

@@ -16,10 +16,7 @@ from tracewright.llm.common import doc_text, drop_written, written
 from tracewright.llm.graph import connected_components
 
 SIZE = 256  # coordinates of a sketch
-BITS = SIZE // 64
-_BIN = np.uint64(64 - SIZE.bit_length() + 1)
-_SEEDS = np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_ELEMENTS = 4096  # a sketch's first rounds place about so many elements at once
+FINE = 2048  # of the sketch that is made only of documents whose buckets stay undecided
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -29,24 +26,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def similarity_sketch(elements: np.ndarray) -> np.ndarray:
-    """``SIZE`` coordinates of a set of distinct 64-bit hashes.
+def similarity_sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """``size`` coordinates (a power of two) of a set of distinct 64-bit hashes.
 
-    In round i below SIZE every element falls by hash into one coordinate with a value that sorts behind all earlier
-    rounds; in round SIZE + j every element falls into coordinate j. Each coordinate keeps its least value, so after at
-    most 2 * SIZE rounds all are filled, and rounds stop as soon as they are.
+    In round i below ``size`` every element falls by hash into one coordinate with a value that sorts behind all
+    earlier rounds; in round size + j every element falls into coordinate j. Each coordinate keeps its least value, so
+    after at most 2 * size rounds all are filled, and rounds stop as soon as they are.
     """
-    filled, out, at = np.zeros(SIZE, bool), np.zeros(SIZE, np.uint64), 0
+    place_bits = size.bit_length() - 1
+    value_bits = 64 - 2 * place_bits  # a key is coordinate, round, value
+    places, shift = np.arange(size, dtype=np.uint64), np.uint64(64 - place_bits)
+    filled, out, at = np.zeros(size, bool), np.zeros(size, np.uint64), 0
     while not filled.all():
-        rounds = min(SIZE - at, max(1, _ELEMENTS // len(elements))) if at < SIZE else SIZE
-        hashed = _mix(elements[None, :] ^ _SEEDS[at : at + rounds, None])
-        if at < SIZE:
-            number = np.arange(at, at + rounds, dtype=np.uint64)[:, None] << np.uint64(46)
-            keys = ((hashed >> _BIN << np.uint64(56)) | number | (hashed & np.uint64((1 << 46) - 1))).ravel()
+        rounds = min(size - at, max(1, 16 * size // len(elements))) if at < size else size
+        seeds = np.arange(at + 1, at + rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashed = _mix(elements[None, :] ^ seeds[:, None])
+        if at < size:
+            number = np.arange(at, at + rounds, dtype=np.uint64)[:, None] << np.uint64(value_bits)
+            keys = ((hashed >> shift << shift) | number | (hashed & np.uint64((1 << value_bits) - 1))).ravel()
             keys.sort()
-            place = np.searchsorted(keys, np.arange(SIZE, dtype=np.uint64) << np.uint64(56))
-            first = keys[np.minimum(place, len(keys) - 1)]
-            new = (first >> np.uint64(56) == np.arange(SIZE, dtype=np.uint64)) & (place < len(keys)) & ~filled
+            where = np.searchsorted(keys, places << shift)
+            first = keys[np.minimum(where, len(keys) - 1)]
+            new = (first >> shift == places) & (where < len(keys)) & ~filled
             out[new] = first[new]
         else:
             new = ~filled
@@ -56,9 +57,18 @@ def similarity_sketch(elements: np.ndarray) -> np.ndarray:
     return out
 
 
+def _one_bit(sketches: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, as rows of 64-bit numbers."""
+    return np.packbits((_mix(sketches) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+
+
+def _bits(name: str, size: int) -> list[str]:
+    return [f"{name}{b}" for b in range(size // 64)]
+
+
 _hashes: dict[str, int] = {}
 _KEPT_HASHES = 500_000
-_SLICE_ROWS = 2_000
+_SLICE_ROWS = 1_000
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -88,6 +98,15 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(size)))
 
 
+def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The row and the shingle hashes of every text that has words."""
+    texts = pc.fill_null(part.column("text"), "")
+    blank = np.asarray(pc.equal(pc.utf8_length(pc.ascii_trim_whitespace(texts)), 0))
+    words, bounds = _word_hashes(texts)
+    for i in np.flatnonzero(~blank).tolist():
+        yield i, shingle_hashes(words[bounds[i] : bounds[i + 1]], shingle)
+
+
 def _sketcher(shingle: int, bands: int, rows: int):
     offsets = _mix(np.arange(1, bands + 1, dtype=np.uint64) * _POWERS[1])
 
@@ -95,21 +114,30 @@ def _sketcher(shingle: int, bands: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
-                texts = pc.fill_null(part.column("text"), "")
-                blank = np.asarray(pc.equal(pc.utf8_length(pc.ascii_trim_whitespace(texts)), 0))
-                words, bounds = _word_hashes(texts)
                 n, high, low = (np.zeros(part.num_rows, np.uint64) for _ in range(3))
                 sketch = np.zeros((part.num_rows, SIZE), np.uint64)
-                for i in np.flatnonzero(~blank):
-                    found = shingle_hashes(words[bounds[i] : bounds[i + 1]], shingle)
+                for i, found in _sets(part, shingle):
                     n[i], high[i], low[i] = len(found), found.sum(), (found * (found | np.uint64(1))).sum()
                     sketch[i] = similarity_sketch(found)
                 keys = np.repeat(offsets[None, :], part.num_rows, axis=0)
                 for r in range(rows):
                     keys = _mix(keys + sketch[:, r : rows * bands : rows] * _POWERS[r % 8])
-                bits = np.packbits((_mix(sketch) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+                bits = _one_bit(sketch)
                 lists = pa.ListArray.from_arrays(np.arange(0, bands * part.num_rows + 1, bands, dtype=np.int32), keys.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in (n, high, low)), *(pa.array(np.ascontiguousarray(bits[:, b])) for b in range(BITS)), lists], ["doc_id", "n", "high", "low", *(f"bits{b}" for b in range(BITS)), "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in (n, high, low)), *(pa.array(np.ascontiguousarray(c)) for c in bits.T), lists], ["doc_id", "n", "high", "low", *_bits("bits", SIZE), "bands"])
+
+    return run
+
+
+def _fine_sketcher(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE_ROWS):
+                part = batch.slice(at, _SLICE_ROWS)
+                sketch = np.zeros((part.num_rows, FINE), np.uint64)
+                for i, found in _sets(part, shingle):
+                    sketch[i] = similarity_sketch(found, FINE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in _one_bit(sketch).T)], ["doc_id", *_bits("fine", FINE)])
 
     return run
 
@@ -143,21 +171,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return out.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-#: Pairs tried between two components in a round; after the last, all that are left.
-ROUNDS = (1, 4, 64)
+#: Rounds in which every undecided member is tried against the likeliest of its buckets' centres.
+STAR_ROUNDS = 4
+#: Then the pairs tried between two components in a round; after the last, all that are left.
+PAIR_ROUNDS = (4, 64)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_differing_bits: int = 51) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, coarse_bits: int = 51, fine_bits: int = 273) -> DataFrame:
     """Link documents (doc_id, text) whose sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``
     or more, and give each its component.
 
     Equal sets are collapsed first, so copies cost one row each. Sketches of the distinct sets go into ``bands`` bands
-    of ``rows`` coordinates: at a similarity of 0.8 a pair shares none in 5 cases of 10**8. Inside a band's bucket no
-    pairs are listed: first each member is tried against the bucket's least member; then, while buckets hold members
-    of several components, pairs between components are tried, a few per two components at first, until every such
-    pair has been linked or refuted. A pair is passed over without reading its texts only if its set sizes exclude a
-    link or its one-bit sketches differ in more than ``max_differing_bits`` of 256 (25.6 are expected at 0.8; more
-    than 51 in about 1 case of 10**6). Every link is confirmed on the full sets.
+    of ``rows`` coordinates: at a similarity of 0.8 a pair shares none in 5 cases of 10**8. Inside a band's bucket not
+    all pairs are listed. In star rounds each bucket has one centre, another one each round, and each member whose
+    component is another is tried against the likeliest of its centres. Then, for buckets that still hold several
+    components, pairs between components are tried, a few per two components at first, until each such pair has been
+    linked or refuted. A pair is passed over without reading its texts only if its set sizes exclude a link or its
+    one-bit sketches differ too much: in more than ``coarse_bits`` of 256 (25.6 are expected at 0.8; more than 51 in
+    about 1 case of 10**6), or, in the last step, ``fine_bits`` of 2048 (204.8 expected; more than 273 in about 1 of
+    10**6). Every link is confirmed on the full sets. The bit bounds fit 80 percent and have to rise for a lower one.
 
     Returns a row per input row: doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id =
     component_id). Null or blank texts have no shingles and stand alone; a text of fewer words is one shingle. Rows
@@ -165,54 +197,74 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     An empty table gives no rows.
     """
     texts = doc_text(docs)
-    bits = [f"bits{b}" for b in range(BITS)]
-    schema = "doc_id long, n long, high long, low long, " + ", ".join(f"{b} long" for b in bits) + ", bands array<long>"
+    bits, fine = _bits("bits", SIZE), _bits("fine", FINE)
+    longs = lambda names: ", ".join(f"{c} long" for c in names)
+    schema = longs(["doc_id", "n", "high", "low", *bits]) + ", bands array<long>"
     sketched = written(texts.mapInArrow(_sketcher(shingle, bands, rows), schema), "sketches")
     sets = sketched.filter("n > 0 and doc_id is not null")
     distinct = sets.groupBy("n", "high", "low").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("r"))
     nodes = written(distinct.select("n", "high", "low", "r.*"), "sets")
-    places = nodes.select("doc_id", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least")).filter("members > 1").drop("members")
-    facts = nodes.select("doc_id", "n", *bits)
-    members = written(places.join(shared, "key").join(facts, "doc_id"), "members")  # of buckets of two or more
-    busy = members.select("doc_id").distinct()
-    candidates = written(texts.join(busy, "doc_id", "left_semi"), "texts")
-
-    def near(a: str, b: str):
-        differing = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in bits), F.lit(0))
-        sizes = F.lit(100) * F.least(f"{a}.n", f"{b}.n") >= F.lit(percent) * F.greatest(f"{a}.n", f"{b}.n")
-        return sizes & (differing <= max_differing_bits)
-
-    stars = members.filter("doc_id <> least").select("doc_id", "least", "n", *bits).distinct().alias("x").join(facts.alias("y"), (F.col("x.least") == F.col("y.doc_id")) & near("x", "y"))
-    first = stars.groupBy(F.col("x.doc_id").alias("a")).agg(F.min("x.least").alias("b"))
-    tried = written(_verified(first, candidates, shingle, percent), "tried")
+    places = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    members = written(places.join(shared, "key").join(nodes.select("doc_id", "n", *bits), "doc_id"), "members")
+    candidates = written(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+
+    def differing(names: list[str]):
+        return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names), F.lit(0))
+
+    sizes = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+
+    def undecided(component: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their components."""
+        placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+        return placed.join(mixed, "key", "left_semi")
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        seen = tried.select("a", "b").union(tried.select("b", "a"))
+        return pairs.join(seen, ["a", "b"], "left_anti")
+
     rep = nodes.select("n", "high", "low", F.col("doc_id").alias("rep"))
     named = written(sets.join(rep, ["n", "high", "low"]).select("doc_id", "rep").distinct(), "named")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
     same_id = named.join(several, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
-    links = written(tried.filter("linked").select("a", "b").union(same_id), "edges")
-    component = written(connected_components(links), "components")
+    links = written(same_id, "edges")
+    component = connected_components(links)
+    tried = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+
+    def take(verdicts: DataFrame) -> None:
+        """Add verdicts to what has been tried, and the components that their links join."""
+        nonlocal tried, links, component
+        tried, new = tried.unionByName(verdicts), verdicts.filter("linked").select("a", "b")
+        if not new.isEmpty():
+            links = links.union(new)
+            component = written(connected_components(links), "components")
+
+    for round_ in range(STAR_ROUNDS):
+        open_ = written(undecided(component).select("key", "doc_id", "component", "n", *bits), "open")
+        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(round_)).alias("h"), "doc_id", "component", "n", *bits)).alias("y")).select("key", "y.*")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differing(bits) <= coarse_bits)
+        stars = open_.alias("x").join(centre.alias("y"), on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), differing(bits).alias("far"))
+        best = untried(stars).groupBy("a").agg(F.min(F.struct("far", "b")).alias("s")).select("a", "s.b")
+        take(written(_verified(best, candidates, shingle, percent), "tried"))
+        drop_written(open_)
+    open_ = undecided(component)
+    finer = candidates.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine_sketcher(shingle), longs(["doc_id", *fine]))
+    finer = written(finer.join(nodes.select("doc_id", "bands"), "doc_id"), "fine")
     round_ = 0
     while True:
-        placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-        open_ = written(placed.join(mixed, "key", "left_semi").select("key", "doc_id", "component", "n", *bits), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near("x", "y")
-        pairs = x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        if round_ < len(ROUNDS):
+        open_ = written(undecided(component).select("key", "band", "doc_id", "component", "n", *bits).join(finer, "doc_id"), "open")
+        earlier = F.exists(F.arrays_zip(F.slice("x.bands", 1, F.col("x.band")).alias("x"), F.slice("y.bands", 1, F.col("x.band")).alias("y")), lambda z: z["x"] == z["y"])
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differing(bits) <= coarse_bits) & (differing(fine) <= fine_bits) & ~earlier
+        pairs = open_.alias("x").join(open_.alias("y"), on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+        pairs = untried(pairs.distinct())
+        if round_ < len(PAIR_ROUNDS):
             order = W.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"))
-            pairs = pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROUNDS[round_])
+            pairs = pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PAIR_ROUNDS[round_])
         pairs = written(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             break
-        verdicts = written(_verified(pairs, candidates, shingle, percent), "tried")
-        tried = tried.unionByName(verdicts)
-        new = verdicts.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.union(new)
-            component = written(connected_components(links), "components")
+        take(written(_verified(pairs, candidates, shingle, percent), "tried"))
         drop_written(open_)
         drop_written(pairs)
         round_ += 1
@@ -220,3 +272,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents that :func:`near_duplicates` keeps, with all their columns: of each component the one of the least
+    doc_id, of rows that share it the first by text. Rows with a null doc_id all stay."""
+    keep = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept_id"))
+    first = named.withColumn("_rank", F.row_number().over(W.partitionBy("_kept_id").orderBy("text"))).filter("_rank = 1")
+    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
