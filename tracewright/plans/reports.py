@@ -230,13 +230,14 @@ def collapsed_actions(actions: DataFrame) -> DataFrame:
 
 
 def searchable(records: DataFrame) -> DataFrame:
+    """What search and replay read, of :func:`read_records`; written once to the shared folder."""
     parts = [FORMATS[s].searchable(records.filter(F.col("source") == s)) for s in FORMATS]
-    return parts[0].unionByName(parts[1])
+    return checkpointed(parts[0].unionByName(parts[1]))
 
 
-def search(records: DataFrame, query: str, *, regex: bool = False, kind: str | None = None, limit: int = 15, radius: int = 400) -> DataFrame:
-    """The last ``limit`` records of each session that hold ``query`` in any case: ts, turn, label, excerpt, total."""
-    found = searchable(records).filter("text <> ''")
+def search(texts: DataFrame, query: str, *, regex: bool = False, kind: str | None = None, limit: int = 15, radius: int = 400) -> DataFrame:
+    """Of :func:`searchable` the last ``limit`` records of each session that hold ``query`` in any case: ts, turn, label, excerpt, total."""
+    found = texts.filter("text <> ''")
     if regex:
         hit = F.regexp_extract("text", f"(?i){query}", 0)
         found = found.filter(F.rlike("text", F.lit(f"(?i){query}"))).withColumn("excerpt", X.excerpt(F.col("text"), hit, radius))
@@ -250,8 +251,8 @@ def search(records: DataFrame, query: str, *, regex: bool = False, kind: str | N
     return last.join(total, S).select(*S, "seq", "ts", "turn", "label", "excerpt", "total").orderBy(*S, "seq")
 
 
-def replay(records: DataFrame, turns: DataFrame, n: int, *, max_chars: int = 4000) -> DataFrame:
+def replay(texts: DataFrame, turns: DataFrame, n: int, *, max_chars: int = 4000) -> DataFrame:
     """Turn ``n`` of each session as it was logged, output included; turns without an id can be replayed too."""
     chosen = turns.filter(F.col("n") == n).select(*S, "turn")
     cut = lambda c: F.substring(c, 1, max_chars).alias(c)
-    return searchable(records).filter("replayed").join(chosen, [*S, "turn"]).select(*S, "seq", "ts", "label", "text", cut("output"), cut("stderr"), "exit_text").orderBy(*S, "seq")
+    return texts.filter("replayed").join(chosen, [*S, "turn"]).select(*S, "seq", "ts", "label", "text", cut("output"), cut("stderr"), "exit_text").orderBy(*S, "seq")

@@ -74,7 +74,7 @@ def _workspace(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{k: d.get(k) for k in WORKSPACE} for d in map(flat_yaml, texts)], columns=list(WORKSPACE), dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _todos(databases: pd.Series) -> pd.Series:
     def read(content):
         try:
@@ -97,7 +97,7 @@ def _folder(c: str) -> Column:
 
 def _small_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
-    return found.select(_folder("path").alias("dir"), "content", F.col("modificationTime").alias("mtime"))
+    return found.select(_folder("_metadata.file_path").alias("dir"), "content", F.col("modificationTime").alias("mtime"))
 
 
 def title_of_name(name: Column) -> Column:
@@ -114,8 +114,8 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
     ev = ev.filter(~F.startswith(F.element_at(F.split("dir", "/"), -1), F.lit(".")))
     rec = F.try_parse_json("value")
     ev = ev.withColumn("rec", F.when(get("$.type", of=rec) == "session.start", rec))
-    ws = _small_files(spark, root, "workspace.yaml").select("dir", F.col("mtime").alias("ws_mtime"), _workspace(F.decode("content", F.lit("UTF-8"))).alias("ws"))
-    doc = _small_files(spark, root, "plan.md").select("dir", full(X.trim_all(F.decode("content", F.lit("UTF-8")))).alias("plan_doc"))
+    ws = _small_files(spark, root, "workspace.yaml").select("dir", F.col("mtime").alias("ws_mtime"), _workspace(F.decode("content", "UTF-8")).alias("ws"))
+    doc = _small_files(spark, root, "plan.md").select("dir", full(X.trim_all(F.decode("content", "UTF-8"))).alias("plan_doc"))
     todo = _small_files(spark, root, "session.db").select("dir", _todos("content").alias("plan"))
     j = ev.join(ws, "dir", "left").join(doc, "dir", "left").join(todo, "dir", "left")
     name = F.element_at(F.split("dir", "/"), -1)
@@ -218,7 +218,7 @@ def facts(records: DataFrame) -> DataFrame:
     origin = F.coalesce(x("source"), F.lit("user"))
     user = (typ == "user.message") & top & ~F.startswith(origin, F.lit("skill-")) & (asked != "")
     said = (typ == "assistant.message") & top
-    final = F.coalesce(x("phase") == "final_answer", F.lit(False)) | (full(x("phase")).isNull() & (F.coalesce(F.array_size(x("toolRequests", "variant")), F.lit(0)) == 0))
+    final = F.coalesce(x("phase") == "final_answer", F.lit(False)) | (full(x("phase")).isNull() & (F.coalesce(F.array_size(x("toolRequests", "array<variant>")), F.lit(0)) == 0))
     blocks = F.filter(F.transform(F.regexp_extract_all(x("content"), F.lit("(?s)<custom_instruction>(.*?)</custom_instruction>"), 1), X.trim_all), lambda b: b != "")
     done = typ == "tool.execution_complete"
     failed = F.coalesce(~x("success", "boolean"), F.lit(False))

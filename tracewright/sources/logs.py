@@ -7,8 +7,11 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tracewright.shipping import ship
+
 SESSION = ["source", "session_id"]
 FIELDS = {
     "kind": "string", "turn": "string", "text": "string", "aux": "string", "path": "string", "num": "bigint", "exit_text": "string", "error": "string",
@@ -18,7 +21,7 @@ FACT = "struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">"
 FACT_COLUMNS = [*SESSION, "seq", "sub", "ts", *FIELDS]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_json_object(lines: pd.Series) -> pd.Series:
     def good(line):
         try:
@@ -32,7 +35,7 @@ def _is_json_object(lines: pd.Series) -> pd.Series:
 def lines(spark: SparkSession, paths: list[str] | str, *, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
     """(file, line_no, value, mtime, size): the lines of text files, numbered from 0 within each file before blank ones
     are left out. The order comes from the scan itself: split start, then position in the split."""
-    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    reader = ship(spark).read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     raw = reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
         F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value",
@@ -44,7 +47,7 @@ def lines(spark: SparkSession, paths: list[str] | str, *, glob: str = "*.jsonl",
 def listing(spark: SparkSession, root: str, *, glob: str = "*.jsonl") -> DataFrame:
     """(file, mtime, size) of every file below ``root``; no content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return found.select(F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def records(numbered: DataFrame, files: DataFrame) -> DataFrame:
