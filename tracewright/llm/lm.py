@@ -254,8 +254,8 @@ def learn(training: DataFrame, *, classes: int = 64, rounds: int = 8, own_share:
     for r in sides.groupBy("cx", "cy").agg(F.sum("n").alias("n")).collect():
         n[r["cx"], r["cy"]] = r["n"]
     step = (n + 0.1) / (n.sum(1, keepdims=True) + 0.1 * (classes + 1))
-    in_class = np.bincount(of, by_type + 0.5, minlength=classes + 1)
-    emission = (by_type + 0.5) / in_class[of]
+    weight = by_type + np.where(by_type > 0, 0.5, 0.01)  # most buckets of a small corpus are empty and take little
+    emission = weight / np.bincount(of, weight, minlength=classes + 1)[of]
     own = v.types >= 0
     rare = counts.join(F.broadcast(_own_words(spark, v)), "word", "left_anti").groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     per_half = np.full(types, 1 / 0.5)
