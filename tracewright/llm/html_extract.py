@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import written
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|<(?P<broken>/?[A-Za-z][^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)",
@@ -289,6 +291,9 @@ def article_text(root: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
+BROADCAST_HOSTS = 200_000  # of more than one group; beyond that their sizes are joined by a shuffle
+
+
 def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """Extract the main text of every page (page_id, url, html): page_id, url, text, n_chars (code points).
 
@@ -299,9 +304,11 @@ def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", ht
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*//([^/?#]*)", 1)))
-    sizes = p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    salt = F.pmod(F.xxhash64("page_id", "html"), F.ceil(F.col("pages") / F.lit(group_pages)))
-    dealt = p.join(sizes, "host").withColumn("salt", salt.cast("long"))
+    large = written(p.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > group_pages), "hosts")
+    sizes = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    salt = F.pmod(F.xxhash64("page_id", "html"), F.ceil(F.coalesce("pages", F.lit(1)) / F.lit(group_pages)))
+    # one key of both: a grouping by host and salt would keep the join's partitions by host, and a large host one task
+    dealt = p.join(sizes, "host", "left").withColumn("group", F.concat_ws("/", salt.cast("string"), "host"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
@@ -309,4 +316,4 @@ def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", ht
         texts = [article_text(t, s) for t, s in zip(trees, induce(trees, {}))]
         return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return dealt.select("host", "salt", "page_id", "url", "html").groupBy("host", "salt").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dealt.select("group", "page_id", "url", "html").groupBy("group").applyInArrow(run, "page_id long, url string, text string, n_chars long")
