@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def drop_written(df: DataFrame) -> None:
             _scratch[:] = [x for x in _scratch if x[1] != top]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark deletes the shuffle files of earlier rounds of an iteration."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), so other columns, whatever their names, never clash."""
     ship(docs.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import drop_written, written
+from tracewright.llm.common import drop_written, tidy, written
 
 
 def _state(edges: DataFrame):
@@ -32,6 +32,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = written(small, "links")
         drop_written(edges)
         edges, after = new, _state(new)
+        tidy(links.sparkSession)
         if after == before:
             break
         before = after

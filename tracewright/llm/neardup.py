@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.common import doc_text, drop_written, written
+from tracewright.llm.common import doc_text, drop_written, tidy, written
 from tracewright.llm.graph import connected_components
 
 SIZE = 256  # coordinates of a sketch
@@ -228,23 +228,32 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     named = written(sets.join(rep, ["n", "high", "low"]).select("doc_id", "rep").distinct(), "named")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
     same_id = named.join(several, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
-    links = written(same_id, "edges")
-    component = connected_components(links)
+    component = written(connected_components(same_id), "components")
     tried = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
 
     def take(verdicts: DataFrame) -> None:
-        """Add verdicts to what has been tried, and the components that their links join."""
-        nonlocal tried, links, component
-        tried, new = tried.unionByName(verdicts), verdicts.filter("linked").select("a", "b")
+        """Add verdicts to what has been tried, and join the components that their links connect. Only links between
+        different components are looked at, as links of those components."""
+        nonlocal tried, component
+        tried = tried.unionByName(verdicts)
+        side = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        new = verdicts.filter("linked").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        new = written(new.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "edges")
         if not new.isEmpty():
-            links = links.union(new)
-            component = written(connected_components(links), "components")
+            moved = connected_components(new).toDF("was", "now")
+            kept = component.join(moved, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+            later = written(kept.union(moved.join(component, F.col("was") == F.col("id"), "left_anti")), "components")
+            drop_written(component)
+            component = later
+        drop_written(new)
+        tidy(docs.sparkSession)
 
     for round_ in range(STAR_ROUNDS):
         open_ = written(undecided(component).select("key", "doc_id", "component", "n", *bits), "open")
         centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(round_)).alias("h"), "doc_id", "component", "n", *bits)).alias("y")).select("key", "y.*")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differing(bits) <= coarse_bits)
         stars = open_.alias("x").join(centre.alias("y"), on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), differing(bits).alias("far"))
+        stars = stars.groupBy("a", "b").agg(F.min("far").alias("far"))  # a member meets one centre in many bands
         best = untried(stars).groupBy("a").agg(F.min(F.struct("far", "b")).alias("s")).select("a", "s.b")
         take(written(_verified(best, candidates, shingle, percent), "tried"))
         drop_written(open_)
