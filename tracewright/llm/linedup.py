@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import doc_text
+from tracewright.llm.common import doc_text, drop_written, tidy, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Letters whose counts, modulo 256, a line's signature holds: an edit changes at most two of them, by one.
@@ -102,13 +102,19 @@ def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 24)
     and of the matching substrings of others, filtered by letter counts, and verified character by character.
     """
     lines = lines_of(docs, min_chars)
-    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "check", "line")).alias("r"))
+    classes = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "check", "line")).alias("r")), "lines")
+    tidy(docs.sparkSession)
     length = F.length("r.line")
     index, probes = _keys(F.col("r.line"), length, threshold)
-    keyed = classes.select("h", _signature(F.col("r.line"), length).alias("sig"), F.array(*index).alias("index"), F.array(*index, *probes).alias("all"))
-    left = keyed.select(F.col("h").alias("a"), F.col("sig").alias("sig_a"), F.explode("index").alias("key"))
-    right = keyed.select(F.col("h").alias("b"), F.col("sig").alias("sig_b"), F.explode("all").alias("key"))
-    found = left.join(right, "key").filter((F.col("a") != F.col("b")) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold))
+    own, more = (F.transform(F.array(*keys), lambda k: F.struct(k.alias("key"), F.lit(o).alias("own"))) for keys, o in ((index, True), (probes, False)))
+    keyed = written(classes.select("h", F.explode(F.concat(own, more)).alias("k")).select("h", "k.key", "k.own"), "segments")
+    shared = keyed.groupBy("key").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).filter("own and n > 1").select("key")
+    met = written(keyed.join(shared, "key", "left_semi"), "met")
+    drop_written(keyed)
+    tidy(docs.sparkSession)
+    met = met.join(classes.join(met.select("h").distinct(), "h", "left_semi").select("h", _signature(F.col("r.line"), length).alias("sig")), "h")
+    ends = [met.select("key", F.col("h").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab"]
+    found = ends[0].filter("own_a").join(ends[1], "key").filter((F.col("a") != F.col("b")) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold))
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: classes.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
     texts = pairs.join(side("a"), "a").join(side("b"), "b")
