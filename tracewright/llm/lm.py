@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import crc_mod, doc_text, written
 
 _SLICE_ROWS = 1_000
-_KEPT = 300_000
+_KEPT = 150_000
 _hashes: dict[str, int] = {}
 END = xxhash.xxh64_intdigest("</text>", seed=1)
 BUCKETS = 1024  # of rare words, by their last letters

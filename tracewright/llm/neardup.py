@@ -67,7 +67,7 @@ def _bits(name: str, size: int) -> list[str]:
 
 
 _hashes: dict[str, int] = {}
-_KEPT_HASHES = 500_000
+_KEPT_HASHES = 150_000
 _SLICE_ROWS = 1_000
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import doc_text
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_CACHE_WORDS = 500_000  # words whose ids a Python worker keeps; beyond that it starts afresh
+_CACHE_WORDS = 150_000  # words whose ids a Python worker keeps; beyond that it starts afresh
 _LONG_WORD = 64  # characters; longer words are tokenised each time and not kept
 _SLICE_ROWS = 2_000  # documents tokenised at once
 

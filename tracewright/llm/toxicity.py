@@ -85,7 +85,7 @@ def _symbols(texts: pa.Array, model: Model, known: dict) -> tuple[np.ndarray, np
     ends a clause."""
     split = pc.ascii_split_whitespace(pc.replace_substring(pc.fill_null(texts, ""), "\n", " ; "))
     flat = split.flatten().dictionary_encode()
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     found = []
     for c in flat.dictionary.to_pylist():
