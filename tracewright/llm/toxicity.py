@@ -164,13 +164,20 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = list(toxic.keys() | clean.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["key", "bad", "good"])
+            toxic.clear()
+            clean.clear()
+            return out
+
         for batch in batches:
             for kind, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 (toxic if kind else clean).update(_keys(text or ""))
-        keys = list(toxic.keys() | clean.keys())
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], ["key", "bad", "good"])
+                if len(toxic) + len(clean) > 40_000:  # what a task holds stays small; Spark adds the parts up
+                    yield counted()
+        yield counted()
 
     counts = sample.mapInArrow(count, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     part, rate = F.col("bad") + F.col("good"), bad / (bad + good)
