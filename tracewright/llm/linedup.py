@@ -93,6 +93,9 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return trimmed.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("check"), "line")
 
 
+BROADCAST_LINES = 500_000  # hashes of lines that share a segment; beyond that they are joined by a shuffle
+
+
 def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 24) -> DataFrame:
     """(doc_id, line_no, near): the lines that repeat an earlier one, in the order of (doc_id, line_no), exactly
     (``near`` false) or within ``threshold`` edits (``near`` true: the line's first copy does).
@@ -112,11 +115,15 @@ def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 24)
     met = written(keyed.join(shared, "key", "left_semi"), "met")
     drop_written(keyed)
     tidy(docs.sparkSession)
-    met = met.join(classes.join(met.select("h").distinct(), "h", "left_semi").select("h", _signature(F.col("r.line"), length).alias("sig")), "h")
+    ids = met.select("h").distinct()
+    ids = F.broadcast(ids) if met.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
+    chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), length)), "chosen")
+    tidy(docs.sparkSession)
+    met = met.join(chosen.select("h", "sig"), "h")
     ends = [met.select("key", F.col("h").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab"]
     found = ends[0].filter("own_a").join(ends[1], "key").filter((F.col("a") != F.col("b")) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold))
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
+    side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
     texts = pairs.join(side("a"), "a").join(side("b"), "b")
     links = texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
     order = lambda r: F.struct(f"{r}.doc_id", f"{r}.line_no")
