@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _scratch:
         atexit.register(release)
     _scratch.append((spark, path))
