@@ -20,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, exactly or within an edit, go; so do documents of which nothing remains."""
-    return linedup.without_repeats(docs)
+    """Lines that repeat an earlier one, exactly or within edits by their length, go; so do documents of which nothing remains."""
+    return linedup.without_repeats(docs, threshold=linedup.BY_LENGTH, exact_chars=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

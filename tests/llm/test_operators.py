@@ -324,6 +324,38 @@ def test_line_dedup(spark, threshold):
     assert got == want
 
 
+def test_line_dedup_by_length(spark):
+    """The registered thresholds: edits by the shorter line's length, and shorter lines exactly."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for n in [3, 23, 24, 47, 48, 95, 96, 99, 130, 191, 192, 196, 400]:
+        base = "".join(rng.choice("abcdefgh  ") for _ in range(n - 2))
+        rows += [f"x{base}y"] * 2
+        for edits in (1, 2, 3, 4, 5, 7, 8, 9):
+            for _ in range(2):
+                line = list(f"x{base}y")
+                for _ in range(edits):
+                    at, kind = rng.randrange(1, len(line)), rng.randrange(3)
+                    line[at : at + (kind != 1)] = [] if kind == 2 and len(line) > 2 else [rng.choice("ijk")]
+                rows.append("".join(line))
+    sentence = "a sentence of many common words in which somebody writes of a matter that is of no weight at all and goes on and on about it until " * 3
+    rows += [sentence, sentence.replace("somebody", "anyone", 1), "short", "short", " ", " "]
+    rng.shuffle(rows)
+    first, want = {}, {}
+    for d, s in enumerate(rows):
+        first.setdefault(s.strip(" "), d)
+    edits = lambda n: max([t for k, t in linedup.BY_LENGTH if k <= n], default=0)
+    for d, s in enumerate(rows):
+        s = s.strip(" ")
+        if s and first[s] != d:
+            want[d] = False
+        elif any(first[o] < d and abs(len(o) - len(s)) <= edits(min(len(o), len(s))) and distance(o, s) <= edits(min(len(o), len(s))) for o in first if s and o):
+            want[d] = True
+    got = {r["doc_id"]: r["near"] for r in linedup.repeated_lines(frame(spark, list(enumerate(rows))), threshold=linedup.BY_LENGTH, exact_chars=1).collect()}
+    assert got == want and sum(want.values()) > 50 and rows.index("short") not in got
+
+
 def test_line_dedup_awkward(spark, odd, none):
     kept = linedup.without_repeats(odd)
     assert kept.columns == odd.columns and linedup.without_repeats(none).count() == 0 and linedup.report(none).count() == 0

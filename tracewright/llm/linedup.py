@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import doc_text, drop_written, tidy, written
+from tracewright.llm.common import doc_text, tidy, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Letters whose counts, modulo 256, a line's signature holds: an edit changes at most two of them, by one.
 SIGNATURE = "eantiosr"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th (from 0) of ``parts`` even segments, the longer ones last."""
-    size = F.floor(length / F.lit(parts)).cast("int")
-    longer = (length % F.lit(parts)).cast("int")
-    return F.lit(1) + F.lit(i) * size + F.greatest(F.lit(0), F.lit(i - parts) + longer), size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+def _bound(n: Column, low: int, high: int | None, threshold: int) -> Column:
+    """The lower bound of the length class of ``n`` characters: classes from ``low`` grow by a fifth each, and each has
+    more than ``threshold`` lengths."""
+    at, out = low, F.lit(low)
+    while (at := at + max(at // 5, threshold + 1)) + threshold < (high or LONGEST_CLASS):
+        out = F.when(n >= at, at).otherwise(out)
+    return out
 
 
-def _keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of a line's own segments, and of the substrings that can equal a segment of a line that is as long or up
-    to ``threshold`` characters shorter (multi-match-aware positions; those that are own segments left out)."""
-    parts, index, probes = threshold + 1, [], []
-    for shorter in range(threshold + 1):
-        other = length - shorter
-        for i in range(parts):
-            start, size = _segment(other, i, parts)
-            low, high = max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i)
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.substring(line, start + shift, size), F.lit(i), other)
-                (index if not shorter and not shift else probes).append(key)
-    return index, probes
+LONGEST_CLASS = 100_000  # longer lines share one class: their segments lie in their first characters
+
+
+def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
+    """(h, key, own): hashes of a line's own segments (``own``), if it has ``low`` to ``high`` - 1 characters, and of the
+    substrings that can equal a segment of a line that is as long or up to ``threshold`` characters shorter.
+
+    Segments divide the first characters of a line, as many as its length class has at least. With at most ``threshold``
+    edits there is a segment i that none touches and before which there are i; so in the longer line it stands at most i
+    places off, and, as at most ``threshold`` - i follow, not further left than that.
+    """
+    parts = threshold + 1
+    places = [(i, s) for i in range(parts) for s in range(max(-i, i - threshold), i + 1)]
+    n, shorter = F.col("n"), F.col("n") - threshold
+    mine = F.when(n < high, _bound(n, low, high, threshold)) if high else _bound(n, low, high, threshold)
+    other = F.when(shorter >= low, _bound(shorter, low, high, threshold))
+    lines = classes.filter((n >= low) & (n < high + threshold if high else F.lit(True))).select("h", F.col("r.line").alias("line"), mine.alias("mine"), other.alias("other"))
+    bounds = lines.select("h", "line", "mine", F.explode(F.array_distinct(F.array_compact(F.array("mine", "other")))).alias("bound"))
+    each = bounds.select("h", "line", "bound", (F.col("bound") == F.coalesce("mine", F.lit(-1))).alias("same"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in places))).alias("p"))
+    i, size, longer = F.col("p.i"), F.floor(F.col("bound") / F.lit(parts)).cast("int"), (F.col("bound") % F.lit(parts)).cast("int")
+    start = F.lit(1) + i * size + F.greatest(F.lit(0), i - parts + longer) + F.col("p.s")
+    segment = F.substring("line", start, size + F.when(i >= F.lit(parts) - longer, 1).otherwise(0))
+    return each.select("h", F.xxhash64(segment, i, "bound").alias("key"), (F.col("same") & (F.col("p.s") == 0)).alias("own"))
 
 
 def _signature(line: Column, length: Column) -> Column:
@@ -95,37 +107,62 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 BROADCAST_LINES = 500_000  # hashes of lines that share a segment; beyond that they are joined by a shuffle
 
+#: Edits that a line may be off, by the shorter line's characters: a word in a longer line may change altogether.
+BY_LENGTH = ((24, 1), (48, 2), (96, 4), (192, 8))
+
+
+def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
+    """(ra, rb, a, b): the first copies of lines within ``threshold`` edits whose shorter one has ``low`` to ``high`` - 1 characters."""
+    spark, found = classes.sparkSession, []
+    passes = max(1, threshold // 4)  # parts of the keys, one after the other, so that fewer are on disk at once
+    for k in range(passes):
+        keyed = _keyed(classes, low, high, threshold)
+        dealt = (keyed.filter(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed).repartition("key")
+        shared = dealt.groupBy("key").agg(F.max("own").alias("any"), F.min("h").alias("low"), F.max("h").alias("high")).filter("any and low <> high").select("key")
+        found.append(written(dealt.join(shared, "key", "left_semi"), "met"))
+        tidy(spark)
+    met = found[0]
+    for more in found[1:]:
+        met = met.union(more)
+    ids = met.select("h").distinct()
+    ids = F.broadcast(ids) if met.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
+    chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), F.col("n"))), "chosen")
+    tidy(spark)
+    met = met.join(chosen.select("h", "sig", "n"), "h")
+    # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter: its length's step is the longer one's or the one before
+    step = F.floor(F.col("n") / F.lit(threshold + 1))
+    short = met.filter("own").select("key", step.alias("step"), F.col("h").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    long = met.select("key", F.explode(F.array(step, step - 1)).alias("step"), F.col("h").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+    near = (F.col("a") != F.col("b")) & (F.col("n_b") - F.col("n_a")).between(0, threshold) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold)
+    pairs = short.join(long, ["key", "step"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
+    texts = pairs.join(side("a"), "a").join(side("b"), "b")
+    if threshold <= 2:
+        return texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
+    return texts.filter(F.levenshtein("ra.line", "rb.line", threshold) >= 0)  # Spark's banded one; the masks above are for few edits
+
 
-def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 24) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], ...] = 1, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, line_no, near): the lines that repeat an earlier one, in the order of (doc_id, line_no), exactly
     (``near`` false) or within ``threshold`` edits (``near`` true: the line's first copy does).
 
+    ``threshold`` is a number, or the numbers by the shorter line's length: ((characters from, edits), ...), rising; then
+    ``min_chars`` is the first of these lengths. Shorter lines, of ``exact_chars`` or more characters (none if that is
+    not given), are compared exactly only.
+
     Equal lines are collapsed first. Lines at most ``threshold`` edits apart share one of the shorter one's
     ``threshold`` + 1 segments at nearly the same place, so each distinct line is found through hashes of its segments
     and of the matching substrings of others, filtered by letter counts, and verified character by character.
     """
-    lines = lines_of(docs, min_chars)
-    classes = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "check", "line")).alias("r")), "lines")
-    tidy(docs.sparkSession)
-    length = F.length("r.line")
-    index, probes = _keys(F.col("r.line"), length, threshold)
-    own, more = (F.transform(F.array(*keys), lambda k: F.struct(k.alias("key"), F.lit(o).alias("own"))) for keys, o in ((index, True), (probes, False)))
-    keyed = written(classes.select("h", F.explode(F.concat(own, more)).alias("k")).select("h", "k.key", "k.own"), "segments")
-    shared = keyed.groupBy("key").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).filter("own and n > 1").select("key")
-    met = written(keyed.join(shared, "key", "left_semi"), "met")
-    drop_written(keyed)
-    tidy(docs.sparkSession)
-    ids = met.select("h").distinct()
-    ids = F.broadcast(ids) if met.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
-    chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), length)), "chosen")
+    steps = ((min_chars, threshold),) if isinstance(threshold, int) else tuple(threshold)
+    lines = lines_of(docs, steps[0][0] if exact_chars is None else min(exact_chars, steps[0][0]))
+    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "check", "line")).alias("r"))
+    classes = written(classes.withColumn("n", F.length("r.line")), "lines")
     tidy(docs.sparkSession)
-    met = met.join(chosen.select("h", "sig"), "h")
-    ends = [met.select("key", F.col("h").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab"]
-    found = ends[0].filter("own_a").join(ends[1], "key").filter((F.col("a") != F.col("b")) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold))
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
-    texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    links = texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
+    links = None
+    for k, (low, edits) in enumerate(steps):
+        found = _links(classes, low, steps[k + 1][0] if k + 1 < len(steps) else None, edits).select("a", "b", "ra", "rb")
+        links = found if links is None else links.union(found)
     order = lambda r: F.struct(f"{r}.doc_id", f"{r}.line_no")
     later = links.select(F.when(order("ra") > order("rb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True))
     heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check")).join(later, "h", "left")

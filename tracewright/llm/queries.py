@@ -50,7 +50,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.report(table(spark, sf_dir, "documents"))
+    return linedup.report(table(spark, sf_dir, "documents"), threshold=linedup.BY_LENGTH, exact_chars=1)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
