@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import doc_text, tidy, written
@@ -117,9 +117,10 @@ def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     passes = max(1, threshold // 4)  # parts of the keys, one after the other, so that fewer are on disk at once
     for k in range(passes):
         keyed = _keyed(classes, low, high, threshold)
-        dealt = (keyed.filter(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed).repartition("key")
-        shared = dealt.groupBy("key").agg(F.max("own").alias("any"), F.min("h").alias("low"), F.max("h").alias("high")).filter("any and low <> high").select("key")
-        found.append(written(dealt.join(shared, "key", "left_semi"), "met"))
+        keyed = keyed.filter(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed
+        at = Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
+        shared = keyed.select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high")).filter("any and low <> high")
+        found.append(written(shared.select("h", "key", "own"), "met"))
         tidy(spark)
     met = found[0]
     for more in found[1:]:
