@@ -391,6 +391,17 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.learn(none, frame(spark, [], "doc_id long, toxic int")) == toxicity.Model()
 
 
+def test_toxicity_rate_of_a_bounded_sample(spark):
+    """A sample of as many toxic rows as clean ones gives the rate of all labels."""
+    rows = [(k, "the moon is far away." if k % 10 else "you are an idiot.", int(k % 10 == 0)) for k in range(6000)]
+    rows = [(d, t, 1 - y if d % 7 == 0 else y) for d, t, y in rows]  # labels with errors, so that scores lie between 0 and 1
+    all_ = frame(spark, rows, "doc_id long, text string, toxic int")
+    docs, labels = all_.select("doc_id", "text"), all_.select("doc_id", "toxic")
+    probes = frame(spark, [(1, "the moon is far away."), (2, "you are an idiot.")])
+    whole, part = ({d: r["score"] for d, r in result(toxicity.score(probes, toxicity.learn(docs, labels, max_labelled=n))).items()} for n in (20_000, 1_500))
+    assert all(abs(whole[d] - part[d]) < 0.06 for d in whole) and 0.05 < part[1] < 0.25
+
+
 def test_toxicity_grammar():
     m = toxicity.Model()
     import pyarrow as pa

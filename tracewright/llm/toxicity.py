@@ -133,11 +133,14 @@ def _scan(model: Model, texts: pa.Array, known: dict) -> np.ndarray:
     return np.array([_features(kinds[a:b], weights[a:b], ends[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]).reshape(-1, len(FEATURES))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, held_out: int) -> DataFrame:
-    """(toxic, text) of at most ``max_labelled`` labelled rows outside the held-out fold: those whose ids hash lowest,
-    at most half of them toxic."""
+def _known(labels: DataFrame, held_out: int) -> DataFrame:
+    """(doc_id, toxic) of the labels outside the held-out fold, one a doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_mod("doc_id", 4) != held_out)
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_mod("doc_id", 4) != held_out)
+
+
+def _labelled(docs: DataFrame, known: DataFrame, max_labelled: int) -> DataFrame:
+    """(toxic, text) of at most ``max_labelled`` labelled rows: those whose ids hash lowest, at most half of them toxic."""
     order = F.xxhash64("doc_id")
     picked = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_labelled // 2) for k in (0, 1)]
     return docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("toxic", "text")  # ids only, at most max_labelled
@@ -154,13 +157,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
     A word or word beginning becomes an arc if its documents are toxic so much more often that the log-likelihood
     ratio is at least ``min_gain`` and the smoothed odds at least 20 times those of all documents; the log of that
     factor is its weight. The sample's bound is ``max_labelled``; without toxic or clean labels the seeds stay.
+
+    The sample takes its classes apart, so each row counts by its class's share of all labelled rows over its share of
+    the sample: gains, weights and bias are those of all labels' rate whatever their number.
     """
-    sample = _labelled(doc_text(docs), labels, max_labelled, held_out)
+    known = _known(labels, held_out)
+    sample = _labelled(doc_text(docs), known, max_labelled)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     model = Model()
     if not bad or not good:
         return model
+    labelled = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")  # a row per text, as in the sample
+    whole = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows_share = (bad + good) / (whole[1] + whole[0])
+    w_bad, w_good = whole[1] / bad * rows_share, whole[0] / good * rows_share  # both 1 where the sample is all
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -180,9 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
         yield counted()
 
     counts = sample.mapInArrow(count, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    part, rate = F.col("bad") + F.col("good"), bad / (bad + good)
+    seen_bad, seen_good = F.col("bad") * w_bad, F.col("good") * w_good
+    part, rate = seen_bad + seen_good, bad * w_bad / (bad * w_bad + good * w_good)
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    gain = 2 * (term(F.col("bad"), part * rate) + term(F.col("good"), part * (1 - rate)))
+    gain = 2 * (term(seen_bad, part * rate) + term(seen_good, part * (1 - rate)))
     factor = F.log(((F.col("bad") + 0.5) / (bad + 1.0)) / ((F.col("good") + 0.5) / (good + 1.0)))
     for r in counts.filter((gain >= min_gain) & (factor >= float(np.log(20.0)))).select("key", factor.alias("weight")).collect():
         (model.words if r["key"][0] == "w" else model.prefixes)[r["key"][1:]] = r["weight"]
@@ -194,17 +206,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], ["toxic", *FEATURES])
 
     rows = sample.mapInArrow(examine, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    model.weights, model.bias = _logistic(rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float))
+    toxic = rows["toxic"].to_numpy(float)
+    model.weights, model.bias = _logistic(rows[list(FEATURES)].to_numpy(), toxic, np.where(toxic == 1, w_bad, w_good))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[tuple[float, ...], float]:
-    """Weights and bias of a ridge logistic regression, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[tuple[float, ...], float]:
+    """Weights and bias of a ridge logistic regression, each row counted ``share`` times, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (share * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
