@@ -118,6 +118,16 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_regions(spark):
+    """Constant text inside an article goes, sibling articles stay, and a long main wins over a short article."""
+    inside = [(k, "https://a.example/", f"<body><article><p>words of page {k}</p><p>All rights of the house</p></article></body>") for k in range(6)]
+    several = (10, "https://b.example/", "<body><div><article><p>first of them</p></article><article><p>second, a longer one</p></article></div></body>")
+    teaser = (11, "https://c.example/", f"<body><article><p>short</p></article><main><p>{'a long text ' * 9}</p></main></body>")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, [*inside, several, teaser], "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"words of page {k}" for k in range(6))
+    assert got[10] == "first of them\n\nsecond, a longer one" and got[11] == ("a long text " * 9).strip()
+
+
 def test_tree_matching_keeps_order():
     a, b = html_extract.parse("<ul><li>1<li>2<li>3</ul>"), html_extract.parse("<ul><li>1<b>x</b><li>3</ul>")
     shapes = {}

@@ -244,25 +244,31 @@ def _length(node: Node) -> int:
     return total
 
 
-def _regions(root: Node) -> Node | None:
-    """The named article region with the most text, outside parts that are dropped; none if no region is named."""
-    found, todo = [], [root]
+def _regions(root: Node) -> list[Node]:
+    """The named article regions, in page order, outside parts that are dropped: the article with the most text and its
+    sibling articles, or main where it has more than twice their text; none if no region is named."""
+    found, todo = [], [(root, None)]
     while todo:
-        x = todo.pop()
+        x, above = todo.pop()
         if x.drop:
             continue
         if x.main:
-            found.append(x)
-        todo.extend(reversed(x.children))
-    articles = [x for x in found if x.tag == "article"] or [x for x in found if x.tag == "main"] or found
-    return max(articles, key=_length, default=None)
+            found.append((x, above))
+        todo.extend((c, x) for c in reversed(x.children))
+    pick = lambda pairs: max(pairs, key=lambda p: _length(p[0]), default=None)
+    article, main = (pick([p for p in found if p[0].tag == tag]) for tag in ("article", "main"))
+    articles = [x for x, above in found if article and x.tag == "article" and above is article[1]]
+    if main and _length(main[0]) > 2 * sum(map(_length, articles)):
+        return [main[0]]
+    best = pick(found)
+    return articles or ([best[0]] if best else [])
 
 
 def article_text(root: Node, template: set[int]) -> str:
-    """The blocks of the article, joined by blank lines. In a page with a named article region (article, main, or a
-    container called so) it is that region; else it is what is not template. Parts whose element, role, class or id
-    names a menu, header, footer, sidebar, notice, advert, form, script or reader comments are left out."""
-    region = _regions(root)
+    """The blocks of the article, joined by blank lines: what is not template, in a page with named article regions
+    (article, main, or a container called so) within these. Parts whose element, role, class or id names a menu, header,
+    footer, sidebar, notice, advert, form, script or reader comments are left out."""
+    regions = _regions(root)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -272,17 +278,17 @@ def article_text(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [region or root]
+    todo: list = list(reversed(regions)) or [root]
     while todo:
         x = todo.pop()
         if x is None:
             flush()
         elif x.tag == "#":
-            if region or x.index not in template:
+            if x.index not in template:
                 parts.append(x.text)
         elif x.tag == "br":
             parts.append(" ")
-        elif not x.drop and not (x.tag == "header" and not region):
+        elif not x.drop and not (x.tag == "header" and not regions):
             if x.tag not in INLINE:
                 flush()
                 todo.append(None)
