@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder is set."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session (tests) gets a temporary folder; a cluster's
+    executors would not share one, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
