@@ -175,8 +175,12 @@ def test_near_duplicates(spark, texts, odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1, 2, 3}
     assert [r["kept"] for r in rows if r["doc_id"] is None] == [True] and neardup.near_duplicates(none).count() == 0
-    kept = neardup.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == 8
+    kept = neardup.one_of_each(odd.withColumns({c: F.lit(7) for c in ("_rank", "_kept_id", "row", "id", "hash", "node")}))
+    assert kept.columns == [*odd.columns, "_rank", "_kept_id", "row", "id", "hash", "node"] and kept.count() == 9 and kept.filter("_rank <> 7 or hash <> 7").count() == 0
+    assert sorted(r["text"][:5] for r in kept.filter("doc_id = 6").collect()) == ["a b c", "other"]  # ids repeat, texts do not
+    copies = frame(spark, [(3, "one two three"), (3, "one two three"), (None, "one two three"), (None, "one two three"), (9, "one two three"), (9, "four")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in neardup.one_of_each(copies).collect()) == [(0, "one two three"), (0, "one two three"), (3, "one two three"), (9, "four")]
+    assert neardup.one_of_each(none).count() == 0
 
 
 def test_sketches_fill_and_estimate():

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
-import os
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.scratch import shared_dir
+
 from tracewright.shipping import ship
 
 _scratch: list[tuple[SparkSession, str]] = []
@@ -22,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here and lost executors lose nothing.
 
@@ -75,7 +70,7 @@ def tidy(spark: SparkSession) -> None:
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), so other columns, whatever their names, never clash."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
 
 
 def crc_mod(col: str, mod: int):
@@ -83,7 +78,46 @@ def crc_mod(col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def rows_of(batches: Iterable, *cols: str) -> Iterator[tuple]:
-    """Python rows of Arrow batches, batch by batch."""
-    for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in cols))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of at most ``rows`` rows and, but for a single longer text, ``size`` bytes of text. Spark
+    itself bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function whose Python worker gives back its memory when the task ends, for the stages that follow in it."""
+
+    def whole(*args):
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever letters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, hash): each row as one struct beside its id and its text's hash, so that no column of it clashes with
+    what is joined to it; :func:`opened` gives the rows back. Id and hash together tell documents apart where ids repeat."""
+    ship(docs.sparkSession)
+    return docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col).cast("string")).alias("hash"))
+
+
+def opened(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))

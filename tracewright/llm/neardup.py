@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tracewright.llm.common import doc_text, drop_written, tidy, written
+from tracewright.llm.common import drop_written, lean, opened, slices, tidy, whole_rows, written
 from tracewright.llm.graph import connected_components
 
 SIZE = 256  # coordinates of a sketch
 FINE = 2048  # of the sketch that is made only of documents whose buckets stay undecided
+_KEPT_WORDS = 150_000  # whose hashes a task keeps
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,27 +63,23 @@ def _one_bit(sketches: np.ndarray) -> np.ndarray:
     return np.packbits((_mix(sketches) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64)
 
 
-def _bits(name: str, size: int) -> list[str]:
-    return [f"{name}{b}" for b in range(size // 64)]
+_BITS, _FINE = [f"bits{b}" for b in range(SIZE // 64)], [f"fine{b}" for b in range(FINE // 64)]
 
 
-_hashes: dict[str, int] = {}
-_KEPT_HASHES = 150_000
-_SLICE_ROWS = 1_000
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word (A-Z in lower case) of all texts, and where each text's words begin."""
-    if len(_hashes) > _KEPT_HASHES:
-        _hashes.clear()
+    if len(known) > _KEPT_WORDS:
+        known.clear()
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
     flat = split.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
     for w in words:
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh64_intdigest(w)
-    hashes = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    hashes = np.fromiter((known[w] for w in words), np.uint64, len(words))
     return hashes[flat.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64), split.offsets.to_numpy() - split.offsets[0].as_py()
 
 
@@ -98,11 +95,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(size)))
 
 
-def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(part: pa.RecordBatch, shingle: int, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
     """The row and the shingle hashes of every text that has words."""
     texts = pc.fill_null(part.column("text"), "")
     blank = np.asarray(pc.equal(pc.utf8_length(pc.ascii_trim_whitespace(texts)), 0))
-    words, bounds = _word_hashes(texts)
+    words, bounds = _word_hashes(texts, known)
     for i in np.flatnonzero(~blank).tolist():
         yield i, shingle_hashes(words[bounds[i] : bounds[i + 1]], shingle)
 
@@ -111,35 +108,38 @@ def _sketcher(shingle: int, bands: int, rows: int):
     offsets = _mix(np.arange(1, bands + 1, dtype=np.uint64) * _POWERS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE_ROWS):
-                part = batch.slice(at, _SLICE_ROWS)
-                n, high, low = (np.zeros(part.num_rows, np.uint64) for _ in range(3))
-                sketch = np.zeros((part.num_rows, SIZE), np.uint64)
-                for i, found in _sets(part, shingle):
-                    n[i], high[i], low[i] = len(found), found.sum(), (found * (found | np.uint64(1))).sum()
-                    sketch[i] = similarity_sketch(found)
-                keys = np.repeat(offsets[None, :], part.num_rows, axis=0)
-                for r in range(rows):
-                    keys = _mix(keys + sketch[:, r : rows * bands : rows] * _POWERS[r % 8])
-                bits = _one_bit(sketch)
-                lists = pa.ListArray.from_arrays(np.arange(0, bands * part.num_rows + 1, bands, dtype=np.int32), keys.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in (n, high, low)), *(pa.array(np.ascontiguousarray(c)) for c in bits.T), lists], ["doc_id", "n", "high", "low", *_bits("bits", SIZE), "bands"])
-
-    return run
+        known: dict[str, int] = {}
+        for part in slices(batches):
+            n, high, low = (np.zeros(part.num_rows, np.uint64) for _ in range(3))
+            sketch = np.zeros((part.num_rows, SIZE), np.uint64)
+            for i, found in _sets(part, shingle, known):
+                n[i], high[i], low[i] = len(found), found.sum(), (found * (found | np.uint64(1))).sum()
+                sketch[i] = similarity_sketch(found)
+            keys = np.repeat(offsets[None, :], part.num_rows, axis=0)
+            for r in range(rows):
+                keys = _mix(keys + sketch[:, r : rows * bands : rows] * _POWERS[r % 8])
+            bits = _one_bit(sketch)
+            lists = pa.ListArray.from_arrays(np.arange(0, bands * part.num_rows + 1, bands, dtype=np.int32), keys.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), *(pa.array(c.view(np.int64)) for c in (n, high, low)), *(pa.array(np.ascontiguousarray(c)) for c in bits.T), lists], ["id", "hash", "n", "high", "low", *_BITS, "bands"])
+
+    return lean(run)
 
 
 def _fine_sketcher(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE_ROWS):
-                part = batch.slice(at, _SLICE_ROWS)
-                sketch = np.zeros((part.num_rows, FINE), np.uint64)
-                for i, found in _sets(part, shingle):
-                    sketch[i] = similarity_sketch(found, FINE)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in _one_bit(sketch).T)], ["doc_id", *_bits("fine", FINE)])
+        known: dict[str, int] = {}
+        for part in slices(batches):
+            sketch = np.zeros((part.num_rows, FINE), np.uint64)
+            for i, found in _sets(part, shingle, known):
+                sketch[i] = similarity_sketch(found, FINE)
+            yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(np.ascontiguousarray(c)) for c in _one_bit(sketch).T)], ["node", *_FINE])
 
-    return run
+    return lean(run)
+
+
+def _apart(x: str, y: str, names: list[str]) -> Column:
+    """How many bits of two sketches differ."""
+    return sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in names), F.lit(0))
 
 
 def _verifier(shingle: int, percent: int):
@@ -149,144 +149,187 @@ def _verifier(shingle: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None, None, None, None]
-        for batch in batches:
+        for part in slices(batches, column="text_a"):
             linked = []
-            for text_a, text_b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+            for text_a, text_b in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
                 if text_a is not last[0]:
                     last[:2] = text_a, last[1] if text_a == last[0] else grams(text_a)
                 if text_b is not last[2]:
                     last[2:] = text_b, last[3] if text_b == last[2] else grams(text_b)
                 common = len(last[1] & last[3])
                 linked.append(100 * common >= percent * (len(last[1]) + len(last[3]) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return run
+    return lean(run)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked): the pairs with the verdict of their full sets."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    """(a, b, linked): the pairs of nodes with the verdict of their full sets."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     out = both.mapInArrow(_verifier(shingle, percent), "a long, b long, linked boolean")
     return out.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-#: Rounds in which every undecided member is tried against the likeliest of its buckets' centres.
-STAR_ROUNDS = 4
-#: Then the pairs tried between two components in a round; after the last, all that are left.
-PAIR_ROUNDS = (4, 64)
+#: Rounds in which each undecided document is tried against one centre; what they leave open is then searched whole.
+STAR_ROUNDS = 3
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, coarse_bits: int = 51, fine_bits: int = 273) -> DataFrame:
-    """Link documents (doc_id, text) whose sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``
-    or more, and give each its component.
-
-    Equal sets are collapsed first, so copies cost one row each. Sketches of the distinct sets go into ``bands`` bands
-    of ``rows`` coordinates: at a similarity of 0.8 a pair shares none in 5 cases of 10**8. Inside a band's bucket not
-    all pairs are listed. In star rounds each bucket has one centre, another one each round, and each member whose
-    component is another is tried against the likeliest of its centres. Then, for buckets that still hold several
-    components, pairs between components are tried, a few per two components at first, until each such pair has been
-    linked or refuted. A pair is passed over without reading its texts only if its set sizes exclude a link or its
-    one-bit sketches differ too much: in more than ``coarse_bits`` of 256 (25.6 are expected at 0.8; more than 51 in
-    about 1 case of 10**6), or, in the last step, ``fine_bits`` of 2048 (204.8 expected; more than 273 in about 1 of
-    10**6). Every link is confirmed on the full sets. The bit bounds fit 80 percent and have to rise for a lower one.
+class _Search:
+    """The state of one search: the nodes (distinct sets) that share a bucket, their components, and what has been tried."""
 
-    Returns a row per input row: doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id =
-    component_id). Null or blank texts have no shingles and stand alone; a text of fewer words is one shingle. Rows
-    that share a doc_id are one node of the graph; a row with a null doc_id is alone, its component null and kept true.
-    An empty table gives no rows.
-    """
-    texts = doc_text(docs)
-    bits, fine = _bits("bits", SIZE), _bits("fine", FINE)
-    longs = lambda names: ", ".join(f"{c} long" for c in names)
-    schema = longs(["doc_id", "n", "high", "low", *bits]) + ", bands array<long>"
-    sketched = written(texts.mapInArrow(_sketcher(shingle, bands, rows), schema), "sketches")
-    sets = sketched.filter("n > 0 and doc_id is not null")
-    distinct = sets.groupBy("n", "high", "low").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("r"))
-    nodes = written(distinct.select("n", "high", "low", "r.*"), "sets")
-    places = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    members = written(places.join(shared, "key").join(nodes.select("doc_id", "n", *bits), "doc_id"), "members")
-    candidates = written(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    def __init__(self, members: DataFrame, texts: DataFrame, shingle: int, percent: int, coarse_bits: int, fine_bits: int):
+        self.members, self.texts, self.verify = members, texts, lambda pairs: _verified(pairs, texts, shingle, percent)
+        self.spark = members.sparkSession
+        self.component = self.spark.createDataFrame([], "id long, component long")
+        self.tried = self.spark.createDataFrame([], "a long, b long, linked boolean")
+        self.shingle, self.percent, self.coarse_bits, self.fine_bits = shingle, percent, coarse_bits, fine_bits
 
-    def differing(names: list[str]):
-        return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names), F.lit(0))
+    def close(self, x: str, y: str) -> Column:
+        """Whether sizes and coarse sketches, in columns that begin with ``x`` and ``y``, allow a link."""
+        sizes = F.lit(100) * F.least(f"{x}n", f"{y}n") >= F.lit(self.percent) * F.greatest(f"{x}n", f"{y}n")
+        return sizes & (_apart(x, y, _BITS) <= self.coarse_bits)
 
-    sizes = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    def placed(self) -> DataFrame:
+        return self.members.join(self.component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def undecided(component: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components, with their components."""
-        placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-        return placed.join(mixed, "key", "left_semi")
+    def buckets(self, placed: DataFrame, round_: int) -> DataFrame:
+        """Of each bucket with several components the one with most members (``top``) and a member of it, the centre."""
+        by, kept = F.col("by"), ["node", "n", *_BITS]
+        ranked = placed.withColumn("by", F.xxhash64("node", F.lit(round_)))
+        per = ranked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min("by").alias("by"), *(F.min_by(c, by).alias(f"y_{c}") for c in kept))
+        order = F.col("size") * F.lit(1 << 20) + F.pmod("by", F.lit(1 << 20))
+        most = lambda c, name: F.max_by(c, order).alias(name)
+        found = per.groupBy("key").agg(F.count(F.lit(1)).alias("several"), most("component", "top"), *(most(f"y_{c}", f"y_{c}") for c in kept))
+        return found.filter("several > 1").drop("several")
 
-    def untried(pairs: DataFrame) -> DataFrame:
-        seen = tried.select("a", "b").union(tried.select("b", "a"))
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        seen = self.tried.select("a", "b").union(self.tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         return pairs.join(seen, ["a", "b"], "left_anti")
 
-    rep = nodes.select("n", "high", "low", F.col("doc_id").alias("rep"))
-    named = written(sets.join(rep, ["n", "high", "low"]).select("doc_id", "rep").distinct(), "named")
-    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
-    same_id = named.join(several, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
-    component = written(connected_components(same_id), "components")
-    tried = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-
-    def take(verdicts: DataFrame) -> None:
-        """Add verdicts to what has been tried, and join the components that their links connect. Only links between
-        different components are looked at, as links of those components."""
-        nonlocal tried, component
-        tried = tried.unionByName(verdicts)
-        side = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        new = verdicts.filter("linked").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        new = written(new.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    def take(self, pairs: DataFrame) -> None:
+        """Try pairs, and join the components that links connect. Only links between different components are looked at,
+        as links of those components."""
+        verdicts = written(self.verify(pairs), "tried")
+        self.tried = self.tried.unionByName(verdicts)
+        new = self.between(verdicts.filter("linked")).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        new = written(new, "edges")
         if not new.isEmpty():
             moved = connected_components(new).toDF("was", "now")
-            kept = component.join(moved, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
-            later = written(kept.union(moved.join(component, F.col("was") == F.col("id"), "left_anti")), "components")
-            drop_written(component)
-            component = later
+            stayed = self.component.join(moved, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+            later = written(stayed.union(moved.join(self.component, F.col("was") == F.col("id"), "left_anti")), "components")
+            drop_written(self.component)
+            self.component = later
         drop_written(new)
-        tidy(docs.sparkSession)
-
-    for round_ in range(STAR_ROUNDS):
-        open_ = written(undecided(component).select("key", "doc_id", "component", "n", *bits), "open")
-        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(round_)).alias("h"), "doc_id", "component", "n", *bits)).alias("y")).select("key", "y.*")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differing(bits) <= coarse_bits)
-        stars = open_.alias("x").join(centre.alias("y"), on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), differing(bits).alias("far"))
-        stars = stars.groupBy("a", "b").agg(F.min("far").alias("far"))  # a member meets one centre in many bands
-        best = untried(stars).groupBy("a").agg(F.min(F.struct("far", "b")).alias("s")).select("a", "s.b")
-        take(written(_verified(best, candidates, shingle, percent), "tried"))
-        drop_written(open_)
-    open_ = undecided(component)
-    finer = candidates.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine_sketcher(shingle), longs(["doc_id", *fine]))
-    finer = written(finer.join(nodes.select("doc_id", "bands"), "doc_id"), "fine")
-    round_ = 0
-    while True:
-        open_ = written(undecided(component).select("key", "band", "doc_id", "component", "n", *bits).join(finer, "doc_id"), "open")
-        earlier = F.exists(F.arrays_zip(F.slice("x.bands", 1, F.col("x.band")).alias("x"), F.slice("y.bands", 1, F.col("x.band")).alias("y")), lambda z: z["x"] == z["y"])
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differing(bits) <= coarse_bits) & (differing(fine) <= fine_bits) & ~earlier
-        pairs = open_.alias("x").join(open_.alias("y"), on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-        pairs = untried(pairs.distinct())
-        if round_ < len(PAIR_ROUNDS):
-            order = W.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"))
-            pairs = pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PAIR_ROUNDS[round_])
-        pairs = written(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            break
-        take(written(_verified(pairs, candidates, shingle, percent), "tried"))
+        tidy(self.spark)
+
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose nodes are in different components now, with these as ca and cb."""
+        side = lambda c: self.component.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
+
+    def star(self, round_: int) -> None:
+        """Try each member that is not in its bucket's largest component against that one's centre; of its buckets'
+        centres only the likeliest, so a node has one row here however many buckets and copies it has."""
+        placed = self.placed()
+        met = placed.join(self.buckets(placed, round_), "key").filter((F.col("component") != F.col("top")) & self.close("", "y_"))
+        best = met.groupBy("node").agg(F.min_by("y_node", _apart("", "y_", _BITS)).alias("b")).select(F.col("node").alias("a"), "b")
+        self.take(self.untried(best))
+
+    def rest(self) -> None:
+        """Try all pairs of different components that share a bucket and whose sizes and both sketches allow a link.
+
+        In each bucket the members outside its largest component meet all others; the largest one's members do not meet
+        each other. A bucket is further divided by set size, in steps of the least ratio that a link allows, so that each
+        meets three steps at most. Of each two components the likeliest pair is tried first, then all that are left.
+        """
+        placed = self.placed()
+        step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / self.percent))).cast("int")
+        columns = ["key", "band", "node", "n", "component", "bands", "outside", *_BITS, *_FINE]
+        open_ = written(placed.join(self.buckets(placed, STAR_ROUNDS).select("key", "top"), "key"), "open")
+        fine = self.texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_fine_sketcher(self.shingle), ", ".join(f"{c} long" for c in ["node", *_FINE]))
+        open_ = written(open_.join(fine, "node").withColumn("outside", F.col("component") != F.col("top")).select(*columns, step.alias("step")), "open")
+        x = open_.filter("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+        x = x.select("key", "step", *(F.col(c).alias(f"x_{c}") for c in columns[1:]))
+        y = open_.select("key", "step", *(F.col(c).alias(f"y_{c}") for c in columns[1:]))
+        far = _apart("x_", "y_", _FINE)
+        near = self.close("x_", "y_") & (far <= self.fine_bits)
+        earlier = F.exists(F.arrays_zip(F.slice("x_bands", 1, F.col("x_band")).alias("x"), F.slice("y_bands", 1, F.col("x_band")).alias("y")), lambda z: z["x"] == z["y"])
+        once = ~F.col("y_outside") | (F.col("x_node") < F.col("y_node"))
+        pairs = x.join(y, ["key", "step"]).filter((F.col("x_component") != F.col("y_component")) & once & near & ~earlier)
+        pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), far.alias("far")).distinct()
+        pairs = written(self.untried(pairs), "pairs")
+        two = (F.least("ca", "cb"), F.greatest("ca", "cb"))
+        likeliest = self.between(pairs).groupBy(*(c.alias(x) for c, x in zip(two, ("c", "d")))).agg(F.min(F.struct("far", "a", "b")).alias("p"))
+        self.take(likeliest.select("p.a", "p.b"))
+        self.take(self.untried(self.between(pairs).select("a", "b")))
         drop_written(open_)
         drop_written(pairs)
-        round_ += 1
-    named = named.join(component.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, with all their columns: of each component the one of the least
-    doc_id, of rows that share it the first by text. Rows with a null doc_id all stay."""
-    keep = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept_id"))
-    first = named.withColumn("_rank", F.row_number().over(W.partitionBy("_kept_id").orderBy("text"))).filter("_rank = 1")
-    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, coarse_bits: int, fine_bits: int) -> DataFrame:
+    """A row per input row: id, hash (of the text), n, node and group (of its set; null: no words or no id), component_id."""
+    texts = whole_rows(docs).select("id", "hash", F.col("row").getField("text").cast("string").alias("text"))
+    schema = ", ".join(f"{c} long" for c in ["id", "hash", "n", "high", "low", *_BITS]) + ", bands array<long>"
+    sketched = written(texts.select("id", "hash", "text").mapInArrow(_sketcher(shingle, bands, rows), schema), "sketches")
+    sets = sketched.filter("n > 0 and id is not null").groupBy("n", "high", "low").agg(F.min(F.struct("id", "hash", *_BITS, "bands")).alias("r"))
+    nodes = written(sets.select("n", "high", "low", "r.*").withColumn("node", F.monotonically_increasing_id()), "sets")
+    places = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    members = written(places.join(shared, "key").join(nodes.select("node", "n", *_BITS, "bands"), "node"), "members")
+    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id", "hash", "node")
+    candidates = written(texts.join(chosen, ["id", "hash"]).select("node", "text"), "texts")
+    search = _Search(members, candidates, shingle, percent, coarse_bits, fine_bits)
+    for round_ in range(STAR_ROUNDS):
+        search.star(round_)
+    search.rest()
+    linked = nodes.select("node", "id").join(search.component.withColumnRenamed("id", "node"), "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    groups = linked.join(least, "component").select("node", F.col("component").alias("group"), "least")
+    known = nodes.select("n", "high", "low", "node", "id").join(groups, "node", "left")
+    known = known.select("n", "high", "low", "node", F.coalesce("group", "node").alias("group"), F.coalesce("least", "id").alias("least"))
+    rows_ = sketched.select("id", "hash", "n", "high", "low").withColumn("n", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(-F.col("n")))
+    out = rows_.join(known, ["n", "high", "low"], "left")
+    return out.select("id", "hash", F.abs("n").alias("n"), "node", "group", F.coalesce("least", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, coarse_bits: int = 51, fine_bits: int = 273) -> DataFrame:
+    """Link documents (doc_id, text) whose sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``
+    or more, and give each its component.
+
+    Equal sets (by size and 128 bits over all shingles) are collapsed first, so copies cost one row each. Sketches of the
+    distinct sets go into ``bands`` bands of ``rows`` coordinates: at a similarity of 0.8 a pair shares none in 5 cases of
+    10**8. Inside a band's bucket not all pairs are listed. In star rounds each member outside a bucket's largest
+    component is tried against a centre of that one. Then all pairs of different components that still share a bucket are
+    tried. A pair is passed over without reading its texts only if its set sizes exclude a link or its one-bit sketches
+    differ too much: in more than ``coarse_bits`` of 256 (25.6 are expected at 0.8; more than 51 in about 1 case of
+    10**6) or, in the last step, ``fine_bits`` of 2048 (204.8 expected; more than 273 in about 1 of 10**6). With
+    ``coarse_bits=256, fine_bits=2048`` no pair is passed over for its bits; a lower ``percent`` needs higher bounds. Every
+    link is confirmed on the full sets.
+
+    Returns a row per input row: doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id =
+    component_id). Null or blank texts have no shingles and stand alone; a text of fewer words is one shingle. Rows
+    that share a doc_id are linked by their texts alone, as other rows are. A row with a null doc_id is alone, its
+    component null and kept true. An empty table gives no rows.
+    """
+    out = _components(docs, shingle, percent, bands, rows, coarse_bits, fine_bits)
+    same = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", same.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, coarse_bits: int = 51, fine_bits: int = 273) -> DataFrame:
+    """The documents, with all their columns, without the near-duplicates that :func:`near_duplicates` finds: of each
+    component one row of the least doc_id stays. Rows without words stay, but for repeats of both id and text; rows with a
+    null doc_id all stay; an empty table gives no rows."""
+    found = _components(docs, shingle, percent, bands, rows, coarse_bits, fine_bits).filter("id is not null")
+    first = found.groupBy(F.coalesce("group", F.lit(-1)).alias("group"), F.when(F.col("group").isNull(), F.col("id")).alias("alone"), F.when(F.col("group").isNull(), F.col("hash")).alias("text"))
+    keep = first.agg(F.min(F.struct("id", "hash")).alias("k")).select("k.*")
+    times = found.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("times"))
+    keep = written(keep.join(times, ["id", "hash"]), "kept")
+    every = whole_rows(docs)
+    stays = every.join(keep, ["id", "hash"])
+    out = opened(stays.filter("times = 1"), docs.columns).union(opened(every.filter("id is null"), docs.columns))
+    if not keep.filter("times > 1").isEmpty():  # rows that are repeated in id and text: any one of them
+        out = out.union(opened(stays.filter("times > 1").groupBy("id", "hash").agg(F.first("row").alias("row")), docs.columns))
+    return out
