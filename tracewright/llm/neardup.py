@@ -258,12 +258,12 @@ class _Search:
         earlier = F.exists(F.arrays_zip(F.slice("x_bands", 1, F.col("x_band")).alias("x"), F.slice("y_bands", 1, F.col("x_band")).alias("y")), lambda z: z["x"] == z["y"])
         once = ~F.col("y_outside") | (F.col("x_node") < F.col("y_node"))
         pairs = x.join(y, ["key", "step"]).filter((F.col("x_component") != F.col("y_component")) & once & near & ~earlier)
-        pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), far.alias("far")).distinct()
-        pairs = written(self.untried(pairs), "pairs")
-        two = (F.least("ca", "cb"), F.greatest("ca", "cb"))
-        likeliest = self.between(pairs).groupBy(*(c.alias(x) for c, x in zip(two, ("c", "d")))).agg(F.min(F.struct("far", "a", "b")).alias("p"))
-        self.take(likeliest.select("p.a", "p.b"))
-        self.take(self.untried(self.between(pairs).select("a", "b")))
+        components = F.least("x_component", "y_component").alias("ca"), F.greatest("x_component", "y_component").alias("cb")
+        pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), *components, far.alias("far"))
+        pairs = written(pairs.distinct(), "pairs")
+        likeliest = pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("p"))
+        self.take(self.untried(likeliest.select("p.a", "p.b")))
+        self.take(self.untried(self.between(pairs.select("a", "b")).select("a", "b")))
         drop_written(open_)
         drop_written(pairs)
 
