@@ -377,6 +377,12 @@ def test_line_dedup_awkward(spark, odd, none):
     clean = "a line that is long enough to count\nand another line that is long enough"
     docs = frame(spark, [(1, clean, 1), (2, f"kept\n{clean}", 1), (3, clean, 1)], "doc_id long, text string, n_chars long")
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in linedup.without_repeats(docs).collect()} == {1: (clean, 1), 2: ("kept", 4)}
+    line = "a line that is long enough to count"
+    rows = [(1, line, 5), (7, f"intro\n{line}", 5), (7, "another\nUNIQUE words of this one", 5), (None, f"null id\n{line}", 5), (None, "also a null id\nand other words", 5)]
+    clash = frame(spark, rows, "doc_id long, text string, line_numbers int").withColumns({c: F.lit(3) for c in ("_found_id", "found_id", "hash", "row", "id")})
+    kept = linedup.without_repeats(clash)
+    assert kept.columns == clash.columns and kept.filter("line_numbers <> 5 or hash <> 3").count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "also a null id\nand other words"), (0, f"null id\n{line}"), (7, "another\nUNIQUE words of this one"), (7, "intro")]
 
 
 def test_quality(spark, texts, odd, none):

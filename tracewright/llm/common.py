@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,9 +95,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 <
 def lean(run: Callable) -> Callable:
     """An Arrow function whose Python worker gives back its memory when the task ends, for the stages that follow in it."""
 
-    def whole(*args):
+    @functools.wraps(run)
+    def whole(batches):
         try:
-            yield from run(*args)
+            yield from run(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()

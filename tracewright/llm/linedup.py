@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import doc_text, tidy, written
+from tracewright.llm.common import tidy, whole_rows, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Letters whose counts, modulo 256, a line's signature holds: an edit changes at most two of them, by one.
 SIGNATURE = "eantiosr"
+#: Characters at a line's beginning that segments divide at most. Edits there are edits of the line, so no pair is lost.
+SEGMENTED = 240
 
 
-def _bound(n: Column, low: int, high: int | None, threshold: int) -> Column:
-    """The lower bound of the length class of ``n`` characters: classes from ``low`` grow by a fifth each, and each has
-    more than ``threshold`` lengths."""
-    at, out = low, F.lit(low)
-    while (at := at + max(at // 5, threshold + 1)) + threshold < (high or LONGEST_CLASS):
-        out = F.when(n >= at, at).otherwise(out)
-    return out
-
-
-LONGEST_CLASS = 100_000  # longer lines share one class: their segments lie in their first characters
+def _bound(n: Column, low: int) -> Column:
+    """The lower bound of the length class of ``n`` characters: classes from ``low`` on grow by a fifth each, to ``SEGMENTED``."""
+    step = F.floor(F.log(n / F.lit(float(low))) / F.lit(math.log(1.2)) + F.lit(1e-9))
+    return F.when(n >= SEGMENTED, SEGMENTED).otherwise(F.ceil(F.lit(float(low)) * F.pow(F.lit(1.2), step)).cast("int"))
 
 
 def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
@@ -34,16 +32,25 @@ def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     """
     parts = threshold + 1
     places = [(i, s) for i in range(parts) for s in range(max(-i, i - threshold), i + 1)]
-    n, shorter = F.col("n"), F.col("n") - threshold
-    mine = F.when(n < high, _bound(n, low, high, threshold)) if high else _bound(n, low, high, threshold)
-    other = F.when(shorter >= low, _bound(shorter, low, high, threshold))
-    lines = classes.filter((n >= low) & (n < high + threshold if high else F.lit(True))).select("h", F.col("r.line").alias("line"), mine.alias("mine"), other.alias("other"))
-    bounds = lines.select("h", "line", "mine", F.explode(F.array_distinct(F.array_compact(F.array("mine", "other")))).alias("bound"))
-    each = bounds.select("h", "line", "bound", (F.col("bound") == F.coalesce("mine", F.lit(-1))).alias("same"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in places))).alias("p"))
-    i, size, longer = F.col("p.i"), F.floor(F.col("bound") / F.lit(parts)).cast("int"), (F.col("bound") % F.lit(parts)).cast("int")
-    start = F.lit(1) + i * size + F.greatest(F.lit(0), i - parts + longer) + F.col("p.s")
-    segment = F.substring("line", start, size + F.when(i >= F.lit(parts) - longer, 1).otherwise(0))
-    return each.select("h", F.xxhash64(segment, i, "bound").alias("key"), (F.col("same") & (F.col("p.s") == 0)).alias("own"))
+    n = F.col("n")
+    lines = classes.filter((n >= low) & (n < high + threshold if high else F.lit(True))).select("h", "n", F.col("r.line").alias("line"))
+
+    def keys(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn("line", F.substring("line", F.lit(1), F.col("bound") + threshold))
+        sized = cut.withColumn("size", F.floor(F.col("bound") / parts).cast("int")).withColumn("short", F.lit(parts) - F.col("bound") % parts)
+
+        def key(i: int, s: int) -> Column:
+            start = F.lit(1 + s) + F.lit(i) * F.col("size") + F.greatest(F.lit(0), F.lit(i) - F.col("short"))
+            return F.xxhash64(F.substring("line", start, F.col("size") + F.when(F.lit(i) >= F.col("short"), 1).otherwise(0)), F.lit(i), "bound")
+
+        return sized.select("h", "mine", F.posexplode(F.array(*(key(i, s) for i, s in places))).alias("place", "key"))
+
+    own = keys((lines.filter(n < high) if high else lines).withColumn("bound", _bound(n, low)).withColumn("mine", F.lit(True)))
+    shorter = lines.filter(n - threshold >= low).withColumn("bound", _bound(n - threshold, low)).withColumn("mine", F.lit(False))
+    differs = F.col("bound") != _bound(n, low)
+    both = own.union(keys(shorter.filter(differs | (n >= high) if high else differs)))
+    first = [k for k, (_, s) in enumerate(places) if s == 0]
+    return both.select("h", "key", (F.col("mine") & F.col("place").isin(first)).alias("own"))
 
 
 def _signature(line: Column, length: Column) -> Column:
@@ -97,38 +104,39 @@ def within_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.get(F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), reached), F.lit(0))
 
 
+def trimmed(line: Column) -> Column:
+    """``line`` without blanks at both ends; only lines that have some are trimmed, which is slow."""
+    blank = F.lit(False)
+    for c in _BLANKS:
+        blank = blank | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.when(blank, F.btrim(line, F.lit(_BLANKS))).otherwise(line)
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, h, check, line): the lines of ``min_chars`` or more characters, blanks at both ends left out,
-    with two hashes."""
-    split = doc_text(docs).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    trimmed = split.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter(F.length("line") >= min_chars)
-    return trimmed.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("check"), "line")
+    """(doc_id, text_hash, line_no, h, check, line): the lines of ``min_chars`` or more characters, blanks at both ends
+    left out, with two hashes. Id and text hash together name the document."""
+    texts = whole_rows(docs).select("id", "hash", F.coalesce(F.col("row").getField("text").cast("string"), F.lit("")).alias("text"))
+    split = texts.select(F.col("id").alias("doc_id"), F.col("hash").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = split.withColumn("line", trimmed(F.col("line"))).filter(F.length("line") >= min_chars)
+    return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("check"), "line")
 
 
 BROADCAST_LINES = 500_000  # hashes of lines that share a segment; beyond that they are joined by a shuffle
 
 #: Edits that a line may be off, by the shorter line's characters: a word in a longer line may change altogether.
-BY_LENGTH = ((24, 1), (48, 2), (96, 4), (192, 8))
+BY_LENGTH = ((24, 1), (48, 2), (96, 4))
 
 
 def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
     """(ra, rb, a, b): the first copies of lines within ``threshold`` edits whose shorter one has ``low`` to ``high`` - 1 characters."""
-    spark, found = classes.sparkSession, []
-    passes = max(1, threshold // 4)  # parts of the keys, one after the other, so that fewer are on disk at once
-    for k in range(passes):
-        keyed = _keyed(classes, low, high, threshold)
-        keyed = keyed.filter(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed
-        at = Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
-        shared = keyed.select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high")).filter("any and low <> high")
-        found.append(written(shared.select("h", "key", "own"), "met"))
-        tidy(spark)
-    met = found[0]
-    for more in found[1:]:
-        met = met.union(more)
+    at = Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
+    shared = _keyed(classes, low, high, threshold).select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high"))
+    met = written(shared.filter("any and low <> high").select("h", "key", "own"), "met")
+    tidy(classes.sparkSession)
     ids = met.select("h").distinct()
     ids = F.broadcast(ids) if met.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
     chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), F.col("n"))), "chosen")
-    tidy(spark)
+    tidy(classes.sparkSession)
     met = met.join(chosen.select("h", "sig", "n"), "h")
     # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter: its length's step is the longer one's or the one before
     step = F.floor(F.col("n") / F.lit(threshold + 1))
@@ -138,14 +146,12 @@ def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     pairs = short.join(long, ["key", "step"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
     texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    if threshold <= 2:
-        return texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
-    return texts.filter(F.levenshtein("ra.line", "rb.line", threshold) >= 0)  # Spark's banded one; the masks above are for few edits
+    return texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
 
 
 def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], ...] = 1, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
-    """(doc_id, line_no, near): the lines that repeat an earlier one, in the order of (doc_id, line_no), exactly
-    (``near`` false) or within ``threshold`` edits (``near`` true: the line's first copy does).
+    """(doc_id, text_hash, line_no, near): the lines that repeat an earlier one, in the order of doc_id, the text's hash
+    and line_no, exactly (``near`` false) or within ``threshold`` edits (``near`` true: the line's first copy does).
 
     ``threshold`` is a number, or the numbers by the shorter line's length: ((characters from, edits), ...), rising; then
     ``min_chars`` is the first of these lengths. Shorter lines, of ``exact_chars`` or more characters (none if that is
@@ -154,46 +160,54 @@ def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], .
     Equal lines are collapsed first. Lines at most ``threshold`` edits apart share one of the shorter one's
     ``threshold`` + 1 segments at nearly the same place, so each distinct line is found through hashes of its segments
     and of the matching substrings of others, filtered by letter counts, and verified character by character.
+
+    Null texts have no lines, rows with a null doc_id come first, rows equal in id and text are one document, and an empty
+    table gives no rows.
     """
     steps = ((min_chars, threshold),) if isinstance(threshold, int) else tuple(threshold)
     lines = lines_of(docs, steps[0][0] if exact_chars is None else min(exact_chars, steps[0][0]))
-    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "check", "line")).alias("r"))
+    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no", "check", "line")).alias("r"))
     classes = written(classes.withColumn("n", F.length("r.line")), "lines")
     tidy(docs.sparkSession)
     links = None
     for k, (low, edits) in enumerate(steps):
         found = _links(classes, low, steps[k + 1][0] if k + 1 < len(steps) else None, edits).select("a", "b", "ra", "rb")
         links = found if links is None else links.union(found)
-    order = lambda r: F.struct(f"{r}.doc_id", f"{r}.line_no")
+    order = lambda r: F.struct(f"{r}.doc_id", f"{r}.text_hash", f"{r}.line_no")
     later = links.select(F.when(order("ra") > order("rb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True))
-    heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check")).join(later, "h", "left")
-    placed = lines.select("doc_id", "line_no", "h", "check").join(heads, "h")
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.text_hash").alias("first_text"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check")).join(later, "h", "left")
+    placed = lines.select("doc_id", "text_hash", "line_no", "h", "check").join(heads, "h")
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
     same = F.col("check") == F.col("first_check")
-    return placed.filter(same & (~first | F.col("near"))).select("doc_id", "line_no", first.alias("near"))
+    return placed.filter(same & (~first | F.col("near"))).select("doc_id", "text_hash", "line_no", first.alias("near"))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """A row per document with repeated lines: doc_id, n_repeated, n_near, and their numbers (from 0), in order."""
+def _by_document(docs: DataFrame, **options) -> DataFrame:
     found = repeated_lines(docs, **options).distinct()
-    return found.groupBy("doc_id").agg(
+    return found.groupBy("doc_id", "text_hash").agg(
         F.count(F.lit(1)).alias("n_repeated"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list(F.col("line_no").cast("long"))).alias("line_numbers")
     )
 
 
+def report(docs: DataFrame, **options) -> DataFrame:
+    """A row per document with repeated lines: doc_id, n_repeated, n_near, and their numbers (from 0), in order. Where rows
+    share a doc_id but not their text, there is a row for each text; null texts and empty tables give none."""
+    return _by_document(docs, **options).drop("text_hash")
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, without their repeated lines; what is left keeps its order and line ends.
 
-    Lines of fewer than ``min_chars`` characters and blank ones stay. A null text stays null. Rows that share a doc_id
-    are seen as copies of one document: the same line numbers go from each. Where a document has an n_chars, it is
-    counted anew. A document of which only blanks remain is dropped, unless nothing was taken from it; an empty table
-    gives no rows.
+    Lines that are shorter than what is compared and blank ones stay. A null text stays null. Rows equal in doc_id (also
+    null) and text are one document: the same lines go from each. Where a document has an n_chars, it is counted anew. A
+    document of which only blanks remain is dropped, unless nothing was taken from it; an empty table gives no rows.
     """
-    found = report(docs, **options).select(F.col("doc_id").alias("_found_id"), "line_numbers")
-    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_found_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("line_numbers", i.cast("long")))
-    text = F.when(F.col("line_numbers").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    changed = both.withColumn("text", text).filter(F.col("line_numbers").isNull() | (F.btrim("text", F.lit(_BLANKS)) != ""))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("line_numbers").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*docs.columns)
+    found = _by_document(docs, **options).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "line_numbers")
+    rows = whole_rows(docs)
+    both = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("hash") == F.col("found_hash")), "left")
+    whole = F.col("row").getField("text").cast("string")
+    kept = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("line_numbers", i.cast("long")))
+    changed = both.withColumn("left_text", F.when(F.col("line_numbers").isNotNull(), F.array_join(kept, "\n")))
+    changed = changed.filter(F.col("left_text").isNull() | (F.btrim("left_text", F.lit(_BLANKS)) != ""))
+    new = {c: F.when(F.col("left_text").isNull(), F.col("row").getField(c)).otherwise(x) for c, x in (("text", F.col("left_text")), ("n_chars", F.length("left_text").cast("long")))}
+    return changed.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -13,12 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import doc_text
+from tracewright.llm.common import doc_text, lean, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_CACHE_WORDS = 150_000  # words whose ids a Python worker keeps; beyond that it starts afresh
+_CACHE_WORDS = 150_000  # words whose ids a task keeps; beyond that it starts afresh
 _LONG_WORD = 64  # characters; longer words are tokenised each time and not kept
-_SLICE_ROWS = 2_000  # documents tokenised at once
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,33 +55,29 @@ class _Words(dict):
         return coded
 
 
-_words: dict[str, _Words] = {}
-
-
-def token_bytes(texts: pa.Array, path: str, eos: int) -> list[bytes]:
+def token_bytes(texts: pa.Array, known: _Words, eos: int) -> list[bytes]:
     """The ids of each text (null: empty), then ``eos``, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, nor letters with a stop or comma behind them, and puts
     letters in lower case. So texts are split there with Arrow, each distinct word is looked up once, and the ids are
     gathered. Texts that may name a special token are tokenised as they are.
     """
-    known, end, out = _words.get(path) or _words.setdefault(path, _Words(path)), eos.to_bytes(4, "little"), []
-    for at in range(0, len(texts), _SLICE_ROWS):
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        raw = pc.fill_null(texts.slice(at, _SLICE_ROWS), "")
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([.,])(\s|$)", r"\1 \2\3"))
-        words = split.flatten().dictionary_encode()
-        which = words.indices.to_numpy()
-        coded = [known[w] if w else b"" for w in words.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        ids, starts = np.frombuffer(b"".join(coded), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.concatenate(([0], np.cumsum(sizes[which])))
-        gathered = ids[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
-        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        out += [gathered[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:])]
-        for i in pc.indices_nonzero(pc.match_substring(raw, "<|")).to_pylist():
-            out[at + i] = struct.pack(f"<{len(x)}I", *x) + end if (x := known.whole.encode(raw[i].as_py(), add_special_tokens=False).ids) else end
+    end = eos.to_bytes(4, "little")
+    if len(known) > _CACHE_WORDS:
+        known.clear()
+    raw = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([.,])(\s|$)", r"\1 \2\3"))
+    words = split.flatten().dictionary_encode()
+    which = words.indices.to_numpy()
+    coded = [known[w] if w else b"" for w in words.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    ids, starts = np.frombuffer(b"".join(coded), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.concatenate(([0], np.cumsum(sizes[which])))
+    gathered = ids[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+    bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    out = [gathered[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:])]
+    for i in pc.indices_nonzero(pc.match_substring(raw, "<|")).to_pylist():
+        out[i] = struct.pack(f"<{len(x)}I", *x) + end if (x := known.whole.encode(raw[i].as_py(), add_special_tokens=False).ids) else end
     return out
 
 
@@ -129,13 +124,15 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[list[tuple[i
     return [b for b in bins if b]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, eos_id: int = 1, group_docs: int = 512, seed: int = 42, carry_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, eos_id: int = 1, group_sequences: int = 256, seed: int = 42, carry_ids: bool = False) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
-    Each text is tokenised whole (null: empty) and closed by ``eos_id``. Documents are dealt by a seeded hash to
-    groups of about ``group_docs``, as many groups as the input needs, and each group is packed by itself. Documents
-    longer than a sequence are cut into full sequences and a rest; the rests and the short ones are packed, and a bin
-    that is left nearly empty is cut into the gaps of the others, so a group wastes less than one sequence.
+    Each text is tokenised whole (null: empty) and closed by ``eos_id``. Documents longer than a sequence are cut into
+    full sequences and a rest. Rests and short documents are dealt by a seeded hash of their document, full pieces by one
+    of their own, to groups of about ``group_sequences`` sequences (four bytes of text are taken for a token), and each
+    group is packed by itself: longest first, and a bin that is left nearly empty is cut into the gaps of the others, so a
+    group wastes less than one sequence. A group of more than eight times that size is packed in parts, one after the
+    other, so a task's memory is bounded however many rows fall into it.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
     ``carry_ids`` the piece's ids (little-endian 32-bit binary). An empty text is its ``eos_id`` alone; repeated rows
@@ -143,42 +140,60 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, eos_id:
     """
     spark = docs.sparkSession
     texts = doc_text(docs)
-    groups = max(1, -(-texts.count() // group_docs))
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
+    groups = max(1, -(-size // (4 * capacity * group_sequences)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // 8))  # so that what a task reads does not grow
     schema = PIECES + ", group long, piece_crc32 long, ids binary"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            coded = token_bytes(batch.column("text"), tokenizer_path, eos_id)
+        known = _Words(tokenizer_path)
+        for part in slices(batches):
             rows: list[list] = [[] for _ in range(8)]
-            for doc, data in zip(ids, coded):
+            for doc, data in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text"), known, eos_id)):
                 n, whole = len(data) // 4, zlib.crc32(data)
-                group = zlib.crc32(b"%d:%s:%d" % (seed, str(doc).encode(), whole)) % groups
                 for start in range(0, n, capacity):
-                    part = data[4 * start : 4 * min(n, start + capacity)]
-                    for column, value in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), n, group, whole, part)):
+                    piece = data[4 * start : 4 * min(n, start + capacity)]
+                    own = start if n - start >= capacity else -1
+                    group = zlib.crc32(b"%d:%s:%d:%d" % (seed, str(doc).encode(), whole, own)) % groups
+                    for column, value in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n, group, whole, piece)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:7]), pa.array(rows[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group", "piece_crc32", "ids"])
 
-    def fill(pieces: pa.Table) -> pa.Table:
+    def packed(pieces: pa.Table, first: int) -> tuple[pa.RecordBatch, int]:
         pieces = pieces.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("piece_crc32", "ascending")])
         doc, start, length, total, group, ids = (pieces.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "group", "ids"))
         rows: list[list] = [[] for _ in range(8)]
-        for k, bin_ in enumerate(first_fit_decreasing(length, capacity)):
+        bins = first_fit_decreasing(length, capacity)
+        for k, bin_ in enumerate(bins, first):
             offset = 0
             for i, a, size in bin_:
                 part = ids[i][4 * a : 4 * (a + size)]
                 for column, value in zip(rows, (doc[i], start[i] + a, size, zlib.crc32(part), total[i], (group[0] << 32) + k, offset, part if carry_ids else None)):
                     column.append(value)
                 offset += size
-        return pa.table([*(pa.array(c, pa.int64()) for c in rows[:7]), pa.array(rows[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:7]), pa.array(rows[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        return out, first + len(bins)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, first = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            tokens += pc.sum(batch.column("length")).as_py() or 0
+            if tokens >= 8 * capacity * group_sequences:
+                out, first = packed(pa.Table.from_batches(held), first)
+                held, tokens = [], 0
+                yield out
+        if held:
+            yield packed(pa.Table.from_batches(held), first)[0]
 
-    packed = texts.mapInArrow(tokenise, schema).groupBy("group").applyInArrow(fill, PIECES + ", sequence_id long, offset long, ids binary")
-    return packed if carry_ids else packed.drop("ids")
+    pieces = texts.mapInArrow(lean(tokenise), schema).repartition(tasks, "group")
+    out = pieces.groupBy("group").applyInArrow(lean(fill), PIECES + ", sequence_id long, offset long, ids binary")
+    return out if carry_ids else out.drop("ids")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """The sequences themselves, from ``pack(..., carry_ids=True)``: sequence_id, n_tokens, ids (binary, in offset order)."""
+    """The sequences themselves, from ``pack(..., carry_ids=True)``: sequence_id, n_tokens, ids (binary, in offset order).
+    Pieces whose ids are null add nothing to ids; an empty table gives no rows."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(F.transform(parts, lambda x: x["ids"]), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
     return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import crc_mod, doc_text
+from tracewright.llm.common import crc_mod, doc_text, lean, named, slices, written
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 
@@ -32,28 +31,61 @@ PREFIXES = range(4, 8)  # lengths of word beginnings that can be arcs of the lex
 FEATURES = ("strongest", "total", "clauses", "targeted", "negated", "reported", "threats")
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """The composition of the five transducers: next state and output (a set of marks) by state and class.
+Machine = Callable[[int, int, int], tuple[int, int]]  # (state, class, marks read) to (state, marks written)
 
-    A state is (tokens since a negation, report seen, target seen, insult seen, threat seen). Marks: 1 insult,
-    2 negated, 4 reported, 8 targeted, 16 threat against a target.
-    """
-    states = [(n, r, t, i, h) for n in range(4) for r in range(2) for t in range(2) for i in range(2) for h in range(2)]
-    number = {s: k for k, s in enumerate(states)}
-    after, marks = np.zeros((len(states), 7), np.int64), np.zeros((len(states), 7), np.int64)
-    for (n, r, t, i, h), k in number.items():
-        left = max(0, n - 1)
-        after[k] = number[left, r, t, i, h]
-        after[k, NEGATION] = number[3, r, t, i, h]
-        after[k, REPORT] = number[left, 1, t, i, h]
-        after[k, TARGET], marks[k, TARGET] = number[left, r, 1, i, h], 8 * i + 16 * h
-        after[k, INSULT], marks[k, INSULT] = number[left, r, t, 1, h], 1 | (2 if n else 0) | 4 * r | 8 * t
-        after[k, THREAT], marks[k, THREAT] = number[left, r, t, i, 1], 16 * t
-        after[k, END] = number[0, 0, 0, 0, 0]
+#: What a token can be marked as: an insult, negated, reported, aimed at a target, a threat against a target.
+PLAIN, NEGATED, REPORTED, TARGETED, MENACE = 1, 2, 4, 8, 16
+
+
+def _insult(state: int, kind: int, marks: int) -> tuple[int, int]:
+    """Marks insults, and a target that follows one in its clause."""
+    return (1, marks | PLAIN) if kind == INSULT else (0, marks) if kind == END else (state, marks | (TARGETED if state and kind == TARGET else 0))
+
+
+def _negation(state: int, kind: int, marks: int) -> tuple[int, int]:
+    """Marks insults within three tokens after a negation; the state is how many are left."""
+    left = 3 if kind == NEGATION else 0 if kind == END else max(0, state - 1)
+    return left, marks | (NEGATED if state and marks & PLAIN else 0)
+
+
+def _report(state: int, kind: int, marks: int) -> tuple[int, int]:
+    """Marks insults after a verb of speech in the clause."""
+    return (0 if kind == END else 1 if kind == REPORT else state), marks | (REPORTED if state and marks & PLAIN else 0)
+
+
+def _target(state: int, kind: int, marks: int) -> tuple[int, int]:
+    """Marks insults and threats after a target in the clause."""
+    here = (TARGETED if marks & PLAIN else MENACE if kind == THREAT else 0) if state else 0
+    return (0 if kind == END else 1 if kind == TARGET else state), marks | here
+
+
+def _threat(state: int, kind: int, marks: int) -> tuple[int, int]:
+    """Marks a target that follows a threat in its clause."""
+    return (0 if kind == END else 1 if kind == THREAT else state), marks | (MENACE if state and kind == TARGET else 0)
+
+
+def compose(machines: tuple[Machine, ...]) -> tuple[list[list[int]], list[list[int]]]:
+    """The composition of transducers, each reading what the one before writes: next state and marks by state and class,
+    for the states that can be reached from the start, which is 0."""
+    number, todo, after, marks = {(0,) * len(machines): 0}, [(0,) * len(machines)], [], []
+    while len(after) < len(todo):
+        states, row, out = todo[len(after)], [], []
+        for kind in range(7):
+            written_, next_ = 0, []
+            for machine, state in zip(machines, states):
+                state, written_ = machine(state, kind, written_)
+                next_.append(state)
+            if tuple(next_) not in number:
+                number[tuple(next_)] = len(todo)
+                todo.append(tuple(next_))
+            row.append(number[tuple(next_)])
+            out.append(written_)
+        after.append(row)
+        marks.append(out)
     return after, marks
 
 
-_AFTER, _MARKS = (t.tolist() for t in _tables())
+_AFTER, _MARKS = compose((_insult, _negation, _report, _target, _threat))
 
 
 @dataclass
@@ -114,15 +146,15 @@ def _features(kinds: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> list[
             state = _AFTER[state][kind]
             if not mark:
                 continue
-            if mark & 2:
+            if mark & NEGATED:
                 negated += weight
-            elif mark & 4:
+            elif mark & REPORTED:
                 reported += weight
-            elif mark & 1:
+            elif mark & PLAIN:
                 plain += weight
                 strongest = max(strongest, weight)
-            targeted += (mark & 8) / 8
-            threats += (mark & 16) / 16
+            targeted += bool(mark & TARGETED)
+            threats += bool(mark & MENACE)
         total += plain
         clauses += plain > 0
     return [strongest, *np.log1p([total, clauses, targeted, negated, reported, threats]).tolist()]
@@ -162,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
     the sample: gains, weights and bias are those of all labels' rate whatever their number.
     """
     known = _known(labels, held_out)
-    sample = _labelled(doc_text(docs), known, max_labelled)
+    sample = written(_labelled(doc_text(docs), known, max_labelled), "labelled")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     model = Model()
@@ -183,14 +215,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
             clean.clear()
             return out
 
-        for batch in batches:
-            for kind, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+        for part in slices(batches):
+            for kind, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
                 (toxic if kind else clean).update(_keys(text or ""))
                 if len(toxic) + len(clean) > 40_000:  # what a task holds stays small; Spark adds the parts up
                     yield counted()
         yield counted()
 
-    counts = sample.mapInArrow(count, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.mapInArrow(lean(count), "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     seen_bad, seen_good = F.col("bad") * w_bad, F.col("good") * w_good
     part, rate = seen_bad + seen_good, bad * w_bad / (bad * w_bad + good * w_good)
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -201,11 +233,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, hel
 
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
-            found = _scan(model, batch.column("text"), known)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], ["toxic", *FEATURES])
+        for part in slices(batches):
+            found = _scan(model, part.column("text"), known)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], ["toxic", *FEATURES])
 
-    rows = sample.mapInArrow(examine, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    rows = sample.mapInArrow(lean(examine), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     toxic = rows["toxic"].to_numpy(float)
     model.weights, model.bias = _logistic(rows[list(FEATURES)].to_numpy(), toxic, np.where(toxic == 1, w_bad, w_good))
     return model
@@ -224,28 +256,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.
     return tuple(w[:-1].tolist()), float(w[-1])
 
 
+def _probabilities(model: Model, texts: pa.Array, known: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_scan(model, texts, known) @ np.array(model.weights) + model.bias, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, score): the probability that each whole text is toxic. Null and empty texts match no clause and
     get the bias's probability; repeated rows are scored one by one; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                found = _scan(model, part.column("text"), known) @ np.array(model.weights) + model.bias
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(1 / (1 + np.exp(-np.clip(found, -30, 30))))], ["doc_id", "text", "score"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(_probabilities(model, part.column("text"), known))], ["doc_id", "text", "score"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, text string, score double")
+    return doc_text(docs).mapInArrow(lean(run), "doc_id long, text string, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score is below ``threshold``, with all their columns. Null texts stay if empty ones do."""
-    known: dict = {}
+    """The documents whose score is below ``threshold``, with all their columns. Null texts are scored as empty ones;
+    repeated rows are judged one by one; an empty table gives no rows."""
 
-    @F.pandas_udf("double")
-    def score_of(texts: pd.Series) -> pd.Series:
-        found = _scan(model, pa.array(texts, pa.string(), from_pandas=True), known) @ np.array(model.weights) + model.bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(found, -30, 30))))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict = {}
+        for texts in batches:
+            parts = slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))
+            yield pa.array(np.concatenate([_probabilities(model, part.column("text"), known) for part in parts] or [np.zeros(0)]))
 
-    return docs.filter(score_of(F.col("text")) < threshold)
+    score_of = F.arrow_udf(lean(scored), "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.filter(score_of(named("text").cast("string")) < threshold)
