@@ -128,6 +128,46 @@ def test_html_regions(spark):
     assert got[10] == "first of them\n\nsecond, a longer one" and got[11] == ("a long text " * 9).strip()
 
 
+def test_html_template_decides():
+    """With the template emptied the texts are others: constant text stays, and a constant article is taken for the text."""
+    body = lambda k: f"<body><div>{f'varying words of page {k} ' * 3}</div><article><p>{'The same words of the house ' * 9}</p></article></body>"
+    trees = [html_extract.parse(body(k)) for k in range(6)]
+    found = html_extract.induce(trees, {})
+    assert [html_extract.article_text(t, x) for t, x in zip(trees, found)] == [(f"varying words of page {k} " * 3).strip() for k in range(6)]
+    assert all("same words" in html_extract.article_text(t, set()) for t in trees)
+
+
+def test_tree_matching_is_best():
+    """The pairs are as many as the best that brute force finds, on random small trees and on a deep one."""
+    import random
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        node = html_extract.Node(rng.choice("abc"))
+        node.children = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return node
+
+    def best(x, y):
+        if x.tag != y.tag:
+            return 0
+        rows = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+        for i, c in enumerate(x.children, 1):
+            for j, d in enumerate(y.children, 1):
+                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + best(c, d))
+        return 1 + rows[-1][-1]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        a.tag = b.tag = "r"
+        shapes = {}
+        html_extract.annotate(a, shapes)
+        html_extract.annotate(b, shapes)
+        assert len(html_extract.align(a, b, {})) == best(a, b)
+    deep = [html_extract.parse("<div>" * 3000 + x) for x in ("one", "<b>two</b>")]
+    assert len(html_extract.induce(deep * 3, {})) == 6
+
+
 def test_tree_matching_keeps_order():
     a, b = html_extract.parse("<ul><li>1<li>2<li>3</ul>"), html_extract.parse("<ul><li>1<b>x</b><li>3</ul>")
     shapes = {}

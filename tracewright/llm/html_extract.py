@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import written
+from tracewright.llm.common import lean, named, slices, written
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,10 +40,10 @@ MAIN_WORDS = frozenset("article content main post entry story body text".split()
 
 
 class Node:
-    __slots__ = ("children", "drop", "index", "main", "shape", "size", "tag", "text")
+    __slots__ = ("children", "drop", "index", "main", "parent", "shape", "size", "tag", "text")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children, self.text = tag, [], ""
+    def __init__(self, tag: str, attrs: str = "", parent: "Node | None" = None):
+        self.tag, self.children, self.text, self.parent = tag, [], "", parent
         self.drop, self.main = _roles(tag, attrs) if attrs else (tag in DROP_TAGS, tag in ("article", "main"))
 
 
@@ -70,7 +72,7 @@ def parse(source: str) -> Node:
 
     def add(text: str) -> None:
         if text:
-            node = Node("#")
+            node = Node("#", parent=stack[-1])
             node.text = html.unescape(text) if "&" in text else text
             stack[-1].children.append(node)
 
@@ -109,14 +111,14 @@ def parse(source: str) -> Node:
                     break
                 if stack[k].tag in SCOPES[tag]:
                     break
-        node = Node(tag, m["attrs"] or "")
+        node = Node(tag, m["attrs"] or "", stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
             inner = source[at : end.start()] if end else source[at:]
             at = end.start() if end else n
             if inner and tag in ("textarea", "title"):
-                text = Node("#")
+                text = Node("#", parent=node)
                 text.text = html.unescape(inner)
                 node.children.append(text)
             if end:
@@ -142,6 +144,7 @@ def annotate(root: Node, shapes: dict) -> list[Node]:
 
 def align(a: Node, b: Node, known: dict) -> list[tuple[Node, Node]]:
     """The pairs of a largest top-down, order-keeping match of two trees (simple tree matching)."""
+    sys.setrecursionlimit(1_000_000)  # a page may be nested however deep
     pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
@@ -163,30 +166,24 @@ def align(a: Node, b: Node, known: dict) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def _weight(x: Node, y: Node, known: dict, depth: int = 0) -> int:
-    """How many nodes the best match of two trees pairs; by shape, so equal subtrees are matched once. Trees that lie
-    more than ``_DEEP`` levels below the pair being weighed count by their sizes."""
+def _weight(x: Node, y: Node, known: dict) -> int:
+    """How many nodes the best match of two trees pairs; by shape, so equal subtrees are matched once."""
     if x.tag != y.tag:
         return 0
     if x.shape == y.shape:
         return x.size
-    if depth >= _DEEP:
-        return min(x.size, y.size)
     key = (x.shape, y.shape)
     if key not in known:
-        known[key] = 1 + (_table(x.children, y.children, known, depth + 1)[-1][-1] if x.children and y.children else 0)
+        known[key] = 1 + (_table(x.children, y.children, known)[-1][-1] if x.children and y.children else 0)
     return known[key]
 
 
-_DEEP = 100
-
-
-def _table(left: list[Node], right: list[Node], known: dict, depth: int = 0) -> list[list[int]]:
+def _table(left: list[Node], right: list[Node], known: dict) -> list[list[int]]:
     rows = [[0] * (len(right) + 1)]
     for x in left:
         above, row = rows[-1], [0]
         for j, y in enumerate(right):
-            w = _weight(x, y, known, depth)
+            w = _weight(x, y, known)
             row.append(max(row[j], above[j + 1], above[j] + w) if w else max(row[j], above[j + 1]))
         rows.append(row)
     return rows
@@ -211,7 +208,7 @@ CONSTANT_SHARE = 0.5  # of a slot's pages, from which its text is template
 
 
 def induce(trees: list[Node], shapes: dict) -> list[set[int]]:
-    """For each page of a host the text nodes that are template.
+    """For each page of a host the text nodes that are template; all other text varies and is content or furniture.
 
     The page of middle size is the wrapper; every other is aligned with it. A slot of the wrapper whose text is the
     same on more than ``CONSTANT_SHARE`` of the different pages is constant, and the nodes that hold that text there
@@ -234,19 +231,21 @@ def induce(trees: list[Node], shapes: dict) -> list[set[int]]:
     return [{index for slot, index, text in pairs if (slot, text) in constant} for pairs in aligned]
 
 
-def _length(node: Node) -> int:
+def _varying(node: Node, template: set[int]) -> int:
+    """Characters of varying text under a node, outside parts that are furniture by name."""
     total, todo = 0, [node]
     while todo:
         x = todo.pop()
         if not x.drop:
-            total += len(x.text)
+            total += len(x.text.strip()) if x.tag == "#" and x.index not in template else 0
             todo.extend(x.children)
     return total
 
 
-def _regions(root: Node) -> list[Node]:
-    """The named article regions, in page order, outside parts that are dropped: the article with the most text and its
-    sibling articles, or main where it has more than twice their text; none if no region is named."""
+def _regions(root: Node, template: set[int]) -> list[Node]:
+    """Where the varying text lies, in page order. Named regions (article, main, a container called so) are evidence: the
+    article with the most varying text and its sibling articles are it, or main where it has more than twice their
+    varying text. Where these hold less than half of the page's varying text, or none is named, it is the whole page."""
     found, todo = [], [(root, None)]
     while todo:
         x, above = todo.pop()
@@ -255,20 +254,20 @@ def _regions(root: Node) -> list[Node]:
         if x.main:
             found.append((x, above))
         todo.extend((c, x) for c in reversed(x.children))
-    pick = lambda pairs: max(pairs, key=lambda p: _length(p[0]), default=None)
+    pick = lambda pairs: max(pairs, key=lambda p: _varying(p[0], template), default=None)
     article, main = (pick([p for p in found if p[0].tag == tag]) for tag in ("article", "main"))
     articles = [x for x, above in found if article and x.tag == "article" and above is article[1]]
-    if main and _length(main[0]) > 2 * sum(map(_length, articles)):
-        return [main[0]]
+    of = lambda nodes: sum(_varying(x, template) for x in nodes)
     best = pick(found)
-    return articles or ([best[0]] if best else [])
+    chosen = [main[0]] if main and of([main[0]]) > 2 * of(articles) else articles or ([best[0]] if best else [])
+    return chosen if chosen and 2 * of(chosen) >= of([root]) else [root]
 
 
 def article_text(root: Node, template: set[int]) -> str:
-    """The blocks of the article, joined by blank lines: what is not template, in a page with named article regions
-    (article, main, or a container called so) within these. Parts whose element, role, class or id names a menu, header,
-    footer, sidebar, notice, advert, form, script or reader comments are left out."""
-    regions = _regions(root)
+    """The blocks of the article, joined by blank lines: the varying text of the regions where it lies. Parts whose
+    element, role, class or id names a menu, header, footer, sidebar, notice, advert, form, script or reader comments
+    are left out."""
+    regions = _regions(root, template)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -278,7 +277,7 @@ def article_text(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = list(reversed(regions)) or [root]
+    todo: list = list(reversed(regions))
     while todo:
         x = todo.pop()
         if x is None:
@@ -288,7 +287,7 @@ def article_text(root: Node, template: set[int]) -> str:
                 parts.append(x.text)
         elif x.tag == "br":
             parts.append(" ")
-        elif not x.drop and not (x.tag == "header" and not regions):
+        elif not x.drop and not (x.tag == "header" and regions == [root]):
             if x.tag not in INLINE:
                 flush()
                 todo.append(None)
@@ -297,6 +296,7 @@ def article_text(root: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
+GROUP_BYTES = 32 << 20  # of pages that a task aligns at once; a group with more, of repeated or very long pages, goes in parts
 BROADCAST_HOSTS = 200_000  # of more than one group; beyond that their sizes are joined by a shuffle
 
 
@@ -308,7 +308,7 @@ def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", ht
     ``#`` of the url, in lower case; pages without one share a host of their own. A null or empty html gives an empty
     text. Repeated rows are extracted one by one and count once for the template; an empty table gives no rows.
     """
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    p = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url"), F.coalesce(named(html_col).cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*//([^/?#]*)", 1)))
     large = written(p.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > group_pages), "hosts")
     sizes = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
@@ -316,10 +316,21 @@ def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", ht
     # one key of both: a grouping by host and salt would keep the join's partitions by host, and a large host one task
     dealt = p.join(sizes, "host", "left").withColumn("group", F.concat_ws("/", salt.cast("string"), "host"))
 
-    def run(group: pa.Table) -> pa.Table:
+    def texts_of(group: pa.Table) -> pa.RecordBatch:
         group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
         trees = [parse(x) for x in group.column("html").to_pylist()]
         texts = [article_text(t, s) for t, s in zip(trees, induce(trees, {}))]
-        return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return dealt.select("group", "page_id", "url", "html").groupBy("group").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+        return pa.RecordBatch.from_arrays([group.column("page_id").combine_chunks(), group.column("url").combine_chunks(), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in slices(batches, 4 * group_pages, GROUP_BYTES, "html"):
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= 4 * group_pages or size >= GROUP_BYTES:
+                yield texts_of(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
+        if held:
+            yield texts_of(pa.Table.from_batches(held))
+
+    return dealt.select("group", "page_id", "url", "html").groupBy("group").applyInArrow(lean(run), "page_id long, url string, text string, n_chars long")
