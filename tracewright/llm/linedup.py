@@ -67,41 +67,60 @@ def _signatures_apart(a: str, b: str) -> Column:
     return sum((F.least(d, F.lit(256) - d) for d in apart), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the optimiser puts the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _apart_at(x: Column, y: Column) -> Column:
+    """How many elements two arrays have in common at their beginnings."""
+    first = F.array_position(F.zip_with(x, y, lambda l, r: ~l.eqNullSafe(r)), F.lit(True)).cast("int")
+    return F.when(first > 0, first - 1).otherwise(F.size(x))
+
+
 def within_distance(a: Column, b: Column, threshold: int) -> Column:
     """Whether two lines are at most ``threshold`` edits apart.
 
-    Banded and bit-parallel: for each number of errors d a mask holds, for the 2 * threshold + 1 prefixes of ``a``
-    around the diagonal, which are d or fewer edits from the prefix of ``b`` read so far. Reading a character, a match
-    or a substitution keeps a prefix's place in the band, a character only in ``b`` moves it down one, one only in
-    ``a`` up one.
+    What they have in common at both ends is left out. The rest is banded and bit-parallel: for each number of errors d a
+    mask holds, for the 2 * threshold + 1 prefixes of ``a`` around the diagonal, which are d or fewer edits from the
+    prefix of ``b`` read so far. Reading a character, a match or a substitution keeps a prefix's place in the band, a
+    character only in ``b`` moves it down one, one only in ``a`` up one.
     """
     width, full = 2 * threshold + 1, (1 << (2 * threshold + 1)) - 1
-    start = F.struct(*(F.lit(sum(1 << (threshold + i) for i in range(d + 1))).alias(f"r{d}") for d in range(threshold + 1)))
+    start = F.array(*(F.lit(sum(1 << (threshold + i) for i in range(d + 1))) for d in range(threshold + 1)))
 
     def reached(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
 
         def step(acc: Column, j: Column) -> Column:
-            equal = F.lit(0)
-            for i in range(width):
-                at = j + (i - threshold - 1)
-                equal = equal.bitwiseOR(F.when((at >= 0) & (F.get(x, at) == F.get(y, j - 1)), 1 << i).otherwise(0))
-            masks: list[Column] = []
-            for d in range(threshold + 1):
-                mask = acc[f"r{d}"].bitwiseAND(equal)
-                if d:
-                    before = acc[f"r{d - 1}"]
-                    mask = mask.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(masks[-1], 1)).bitwiseAND(F.lit(full))
-                masks.append(mask)
-            return F.struct(*(m.alias(f"r{d}") for d, m in enumerate(masks)))
+            at = lambda i: j + (i - threshold - 1)
+            equal = sum((F.when((at(i) >= 0) & (F.get(x, at(i)) == F.get(y, j - 1)), 1 << i).otherwise(0) for i in range(width)), F.lit(0))
+
+            def with_mask(d: int, e: Column):
+                before = F.get(acc, F.lit(d - 1))
+                mask = F.get(acc, F.lit(d)).bitwiseAND(e).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
+                return lambda o: F.concat(o, F.array(mask.bitwiseOR(F.shiftleft(F.get(o, F.lit(d - 1)), 1)).bitwiseAND(F.lit(full))))
+
+            def masks(e: Column) -> Column:
+                out = F.array(F.get(acc, F.lit(0)).bitwiseAND(e))
+                for d in range(1, threshold + 1):
+                    out = _let(out, with_mask(d, e))
+                return out
+
+            return _let(equal, masks)
 
         m, n = F.size(x), F.size(y)
         steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        last = F.aggregate(steps, start, step)
-        return F.when(F.abs(m - n) > threshold, False).otherwise(F.getbit(last[f"r{threshold}"], m - n + threshold) == 1)
+        last = F.get(F.aggregate(steps, start, step), F.lit(threshold))
+        return F.when(F.abs(m - n) > threshold, False).otherwise(F.getbit(last, m - n + threshold) == 1)
+
+    def middle(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        cut = lambda c, n: F.slice(c, n + 1, F.size(c))
+        ends = _let(F.least(_apart_at(x, y), F.size(x), F.size(y)), lambda n: F.struct(F.reverse(cut(x, n)).alias("x"), F.reverse(cut(y, n)).alias("y")))
+        return _let(ends, lambda p: _let(F.least(_apart_at(p["x"], p["y"]), F.size(p["x"]), F.size(p["y"])), lambda n: F.struct(cut(p["x"], n).alias("x"), cut(p["y"], n).alias("y"))))
 
-    # in a lambda the characters are split once a pair, wherever the optimiser puts the expression
-    return F.get(F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), reached), F.lit(0))
+    return _let(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda pair: _let(middle(pair), reached))
 
 
 def trimmed(line: Column) -> Column:
@@ -146,7 +165,8 @@ def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     pairs = short.join(long, ["key", "step"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
     texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    return texts.filter(within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
+    # Spark's own banded distance passes few pairs on to the masks, which are slower a pair
+    return texts.filter((F.levenshtein("ra.line", "rb.line", threshold) >= 0) & within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
 
 
 def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], ...] = 1, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
