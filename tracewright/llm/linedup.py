@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import tidy, whole_rows, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
-#: Letters whose counts, modulo 256, a line's signature holds: an edit changes at most two of them, by one.
-SIGNATURE = "eantiosr"
+#: Characters whose counts, modulo 8, a line's signature holds, sixteen in a number: an edit changes at most two, by one.
+SIGNATURE = ("etaoinshrdlucmfw", "ypvbgkjqxzé,. -'")
 #: Characters at a line's beginning that segments divide at most. Edits there are edits of the line, so no pair is lost.
 SEGMENTED = 240
 
@@ -53,18 +53,24 @@ def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     return both.select("h", "key", (F.col("mine") & F.col("place").isin(first)).alias("own"))
 
 
+#: Four bits for each count modulo 8, of which as many differ between two counts as these are apart, around the circle.
+_CIRCLE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
+
+
 def _signature(line: Column, length: Column) -> Column:
-    packed = F.lit(0).cast("long")
-    for k, letter in enumerate(SIGNATURE):
-        count = (length - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long").bitwiseAND(F.lit(255))
-        packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
-    return packed
+    def packed(letters: str) -> Column:
+        out, codes = F.lit(0).cast("long"), F.array(*(F.lit(c).cast("long") for c in _CIRCLE))
+        for k, letter in enumerate(letters):
+            count = (length - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("int").bitwiseAND(F.lit(7))
+            out = out.bitwiseOR(F.shiftleft(F.get(codes, count), 4 * k))
+        return out
+
+    return F.struct(*(packed(letters).alias(f"s{i}") for i, letters in enumerate(SIGNATURE)))
 
 
 def _signatures_apart(a: str, b: str) -> Column:
-    part = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    apart = [F.abs(part(a, k) - part(b, k)) for k in range(len(SIGNATURE))]
-    return sum((F.least(d, F.lit(256) - d) for d in apart), F.lit(0))
+    """By how much the counts of two signatures differ in all; counts that differ by more than 4 look nearer, never farther."""
+    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(len(SIGNATURE))), F.lit(0))
 
 
 def _let(value: Column, body) -> Column:
@@ -146,27 +152,57 @@ BROADCAST_LINES = 500_000  # hashes of lines that share a segment; beyond that t
 BY_LENGTH = ((24, 1), (48, 2), (96, 4))
 
 
-def _links(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
-    """(ra, rb, a, b): the first copies of lines within ``threshold`` edits whose shorter one has ``low`` to ``high`` - 1 characters."""
-    at = Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
+#: Rounds in which each open line is tried against one line of its keys; what they leave open is then searched whole.
+ROUNDS = 3
+
+
+def _near(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
+    """(h): the lines within ``threshold`` edits of an earlier one, where the shorter one has ``low`` to ``high`` - 1 characters.
+
+    Many variants of one line share their keys, so their pairs are not listed. In each round the earliest open line of a
+    key is its centre, and every open line behind it is tried against the likeliest of its keys' centres; lines that are
+    found near are closed. The lines that are still open are then tried against all earlier ones of their keys.
+    """
+    spark, at = classes.sparkSession, Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
     shared = _keyed(classes, low, high, threshold).select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high"))
     met = written(shared.filter("any and low <> high").select("h", "key", "own"), "met")
-    tidy(classes.sparkSession)
-    ids = met.select("h").distinct()
-    ids = F.broadcast(ids) if met.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
+    tidy(spark)
+    ids = written(met.select("h").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
     chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), F.col("n"))), "chosen")
-    tidy(classes.sparkSession)
-    met = met.join(chosen.select("h", "sig", "n"), "h")
-    # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter: its length's step is the longer one's or the one before
+    tidy(spark)
+    place = F.struct("r.doc_id", "r.text_hash", "r.line_no").alias("place")
+    rows = written(met.join(chosen.select("h", "n", "sig", place), "h"), "placed")
+    near = spark.createDataFrame([], "h long")
+    tried = spark.createDataFrame([], "h long, a long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda c: chosen.select(F.col("h").alias(c), F.col("r.line").alias(f"line_{c}"))
+        texts = pairs.join(side("h"), "h").join(side("a"), "a")
+        # Spark's own banded distance passes few pairs on to the masks, which are slower a pair
+        good = (F.levenshtein("line_h", "line_a", threshold) >= 0) & within_distance(F.col("line_h"), F.col("line_a"), threshold)
+        return written(texts.filter(good).select("h").distinct(), "near")
+
+    # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter
+    apart = F.col("n") - F.col("a_n")
+    fits = (F.col("own") & apart.between(-threshold, 0)) | (F.col("a_own") & apart.between(0, threshold))
+    may = (F.col("a_place") < F.col("place")) & fits & (_signatures_apart("sig", "a_sig") <= 2 * threshold)
+    of_a = lambda df: df.select("key", *(F.col(c).alias(f"a_{c}") for c in ("h", "own", "n", "sig", "place")))
+    for _ in range(ROUNDS):
+        open_ = rows.join(near, "h", "left_anti")
+        centres = open_.groupBy("key", "own").agg(F.min(F.struct("place", "h", "n", "sig")).alias("c")).select("key", "own", "c.*")
+        met_ = open_.join(of_a(centres), "key").filter(may)
+        pairs = met_.groupBy("h").agg(F.min_by("a_h", _signatures_apart("sig", "a_sig")).alias("a")).join(tried, ["h", "a"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = verified(pairs)
+        near, tried = near.union(found), tried.unionByName(pairs)
+        tidy(spark)
     step = F.floor(F.col("n") / F.lit(threshold + 1))
-    short = met.filter("own").select("key", step.alias("step"), F.col("h").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    long = met.select("key", F.explode(F.array(step, step - 1)).alias("step"), F.col("h").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    near = (F.col("a") != F.col("b")) & (F.col("n_b") - F.col("n_a")).between(0, threshold) & (_signatures_apart("sig_a", "sig_b") <= 2 * threshold)
-    pairs = short.join(long, ["key", "step"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: chosen.select(F.col("h").alias(c), F.col("r").alias(f"r{c}"))
-    texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Spark's own banded distance passes few pairs on to the masks, which are slower a pair
-    return texts.filter((F.levenshtein("ra.line", "rb.line", threshold) >= 0) & within_distance(F.col("ra.line"), F.col("rb.line"), threshold))
+    left = rows.join(near, "h", "left_anti").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+    right = of_a(rows).withColumn("step", F.floor(F.col("a_n") / F.lit(threshold + 1)))
+    pairs = left.join(right, ["key", "step"]).filter(may).select("h", F.col("a_h").alias("a")).distinct()
+    pairs = written(pairs.join(tried, ["h", "a"], "left_anti"), "pairs")
+    return near.union(verified(pairs))
 
 
 def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], ...] = 1, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
@@ -189,12 +225,11 @@ def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], .
     classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no", "check", "line")).alias("r"))
     classes = written(classes.withColumn("n", F.length("r.line")), "lines")
     tidy(docs.sparkSession)
-    links = None
+    near = None
     for k, (low, edits) in enumerate(steps):
-        found = _links(classes, low, steps[k + 1][0] if k + 1 < len(steps) else None, edits).select("a", "b", "ra", "rb")
-        links = found if links is None else links.union(found)
-    order = lambda r: F.struct(f"{r}.doc_id", f"{r}.text_hash", f"{r}.line_no")
-    later = links.select(F.when(order("ra") > order("rb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True))
+        found = _near(classes, low, steps[k + 1][0] if k + 1 < len(steps) else None, edits)
+        near = found if near is None else near.union(found)
+    later = near.distinct().withColumn("near", F.lit(True))
     heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.text_hash").alias("first_text"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check")).join(later, "h", "left")
     placed = lines.select("doc_id", "text_hash", "line_no", "h", "check").join(heads, "h")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
