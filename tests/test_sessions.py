@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.plans import reports
-from tracewright.sources import format_b, logs
+from tracewright.sources import format_a, format_b, logs
 
 A_ID = "11111111-2222-3333-4444-555555555555"
 
@@ -162,7 +162,10 @@ def test_rollups_and_fit(everything):
     assert total["sessions"] == 2 and total["files_changed"] == 6 and total["by_source"] == {"codex": 1, "copilot": 1}
     assert [r["folder"] for r in reports.folder_rollup(c).collect()] == ["/home/x/Proj", "/w/it's"] or len(reports.folder_rollup(c).collect()) == 2
     assert reports.file_rollup(c, f).count() == 6 and reports.tool_rollup(f).count() == 1
-    assert reports.requests(c, f, 10_000).count() == 3 and reports.requests(c, f, 10).count() == 0
+    assert reports.requests(c, f).count() == 3 and reports.requests(c, f, 10_000).count() == 3 and reports.requests(c, f, 10).count() == 0
+    assert [f["path"] for f in cards[0]["files_changed"]] == ["z.py", "a.py", "b.py"] and [(o["cmd"], o["exit"], o["last_line"]) for o in cards[0]["outstanding"]] == [("npm test", "1", "FAILED: one")]
+    assert [(t["tool"], t["calls"]) for t in cards[1]["tools"]] == [("unknown-tool", 1)] and reports.latest(c).count() == 1 and [r["code"] for r in reports.unfinished(c).collect()] == ["S2", "S1"]
+    assert {r["tier"] for r in reports.fitted_cards(c, None).collect()} == {2} and [r["tier"] for r in reports.fitted_cards(c, 10).orderBy("number").collect()] == [0, 2]
     tiers = {r["n"]: r["tier"] for r in reports.fitted_turns(f, 40, 0, 1).filter("source = 'codex'").collect()}
     assert tiers[3] == 3 and set(tiers) == {1, 2, 3}
     assert all(r["tier"] == 3 for r in reports.fitted_turns(f, None).collect())
@@ -172,7 +175,9 @@ def test_rollups_and_fit(everything):
 def test_selection(spark, everything):
     sessions, _ = everything
     assert reports.resolve(sessions, "111111").count() == 1 and reports.resolve(sessions, f"codex://threads/{A_ID}").count() == 1
-    assert reports.resolve(sessions, "999999") is None
+    assert reports.resolve(sessions, "999999") is None and reports.resolve(sessions, "no such name") is None
+    folder = sessions.filter("source = 'copilot'").first()["link"].removeprefix("file:")
+    assert reports.resolve(sessions, f'"{folder}/plan.md"').count() == 1 and reports.resolve(sessions, folder).count() == 1 and reports.resolve(sessions, "/elsewhere/abcdef12") is None
     with pytest.raises(ValueError, match="several"):
         reports.resolve(sessions.union(sessions.withColumn("session_id", F.concat("session_id", F.lit("x")))), "111111")
     assert [r["score"] for r in reports.find(sessions, "fine").collect()] == [2]
@@ -211,5 +216,33 @@ def test_line_numbers_and_manifest(spark, tmp_path):
     assert fresh.count() == 1 and kept.count() == 1
 
 
+def test_manifest_of_headers(spark, root_a, tmp_path):
+    """Only new and changed files are read again; a missing folder has no sessions."""
+    asked = []
+
+    def read(files):
+        asked.append(files.count())
+        return format_a.headers(spark, root_a, files)
+
+    listed = logs.listing(spark, root_a)
+    for _ in range(2):
+        assert logs.refreshed(spark, str(tmp_path), listed, read).count() == 2
+    assert asked == [2]
+    assert logs.refreshed(spark, str(tmp_path), listed.filter("file like '%01-02%'"), read).count() == 1 and asked == [2, 0]
+    assert logs.refreshed(spark, str(tmp_path), listed, read, refresh=True).count() == 2 and asked == [2, 0, 2]
+    found = {r["stamp"] for r in format_a.headers(spark, root_a).collect()}
+    assert found == {"2025-01-01T00-00-00", "2025-01-02T00-00-00"}
+    assert format_a.headers(spark, root_a + "/nowhere").count() == 0 and format_b.sessions(spark, root_a + "/nowhere").count() == 0
+
+
+@pytest.mark.parametrize("value", ['{"a":1}', ' {"a":[{}]} ', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}], {}', '{"a":1}} {', "null", "[]", "1", '{"a":NaN}', "{'a':1}", '{"a":1', "", '{"a":1}]', '{"a":"}]"}'])
+def test_json_objects(spark, value):
+    try:
+        want = isinstance(json.loads(value, parse_constant=lambda c: json.loads("'")), dict)
+    except ValueError:
+        want = False
+    assert spark.createDataFrame([(value,)], "v string").select(logs.is_json_object(F.col("v")).alias("x")).first()["x"] == want
+
+
 def test_flat_yaml():
-    assert format_b.flat_yaml("a: 1\nb: ~\nc: 'x''y'\nd: >\n  one\n  two\ne:\n") == {"a": "1", "b": None, "c": "x'y", "d": "one two", "e": None}
+    assert format_b.flat_yaml("a: 1\nb: ~\nc: 'x''y'\nd: >\n  one\n  two\ne:\n") == {"a": 1, "b": None, "c": "x'y", "d": "one two", "e": None}

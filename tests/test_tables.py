@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
 from tracewright.operators import fit, ordered
-from tracewright.plans import table_queries
+from tracewright.plans import log_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
@@ -27,9 +27,12 @@ def normal(df):
     return sorted(tuple("-" if pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.oracle_sql()))
+QUERIES, SQL = table_queries.queries() | log_queries.queries(), table_queries.oracle_sql() | log_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    got, want = table_queries.queries()[name](spark, SF).toPandas(), duck.sql(table_queries.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 

@@ -62,7 +62,7 @@ def count_lines(c: Column) -> Column:
 
 def diff_lines(c: Column) -> Column:
     """Added and removed lines of a unified diff, its headers and bare signs left out."""
-    return F.regexp_count(_text(c), F.lit("(?m)^[+-][^+\n-]"))
+    return F.regexp_count(_text(c), F.lit("(?md)^[+-][^+\n-]"))
 
 
 def human_size(c: Column, space: str = "") -> Column:

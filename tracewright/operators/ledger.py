@@ -31,11 +31,13 @@ def outstanding(df: DataFrame, keys: list[str], **options) -> DataFrame:
 
 
 def files(df: DataFrame, keys: list[str], path: str = "path", verb: str = "verb", lines: str = "lines", seq: str = "seq", ts: str = "ts") -> DataFrame:
-    """Adds, updates and deletes of each path, its lines, and its first and last time."""
+    """Adds, updates and deletes of each path, its lines, and its first and last time; with a column ``sub``, the place
+    within a record, also that of its first row."""
     count = lambda v, name: F.count_if(F.col(verb) == v).alias(name)
     return df.groupBy(*keys, path).agg(
         count("add", "n_add"), count("update", "n_update"), count("delete", "n_delete"), F.sum(lines).alias("lines"),
         F.min_by(ts, seq).alias("first_ts"), F.max_by(ts, seq).alias("last_ts"), F.min(seq).alias("first_seq"),
+        *([F.min(F.struct(seq, "sub"))["sub"].alias("first_sub")] if "sub" in df.columns else []),
     )
 
 

@@ -59,6 +59,26 @@ def prefix_fit(df: DataFrame, keys: list[str], order: list[Column], cost: Column
     return df.withColumn("used", F.sum(cost).over(w)).filter(F.col("used") <= budget)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """(keys, ``name``): the place of every row in the global order, from 1. ``keys`` name a row.
+
+    Rows are sorted by ranges over all tasks; a row's number is its place in its task plus the counts of the tasks before,
+    of which there are few. Only keys and order take part.
+    """
+    at = checkpointed(df.select(*keys, *(c for c in order)).orderBy(*order).select(*keys)).withColumn("_id", F.monotonically_increasing_id())
+    task = F.shiftright("_id", 33)
+    counts = at.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a task
+    placed = at.withColumn("_task", task).join(F.broadcast(before), "_task")
+    return placed.select(*keys, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+
+
+def top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key with their ``rank`` from 1."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= n)
+
+
 def stride_sample(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """Every floor(n / k)-th row of each key, k of them: the same rows each time."""
     n = F.count(F.lit(1)).over(W.partitionBy(*keys))

@@ -125,7 +125,7 @@ def turns_of(facts: DataFrame, actions: DataFrame, limits: Limits) -> DataFrame:
     apart = F.unix_millis(F.try_to_timestamp("ended_at")) - F.unix_millis(F.try_to_timestamp("started_at"))
     empty = F.array().cast(dict(t.dtypes)["actions"])
     return t.select(
-        *S, n.alias("n"), "n_raw", "turn", "started_at", "ended_at", "ask", "ask_source", X.clip(F.col("final"), limits.final).alias("final"), F.coalesce("given_ms", F.nullif(apart, F.lit(0))).alias("duration_ms"),
+        *S, n.alias("n"), "n_raw", "turn", "started_at", "ended_at", "ask", "ask_source", F.when(F.col("final").isNotNull(), X.clip(F.col("final"), limits.final)).alias("final"), F.coalesce("given_ms", F.nullif(apart, F.lit(0))).alias("duration_ms"),
         texts("notes").alias("notes"), (texts("reasoning") if limits.reasoning else F.array().cast("array<string>")).alias("reasoning"), F.coalesce("actions", empty).alias("actions"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from datetime import datetime, timedelta, timezone
 
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tracewright.functions import text as X
 from tracewright.operators import fit, session
-from tracewright.operators.ordered import prefix_fit, runs
+from tracewright.operators.ordered import numbered, prefix_fit, runs, top
 from tracewright.operators.session import S, Sessions
 from tracewright.scratch import checkpointed
 from tracewright.sources import format_a, format_b, logs
@@ -47,18 +48,31 @@ def resolve(sessions: DataFrame, raw: str) -> DataFrame | None:
     none, an error if there are several."""
     raw = raw.strip().strip("\"'")
     whole = re.search(X.UUID, raw)
-    if whole:
+    inside = _below_root(sessions, raw)
+    if inside is not None:
+        hits = inside
+    elif whole:
         hits = sessions.filter(F.col("session_id") == whole[0].lower())
     elif re.fullmatch("[0-9a-fA-F-]{6,}", raw):
         hits = sessions.filter(F.startswith("session_id", F.lit(raw.lower())))
     else:
-        hits = sessions.filter(F.arrays_overlap(F.array(F.lower("session_id")), F.array(*(F.lit(p.lower()) for p in raw.split("/") if p))))
+        return None
     n = len(hits.limit(2).select("session_id").collect())
     if n > 1:
         raise ValueError(f"{raw!r} names several sessions")
     return hits if n else None
 
 
+def _below_root(sessions: DataFrame, raw: str) -> DataFrame | None:
+    """The session of format B whose folder a path is, or lies in: the first component below the sessions' own root."""
+    if "/" not in raw or "://" in raw and not raw.startswith("file:"):
+        return None
+    path = re.sub(r"^file:/*", "/", raw)
+    folder = F.regexp_replace("link", r"^file:/*", "/")
+    hits = sessions.filter((F.col("source") == format_b.SOURCE) & ((folder == path.rstrip("/")) | F.startswith(F.lit(path), F.concat(folder, F.lit("/")))))
+    return hits if not hits.isEmpty() else None
+
+
 def find(sessions: DataFrame, words: str) -> DataFrame:
     """Sessions whose title, folder or id hold every word; a word in the title scores 2, elsewhere 1."""
     title = F.lower(F.coalesce("title", F.lit("")))
@@ -69,8 +83,13 @@ def find(sessions: DataFrame, words: str) -> DataFrame:
     return sessions.filter(keep).withColumn("score", score).orderBy(F.desc("score"), F.desc("updated_at"), "session_id")
 
 
+def normal_folder(folder: str) -> str:
+    """A folder as paths are compared: absolute, without slashes at the end, in lower case."""
+    return (os.path.abspath(folder) if not re.match(r"[A-Za-z]:", folder) else folder).rstrip("/\\").lower()
+
+
 def _below(cwd: Column, folder: str, nested: bool) -> Column:
-    c, f = F.lower(F.regexp_replace(cwd, r"[\\/]+$", "")), folder.rstrip("/\\").lower()
+    c, f = F.lower(F.regexp_replace(cwd, r"[\\/]+$", "")), normal_folder(folder)
     return F.coalesce((c == f) | (F.startswith(c, F.lit(f + "/")) if nested else F.lit(False)), F.lit(False))
 
 
@@ -132,24 +151,64 @@ def condense(spark: SparkSession, sessions: DataFrame, limits: session.Limits =
 # ---------------------------------------------------------------- rollups
 
 
+def _listed(df: DataFrame, order: list[Column], n: int, name: str, *fields: str | Column) -> DataFrame:
+    """(session, ``name``): of each session the first ``n`` rows as an array in order."""
+    kept = top(df, S, order, n).select(*S, F.struct("rank", F.struct(*fields).alias("x")).alias("r"))
+    return kept.groupBy(*S).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias(name))
+
+
+#: Rows of a session's ledgers that its card and report carry at most; beyond that the ledgers themselves have them.
+LEDGER_ROWS = 5000
+
+
+def in_order(folded: Sessions, n: int = LEDGER_ROWS) -> dict[str, DataFrame]:
+    """The ledgers of each session as they are listed, by ``rank``: files by adds and updates, reads, commands by runs and
+    tools by calls, most first; failures, searches and delegations as they came."""
+    first = F.col("first_seq").asc()
+    by = {
+        "files": (folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()]), "reads": (folded.reads, [F.desc("reads"), first]), "commands": (folded.commands, [F.desc("runs"), first]),
+        "tools": (folded.tools, [F.desc("calls"), first]), "failures": (folded.failures, [first]), "searches": (folded.searches, [F.col("seq").asc()]), "delegations": (folded.delegations, [F.col("seq").asc()]),
+    }
+    return {name: top(df, S, order, n) for name, (df, order) in by.items()}
+
+
+def _either(a: str, b: str) -> Column:
+    """In format A ``a`` where it is known, in format B ``b``."""
+    return F.when(F.col("source") == format_a.SOURCE, F.coalesce(a, b)).otherwise(F.coalesce(b, a))
+
+
 def cards(sessions: DataFrame, folded: Sessions) -> DataFrame:
-    """A row per session, in order of start with its code: S1, S2, ..., requests, last reply, open plan and counts."""
+    """A row per session, in order of start with its code S1, S2, ...: requests, last reply, open plan, files, outstanding
+    failures with their telltale line, tools and counts."""
     t = folded.turns
     request = F.struct(F.col("started_at").alias("ts"), F.col("n").alias("turn"), F.coalesce("ask_source", F.lit("user")).alias("source"), F.col("ask").alias("text"))
     asked, replied = F.col("ask").isNotNull(), F.col("final").isNotNull()
     g = t.groupBy(*S).agg(
         F.min_by(request, F.when(asked, F.col("n"))).alias("first_ask"), F.when(F.count_if(asked) > 1, F.max_by(request, F.when(asked, F.col("n")))).alias("last_ask"),
         F.max_by(F.struct(F.col("started_at").alias("ts"), F.col("final").alias("text")), F.when(replied, F.col("n"))).alias("last_reply"),
+        F.min_by("started_at", "n").alias("_first_turn"),
+    )
+    open_failures = folded.failures.filter("not resolved").withColumn("last_line", X.one_line(X.telltale_line(F.col("error")), 200))
+    first = F.col("first_seq").asc()
+    lists = (
+        _listed(folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()], LEDGER_ROWS, "files_changed", "path", "n_add", "n_update", "n_delete"),
+        _listed(open_failures, [first], LEDGER_ROWS, "outstanding", F.col("shown").alias("cmd"), F.col("exit_text").alias("exit"), "occurrences", "last_line"),
+        _listed(folded.tools, [F.desc("calls"), first], LEDGER_ROWS, "tools", "tool", "calls"),
     )
     plan = F.from_json("_plan", format_a.STEPS)
     st = folded.state.select(*S, F.col("cwd").alias("_cwd"), F.col("model").alias("_model"), F.col("plan").alias("_fact_plan"))
     c = session.titled(sessions, t).join(g, S, "left").join(st, S, "left").join(folded.stats, S, "left")
+    for more in lists:
+        c = c.join(more, S, "left")
     c = c.withColumn("_plan", F.coalesce("plan", "_fact_plan") if "plan" in sessions.columns else F.col("_fact_plan"))
     order = F.coalesce(F.try_to_timestamp("started_at"), F.col("updated_at").cast("timestamp"))
-    code = F.row_number().over(W.orderBy(order.asc_nulls_last(), "source", "session_id"))  # one row a session
+    c = c.join(numbered(sessions.select(*S, order.alias("_order")), S, [F.col("_order").asc_nulls_last(), F.col("source").asc(), F.col("session_id").asc()]), S)
+    none = lambda name: F.coalesce(name, F.array().cast(dict(c.dtypes)[name])).alias(name)
+    resume = F.col("resume") if "resume" in sessions.columns else F.lit(None).cast("string").alias("resume")
     return c.select(
-        F.concat(F.lit("S"), code.cast("string")).alias("code"), code.alias("number"), *S, "title", "title_source", "link", F.coalesce("cwd", "_cwd").alias("cwd"), F.coalesce("model", "_model").alias("model"),
-        "started_at", "updated_at", "bytes", "first_ask", "last_ask", "last_reply", F.filter(plan, lambda p: p["status"] != "completed").alias("open_plan"), F.coalesce(F.size(plan), F.lit(0)).alias("plan_size"),
+        F.concat(F.lit("S"), F.col("number").cast("string")).alias("code"), "number", *S, "title", "title_source", "link", resume, _either("_cwd", "cwd").alias("cwd"), _either("model", "_model").alias("model"),
+        F.coalesce("started_at", "_first_turn").alias("started_at"), "updated_at", "bytes", "first_ask", "last_ask", "last_reply", F.coalesce(F.filter(plan, lambda p: p["status"] != "completed"), F.array().cast(format_a.STEPS)).alias("open_plan"), F.coalesce(F.size(plan), F.lit(0)).alias("plan_size"),
+        none("files_changed"), none("outstanding"), none("tools"),
         *(F.coalesce(k, F.lit(0)).alias(k) for k in ("turns", "commands", "files_touched", "files_read", "outstanding_errors", "compactions")),
     )
 
@@ -162,7 +221,7 @@ def folder_rollup(c: DataFrame) -> DataFrame:
 
 def file_rollup(c: DataFrame, folded: Sessions) -> DataFrame:
     f = folded.files.join(c.select(*S, "number"), S)
-    g = f.groupBy("path").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum(F.col("n_add") + F.col("n_update") + F.col("n_delete")).alias("changes"), F.min(F.struct("number", "first_seq")).alias("first"))
+    g = f.groupBy("path").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum(F.col("n_add") + F.col("n_update") + F.col("n_delete")).alias("changes"), F.min(F.struct("number", "first_seq", "first_sub")).alias("first"))
     return g.orderBy(F.desc("n_sessions"), F.desc("changes"), "first")
 
 
@@ -196,11 +255,53 @@ def shared_files(files: DataFrame, n: int = 25) -> DataFrame:
     return (files if shared.isEmpty() else shared).limit(n)
 
 
-def requests(c: DataFrame, folded: Sessions, budget_chars: int) -> DataFrame:
-    """The newest requests of all sessions that fit, oldest first."""
+def unfinished(c: DataFrame, n: int = 5) -> DataFrame:
+    """The newest ``n`` sessions with open plan items."""
+    return c.filter(F.size("open_plan") > 0).orderBy(F.desc("number")).limit(n)
+
+
+def latest(c: DataFrame) -> DataFrame:
+    """The session that was active last."""
+    return c.orderBy(F.desc(F.col("updated_at").cast("timestamp")), "number").limit(1)
+
+
+ASK_CHARS = 220
+
+
+def requests(c: DataFrame, folded: Sessions, budget_tokens: int | None = None) -> DataFrame:
+    """Every request of all sessions, oldest first; within a budget the newest that fit. A request costs its first
+    ``ASK_CHARS`` characters and 40 more, so at least 10 tokens: only as many rows as can fit are ever sorted out."""
     asks = folded.turns.filter("ask is not null").join(c.select(*S, "number", "code"), S)
-    fitted = prefix_fit(asks, [], [F.desc("started_at"), F.desc("number"), F.desc("n")], F.length("ask") + 60, budget_chars)
-    return fitted.select("code", "n", "started_at", "ask_source", "ask").orderBy("started_at", "code", "n")
+    at = F.try_to_timestamp("started_at")
+    if budget_tokens is not None:
+        newest_first = [at.desc_nulls_last(), F.desc("number"), F.desc("n")]
+        few = asks.orderBy(*newest_first).limit(budget_tokens // 10 + 1)
+        asks = prefix_fit(few, [], newest_first, X.tokens(F.least(F.length("ask"), F.lit(ASK_CHARS)) + 40), budget_tokens).drop("used")
+    return asks.select("code", "number", "n", "started_at", F.coalesce("ask_source", F.lit("user")).alias("ask_source"), "ask").orderBy(at, "number", "n")
+
+
+def card_costs(c: DataFrame) -> DataFrame:
+    """Cards with ``cost``: characters of a card left out, abbreviated and in full."""
+    chars = lambda name: F.coalesce(F.length(F.col(f"{name}.text")), F.lit(0))
+    of = lambda name, most: F.least(chars(name), F.lit(most))
+    many = lambda name, most, each: F.least(F.size(name), F.lit(most)) * each
+    brief = 160 + of("first_ask", 300) + of("last_reply", 300)
+    full = 200 + of("first_ask", 800) + of("last_ask", 800) + of("last_reply", 1200) + many("files_changed", 10, 90) + many("outstanding", 3, 220) + many("open_plan", 8, 90)
+    return c.withColumn("cost", F.array(F.lit(0), brief, full).cast("array<bigint>"))
+
+
+def fitted_cards(c: DataFrame, budget_tokens: int | None) -> DataFrame:
+    """Cards with their tier: 0 in the table only, 1 abbreviated, 2 in full. Without a budget, or where all fit, all are in
+    full; else the newest is, and the others as far as the budget goes. Only numbers and costs are folded, in one array."""
+    costs = card_costs(c)
+    if budget_tokens is None:
+        return costs.withColumn("tier", F.lit(2)).drop("cost")
+    one = costs.agg(F.array_sort(F.collect_list(F.struct((-F.col("number")).alias("k"), "cost"))).alias("x"))
+    cost = F.transform("x", lambda x: x["cost"])
+    whole = F.aggregate(cost, F.lit(0).cast("bigint"), lambda acc, x: acc + x[2])
+    tiers = F.when(X.tokens(whole) <= budget_tokens, F.transform(cost, lambda _: F.lit(2))).otherwise(fit.fit_tiers(cost, F.lit(budget_tokens), F.lit(0), 1, len(fit.CARD_TIERS))["tiers"])
+    by_number = one.select(F.explode(F.arrays_zip(F.transform("x", lambda x: -x["k"]).alias("number"), tiers.alias("tier"))).alias("z")).select("z.number", "z.tier")
+    return costs.drop("cost").join(by_number, "number")
 
 
 # ---------------------------------------------------------------- fitting one session

@@ -1,4 +1,4 @@
-"""Queries over the driver's tables: every operator of the engine on data that DuckDB can check, each with its SQL."""
+"""Queries over the driver's tables: the engine's operators on data that DuckDB can check, each with its SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.functions import text as X
-from tracewright.operators import fit, ledger, ordered
+from tracewright.operators import fit, ledger, ordered, session
+from tracewright.plans import reports
+from tracewright.sources import logs
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -52,44 +54,52 @@ def session_index(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).cast("long").alias("chars"), F.max_by("text", "turn").alias("last_text"))
 
 
+def parts_as_sessions(spark, sf_dir) -> DataFrame:
+    """Parts as sessions: the name is the title, the brand the folder, the type the id."""
+    p = t(spark, sf_dir, "part")
+    return p.select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("cwd"), F.col("p_type").alias("session_id"), F.timestamp_seconds("p_partkey").alias("updated_at"))
+
+
 @query("""SELECT p_partkey, CAST((CASE WHEN contains(lower(p_name), 'red') THEN 2 ELSE 1 END) + (CASE WHEN contains(lower(p_name), 'o') THEN 2 ELSE 1 END) AS BIGINT) AS score
 FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'red') AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'o')""")
 def find_words(spark, sf_dir):
-    return find(t(spark, sf_dir, "part"), "red o", F.col("p_name"), F.concat_ws(" ", "p_name", "p_brand", "p_type")).select("p_partkey", "score")
-
-
-def find(df: DataFrame, words: str, title, everything) -> DataFrame:
-    """Rows in which every word occurs; a word in the title counts 2, elsewhere 1."""
-    score, keep = F.lit(0), F.lit(True)
-    for w in words.lower().split():
-        keep = keep & F.contains(F.lower(everything), F.lit(w))
-        score = score + F.when(F.contains(F.lower(title), F.lit(w)), 2).otherwise(1)
-    return df.filter(keep).withColumn("score", score.cast("long"))
+    return reports.find(parts_as_sessions(spark, sf_dir), "red o").select("p_partkey", F.col("score").cast("long").alias("score"))
 
 
-@query("SELECT p_partkey, p_name, CAST(count(*) OVER () AS BIGINT) AS hits FROM part WHERE starts_with(lower(p_name), 'red wi')")
+@query("SELECT '00c0ffee' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS session_id, c_name FROM customer WHERE c_custkey = 7")
 def prefix_resolve(spark, sf_dir):
-    hits = t(spark, sf_dir, "part").filter(F.startswith(F.lower("p_name"), F.lit("red wi"))).select("p_partkey", "p_name")
-    return hits.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("hits"))))  # one row
+    """The one session that twelve and more characters of an id name."""
+    c = t(spark, sf_dir, "customer")
+    ids = F.concat(F.lit("00c0ffee"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    return reports.resolve(c.select(F.lit("codex").alias("source"), ids.alias("session_id"), F.lit("x").alias("link"), "c_name"), "'00C0FFEE000000000007'").select("session_id", "c_name")
 
 
 @query("""WITH s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id)
 SELECT user_id, epoch_us(a) AS started_us, epoch_us(b) AS updated_us FROM s WHERE b >= TIMESTAMP '2024-01-03' AND a <= TIMESTAMP '2024-01-20' ORDER BY b DESC, user_id LIMIT 40""")
 def time_window_last_n(spark, sf_dir):
-    s = t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    kept = s.filter((F.col("b") >= F.lit("2024-01-03").cast("timestamp")) & (F.col("a") <= F.lit("2024-01-20").cast("timestamp")))
-    return kept.orderBy(F.desc("b"), "user_id").limit(40).select("user_id", F.unix_micros(F.col("a").cast("timestamp")).alias("started_us"), F.unix_micros(F.col("b").cast("timestamp")).alias("updated_us"))
+    e = t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("updated_at"))
+    s = s.select(F.lit("x").alias("source"), F.col("user_id").alias("session_id"), "a", F.col("a").cast("string").alias("started_at"), "updated_at")
+    at = lambda day: reports.parse_when(day)
+    kept = reports.in_window(s, since=at("2024-01-03"), until=at("2024-01-20"), last=40)
+    return kept.select(F.col("session_id").alias("user_id"), F.unix_micros("a").alias("started_us"), F.unix_micros("updated_at").alias("updated_us"))
+
+
+PATH_SQL = "regexp_replace(url, '^[a-z]+://[^/]*', '')"
+
 
+def pages_as_sessions(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("cwd"))
 
-@query("""SELECT page_id, url FROM pages WHERE NOT (regexp_replace(url, '^[a-z]+://[^/]*', '') = '/en' OR starts_with(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/en/'))""")
+
+@query(f"SELECT page_id, url FROM pages WHERE NOT (lower({PATH_SQL}) = '/en' OR starts_with(lower({PATH_SQL}), '/en/'))")
 def exclude_tree(spark, sf_dir):
-    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
-    return t(spark, sf_dir, "pages").filter(~inside(path, "/en")).select("page_id", "url")
+    return reports.excluding(pages_as_sessions(spark, sf_dir), ["/EN/"]).select("page_id", "url")
 
 
-def inside(path, folder: str):
-    """Whether a path is a folder or lies below it; false for null."""
-    return F.coalesce((path == folder) | F.startswith(path, F.lit(folder.rstrip("/") + "/")), F.lit(False))
+@query(f"SELECT page_id, url FROM pages WHERE lower({PATH_SQL}) = '/fr' OR starts_with(lower({PATH_SQL}), '/fr/')")
+def inside_folder(spark, sf_dir):
+    return reports.in_folder(pages_as_sessions(spark, sf_dir), "/fr", nested=True).select("page_id", "url")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) < 5")
@@ -100,16 +110,32 @@ def stride_sample(spark, sf_dir):
 # ---------------------------------------------------------------- turns
 
 
-@query("""WITH m AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS raw FROM conversations),
-g AS (SELECT conv_id, raw, count(*) AS messages, min(turn) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS final FROM m GROUP BY conv_id, raw)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) AS n, raw AS raw_n, messages, chars, coalesce(final, '') AS final FROM g WHERE chars > 40""")
+def conversation_facts(spark, sf_dir) -> DataFrame:
+    """Messages as facts: a user's opens a turn and is asked, an assistant's is a final that demotes the one before."""
+    c = t(spark, sf_dir, "conversations").withColumn("text", F.trim("text"))
+    opened = F.count_if(F.col("role") == "user").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
+    user, says = F.col("role") == "user", F.col("role") == "assistant"
+    values = {
+        "kind": F.when(user, "ask").when(says, "final").otherwise("note"), "turn": opened.cast("string"), "text": F.col("text"), "aux": F.when(user, "append").when(says, "demote"), "path": F.when(user, F.lit("user")),
+        "num": F.lit(None).cast("long"), "failed": F.lit(None).cast("boolean"), "quiet": F.lit(None).cast("boolean"),
+    }
+    kept = [values.get(k, F.lit(None).cast("string")).alias(k) for k in logs.FIELDS]
+    return c.select(F.lit("x").alias("source"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit("2024-01-01T00:00:00Z").alias("ts"), *kept)
+
+
+MESSAGES_SQL = """m AS (SELECT conv_id, turn, role, trim(text) AS text, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS raw FROM conversations)"""
+
+
+@query(f"""WITH {MESSAGES_SQL}, a AS (SELECT conv_id, raw, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS ask FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, raw, regexp_replace(text, '\\s+', ' ', 'g') ORDER BY turn) AS k FROM m WHERE role = 'user' AND text <> '') WHERE k = 1 GROUP BY conv_id, raw),
+g AS (SELECT conv_id, raw, min(turn) AS first, arg_max(text, turn) FILTER (role = 'assistant' AND text <> '') AS final, greatest(count(*) FILTER (role = 'assistant' AND text <> '') - 1, 0) + count(*) FILTER (role NOT IN ('user', 'assistant') AND text <> '') AS notes FROM m GROUP BY conv_id, raw)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(raw AS VARCHAR) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n, CASE WHEN length(ask) <= 4000 THEN ask END AS ask, CASE WHEN length(final) <= 3000 THEN final END AS final, CAST(notes AS BIGINT) AS notes
+FROM g LEFT JOIN a USING (conv_id, raw) WHERE ask IS NOT NULL OR final IS NOT NULL OR notes > 0""")
 def session_turns(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations")
-    raw = F.count_if(F.col("role") == "user").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
-    says = F.col("role") == "assistant"
-    g = c.withColumn("raw_n", raw).groupBy("conv_id", "raw_n").agg(F.count(F.lit(1)).alias("messages"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).cast("long").alias("chars"), F.max_by(F.when(says, F.col("text")), F.when(says, F.col("turn"))).alias("final"))
-    n = F.row_number().over(W.partitionBy("conv_id").orderBy("first_turn")).cast("long")
-    return g.filter("chars > 40").select("conv_id", n.alias("n"), "raw_n", "messages", "chars", F.coalesce("final", F.lit("")).alias("final"))
+    """Conversations through the fold: asks, the last final, and notes of finals that a later one replaced. Clipped texts,
+    whose form clip_functions checks, are left out."""
+    turns = session.fold(conversation_facts(spark, sf_dir)).turns
+    whole = lambda c, n: F.when(~F.contains(F.col(c), F.lit("…[+")), F.col(c)).alias(c)
+    return turns.select("session_id", "turn", F.col("n").cast("long").alias("n"), whole("ask", 4000), whole("final", 3000), F.size("notes").cast("long").alias("notes"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts) AS asks FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM events) WHERE k = 1 GROUP BY user_id")
@@ -118,22 +144,25 @@ def ask_dedupe(spark, sf_dir):
     return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]), ",").alias("asks"))
 
 
-@query("SELECT conv_id, arg_max(text, turn) AS final FROM conversations WHERE role = 'assistant' AND text <> '' GROUP BY conv_id")
-def last_final(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").filter("role = 'assistant' and text <> ''").groupBy("conv_id").agg(F.max_by("text", "turn").alias("final"))
+@query(f"WITH {MESSAGES_SQL}, d AS (SELECT conv_id, turn, raw, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS demoted FROM m WHERE role = 'assistant' AND text <> '') SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, demoted AS text FROM d WHERE length(demoted) <= 3000")
+def demoted_finals(spark, sf_dir):
+    """Answers that a later one of the same turn replaced, at that one's place; a conversation is one turn here."""
+    return session.demoted(conversation_facts(spark, sf_dir).withColumn("turn", F.lit("1")), session.Limits()).filter("not contains(text, '…[+')").select("session_id", "seq", "text")
 
 
-@query("SELECT conv_id, turn, demoted FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS demoted FROM conversations WHERE role = 'assistant') WHERE demoted IS NOT NULL")
-def demoted_finals(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("demoted")).filter("demoted is not null")
+def searchable(spark, sf_dir) -> DataFrame:
+    """Messages as searched and replayed records."""
+    f = conversation_facts(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return f.select("source", "session_id", "seq", "ts", "turn", F.concat("kind", F.lit(" message")).alias("label"), "text", F.col("text").alias("output"), none.alias("stderr"), none.alias("exit_text"), (F.col("kind") != "note").alias("replayed"))
 
 
-@query("""SELECT conv_id, turn, text FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 2""")
+@query(f"WITH {MESSAGES_SQL} SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, text, substr(text, 1, 30) AS output FROM m WHERE raw = 2 AND role IN ('user', 'assistant')")
 def turn_replay(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations")
-    n = F.count_if(F.col("role") == "user").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
-    return c.withColumn("n", n).filter("n = 2").select("conv_id", "turn", "text")
+    """The second turn of every conversation as it was logged, output cut."""
+    turns = session.fold(conversation_facts(spark, sf_dir)).turns
+    second = turns.withColumn("n", F.col("turn").cast("int"))  # by the number that the SQL has
+    return reports.replay(searchable(spark, sf_dir), second, 2, max_chars=30).select("session_id", "seq", "text", "output")
 
 
 # ---------------------------------------------------------------- ledgers
@@ -203,12 +232,12 @@ def carry_forward(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", ordered.carry_forward(value, ["user_id"], "ts", "event_id").alias("held"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT CAST(event_id AS BIGINT) AS id, CAST(CASE WHEN event_id % 64 = 0 THEN NULL ELSE event_id // 2 END AS BIGINT) AS parent, value FROM events WHERE event_id < 2000),
+@query("""WITH RECURSIVE n AS (SELECT CAST(event_id AS BIGINT) AS id, CAST(CASE WHEN event_id % 64 = 0 THEN NULL ELSE event_id // 2 END AS BIGINT) AS parent, value FROM events),
 r AS (SELECT id, value AS root_value FROM n WHERE parent IS NULL OR parent = id UNION ALL SELECT n.id, r.root_value FROM n JOIN r ON n.parent = r.id AND n.id <> r.id WHERE n.parent IS NOT NULL)
 SELECT id, root_value FROM r""")
 def call_tree(spark, sf_dir):
-    """A bounded range of events as calls whose parent is half their number; each call's value is its root's."""
-    e = t(spark, sf_dir, "events").filter("event_id < 2000")
+    """All events as calls whose parent is half their number; each call's value is its root's."""
+    e = t(spark, sf_dir, "events")
     n = e.select(F.lit(1).alias("s"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 64 != 0, F.floor(F.col("event_id") / 2)).alias("parent"), F.col("value").alias("root_value"))
     return ordered.roots(n, ["s"], "id", "parent", "root_value").select("id", "root_value")
 
@@ -260,17 +289,11 @@ def tier_fit(spark, sf_dir):
 # ---------------------------------------------------------------- rollups
 
 
-@query("SELECT o_custkey, o_orderkey, 'S' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS code FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
 def session_codes(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("S"), n.cast("string")).alias("code"))
-
-
-@query("""WITH h AS (SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS host, length(html) AS n FROM pages)
-SELECT lower(host) AS key, arg_min(host, page_id) AS folder, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS turns FROM h GROUP BY lower(host)""")
-def folder_rollup(spark, sf_dir):
-    h = t(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), F.length("html").alias("n"))
-    return h.groupBy(F.lower("host").alias("key")).agg(F.min_by("host", "page_id").alias("folder"), F.count(F.lit(1)).alias("sessions"), F.sum("n").cast("long").alias("turns"))
+    """Numbers in a global order, without a task that sees all rows."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return ordered.numbered(o, ["o_orderkey"], [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()])
 
 
 @query("""SELECT l_partkey, count(DISTINCT l_suppkey) AS sessions, count(*) AS changes FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1 ORDER BY sessions DESC, changes DESC, l_partkey LIMIT 25""")
@@ -280,21 +303,6 @@ def file_rollup_shared(spark, sf_dir):
     return g.orderBy(F.desc("sessions"), F.desc("changes"), "l_partkey").limit(25)
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, lower(substr('run ' || {K_SQL}, 1, 5)) AS key, value FROM events WHERE event_type = 'error')
-SELECT key, count(DISTINCT user_id) AS sessions, count(*) AS occurrences, arg_max(value, event_id) AS last_value FROM e GROUP BY key""")
-def failure_rollup(spark, sf_dir):
-    e = t(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "event_id", "value", X.cmd_key(F.substring(F.concat(F.lit("run "), _k().cast("string")), 1, 5)).alias("key"))
-    per = e.groupBy("key", "user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("event_id", "value")).alias("last"))
-    return per.groupBy("key").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("occurrences"), F.max("last").alias("last")).select("key", "sessions", "occurrences", F.col("last.value").alias("last_value"))
-
-
-@query("SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS sessions, round(sum(value), 2) AS total, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS updated_us FROM events GROUP BY event_type")
-def tool_rollup_totals(spark, sf_dir):
-    e = t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tool"))
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    return e.agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("user_id").alias("sessions"), F.round(F.sum("value"), 2).alias("total"), us(F.min("ts")).alias("started_us"), us(F.max("ts")).alias("updated_us"))
-
-
 @query("""SELECT o_custkey, count(*) AS plan_size, count(*) FILTER (o_orderstatus <> 'F') AS open_items, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus <> 'F') AS last_open FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus <> 'F') > 0""")
 def plan_open_items(spark, sf_dir):
     open_ = F.col("o_orderstatus") != "F"
@@ -352,22 +360,28 @@ def slug_uuid_exit(spark, sf_dir):
 _WINDOW = """CASE WHEN pos = 0 THEN substr(text, 1, 80) ELSE (CASE WHEN greatest(pos - 41, 0) > 0 THEN '…' ELSE '' END) || substr(text, greatest(pos - 41, 0) + 1, least(length(text), pos - 1 + n + 40) - greatest(pos - 41, 0)) || (CASE WHEN least(length(text), pos - 1 + n + 40) < length(text) THEN '…' ELSE '' END) END"""
 
 
-@query(f"SELECT doc_id, {_WINDOW} AS excerpt FROM (SELECT doc_id, text, instr(lower(text), 'license') AS pos, 7 AS n FROM documents WHERE contains(lower(text), 'license'))")
+def documents_as_records(spark, sf_dir) -> DataFrame:
+    """Documents as the records of one session for each source."""
+    return t(spark, sf_dir, "documents").select(F.lit("x").alias("source"), F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), F.lit("").alias("ts"), F.lit("").alias("turn"), F.concat("lang", F.lit(" text")).alias("label"), "text")
+
+
+_LAST = "SELECT session_id, seq, excerpt, total FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k, count(*) OVER (PARTITION BY session_id) AS total FROM h)"
+
+
+@query(f"WITH h AS (SELECT source AS session_id, doc_id AS seq, {_WINDOW} AS excerpt FROM (SELECT source, doc_id, text, instr(lower(text), 'license') AS pos, 7 AS n FROM documents WHERE contains(lower(text), 'license'))) {_LAST}")
 def search_literal(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("license")))
-    return d.select("doc_id", X.excerpt(F.col("text"), F.lit("License"), 40).alias("excerpt"))
+    return reports.search(documents_as_records(spark, sf_dir), "License", limit=0, radius=40).select("session_id", "seq", "excerpt", "total")
 
 
-@query(f"SELECT doc_id, hit, {_WINDOW} AS excerpt FROM (SELECT doc_id, text, hit, instr(lower(text), lower(hit)) AS pos, length(hit) AS n FROM (SELECT doc_id, text, regexp_extract(text, '(?i)licen[cs]ed? under the [a-z]+', 0) AS hit FROM documents) WHERE hit <> '')")
+@query(f"WITH h AS (SELECT source AS session_id, doc_id AS seq, {_WINDOW} AS excerpt FROM (SELECT source, doc_id, text, hit, instr(lower(text), lower(hit)) AS pos, length(hit) AS n FROM (SELECT source, doc_id, text, regexp_extract(text, '(?i)licen[cs]ed? under the [a-z]+', 0) AS hit FROM documents) WHERE hit <> '')) {_LAST} WHERE k <= 3")
 def search_regex(spark, sf_dir):
-    hit = F.regexp_extract("text", "(?i)licen[cs]ed? under the [a-z]+", 0)
-    return t(spark, sf_dir, "documents").withColumn("hit", hit).filter("hit <> ''").select("doc_id", "hit", X.excerpt(F.col("text"), F.col("hit"), 40).alias("excerpt"))
+    return reports.search(documents_as_records(spark, sf_dir), "licen[cs]ed? under the [a-z]+", regex=True, limit=3, radius=40).select("session_id", "seq", "excerpt", "total")
 
 
-@query(f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents WHERE contains(lower(text), 'the')) WHERE k <= 15")
+@query(f"WITH h AS (SELECT source AS session_id, doc_id AS seq, {_WINDOW} AS excerpt FROM (SELECT source, doc_id, text, instr(lower(text), 'the') AS pos, 3 AS n FROM documents WHERE contains(lower(text), 'the') AND contains(lang || ' text', 'en'))) {_LAST} WHERE k <= 15")
 def search_keep_last(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("the"))).select("source", "doc_id")
-    return d.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("doc_id")))).filter("k <= 15").drop("k")
+    """Of each session the last fifteen hits of one kind of record, and how many there are."""
+    return reports.search(documents_as_records(spark, sf_dir), "THE", kind="EN", limit=15, radius=40).select("session_id", "seq", "excerpt", "total")
 
 
 @query(f"SELECT event_id, {K_SQL} AS k, array_to_string(json_keys(props), ',') AS shape FROM events")

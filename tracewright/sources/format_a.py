@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
-from tracewright.sources.logs import exploded, fact, full, get, lines
+from tracewright.sources.logs import exploded, fact, first_lines, full, get, lines
 
 SOURCE = "codex"  # the name by which logs and links of this format are known
 P, I = "$.payload", "$.payload.item"
@@ -26,15 +26,17 @@ PLAN_STEP = rf"step\s*:\s*{_QUOTED}\s*,\s*status\s*:\s*{_QUOTED}"
 STEPS = "array<struct<step:string,status:string>>"
 
 
-def headers(spark: SparkSession, root: str) -> DataFrame:
-    """A row per rollout file with an id: session_id, file, size, mtime, started_at, cwd, originator, model."""
-    first = lines(spark, root).groupBy("file", "mtime", "size").agg(F.min_by("value", "line_no").alias("value"))
+def headers(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
+    """A row per rollout file with an id: session_id, file, size, mtime, started_at, cwd, originator, model, and of its name
+    the stamp and the id of the thread it was forked from. With ``only`` (file) just those files."""
+    first = first_lines(spark, root, only=only)
     rec = F.try_parse_json("value")
     h = first.withColumn("rec", F.when(get("$.type", of=rec) == "session_meta", rec))
-    named = F.regexp_extract("file", rf"rollout-.+?-({X.UUID})(?:_{X.UUID})?\.jsonl$", 1)
+    part = lambda k: full(F.regexp_extract("file", rf"rollout-(.+?)-({X.UUID})(?:_({X.UUID}))?\.jsonl$", k))
     h = h.select(
-        F.lit(SOURCE).alias("source"), F.lower(F.coalesce(full(get(f"{P}.session_id")), full(get(f"{P}.id")), full(named))).alias("session_id"), "file", "size", "mtime",
+        F.lit(SOURCE).alias("source"), F.lower(F.coalesce(full(get(f"{P}.session_id")), full(get(f"{P}.id")), part(2))).alias("session_id"), "file", "size", "mtime",
         get(f"{P}.timestamp").alias("started_at"), get(f"{P}.cwd").alias("cwd"), get(f"{P}.originator").alias("originator"), get(f"{P}.base_instructions.provenance.model").alias("model"),
+        part(1).alias("stamp"), F.lower(part(3)).alias("fork_id"),
     )
     return h.filter("session_id is not null")
 

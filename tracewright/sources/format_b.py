@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions import text as X
 from tracewright.operators.ordered import asof_latest, carry_forward, roots
-from tracewright.sources.logs import SESSION, exploded, fact, full, get, lines
+from tracewright.sources.logs import SESSION, existing, exploded, fact, first_lines, full, get
 
 SOURCE = "copilot"  # the name by which logs and links of this format are known
 D = "$.data"
@@ -43,11 +43,12 @@ def _scalar(raw: str):
             return json.loads(raw)
         except ValueError:
             return raw[1:-1]
-    return raw
+    return raw == "true" if raw in ("true", "false") else int(raw) if re.fullmatch(r"-?\d+", raw) else raw
 
 
-def flat_yaml(text: str) -> dict[str, str | None]:
-    """The top-level keys of a flat YAML document with plain, quoted and block (``|``, ``>``) scalars."""
+def flat_yaml(text: str) -> dict[str, str | int | bool | None]:
+    """The top-level keys of a flat YAML document with plain, quoted and block (``|``, ``>``) scalars; plain ``true``,
+    ``false`` and whole numbers have their types."""
     out, rows, k = {}, (text or "").split("\n"), 0
     while k < len(rows):
         m = re.match(r"([A-Za-z_][\w-]*):(?:\s(.*)|\s*)$", rows[k].rstrip("\r"))
@@ -71,7 +72,8 @@ WORKSPACE = ("id", "created_at", "cwd", "name", "summary", "user_named", "client
 
 @F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in WORKSPACE]))
 def _workspace(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{k: d.get(k) for k in WORKSPACE} for d in map(flat_yaml, texts)], columns=list(WORKSPACE), dtype=object)
+    typed = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    return pd.DataFrame([{k: typed(d.get(k)) for k in WORKSPACE} for d in map(flat_yaml, texts)], columns=list(WORKSPACE), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -96,6 +98,8 @@ def _folder(c: str) -> Column:
 
 
 def _small_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    if not existing(spark, root):
+        return spark.createDataFrame([], "dir string, content binary, mtime timestamp")
     found = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
     return found.select(_folder("_metadata.file_path").alias("dir"), "content", F.col("modificationTime").alias("mtime"))
 
@@ -110,7 +114,7 @@ def title_of_name(name: Column) -> Column:
 def sessions(spark: SparkSession, root: str) -> DataFrame:
     """A row per folder with an events.jsonl: the session's header from workspace.yaml and its first record, its plan
     document and its todo list."""
-    ev = lines(spark, root, glob="events.jsonl").groupBy("file", "mtime", "size").agg(F.min_by("value", "line_no").alias("value")).withColumn("dir", _folder("file"))
+    ev = first_lines(spark, root, glob="events.jsonl").withColumn("dir", _folder("file"))
     ev = ev.filter(~F.startswith(F.element_at(F.split("dir", "/"), -1), F.lit(".")))
     rec = F.try_parse_json("value")
     ev = ev.withColumn("rec", F.when(get("$.type", of=rec) == "session.start", rec))
@@ -124,7 +128,7 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce("ws.cwd", get(f"{D}.context.cwd")).alias("cwd"), get(f"{D}.selectedModel").alias("model"), F.coalesce("ws.client_name", get(f"{D}.producer")).alias("originator"),
         F.coalesce("ws.created_at", get(f"{D}.startTime")).alias("started_at"), F.greatest("mtime", F.coalesce("ws_mtime", "mtime")).alias("updated_at"), F.col("size").alias("bytes"), F.lit(1).cast("long").alias("segments"),
         F.array("file").alias("files"), F.col("dir").alias("link"), F.concat(F.lit("copilot --resume "), F.lower(F.coalesce("ws.id", get(f"{D}.sessionId"), name))).alias("resume"),
-        F.col("ws.git_root").alias("git_root"), F.col("ws.branch").alias("branch"), F.col("ws.repository").alias("repository"), "plan", "plan_doc",
+        F.col("ws.git_root").alias("git_root"), F.col("ws.branch").alias("branch"), F.col("ws.repository").alias("repository"), "plan", "plan_doc", F.col("ws.user_named").cast("boolean").alias("user_named"),
     )
 
 

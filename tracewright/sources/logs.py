@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tracewright.shipping import ship
@@ -21,31 +17,69 @@ FACT = "struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">"
 FACT_COLUMNS = [*SESSION, "seq", "sub", "ts", *FIELDS]
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_json_object(lines: pd.Series) -> pd.Series:
-    def good(line):
-        try:
-            return isinstance(json.loads(line, parse_constant=lambda c: json.loads("'")), dict)
-        except (ValueError, TypeError, RecursionError):
-            return False
+HEAD_BYTES = 1 << 20  # of a file in which its first line is looked for
+
 
-    return lines.map(good).astype(bool)
+def is_json_object(value: Column) -> Column:
+    """Whether a text is one JSON object and nothing else.
+
+    The variant parser is strict but stops behind the first value. What follows it is found by parsing the text again inside
+    an array, which only ``]`` can end early, and inside an object, which only ``}`` can.
+    """
+    first = F.try_parse_json(value)
+    alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    inside = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), value, F.lit("}")))) == 1
+    return F.coalesce(F.startswith(F.schema_of_variant(first), F.lit("OBJECT")) & alone & inside, F.lit(False))
 
 
 def lines(spark: SparkSession, paths: list[str] | str, *, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
-    """(file, line_no, value, mtime, size): the lines of text files, numbered from 0 within each file before blank ones
-    are left out. The order comes from the scan itself: split start, then position in the split."""
+    """(file, line_no, value, mtime, size): the lines of text files, blank ones left out, with numbers that rise in each
+    file's order (they are not consecutive).
+
+    No line is shuffled: a number is where its split begins plus its place among the rows of the task that scans it. A split
+    that others follow has the full split size and a task of its own, so it has fewer rows than bytes and the next split's
+    numbers are larger. A folder that does not exist has no lines.
+    """
     reader = ship(spark).read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    raw = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
-        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value",
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "file string, line_no long, value string, mtime timestamp, size long")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = reader.text(there).select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + place).alias("line_no"), "value",
+        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"),
     )
-    n = F.row_number().over(W.partitionBy("file").orderBy("_block", "_id")) - 1
-    return raw.select("file", n.alias("line_no"), "value", "mtime", "size").filter(F.trim("value") != "")
+    return raw.filter(F.trim("value") != "")
+
+
+def existing(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """The paths that exist, by whatever file system they name."""
+    found = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            found.append(p)
+    return found
+
+
+def first_lines(spark: SparkSession, root: str, *, glob: str = "*.jsonl", only: DataFrame | None = None) -> DataFrame:
+    """(file, mtime, size, value): the first line of every file below ``root``, of its first ``HEAD_BYTES`` at most; with
+    ``only`` (file), of those files. A file is one row of its head: later bytes are read by the scan but neither kept nor dealt."""
+    if not existing(spark, root):
+        return spark.createDataFrame([], "file string, mtime timestamp, size long, value string")
+    reader = ship(spark).read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    starts = reader.text(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value",
+    ).filter("_start = 0 and trim(value) <> ''")
+    starts = starts.join(only.select("file"), "file", "left_semi") if only is not None else starts
+    return starts.groupBy("file", "mtime", "size").agg(F.min_by(F.substring("value", 1, HEAD_BYTES), "_id").alias("value"))
 
 
 def listing(spark: SparkSession, root: str, *, glob: str = "*.jsonl") -> DataFrame:
-    """(file, mtime, size) of every file below ``root``; no content is read."""
+    """(file, mtime, size) of every file below ``root``; no content is read, and a missing folder has no files."""
+    if not existing(spark, root):
+        return spark.createDataFrame([], "file string, mtime timestamp, size long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     return found.select(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
@@ -60,7 +94,7 @@ def records(numbered: DataFrame, files: DataFrame) -> DataFrame:
     placed = files.select(*SESSION, "file").distinct().withColumn("rank", rank)
     both = numbered.join(placed, "file")
     seq = F.shiftleft(F.col("rank").cast("long"), 40) + F.col("line_no")
-    strict = both.select(*SESSION, seq.alias("seq"), "file", "value", _is_json_object("value").alias("ok"))
+    strict = both.select(*SESSION, seq.alias("seq"), "file", "value", is_json_object(F.col("value")).alias("ok"))
     return strict.withColumn("rec", F.when(F.col("ok"), F.try_parse_json("value")))
 
 
@@ -86,6 +120,36 @@ def exploded(recs: DataFrame, ts: Column, singles: list[Column], lists: list[Col
     return rows.select(*SESSION, "seq", "sub", "ts", "f.*")
 
 
+MANIFEST_VERSION = 1
+
+
+def _written_tables(spark: SparkSession, folder: str) -> list[str]:
+    """The complete tables in a folder, in order."""
+    if not existing(spark, folder):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(p for p in (f.getPath().toString() for f in found) if existing(spark, f"{p}/_SUCCESS"))
+
+
+def refreshed(spark: SparkSession, manifest: str, listed: DataFrame, read, *, refresh: bool = False) -> DataFrame:
+    """The headers of the listed files: those of an earlier call that still hold, and ``read(files)`` of the new and changed.
+
+    ``manifest`` is a folder of Parquet tables, one a version of the layout and call; a new one is written only where
+    something changed or went away, and ``refresh`` reads every file again.
+    """
+    folder = f"{manifest.rstrip('/')}/v{MANIFEST_VERSION}"
+    old = _written_tables(spark, folder)
+    cached = spark.read.parquet(old[-1]) if old and not refresh else None
+    fresh, kept = manifest_changes(listed, cached)
+    if kept is not None and fresh.isEmpty() and kept.count() == cached.count():
+        return kept
+    new = read(fresh)
+    path = f"{folder}/{len(old):08d}"
+    (new if kept is None else new.unionByName(kept.select(*new.columns))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def manifest_changes(listed: DataFrame, cached: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """The listed files to read anew, and the cached headers that still hold: same path, time and size."""
     if cached is None:
