@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.plans import reports
+from tracewright.plans import reports, views
 from tracewright.sources import format_a, format_b, logs
 
 A_ID = "11111111-2222-3333-4444-555555555555"
@@ -172,6 +172,25 @@ def test_rollups_and_fit(everything):
     assert reports.collapsed_actions(f.actions).count() == f.actions.count()
 
 
+def test_session_views(everything, tmp_path):
+    sessions, f = everything
+    found = {r["source"]: r for r in views.session_views(sessions, f, None).collect()}
+    a, b = found["codex"]["markdown"], found["copilot"]["markdown"]
+    assert found["codex"]["name"] == "session-view-codex-please-repair-the-failing-build-11111111"
+    assert "- `npm test` → exit 1\n\n  ```\n  a\n  FAILED: one\n  last words here\n  ```" in a and "_1 other command(s) failed at some point but later succeeded — treated as resolved._" in a
+    assert "| File | Created | Edited | Deleted | ~Lines |" in a and "| `z.py` | 1 |  |  | 3 |" in a and "$ make all ✗\n$ Make ALL\n$ npm test ✗\n± add z.py (~3 lines)" in a
+    assert "### Turn 1 — 2025-01-01 00:00 (5s)\n\n**User:**\n\n> Please repair the failing build today\n\n**Reasoning trail:** Think · more\n\n_working_" in a and "**Agent:**\n\n> Final words" in a
+    assert "### Plan state at the end\n\n- [ ] a" not in b and "- [x] a\n- [ ] b (blocked)" in b and "the plan" in b and "be nice" in b and "| Resume | `copilot --resume abcdef12" in b
+    assert json.loads(found["codex"]["packet"])["failures"][1]["cmd"] == "npm test"
+    small = {r["source"]: r["markdown"] for r in views.session_views(sessions, f, 700).collect()}
+    assert "_Fitted to a ~700 token budget" not in small["codex"] or "omitted" in small["codex"]
+    assert len(views.write_local(views.session_views(sessions, f), str(tmp_path))) == 4
+    views.write_views(views.session_views(sessions, f), str(tmp_path / "out"))
+    assert len(os.listdir(tmp_path / "out" / "markdown")) >= 2
+    listing = views.table_lines(sessions, 1)
+    assert listing[0].startswith("  #   SOURCE") and listing[2] == "  …1 more" and json.loads(views.shown(sessions.filter("source = 'codex'")))["session_id"] == A_ID
+
+
 def test_selection(spark, everything):
     sessions, _ = everything
     assert reports.resolve(sessions, "111111").count() == 1 and reports.resolve(sessions, f"codex://threads/{A_ID}").count() == 1

@@ -112,10 +112,22 @@ def uuid_in(c: Column) -> Column:
 
 def slug(c: Column, n: int = 50) -> Column:
     dashed = F.regexp_replace(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.regexp_replace(F.substring(dashed, 1, n), "-+$", "")
+    cut = F.substring(dashed, 1, n)
     return F.when(cut == "", F.lit("session")).otherwise(cut)
 
 
+LABELS = {"codex": "Codex", "copilot": "Copilot"}  # fixed: how the formats' tools are called
+
+
+def source_label(c: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[c], c, F.lit("Agent"))
+
+
+def window_label(since: Column, until: Column) -> Column:
+    """``since`` → ``until`` of a time window; an open end is the start, or now."""
+    return F.concat(F.when(since.isNull(), "start").otherwise(minute(since)), F.lit(" → "), F.when(until.isNull(), "now").otherwise(minute(until)))
+
+
 def blockquote(c: Column) -> Column:
     return F.array_join(F.transform(F.split(trim_all(_text(c)), "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
 

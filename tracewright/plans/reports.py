@@ -307,11 +307,16 @@ def fitted_cards(c: DataFrame, budget_tokens: int | None) -> DataFrame:
 # ---------------------------------------------------------------- fitting one session
 
 
-def fitted_turns(folded: Sessions, budget: int | None, spine_tokens: int = 0, guaranteed: int = 3) -> DataFrame:
-    """Turns with the tier that the budget leaves them: 0 omit, 1 digest, 2 brief, 3 full."""
+def costed_turns(folded: Sessions) -> DataFrame:
+    """Turns with ``cost``: their characters in each tier."""
     chars = lambda c, extra: F.aggregate(c, F.lit(0), lambda acc, x: acc + F.length(x) + extra)
     does = F.aggregate("actions", F.lit(0), lambda acc, a: acc + F.length(a["line"]) + 6 + F.coalesce(F.length(a["error"]), F.lit(0)))
-    t = folded.turns.withColumn("cost", fit.turn_costs(F.length("ask"), F.length("final"), chars(F.col("notes"), 4) + chars(F.col("reasoning"), 3) + does))
+    return folded.turns.withColumn("cost", fit.turn_costs(F.length("ask"), F.length("final"), chars(F.col("notes"), 4) + chars(F.col("reasoning"), 3) + does))
+
+
+def fitted_turns(folded: Sessions, budget: int | None, spine_tokens: int = 0, guaranteed: int = 3) -> DataFrame:
+    """Turns with the tier that the budget leaves them: 0 omit, 1 digest, 2 brief, 3 full."""
+    t = costed_turns(folded)
     g = t.groupBy(*S).agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "cost")))).alias("x"))
     g = g.withColumn("f", fit.plan_budget(F.transform("x", lambda x: x["cost"]), F.lit(budget), F.lit(spine_tokens), guaranteed))
     tiers = g.select(*S, F.explode(F.arrays_zip(F.transform("x", lambda x: x["n"]).alias("n"), F.col("f.tiers").alias("tier"))).alias("z")).select(*S, "z.n", "z.tier")

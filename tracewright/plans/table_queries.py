@@ -347,7 +347,7 @@ def size_and_duration_format(spark, sf_dir):
 
 
 @query(r"""WITH s AS (SELECT page_id, url, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS d FROM pages)
-SELECT page_id, CASE WHEN regexp_replace(substr(d, 1, 50), '-+$', '') = '' THEN 'session' ELSE regexp_replace(substr(d, 1, 50), '-+$', '') END AS slug,
+SELECT page_id, CASE WHEN d = '' THEN 'session' ELSE substr(d, 1, 50) END AS slug,
 '0a1b2c3d-0000-4abc-8def-' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS id, CAST(page_id % 7 AS BIGINT) AS code FROM s""")
 def slug_uuid_exit(spark, sf_dir):
     made = F.concat(F.lit("codex://threads/0A1B2C3D-0000-4ABC-8DEF-"), F.lpad(F.col("page_id").cast("string"), 12, "0"))
