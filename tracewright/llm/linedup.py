@@ -173,8 +173,8 @@ def _near(classes: DataFrame, low: int, high: int | None, threshold: int) -> Dat
     tidy(spark)
     place = F.struct("r.doc_id", "r.text_hash", "r.line_no").alias("place")
     rows = written(met.join(chosen.select("h", "n", "sig", place), "h"), "placed")
-    near = spark.createDataFrame([], "h long")
-    tried = spark.createDataFrame([], "h long, a long")
+    none = spark.range(0)  # of the JVM's own, so that no Python worker is started
+    near, tried = none.select(F.col("id").alias("h")), none.select(F.col("id").alias("h"), F.col("id").alias("a"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: chosen.select(F.col("h").alias(c), F.col("r.line").alias(f"line_{c}"))

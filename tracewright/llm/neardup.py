@@ -181,8 +181,9 @@ class _Search:
     def __init__(self, members: DataFrame, texts: DataFrame, shingle: int, percent: int, coarse_bits: int, fine_bits: int):
         self.members, self.texts, self.verify = members, texts, lambda pairs: _verified(pairs, texts, shingle, percent)
         self.spark = members.sparkSession
-        self.component = self.spark.createDataFrame([], "id long, component long")
-        self.tried = self.spark.createDataFrame([], "a long, b long, linked boolean")
+        none = self.spark.range(0)
+        self.component = none.select("id", F.col("id").alias("component"))
+        self.tried = none.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked"))
         self.shingle, self.percent, self.coarse_bits, self.fine_bits = shingle, percent, coarse_bits, fine_bits
 
     def close(self, x: str, y: str) -> Column:
