@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import cli
 from tracewright.plans import reports, views
 from tracewright.sources import format_a, format_b, logs
 
@@ -182,15 +183,25 @@ def test_session_views(everything, tmp_path):
     assert "### Turn 1 — 2025-01-01 00:00 (5s)\n\n**User:**\n\n> Please repair the failing build today\n\n**Reasoning trail:** Think · more\n\n_working_" in a and "**Agent:**\n\n> Final words" in a
     assert "### Plan state at the end\n\n- [ ] a" not in b and "- [x] a\n- [ ] b (blocked)" in b and "the plan" in b and "be nice" in b and "| Resume | `copilot --resume abcdef12" in b
     assert json.loads(found["codex"]["packet"])["failures"][1]["cmd"] == "npm test"
-    small = {r["source"]: r["markdown"] for r in views.session_views(sessions, f, 700).collect()}
-    assert "_Fitted to a ~700 token budget" not in small["codex"] or "omitted" in small["codex"]
-    assert len(views.write_local(views.session_views(sessions, f), str(tmp_path))) == 4
-    views.write_views(views.session_views(sessions, f), str(tmp_path / "out"))
-    assert len(os.listdir(tmp_path / "out" / "markdown")) >= 2
+    paths = views.write_local(views.session_views(sessions, f, 700), str(tmp_path))
+    assert len(paths) == 4 and all(os.path.exists(x) for x in paths)
+    made = sessions.sparkSession.createDataFrame([("one", "# a\nb", "{}"), ("two", "c", "{}")], "name string, markdown string, packet string")
+    views.write_views(made, str(tmp_path / "out"))
+    assert {"name=one", "name=two"} <= set(os.listdir(tmp_path / "out" / "markdown")) & set(os.listdir(tmp_path / "out" / "json"))
     listing = views.table_lines(sessions, 1)
     assert listing[0].startswith("  #   SOURCE") and listing[2] == "  …1 more" and json.loads(views.shown(sessions.filter("source = 'codex'")))["session_id"] == A_ID
 
 
+def test_commands(spark, root_a, root_b, tmp_path):
+    run = lambda *x: cli.run(spark, ["--codex", root_a, "--copilot", root_b, "--out", str(tmp_path), *x])
+    assert "1 session(s)" in run("find", "fine")
+    with pytest.raises(SystemExit, match="unbounded"):
+        run("corpus")
+    text = run("--stdout", "--budget", "none", "corpus", "--last", "2")
+    assert text.startswith("# Corpus view — start → now") and "| Sessions | 2 (1 Codex, 1 Copilot) |" in text and "| S1 | Codex | `11111111` |" in text and "## Latest state — S" in text
+    assert "- **S2** (1 of 2 open): [ ] b (blocked)" in text and "### S1 — Please repair the failing build" in text and "**Outstanding failures:** `npm test` (exit 1)" in text and text.count("- **S2** 2025-02-01") == 2
+
+
 def test_selection(spark, everything):
     sessions, _ = everything
     assert reports.resolve(sessions, "111111").count() == 1 and reports.resolve(sessions, f"codex://threads/{A_ID}").count() == 1

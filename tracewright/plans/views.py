@@ -259,3 +259,123 @@ def write_local(views: DataFrame, folder: str) -> list[str]:
             with open(paths[-1], "w", encoding="utf-8") as f:
                 f.write(text)
     return paths
+
+
+# ---------------------------------------------------------------- the report over many sessions
+
+
+def _lines(df: DataFrame, section: int, order: Column, line: Column) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), order.cast("long").alias("place"), line.alias("line"))
+
+
+def report_lines(c: DataFrame, folded: Sessions, *, folder: str | None = None, window: tuple[datetime | None, datetime | None] | None = None, excluded: tuple[str, ...] = (), budget_tokens: int | None = 40_000, now: datetime | None = None) -> DataFrame:
+    """(section, place, line): the report over the sessions of :func:`tracewright.plans.reports.cards`, of one folder or, without
+    one, of a window over all. Sorted by section and place the lines are its text; only lists that the report cuts short
+    anyway and totals are gathered, a row for each session stays a row.
+    """
+    spark = c.sparkSession
+    literal = lambda section, *rows: spark.createDataFrame([(section, k, r) for k, r in enumerate(rows)], "section int, place long, line string")
+    t = reports.totals(c, folded).first()
+    time = lambda d: d.strftime("%Y-%m-%d %H:%M") if d else None
+    at = lambda v: c.select(_time(F.lit(None if v is None else str(v))).alias("x")).first()["x"] if t["sessions"] else "—"
+    sources = ", ".join(f"{n} {X.LABELS.get(s, s)}" for s, n in (t["by_source"] or {}).items()) or "none"
+    size = spark.range(1).select(X.human_size(F.lit(t["bytes"] or 0), " ").alias("x")).first()["x"]
+    folders = reports.folder_rollup(c)
+    n_folders = folders.count()
+    label = f"{time(window[0]) or 'start'} → {time(window[1]) or 'now'}" if window else "all sessions"
+    head = [f"# Project view — {folder}" if folder else f"# Corpus view — {label}", ""]
+    head += ["> Every recorded agent session for this folder, condensed deterministically. Requests and replies are quoted verbatim;" if folder else "> Every recorded agent session active in this window, across all folders, condensed deterministically. Requests and replies are quoted verbatim;"]
+    head += ["> everything else is reduced by fixed rules. Session codes (S1, S2, …) are in start order and are used throughout.", "", "| | |", "|---|---|", f"| Folder | `{folder}` |" if folder else f"| Folders | {n_folders} |"]
+    head += [f"| Excluded | {', '.join(f'`{e}`' for e in excluded)} |"] if excluded and not folder else []
+    head += [f"| Sessions | {t['sessions']} ({sources}) |", f"| Span | {at(t['started_at'])} → {at(t['updated_at'])} |", f"| Activity | {t['turns'] or 0} turns · {t['commands'] or 0} commands · {t['files_changed'] or 0} files changed · {t['outstanding_failures'] or 0} outstanding failure(s) |", f"| Source data | {size} |", ""]
+    parts = [literal(0, *head)]
+    codes = lambda numbers: F.array_join(F.transform(numbers, lambda n: _cat("S", n)), ", ")
+    ranked = lambda df, n: df.limit(n).withColumn("place", F.monotonically_increasing_id())  # noqa: E731  the first rows of an ordered table
+    if not folder and n_folders:
+        parts += [literal(1, "## Folders", "", "| Folder | Sessions | Turns |", "|---|---|--:|"), _lines(ranked(folders, 25), 2, F.col("place"), _cat("| `", X.cell(F.col("folder")), "` | ", codes(F.col("numbers")), " | ", F.col("turns"), " |"))]
+        parts += [literal(3, *([f"| _…{n_folders - 25} more in the JSON_ | | |"] if n_folders > 25 else []), "")]
+    row = _cat("| ", F.col("code"), " | ", X.source_label(F.col("source")), " | `", _id8(), "` | ", X.day(F.try_to_timestamp("started_at")), " | ", X.day(F.col("updated_at").cast("timestamp")), " | ", F.col("turns"), " | ", F.col("commands"), " | ", F.col("files_touched"), " | ",
+               F.when(F.col("outstanding_errors") > 0, F.col("outstanding_errors").cast("string")).otherwise(""), " | ", X.cell(X.short_line(F.coalesce("title", F.lit("—")), 70)), " |")
+    parts += [literal(4, "## Sessions", "", "| | Tool | Id | Started | Last active | Turns | Cmds | Files | Fails | Title |", "|---|---|---|---|---|--:|--:|--:|--:|---|"), _lines(c, 5, F.col("number"), row), literal(6, "")]
+    ask, reply = F.coalesce("last_ask", "first_ask"), F.col("last_reply")
+    newest = _doc(_cat("## Latest state — ", F.col("code")), "", _when(ask.isNotNull(), _cat("**Most recent request** _(", _time(ask["ts"]), ")_:"), "", X.blockquote(X.clip_doc(ask["text"], 1500)), ""),
+                  _when(reply.isNotNull(), _cat("**Last reply** _(", _time(reply["ts"]), ")_:"), "", X.blockquote(X.clip_doc(reply["text"], 2000)), ""))
+    parts += [_lines(reports.latest(c), 7, F.lit(0), newest)]
+    items = lambda n: _joined(_first(F.col("open_plan"), n), lambda s: _cat(F.when(s["status"] == "in_progress", "[~]").otherwise("[ ]"), " ", X.short_line(s["step"], 80)), " · ")
+    open_ = reports.unfinished(c)
+    if not open_.isEmpty():
+        line = _cat("- **", F.col("code"), "** (", F.size("open_plan"), " of ", F.col("plan_size"), " open): ", items(6), F.when(F.size("open_plan") > 6, " · …").otherwise(""))
+        parts += [literal(8, "## Unfinished plan items", ""), _lines(open_, 9, -F.col("number"), line), literal(10, "")]
+    by_file = folded.files.join(c.select(*S, "number"), S).groupBy("path").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    files = reports.file_rollup(c, folded)
+    n_files, n_shared = files.count(), files.filter("n_sessions > 1").count()
+    if n_files:
+        rel = X.relative_to(F.col("path"), folder) if folder else F.col("path")
+        few = ranked(reports.shared_files(files), 25).join(by_file, "path")
+        parts += [literal(11, "## Files changed in more than one session" if n_shared else "## Most-changed files", "", *(["_Paths are relative to the project folder unless outside it._", ""] if folder else []), "| File | Sessions | Changes |", "|---|---|--:|")]
+        parts += [_lines(few, 12, F.col("place"), _cat("| `", X.cell(rel), "` | ", codes(F.col("numbers")), " | ", F.col("changes"), " |")), literal(13, *([f"| _…{(n_shared or n_files) - 25} more in the JSON_ | | |"] if (n_shared or n_files) > 25 else []), "")]
+    failures = reports.failure_rollup(c, folded)
+    n_failures = failures.count()
+    if n_failures:
+        held = folded.failures.filter("not resolved").join(c.select(*S, "number"), S).groupBy(X.cmd_key(F.col("shown")).alias("shown_key")).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+        line = _cat("- `", X.short_line(F.col("cmd"), 160), "` — ", codes(F.col("numbers")), F.when(F.col("occurrences") > 1, _cat(", failed ", F.col("occurrences"), "×")).otherwise(""), F.when(F.coalesce("last_line", F.lit("")) != "", _cat("  \n  _", X.cell(F.col("last_line")), "_")).otherwise(""))
+        parts += [literal(14, "## Outstanding failures", "", "Commands that failed and were never seen to succeed later in the same session. Repeats across sessions come first.", ""), _lines(ranked(failures, 10).join(held, "shown_key"), 15, F.col("place"), line)]
+        parts += [literal(16, *([f"- _…{n_failures - 10} more in the JSON_"] if n_failures > 10 else []), "")]
+    made = (now or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    foot = ["## Drill down", "", f"- One session in detail: `{TOOL} view <id>`", f'- Anything said or run in a session, including output: `{TOOL} search <id> "<text>"`', f"- One turn in full: `{TOOL} turn <id> <n>`", "", "---", f"_Generated {made} from {size} of session data. Deterministic condensation — no model in the loop._"]
+    spine = parts[0]
+    for more in parts[1:]:
+        spine = spine.union(more)
+    every = reports.requests(c, folded)
+    asked = every.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.length("ask"), F.lit(reports.ASK_CHARS)) + 40).alias("chars")).first()
+    kept, left = every, None
+    if budget_tokens:
+        used = (spine.agg(F.sum(F.length("line") + 1).alias("n")).first()["n"] or 0) + sum(len(x) + 1 for x in foot)
+        remaining = max(0, budget_tokens - used // 4)
+        cards_chars = reports.card_costs(c).agg(F.sum(F.col("cost")[2]).alias("n")).first()["n"] or 0
+        if (asked["chars"] or 0) // 4 + cards_chars // 4 > remaining:
+            kept = reports.requests(c, folded, int(remaining * 0.4))
+            spent = kept.agg(F.sum(X.tokens(F.least(F.length("ask"), F.lit(reports.ASK_CHARS)) + 40)).alias("n")).first()["n"] or 0
+            left = remaining - int(spent)
+    tiered = reports.fitted_cards(c, left)
+    omitted = tiered.filter("tier = 0").count()
+    parts = [spine, literal(17, "## Session cards", "", *([f"_{omitted} older session(s) appear only in the table above to fit the size limit. Use `{TOOL} view <id>` for any of them._", ""] if omitted else []))]
+    parts += [_lines(tiered.filter("tier > 0"), 18, F.col("number"), _card(folder))]
+    n_kept = kept.count()
+    parts += [literal(19, "## Every request, in order", "", *([f"_Showing the {n_kept} most recent of {asked['n']} requests; the JSON beside this file has all of them._", ""] if n_kept < asked["n"] else []))]
+    order = F.unix_micros(F.coalesce(F.try_to_timestamp("started_at"), F.timestamp_seconds(F.lit(0))))
+    brief = F.when(F.col("ask_source") != "user", "_(brief from another agent)_ ").otherwise("")
+    parts += [_lines(kept, 20, order, _cat("- **", F.col("code"), "** ", _time(F.col("started_at")), " — ", brief, X.short_line(F.col("ask"), reports.ASK_CHARS))), literal(21, "", *foot)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out.orderBy("section", "place", "line")
+
+
+def _card(folder: str | None) -> Column:
+    full = F.col("tier") == 2
+    cap = lambda x, n: X.blockquote(F.when(full, X.clip_doc(x, n)).otherwise(X.clip_doc(x, 300)))
+    rel = lambda p: X.relative_to(p, folder) if folder else p
+    files, failed, open_ = F.col("files_changed"), F.col("outstanding"), F.col("open_plan")
+    more = lambda items, n: F.when(F.size(items) > n, _cat(", …", F.size(items) - n, " more")).otherwise("")
+    return _doc(
+        _cat("### ", F.col("code"), " — ", F.coalesce("title", F.lit("untitled"))), "",
+        _cat("_", X.source_label(F.col("source")), " · `", F.col("session_id"), "` · ", _time(F.col("started_at")), " → ", _time(F.col("updated_at")), " · ", F.col("turns"), " turns · ", F.col("commands"), " commands · ", F.col("files_touched"), " files changed", F.when(F.col("cwd").isNotNull(), _cat(" · `", F.col("cwd"), "`")).otherwise(""), "_"), "",
+        _when(F.col("first_ask").isNotNull(), "**Opening request:**", "", cap(F.col("first_ask.text"), 800), ""),
+        _when(full & F.col("last_ask").isNotNull(), _cat("**Last request** _(", _time(F.col("last_ask.ts")), ")_:"), "", X.blockquote(X.clip_doc(F.col("last_ask.text"), 800)), ""),
+        _when(F.col("last_reply").isNotNull(), "**Last reply:**", "", cap(F.col("last_reply.text"), 1200), ""),
+        _when(full & (F.size(files) > 0), _cat("**Files changed:** ", _joined(_first(files, 10), lambda f: _cat("`", rel(f["path"]), "`"), ", "), more(files, 10)), ""),
+        _when(full & (F.size(failed) > 0), _cat("**Outstanding failures:** ", _joined(_first(failed, 3), lambda o: _cat("`", X.short_line(o["cmd"], 100), "` (exit ", o["exit"], ")"), "; "), F.when(F.size(failed) > 3, _cat("; …", F.size(failed) - 3, " more")).otherwise("")), ""),
+        _when(full & (F.size(open_) > 0), _cat("**Open plan items:** ", _joined(_first(open_, 8), lambda s: X.short_line(s["step"], 80), " · ")), ""),
+    )
+
+
+def write_report(lines: DataFrame, c: DataFrame, folder: str, base: str) -> tuple[str, str]:
+    """The report as base.md and its cards as base.json, a card a line, in the driver's folder; both are streamed to it."""
+    os.makedirs(folder, exist_ok=True)
+    paths = os.path.join(folder, f"{base}.md"), os.path.join(folder, f"{base}.json")
+    with open(paths[0], "w", encoding="utf-8") as f:
+        f.writelines(r["line"] + "\n" for r in lines.toLocalIterator())
+    with open(paths[1], "w", encoding="utf-8") as f:
+        f.writelines(r["j"] + "\n" for r in c.orderBy("number").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator())
+    return paths
