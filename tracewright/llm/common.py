@@ -123,3 +123,20 @@ def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def opened(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def byte_table(word: Callable[[int], bool]) -> bytes:
+    """For ``bytes.translate``: A-Z in lower case, and a blank for every byte below 128 that is no ``word`` byte."""
+    return bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or word(b) else 32 for b in range(256))
+
+
+def pieces(text: pa.StringScalar, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text of any length, in lists: ``size`` bytes are translated and split at a time, never within a word."""
+    whole = text.as_buffer()
+    view, carry = memoryview(whole if whole is not None else b""), b""
+    for at in range(0, len(view), size):
+        part = carry + view[at : at + size].tobytes().translate(table)
+        cut = len(part) if at + size >= len(view) else part.rfind(b" ") + 1
+        carry = part[cut:]
+        if cut:
+            yield part[:cut].split()

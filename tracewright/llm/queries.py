@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, decontaminate, html_extract, linedup, lm, neardup, packing, pii, quality, toxicity
+from tracewright.llm import chat, decontaminate, divergence, html_extract, interactions, licenses, linedup, lm, neardup, packing, pii, quality, toxicity
 from tracewright.llm.common import crc_mod, table
 
 #: Where the public tokenizer files are, unless a caller names another folder.
@@ -65,6 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 CHAT_SQL = """
 WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 s AS (
@@ -131,10 +143,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+DIVERGENCE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+df AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, t, count(*) AS c FROM (SELECT lang, source, unnest(w) AS t FROM d) SEMI JOIN df USING (lang, t) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+l AS (SELECT lang, t, sum(c) AS c FROM c GROUP BY ALL),
+m AS (SELECT lang, sum(c) AS n FROM l GROUP BY ALL),
+q AS (SELECT lang, t, 1 + CAST(1000000000 AS HUGEINT) * (l.c + 5) // (m.n + 5 * v.v) AS q FROM l JOIN m USING (lang) JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, df.t, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5) // (coalesce(n.n, 0) + 5 * v.v) AS p
+      FROM g JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = df.t LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+y AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, CAST(p.p - q.q AS BIGINT) AS value FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM x UNION ALL SELECT * FROM y) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+INTERACTION_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT doc_id, part, CAST(length(text) AS BIGINT) AS n, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),
+k AS (SELECT doc_id, bool_or(quality = 1) AS q, bool_or(toxic = 1) AS t FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 1 ELSE 0 END) | (CASE WHEN b THEN 2 ELSE 0 END) | (CASE WHEN c THEN 4 ELSE 0 END) | (CASE WHEN d THEN 8 ELSE 0 END) | (CASE WHEN e THEN 16 ELSE 0 END) AS mask, count(*) AS n, count(*) FILTER (q) AS good, count(*) FILTER (t) AS toxic
+      FROM b LEFT JOIN k USING (doc_id) GROUP BY ALL),
+o AS (SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS bit, [''] AS path UNION ALL SELECT filter_order || l, step + 1, before | bit, v, path || [l] FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(l, v) WHERE (before | bit) & v = 0),
+s AS (SELECT w.filter_order, p.step, p.before, p.bit FROM o AS w JOIN o AS p ON w.step = 5 AND p.step > 0 AND starts_with(w.filter_order, p.filter_order)),
+r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS BIGINT) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    """op8 has none, as DuckDB's edit distance counts bytes; its tests compare it with brute force."""
-    return {"op2_chat_formatting": CHAT_SQL, "op4_near_duplicates": NEAR_SQL, "op6_decontamination": LEAKS_SQL, "op9_quality_rules": _quality_sql()}
+    """op8 has none, as DuckDB's edit distance counts bytes, and op11's spans are beyond SQL; tests compare both with brute force."""
+    return {"op2_chat_formatting": CHAT_SQL, "op4_near_duplicates": NEAR_SQL, "op6_decontamination": LEAKS_SQL, "op9_quality_rules": _quality_sql(), "op12_source_divergence": DIVERGENCE_SQL, "op13_filter_interactions": INTERACTION_SQL}
