@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "outstanding_failures", "command_ledger", "session_turns", "twin_dedupe", "asof_tool_start", "run_length_collapse", "file_change_ledger", "file_rollup_shared", "tier_fit", "search_literal", "clip_functions",
-    "op1_packing", "op2_chat_formatting", "op3_html_extraction", "op4_near_duplicates", "op5_class_scores", "op6_decontamination", "op7_personal_data", "op8_line_dedup", "op9_quality_rules", "op10_toxicity", "pipeline",
+    "op1_packing", "op2_chat_formatting", "op3_html_extraction", "op4_near_duplicates", "op5_class_scores", "op6_decontamination", "op7_personal_data", "op8_line_dedup", "op9_quality_rules", "op10_toxicity", "op11_license_scan", "op12_source_divergence", "op13_filter_interactions", "pipeline",
 )
 
 
