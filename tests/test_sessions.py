@@ -1,7 +1,9 @@
 """Hand-written logs of both formats, folded; what is expected follows from the rules of each format."""
 
+import glob
 import json
 import os
+import shutil
 import sqlite3
 from datetime import datetime, timezone
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright import cli
 from tracewright.plans import reports, views
-from tracewright.sources import format_a, format_b, logs
+from tracewright.sources import format_a, format_b, index, logs
 
 A_ID = "11111111-2222-3333-4444-555555555555"
 
@@ -232,7 +234,7 @@ def test_search_and_replay(spark, everything):
     assert reports.replay(records, f.turns, 3).filter("source = 'codex'").count() == 0  # pictures carry nothing to replay
 
 
-def test_line_numbers_and_manifest(spark, tmp_path):
+def test_line_numbers(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n":{k}}}\n' + "\n" * (k % 3 == 0) for k in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
@@ -241,30 +243,64 @@ def test_line_numbers_and_manifest(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["n"] for r in got] == [*range(3000), *range(3000)]
-    listed = logs.listing(spark, str(tmp_path))
-    fresh, kept = logs.manifest_changes(listed, listed.filter(F.col("file").endswith("a.jsonl")))
-    assert fresh.count() == 1 and kept.count() == 1
-
-
-def test_manifest_of_headers(spark, root_a, tmp_path):
-    """Only new and changed files are read again; a missing folder has no sessions."""
-    asked = []
-
-    def read(files):
-        asked.append(files.count())
-        return format_a.headers(spark, root_a, files)
 
+def test_index_of_headers(spark, root_a, root_b, tmp_path, monkeypatch):
+    """A second listing opens no log; new, changed and lost files show; a missing folder has no sessions."""
+    a, b, at = shutil.copytree(root_a, tmp_path / "a"), shutil.copytree(root_b, tmp_path / "b"), str(tmp_path / "index")
+    ids = lambda **more: sorted((r["source"], r["session_id"], r["cwd"], r["segments"]) for r in reports.list_sessions(spark, {"codex": str(a), "copilot": str(b)}, index=at, **more).collect())
+    want = sorted((r["source"], r["session_id"], r["cwd"], r["segments"]) for r in reports.list_sessions(spark, {"codex": str(a), "copilot": str(b)}).collect())
+    assert ids() == want and len(want) == 2
+    logs_ = [os.path.join(d, f) for root in (a, b) for d, _, names in os.walk(root) for f in names]
+    for f in logs_:  # other bytes of the same size and time: a listing that opened a log would see them
+        was = os.stat(f)
+        with open(f, "r+b") as out:
+            out.write(b"#" * min(was.st_size, 2000))
+        os.utime(f, ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert ids() == want and ids(refresh=True) != want
+    first, second = sorted(f for f in logs_ if "rollout" in f)
+    with open(second, "w") as f:
+        f.write(_a("session_meta", {"session_id": "9" * 8 + A_ID[8:], "cwd": "/new"}, 0) + "\n")
+    assert ("codex", "9" * 8 + A_ID[8:], "/new", 1) in ids()
+    os.remove(second)
+    assert not [x for x in ids() if x[2] == "/new"]
+    monkeypatch.setattr(index, "MOST_TABLES", 3)
+    for k in range(6):  # commits past the one that puts the tables together again
+        with open(first, "w") as f:
+            f.write(_a("session_meta", {"session_id": A_ID, "cwd": f"/k{k}"}, 0) + "\n" * (k + 1))
+        assert [x[2] for x in ids() if x[0] == "codex"] == [f"/k{k}"]
+    kept = glob.glob(f"{at}/codex-*/data/*")
+    assert len(kept) <= 2 * index.MOST_TABLES + 2 and len(glob.glob(f"{at}/codex-*/snapshots/*[0-9]")) == 2
+
+
+def test_index_survives_a_crash(spark, root_a, tmp_path):
+    """A table without a pointer, or a pointer that was not finished, changes nothing."""
+    kept = index.HeaderIndex(spark, str(tmp_path), "x")
+    read = lambda files: format_a.headers(spark, root_a, files)
     listed = logs.listing(spark, root_a)
-    for _ in range(2):
-        assert logs.refreshed(spark, str(tmp_path), listed, read).count() == 2
-    assert asked == [2]
-    assert logs.refreshed(spark, str(tmp_path), listed.filter("file like '%01-02%'"), read).count() == 1 and asked == [2, 0]
-    assert logs.refreshed(spark, str(tmp_path), listed, read, refresh=True).count() == 2 and asked == [2, 0, 2]
-    found = {r["stamp"] for r in format_a.headers(spark, root_a).collect()}
-    assert found == {"2025-01-01T00-00-00", "2025-01-02T00-00-00"}
+    assert kept.headers(listed, read).count() == 2
+    number, tables = kept.latest()
+    os.makedirs(tmp_path / "x" / "data" / "0000000002-lost")
+    (tmp_path / "x" / "snapshots" / "0000000002").write_text('{"tables": ["0000')
+    assert kept.latest() == (number, tables) and kept.headers(listed, read).count() == 2
+    (tmp_path / "x" / "snapshots" / "0000000002").write_text('{"tables": ["0000000002-lost"]}')
+    assert kept.latest() == (number, tables)
     assert format_a.headers(spark, root_a + "/nowhere").count() == 0 and format_b.sessions(spark, root_a + "/nowhere").count() == 0
 
 
+def test_heads_are_bounded(spark, tmp_path):
+    """At most a MiB of a file is read, whatever its first line is."""
+    (tmp_path / "a b.jsonl").write_text("\n  \n" + '{"n":"é"}\r\n' + "x" * 500_000)
+    (tmp_path / "none.jsonl").write_text(" \n\n")
+    (tmp_path / "empty.jsonl").write_text("")
+    with open(tmp_path / "vast.jsonl", "wb") as f:
+        f.write(b'{"long":"')
+        f.truncate(8 << 30)  # a hole: no disk is used
+    found = {os.path.basename(r["file"]).replace("%20", " "): r for r in logs.first_lines(spark, str(tmp_path)).collect()}
+    assert set(found) == {"a b.jsonl", "vast.jsonl"}
+    assert found["a b.jsonl"]["value"] == '{"n":"é"}' and found["a b.jsonl"]["head_bytes"] == logs.HEAD_CHUNK
+    assert found["vast.jsonl"]["head_bytes"] == len(found["vast.jsonl"]["value"]) == logs.HEAD_BYTES and found["vast.jsonl"]["size"] == 8 << 30
+
+
 @pytest.mark.parametrize("value", ['{"a":1}', ' {"a":[{}]} ', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}], {}', '{"a":1}} {', "null", "[]", "1", '{"a":NaN}', "{'a':1}", '{"a":1', "", '{"a":1}]', '{"a":"}]"}'])
 def test_json_objects(spark, value):
     try:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,29 +19,57 @@ from tracewright.operators.ordered import numbered, prefix_fit, runs, top
 from tracewright.operators.session import S, Sessions
 from tracewright.scratch import checkpointed
 from tracewright.sources import format_a, format_b, logs
+from tracewright.sources.index import HeaderIndex
 
-FORMATS = {format_a.SOURCE: format_a, format_b.SOURCE: format_b}
+
+@dataclass(frozen=True)
+class Format:
+    """What a log format has to give: its files, their headers, the sessions these make, and the rules for its records."""
+
+    name: str
+    header_version: int
+    listed: Callable[[SparkSession, str], DataFrame]  # (file, mtime, size) below a root
+    headers: Callable[[SparkSession, str, DataFrame | None], DataFrame]  # a row a file, of those given or of all
+    discover: Callable[[SparkSession, str, DataFrame, str | None], DataFrame]  # sessions of headers; the last is a file of titles
+    facts: Callable[[DataFrame], DataFrame]
+    searchable: Callable[[DataFrame], DataFrame]
+
+
+def _threads(spark: SparkSession, root: str, headers: DataFrame, titles: str | None) -> DataFrame:
+    return format_a.sessions(headers, format_a.titles(spark, titles) if titles else None)
+
+
+FORMATS = {
+    f.name: f
+    for f in (
+        Format(format_a.SOURCE, 1, logs.listing, format_a.headers, _threads, format_a.facts, format_a.searchable),
+        Format(format_b.SOURCE, 1, format_b.listed, format_b.sessions, lambda spark, root, headers, titles: headers.drop("file"), format_b.facts, format_b.searchable),
+    )
+}
 
 # ---------------------------------------------------------------- selection
 
 
-def list_sessions(spark: SparkSession, roots: dict[str, str], *, source: str | None = None, titles: str | None = None) -> DataFrame:
-    """All sessions of the log folders in ``roots`` (by source), with ``source`` only that one's."""
+def list_sessions(spark: SparkSession, roots: dict[str, str], *, source: str | None = None, titles: str | None = None, index: str | None = None, refresh: bool = False) -> DataFrame:
+    """All sessions of the log folders in ``roots`` (by source), with ``source`` only that one's. With a folder ``index``
+    only logs that are new or changed since the last listing are opened, with ``refresh`` all."""
     wanted = list(roots) if source in (None, "all") else [source]
     if unknown := [s for s in wanted if s not in FORMATS or s not in roots]:
         raise ValueError(f"unknown source {unknown[0]!r}; there is {', '.join(roots)}")
-    found = []
-    for s in wanted:
-        if s == format_a.SOURCE:
-            found.append(format_a.sessions(format_a.headers(spark, roots[s]), format_a.titles(spark, titles) if titles else None))
-        else:
-            found.append(format_b.sessions(spark, roots[s]))
+    found = [FORMATS[s].discover(spark, roots[s], _headers(spark, FORMATS[s], roots[s], index, refresh), titles) for s in wanted]
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
 
 
+def _headers(spark: SparkSession, form: Format, root: str, index: str | None, refresh: bool) -> DataFrame:
+    if index is None:
+        return form.headers(spark, root, None)
+    kept = HeaderIndex(spark, index, f"{form.name}-{form.header_version}-{hashlib.sha256(root.encode()).hexdigest()[:16]}")
+    return kept.headers(form.listed(spark, root), lambda files: form.headers(spark, root, files), refresh=refresh)
+
+
 def newest(sessions: DataFrame, n: int) -> DataFrame:
     return sessions.orderBy(F.desc("updated_at"), "source", "session_id").limit(n)
 

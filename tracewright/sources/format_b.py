@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions import text as X
 from tracewright.operators.ordered import asof_latest, carry_forward, roots
-from tracewright.sources.logs import SESSION, existing, exploded, fact, first_lines, full, get
+from tracewright.sources.logs import SESSION, existing, exploded, fact, first_lines, full, get, listing
 
 SOURCE = "copilot"  # the name by which logs and links of this format are known
 D = "$.data"
@@ -70,10 +70,15 @@ def flat_yaml(text: str) -> dict[str, str | int | bool | None]:
 WORKSPACE = ("id", "created_at", "cwd", "name", "summary", "user_named", "client_name", "git_root", "branch", "repository")
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in WORKSPACE]))
+def _as_text(value: str | int | bool | None) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.BooleanType() if k == "user_named" else T.StringType()) for k in WORKSPACE]))
 def _workspace(texts: pd.Series) -> pd.DataFrame:
-    typed = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
-    return pd.DataFrame([{k: typed(d.get(k)) for k in WORKSPACE} for d in map(flat_yaml, texts)], columns=list(WORKSPACE), dtype=object)
+    """Texts are texts, whatever YAML takes them for; a flag is one only if it is written as one."""
+    rows = [{k: (v if isinstance(v, bool) else None) if k == "user_named" else _as_text(v) for k in WORKSPACE for v in [d.get(k)]} for d in map(flat_yaml, texts)]
+    return pd.DataFrame(rows, columns=list(WORKSPACE), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -97,11 +102,12 @@ def _folder(c: str) -> Column:
     return F.regexp_replace(c, "/[^/]*$", "")
 
 
-def _small_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+def _small_files(spark: SparkSession, root: str, name: str, only: DataFrame | None = None) -> DataFrame:
     if not existing(spark, root):
         return spark.createDataFrame([], "dir string, content binary, mtime timestamp")
     found = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
-    return found.select(_folder("_metadata.file_path").alias("dir"), "content", F.col("modificationTime").alias("mtime"))
+    found = found.select(_folder("_metadata.file_path").alias("dir"), "content", F.col("modificationTime").alias("mtime"))
+    return found.join(only, "dir", "left_semi") if only is not None else found
 
 
 def title_of_name(name: Column) -> Column:
@@ -111,24 +117,33 @@ def title_of_name(name: Column) -> Column:
     return F.when(F.length(line) > 100, F.concat(F.regexp_replace(F.substring(line, 1, 100), r"\s+\S*$", ""), F.lit("…"))).otherwise(line)
 
 
-def sessions(spark: SparkSession, root: str) -> DataFrame:
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(file, mtime, size) of each events.jsonl: the newest time and the whole size of the files that make its session's
+    header, so that a change of any of them shows."""
+    files = listing(spark, root, glob="{events.jsonl,workspace.yaml,plan.md,session.db}").withColumn("dir", _folder("file"))
+    events = F.when(F.endswith("file", F.lit("/events.jsonl")), F.col("file"))
+    return files.groupBy("dir").agg(F.max(events).alias("file"), F.max("mtime").alias("mtime"), F.sum("size").alias("size")).filter("file is not null").select("file", "mtime", "size")
+
+
+def sessions(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
     """A row per folder with an events.jsonl: the session's header from workspace.yaml and its first record, its plan
-    document and its todo list."""
-    ev = first_lines(spark, root, glob="events.jsonl").withColumn("dir", _folder("file"))
+    document and its todo list. With ``only`` (file) just the folders of those files."""
+    ev = first_lines(spark, root, glob="events.jsonl", only=only).withColumn("dir", _folder("file"))
     ev = ev.filter(~F.startswith(F.element_at(F.split("dir", "/"), -1), F.lit(".")))
     rec = F.try_parse_json("value")
     ev = ev.withColumn("rec", F.when(get("$.type", of=rec) == "session.start", rec))
-    ws = _small_files(spark, root, "workspace.yaml").select("dir", F.col("mtime").alias("ws_mtime"), _workspace(F.decode("content", "UTF-8")).alias("ws"))
-    doc = _small_files(spark, root, "plan.md").select("dir", full(X.trim_all(F.decode("content", "UTF-8"))).alias("plan_doc"))
-    todo = _small_files(spark, root, "session.db").select("dir", _todos("content").alias("plan"))
+    wanted = only.select(_folder("file").alias("dir")) if only is not None else None
+    ws = _small_files(spark, root, "workspace.yaml", wanted).select("dir", F.col("mtime").alias("ws_mtime"), _workspace(F.decode("content", "UTF-8")).alias("ws"))
+    doc = _small_files(spark, root, "plan.md", wanted).select("dir", full(X.trim_all(F.decode("content", "UTF-8"))).alias("plan_doc"))
+    todo = _small_files(spark, root, "session.db", wanted).select("dir", _todos("content").alias("plan"))
     j = ev.join(ws, "dir", "left").join(doc, "dir", "left").join(todo, "dir", "left")
     name = F.element_at(F.split("dir", "/"), -1)
     return j.select(
         F.lit(SOURCE).alias("source"), F.lower(F.coalesce("ws.id", get(f"{D}.sessionId"), name)).alias("session_id"), title_of_name(F.coalesce("ws.name", "ws.summary")).alias("title"),
         F.coalesce("ws.cwd", get(f"{D}.context.cwd")).alias("cwd"), get(f"{D}.selectedModel").alias("model"), F.coalesce("ws.client_name", get(f"{D}.producer")).alias("originator"),
         F.coalesce("ws.created_at", get(f"{D}.startTime")).alias("started_at"), F.greatest("mtime", F.coalesce("ws_mtime", "mtime")).alias("updated_at"), F.col("size").alias("bytes"), F.lit(1).cast("long").alias("segments"),
-        F.array("file").alias("files"), F.col("dir").alias("link"), F.concat(F.lit("copilot --resume "), F.lower(F.coalesce("ws.id", get(f"{D}.sessionId"), name))).alias("resume"),
-        F.col("ws.git_root").alias("git_root"), F.col("ws.branch").alias("branch"), F.col("ws.repository").alias("repository"), "plan", "plan_doc", F.col("ws.user_named").cast("boolean").alias("user_named"),
+        "file", F.array("file").alias("files"), F.col("dir").alias("link"), F.concat(F.lit("copilot --resume "), F.lower(F.coalesce("ws.id", get(f"{D}.sessionId"), name))).alias("resume"),
+        F.col("ws.git_root").alias("git_root"), F.col("ws.branch").alias("branch"), F.col("ws.repository").alias("repository"), "plan", "plan_doc", F.col("ws.user_named").alias("user_named"),
     )
 
 

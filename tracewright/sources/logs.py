@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,7 +21,7 @@ FACT = "struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">"
 FACT_COLUMNS = [*SESSION, "seq", "sub", "ts", *FIELDS]
 
 
-HEAD_BYTES = 1 << 20  # of a file in which its first line is looked for
+HEAD_BYTES, HEAD_CHUNK = 1 << 20, 1 << 16  # of a file in which its first line is looked for, read a chunk at a time
 
 
 def is_json_object(value: Column) -> Column:
@@ -62,25 +66,47 @@ def existing(spark: SparkSession, paths: list[str] | str) -> list[str]:
     return found
 
 
+def read_head(path: str, chunk: int = HEAD_CHUNK, most: int = HEAD_BYTES) -> tuple[str | None, int]:
+    """The first line of a file that is not blank, of its first ``most`` bytes, and how many bytes were read for it."""
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    head = b""
+    with store.open_input_file(inside) as f:
+        while len(head) < most:
+            more = f.read(min(chunk, most - len(head)))
+            head += more
+            line, end, _ = head.lstrip(b" \t\r\n").partition(b"\n")
+            if not more or end:
+                break
+    line = line.rstrip(b"\r").decode("utf-8", "replace")
+    return (line if line.strip() else None), len(head)
+
+
 def first_lines(spark: SparkSession, root: str, *, glob: str = "*.jsonl", only: DataFrame | None = None) -> DataFrame:
-    """(file, mtime, size, value): the first line of every file below ``root``, of its first ``HEAD_BYTES`` at most; with
-    ``only`` (file), of those files. A file is one row of its head: later bytes are read by the scan but neither kept nor dealt."""
-    if not existing(spark, root):
-        return spark.createDataFrame([], "file string, mtime timestamp, size long, value string")
-    reader = ship(spark).read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    starts = reader.text(root).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value",
-    ).filter("_start = 0 and trim(value) <> ''")
-    starts = starts.join(only.select("file"), "file", "left_semi") if only is not None else starts
-    return starts.groupBy("file", "mtime", "size").agg(F.min_by(F.substring("value", 1, HEAD_BYTES), "_id").alias("value"))
+    """(file, mtime, size, value, head_bytes): the first line of every file below ``root`` that is not blank, of its first
+    ``HEAD_BYTES`` at most; with ``only`` (file), of those files.
+
+    Files are listed without their content and dealt to all tasks, which read each one's head and nothing behind it, by any
+    store that Arrow can open (local, HDFS, S3, GCS, Azure).
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_head(path) for path in batch.column("file").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v for v, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], [*batch.schema.names, "value", "head_bytes"])
+
+    files = listing(spark, root, glob=glob)
+    files = files.join(only.select("file"), "file", "left_semi") if only is not None else files
+    dealt = files.select("file", "mtime", "size").repartition(spark.sparkContext.defaultParallelism, "file")
+    return dealt.mapInArrow(heads, "file string, mtime timestamp, size long, value string, head_bytes long").filter("value is not null")
 
 
 def listing(spark: SparkSession, root: str, *, glob: str = "*.jsonl") -> DataFrame:
     """(file, mtime, size) of every file below ``root``; no content is read, and a missing folder has no files."""
     if not existing(spark, root):
         return spark.createDataFrame([], "file string, mtime timestamp, size long")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    found = ship(spark).read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     return found.select(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
@@ -118,41 +144,3 @@ def exploded(recs: DataFrame, ts: Column, singles: list[Column], lists: list[Col
     every = F.concat(F.array_compact(F.array(*singles)), *(F.coalesce(x, none) for x in lists))
     rows = recs.select(*SESSION, "seq", ts.alias("ts"), F.posexplode(every).alias("sub", "f"))
     return rows.select(*SESSION, "seq", "sub", "ts", "f.*")
-
-
-MANIFEST_VERSION = 1
-
-
-def _written_tables(spark: SparkSession, folder: str) -> list[str]:
-    """The complete tables in a folder, in order."""
-    if not existing(spark, folder):
-        return []
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    return sorted(p for p in (f.getPath().toString() for f in found) if existing(spark, f"{p}/_SUCCESS"))
-
-
-def refreshed(spark: SparkSession, manifest: str, listed: DataFrame, read, *, refresh: bool = False) -> DataFrame:
-    """The headers of the listed files: those of an earlier call that still hold, and ``read(files)`` of the new and changed.
-
-    ``manifest`` is a folder of Parquet tables, one a version of the layout and call; a new one is written only where
-    something changed or went away, and ``refresh`` reads every file again.
-    """
-    folder = f"{manifest.rstrip('/')}/v{MANIFEST_VERSION}"
-    old = _written_tables(spark, folder)
-    cached = spark.read.parquet(old[-1]) if old and not refresh else None
-    fresh, kept = manifest_changes(listed, cached)
-    if kept is not None and fresh.isEmpty() and kept.count() == cached.count():
-        return kept
-    new = read(fresh)
-    path = f"{folder}/{len(old):08d}"
-    (new if kept is None else new.unionByName(kept.select(*new.columns))).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def manifest_changes(listed: DataFrame, cached: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """The listed files to read anew, and the cached headers that still hold: same path, time and size."""
-    if cached is None:
-        return listed, None
-    keys = ["file", "mtime", "size"]
-    return listed.join(cached, keys, "left_anti"), cached.join(listed.select(*keys), keys, "left_semi")
