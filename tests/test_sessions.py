@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright import cli
 from tracewright.plans import reports, views
+from tracewright.scratch import written
 from tracewright.sources import format_a, format_b, index, logs
 
 A_ID = "11111111-2222-3333-4444-555555555555"
@@ -106,8 +107,8 @@ def root_b(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def everything(spark, root_a, root_b):
-    sessions = reports.list_sessions(spark, {"codex": root_a, "copilot": root_b})
-    return sessions, reports.condense(spark, sessions)
+    sessions = written(reports.list_sessions(spark, {"codex": root_a, "copilot": root_b}))
+    return sessions, reports.settled(reports.condense(spark, sessions))
 
 
 def rows(df, source, *cols):
@@ -156,7 +157,7 @@ def test_format_b(everything):
 
 def test_rollups_and_fit(everything):
     sessions, f = everything
-    c = reports.cards(sessions, f)
+    c = written(reports.cards(sessions, f))
     cards = c.orderBy("number").collect()
     assert [(r["code"], r["source"]) for r in cards] == [("S1", "codex"), ("S2", "copilot")]
     assert cards[0]["title"] == "Please repair the failing build" and cards[0]["title_source"] == "first-request" and len(cards[1]["open_plan"]) == 1
@@ -179,17 +180,18 @@ def test_session_views(everything, tmp_path):
     sessions, f = everything
     found = {r["source"]: r for r in views.session_views(sessions, f, None).collect()}
     a, b = found["codex"]["markdown"], found["copilot"]["markdown"]
-    assert found["codex"]["name"] == "session-view-codex-please-repair-the-failing-build-11111111"
+    assert found["codex"]["name"] == f"session-view-codex-please-repair-the-failing-build-{A_ID}"
     assert "- `npm test` → exit 1\n\n  ```\n  a\n  FAILED: one\n  last words here\n  ```" in a and "_1 other command(s) failed at some point but later succeeded — treated as resolved._" in a
     assert "| File | Created | Edited | Deleted | ~Lines |" in a and "| `z.py` | 1 |  |  | 3 |" in a and "$ make all ✗\n$ Make ALL\n$ npm test ✗\n± add z.py (~3 lines)" in a
     assert "### Turn 1 — 2025-01-01 00:00 (5s)\n\n**User:**\n\n> Please repair the failing build today\n\n**Reasoning trail:** Think · more\n\n_working_" in a and "**Agent:**\n\n> Final words" in a
     assert "### Plan state at the end\n\n- [ ] a" not in b and "- [x] a\n- [ ] b (blocked)" in b and "the plan" in b and "be nice" in b and "| Resume | `copilot --resume abcdef12" in b
     assert json.loads(found["codex"]["packet"])["failures"][1]["cmd"] == "npm test"
-    paths = views.write_local(views.session_views(sessions, f, 700), str(tmp_path))
-    assert len(paths) == 4 and all(os.path.exists(x) for x in paths)
-    made = sessions.sparkSession.createDataFrame([("one", "# a\nb", "{}"), ("two", "c", "{}")], "name string, markdown string, packet string")
-    views.write_views(made, str(tmp_path / "out"))
-    assert {"name=one", "name=two"} <= set(os.listdir(tmp_path / "out" / "markdown")) & set(os.listdir(tmp_path / "out" / "json"))
+    made = views.session_views(sessions, f, 700)
+    paths = {r["session_id"]: r["packet"] for r in views.write_views(made, str(tmp_path / "out")).collect()}
+    assert len(paths) == 2 and sorted(os.listdir(tmp_path / "out")) == sorted(os.path.basename(x)[:-2] + e for x in paths.values() for e in ("md", "json"))
+    assert all(open(paths[r["session_id"]]).read() == r["markdown"] and json.load(open(paths[r["session_id"]][:-2] + "json"))["session_id"] == r["session_id"] for r in made.collect())
+    with pytest.raises(ValueError, match="two files"):
+        views.write_views(made.withColumn("name", F.lit("x")), str(tmp_path / "out"))
     listing = views.table_lines(sessions, 1)
     assert listing[0].startswith("  #   SOURCE") and listing[2] == "  …1 more" and json.loads(views.shown(sessions.filter("source = 'codex'")))["session_id"] == A_ID
 
@@ -202,6 +204,33 @@ def test_commands(spark, root_a, root_b, tmp_path):
     text = run("--stdout", "--budget", "none", "corpus", "--last", "2")
     assert text.startswith("# Corpus view — start → now") and "| Sessions | 2 (1 Codex, 1 Copilot) |" in text and "| S1 | Codex | `11111111` |" in text and "## Latest state — S" in text
     assert "- **S2** (1 of 2 open): [ ] b (blocked)" in text and "### S1 — Please repair the failing build" in text and "**Outstanding failures:** `npm test` (exit 1)" in text and text.count("- **S2** 2025-02-01") == 2
+    md, data = run("corpus", "--last", "2", "--packets", "--packet-budget", "700").split("\n")
+    whole = json.load(open(data))
+    assert whole["totals"]["sessions"] == len(whole["sessions"]) == 2 and [c["code"] for c in whole["sessions"]] == ["S1", "S2"] and open(md).read().startswith("# Corpus view")
+    assert [len(c["asks"]) for c in whole["sessions"]] == [1, 2] and len(whole["files"]) == 6 == whole["totals"]["files_changed"] and len(whole["folders"]) == 2 and whole["tools"] == [{"tool": "unknown-tool", "calls": 1}]
+    assert sorted((x["cmd"], x["sessions"], x["last_line"]) for x in whole["failures"]) == [("ls", ["S2"], None), ("npm test", ["S1"], "FAILED: one"), ("rm", ["S2"], "denied")]
+    assert all(os.path.getsize(c["packet"]) for c in whole["sessions"]) and "`packet` path" in open(md).read()
+    with pytest.raises(SystemExit, match="Several"):
+        run("view", "--recent")
+    assert "1 session(s)" in run("--index", str(tmp_path / "index"), "find", "fine") and "1 session(s)" in run("--index", str(tmp_path / "index"), "--refresh", "find", "fine")
+    assert run("view", "--find", "fine").endswith(".md") and run("--stdout", "view", "--here", "/w/it's").startswith("# Copilot session — A fine name")
+
+
+def test_promises_of_the_report(spark, tmp_path):
+    """Wherever the Markdown says that the JSON has more, it has all: 30 sessions of 30 folders, files and failures."""
+    root = tmp_path / "codex"
+    os.makedirs(root)
+    for k in range(30):
+        id_ = f"{k:08d}-0000-0000-0000-000000000000"
+        rows = [_a("session_meta", {"session_id": id_, "cwd": f"/w/{k}"}, 0)]
+        for n in range(3):
+            rows += [_item(f"t{n}", 1, id=f"u{n}", type="UserMessage", content=[{"text": f"Please do job number {k} {n} " + "very " * 60}]), _cmd(f"t{n}", 2, f"c{n}", f"make {k} {n}", 1), _item(f"t{n}", 3, id=f"f{n}", type="FileChange", changes={f"/w/{k}/{n}.py": {"type": "add", "content": "1"}})]
+        (root / f"rollout-2025-01-{k + 1:02d}T00-00-00-{id_}.jsonl").write_text("\n".join(rows) + "\n")
+    md, data = cli.run(spark, ["--codex", str(root), "--out", str(tmp_path / "out"), "--budget", "3000", "corpus", "--last", "99"]).split("\n")
+    text, whole = open(md).read(), json.load(open(data))
+    for said in ("…5 more in the JSON", "…65 more in the JSON", "…80 more in the JSON", "requests; the JSON beside this file has all of them"):
+        assert said in text
+    assert (len(whole["folders"]), len(whole["files"]), len(whole["failures"]), sum(len(c["asks"]) for c in whole["sessions"])) == (30, 90, 90, 90)
 
 
 def test_selection(spark, everything):

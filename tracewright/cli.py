@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.plans import reports, views
+from tracewright.scratch import written
 
 
 def budget(value: str) -> int | None:
@@ -20,6 +21,7 @@ def budget(value: str) -> int | None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewright", description="Sessions of coding agents from their logs.")
     p.add_argument("--codex", help="folder of rollout files"), p.add_argument("--copilot", help="folder of session folders"), p.add_argument("--titles", help="index of thread names")
+    p.add_argument("--index", help="folder of the index of headers"), p.add_argument("--refresh", action="store_true", help="read every header again")
     p.add_argument("--source", default="all"), p.add_argument("--out", default="views"), p.add_argument("--stdout", action="store_true"), p.add_argument("--limit", type=int), p.add_argument("--budget", type=budget, default=40_000)
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("list")
@@ -28,7 +30,9 @@ def parser() -> argparse.ArgumentParser:
     here.add_argument("folder", nargs="?", default=os.getcwd()), here.add_argument("--nested", action="store_true")
     for name in ("show", "view", "search", "turn"):
         one = sub.add_parser(name)
-        one.add_argument("session")
+        one.add_argument("session", nargs="?" if name == "view" else None)
+        if name == "view":
+            one.add_argument("--find"), one.add_argument("--here", nargs="?", const=os.getcwd()), one.add_argument("--recent", type=int, nargs="?", const=15)
         if name == "search":
             one.add_argument("query", nargs="+"), one.add_argument("--regex", action="store_true"), one.add_argument("--kind"), one.add_argument("--context", type=int, default=400)
         elif name == "turn":
@@ -37,16 +41,30 @@ def parser() -> argparse.ArgumentParser:
         many = sub.add_parser(name)
         if name == "project":
             many.add_argument("folder", nargs="?", default=os.getcwd()), many.add_argument("--exact", action="store_true")
-        many.add_argument("--since"), many.add_argument("--until"), many.add_argument("--last", type=int), many.add_argument("--exclude", action="append", default=[]), many.add_argument("--packets", type=budget, nargs="?", const=12_000, default=-1)
+        many.add_argument("--since"), many.add_argument("--until"), many.add_argument("--last", type=int), many.add_argument("--exclude", action="append", default=[]), many.add_argument("--packets", action="store_true"), many.add_argument("--packet-budget", type=budget, default=12_000)
     return p
 
 
-def _one(sessions: DataFrame, raw: str) -> DataFrame:
-    hit = reports.resolve(sessions, raw)
-    hit = reports.find(sessions, raw).drop("score").limit(1) if hit is None else hit
-    if hit.isEmpty():
-        raise SystemExit(f"Could not identify a session from {raw!r}. Try list, find or here.")
-    return hit
+def _one(sessions: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """The session that a command names; a listing of the candidates if it fits several."""
+    raw, wanted = a.session, vars(a)
+    hit = reports.resolve(sessions, raw) if raw else None
+    if hit is not None:
+        return hit
+    if wanted.get("find") or raw:
+        found = reports.find(sessions, wanted.get("find") or raw).drop("score")
+    elif wanted.get("here"):
+        found = reports.in_folder(sessions, a.here)
+    elif wanted.get("recent"):
+        found = reports.newest(sessions, a.recent)
+    else:
+        raise SystemExit("name a session, or choose one by --find, --here or --recent")
+    n = found.count()
+    if n == 0:
+        raise SystemExit(f"Could not identify a session from {raw or ''!r}. Try list, find or here.")
+    if n > 1:
+        raise SystemExit("\n".join(["Several sessions fit; name one by its id:", *views.table_lines(found, 20)]))
+    return found
 
 
 def _window(sessions: DataFrame, a: argparse.Namespace) -> tuple[DataFrame, tuple[datetime | None, datetime | None]]:
@@ -60,7 +78,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "corpus" and not a.since and not a.last:  # before anything is read
         raise SystemExit("corpus needs --since or --last: it spans every folder, so an unbounded run would read all history")
     roots = {k: v for k, v in (("codex", a.codex), ("copilot", a.copilot)) if v}
-    sessions = reports.list_sessions(spark, roots, source=a.source, titles=a.titles)
+    sessions = reports.list_sessions(spark, roots, source=a.source, titles=a.titles, index=a.index, refresh=a.refresh)
     if a.command in ("list", "find", "here"):
         found = reports.find(sessions, " ".join(a.words)) if a.command == "find" else reports.in_folder(sessions, a.folder, nested=a.nested) if a.command == "here" else sessions
         return "\n".join([f"  {found.count()} session(s)", *views.table_lines(found, a.limit or (50 if a.command == "here" else 20))])
@@ -69,21 +87,22 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         if chosen.isEmpty():
             return "  No sessions found."
         folder = os.path.abspath(a.folder) if a.command == "project" else None
-        folded = reports.condense(spark, chosen)
-        c = reports.cards(chosen, folded)
+        chosen = written(chosen, "chosen")
+        folded = reports.settled(reports.condense(spark, chosen))
+        c = written(reports.cards(chosen, folded), "cards")
+        base = f"{a.command}-view-{datetime.now(timezone.utc):%Y-%m-%d-%H-%M}"
+        if a.packets and not a.stdout:
+            c = c.join(views.write_views(views.session_views(chosen, folded, a.packet_budget), os.path.join(a.out, f"{base}-sessions")), reports.S, "left")
         lines = views.report_lines(c, folded, folder=folder, window=None if folder else window, excluded=tuple(a.exclude), budget_tokens=a.budget)
         if a.stdout:
             return "\n".join(r["line"] for r in lines.toLocalIterator())
-        base = f"{a.command}-view-{datetime.now(timezone.utc):%Y-%m-%d-%H-%M}"
-        if a.packets != -1:
-            views.write_views(views.session_views(chosen, folded, a.packets), os.path.join(a.out, f"{base}-sessions"))
-        return "\n".join(views.write_report(lines, c, a.out, base))
-    one = _one(sessions, a.session)
+        return "\n".join(views.write_report(lines, views.report_json(c, folded, folder=folder, window=None if folder else window), a.out, base))
+    one = _one(sessions, a)
     if a.command == "show":
         return views.shown(one)
     if a.command == "view":
         made = views.session_views(one, reports.condense(spark, one), a.budget)
-        return made.first()["markdown"] if a.stdout else "\n".join(views.write_local(made, a.out))
+        return made.first()["markdown"] if a.stdout else "\n".join(r["packet"] for r in views.write_views(made, a.out).collect())
     texts = reports.searchable(reports.read_records(spark, one))
     if a.command == "search":
         hits = reports.search(texts, " ".join(a.query), regex=a.regex, kind=a.kind, limit=15 if a.limit is None else a.limit, radius=a.context).collect()

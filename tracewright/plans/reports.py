@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +15,9 @@ from pyspark.sql import Window as W
 
 from tracewright.functions import text as X
 from tracewright.operators import fit, session
-from tracewright.operators.ordered import numbered, prefix_fit, runs, top
+from tracewright.operators.ordered import numbered, prefix_fit, runs
 from tracewright.operators.session import S, Sessions
-from tracewright.scratch import checkpointed
+from tracewright.scratch import written
 from tracewright.sources import format_a, format_b, logs
 from tracewright.sources.index import HeaderIndex
 
@@ -168,31 +168,32 @@ def read_records(spark: SparkSession, sessions: DataFrame) -> DataFrame:
 
 
 def read_facts(records: DataFrame) -> DataFrame:
-    parts = [FORMATS[s].facts(records.filter(F.col("source") == s)) for s in FORMATS]
+    parts = [form.facts(records.filter(F.col("source") == name)) for name, form in FORMATS.items()]
     return parts[0].unionByName(parts[1])
 
 
 def condense(spark: SparkSession, sessions: DataFrame, limits: session.Limits = session.Limits()) -> Sessions:
-    """Scan and fold the chosen sessions, all in one job; facts are written once to the shared folder."""
-    records = checkpointed(read_records(spark, sessions).drop("rec")).withColumn("rec", F.when(F.col("ok"), F.try_parse_json("value")))
-    scanned = records.groupBy(*S).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("ok")).alias("parse_failures"))
-    return session.fold(checkpointed(read_facts(records)), scanned, limits)
+    """Scan and fold the chosen sessions. Facts and counts of lines are written to the shared folder, the logs' text is not."""
+    records = read_records(spark, sessions)
+    scanned = written(records.groupBy(*S).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("ok")).alias("parse_failures")), "lines")
+    return session.fold(written(read_facts(records), "facts"), scanned, limits)
 
 
-# ---------------------------------------------------------------- rollups
+def settled(folded: Sessions) -> Sessions:
+    """Every table of the fold written once, for reports that read them again and again."""
+    return Sessions(*(written(getattr(folded, f.name), f.name) for f in fields(folded)))
 
 
-def _listed(df: DataFrame, order: list[Column], n: int, name: str, *fields: str | Column) -> DataFrame:
-    """(session, ``name``): of each session the first ``n`` rows as an array in order."""
-    kept = top(df, S, order, n).select(*S, F.struct("rank", F.struct(*fields).alias("x")).alias("r"))
-    return kept.groupBy(*S).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias(name))
+# ---------------------------------------------------------------- rollups
 
 
-#: Rows of a session's ledgers that its card and report carry at most; beyond that the ledgers themselves have them.
-LEDGER_ROWS = 5000
+def _listed(df: DataFrame, order: list[Column], name: str, *values: str | Column) -> DataFrame:
+    """(session, ``name``): all rows of each session as an array in order."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*S).orderBy(*order))).select(*S, F.struct("rank", F.struct(*values).alias("x")).alias("r"))
+    return ranked.groupBy(*S).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias(name))
 
 
-def in_order(folded: Sessions, n: int = LEDGER_ROWS) -> dict[str, DataFrame]:
+def in_order(folded: Sessions) -> dict[str, DataFrame]:
     """The ledgers of each session as they are listed, by ``rank``: files by adds and updates, reads, commands by runs and
     tools by calls, most first; failures, searches and delegations as they came."""
     first = F.col("first_seq").asc()
@@ -200,7 +201,7 @@ def in_order(folded: Sessions, n: int = LEDGER_ROWS) -> dict[str, DataFrame]:
         "files": (folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()]), "reads": (folded.reads, [F.desc("reads"), first]), "commands": (folded.commands, [F.desc("runs"), first]),
         "tools": (folded.tools, [F.desc("calls"), first]), "failures": (folded.failures, [first]), "searches": (folded.searches, [F.col("seq").asc()]), "delegations": (folded.delegations, [F.col("seq").asc()]),
     }
-    return {name: top(df, S, order, n) for name, (df, order) in by.items()}
+    return {name: df.withColumn("rank", F.row_number().over(W.partitionBy(*S).orderBy(*order))) for name, (df, order) in by.items()}
 
 
 def _either(a: str, b: str) -> Column:
@@ -209,8 +210,8 @@ def _either(a: str, b: str) -> Column:
 
 
 def cards(sessions: DataFrame, folded: Sessions) -> DataFrame:
-    """A row per session, in order of start with its code S1, S2, ...: requests, last reply, open plan, files, outstanding
-    failures with their telltale line, tools and counts."""
+    """A row per session, in order of start with its code S1, S2, ...: all its requests, last reply, open plan, files,
+    outstanding failures with their telltale line, tools and counts. Nothing is cut."""
     t = folded.turns
     request = F.struct(F.col("started_at").alias("ts"), F.col("n").alias("turn"), F.coalesce("ask_source", F.lit("user")).alias("source"), F.col("ask").alias("text"))
     asked, replied = F.col("ask").isNotNull(), F.col("final").isNotNull()
@@ -222,9 +223,10 @@ def cards(sessions: DataFrame, folded: Sessions) -> DataFrame:
     open_failures = folded.failures.filter("not resolved").withColumn("last_line", X.one_line(X.telltale_line(F.col("error")), 200))
     first = F.col("first_seq").asc()
     lists = (
-        _listed(folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()], LEDGER_ROWS, "files_changed", "path", "n_add", "n_update", "n_delete"),
-        _listed(open_failures, [first], LEDGER_ROWS, "outstanding", F.col("shown").alias("cmd"), F.col("exit_text").alias("exit"), "occurrences", "last_line"),
-        _listed(folded.tools, [F.desc("calls"), first], LEDGER_ROWS, "tools", "tool", "calls"),
+        _listed(folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()], "files_changed", "path", "n_add", "n_update", "n_delete"),
+        _listed(open_failures, [first], "outstanding", F.col("shown").alias("cmd"), F.col("exit_text").alias("exit"), "occurrences", "last_line"),
+        _listed(folded.tools, [F.desc("calls"), first], "tools", "tool", "calls"),
+        _listed(t.filter(asked), [F.col("n").asc()], "asks", F.col("started_at").alias("ts"), F.col("n").alias("turn"), F.coalesce("ask_source", F.lit("user")).alias("source"), F.col("ask").alias("text")),
     )
     plan = F.from_json("_plan", format_a.STEPS)
     st = folded.state.select(*S, F.col("cwd").alias("_cwd"), F.col("model").alias("_model"), F.col("plan").alias("_fact_plan"))
@@ -239,7 +241,7 @@ def cards(sessions: DataFrame, folded: Sessions) -> DataFrame:
     return c.select(
         F.concat(F.lit("S"), F.col("number").cast("string")).alias("code"), "number", *S, "title", "title_source", "link", resume, _either("_cwd", "cwd").alias("cwd"), _either("model", "_model").alias("model"),
         F.coalesce("started_at", "_first_turn").alias("started_at"), "updated_at", "bytes", "first_ask", "last_ask", "last_reply", F.coalesce(F.filter(plan, lambda p: p["status"] != "completed"), F.array().cast(format_a.STEPS)).alias("open_plan"), F.coalesce(F.size(plan), F.lit(0)).alias("plan_size"),
-        none("files_changed"), none("outstanding"), none("tools"),
+        none("asks"), none("files_changed"), none("outstanding"), none("tools"),
         *(F.coalesce(k, F.lit(0)).alias(k) for k in ("turns", "commands", "files_touched", "files_read", "outstanding_errors", "compactions")),
     )
 
@@ -368,8 +370,8 @@ def collapsed_actions(actions: DataFrame) -> DataFrame:
 
 def searchable(records: DataFrame) -> DataFrame:
     """What search and replay read, of :func:`read_records`; written once to the shared folder."""
-    parts = [FORMATS[s].searchable(records.filter(F.col("source") == s)) for s in FORMATS]
-    return checkpointed(parts[0].unionByName(parts[1]))
+    parts = [form.searchable(records.filter(F.col("source") == name)) for name, form in FORMATS.items()]
+    return written(parts[0].unionByName(parts[1]), "searchable")
 
 
 def search(texts: DataFrame, query: str, *, regex: bool = False, kind: str | None = None, limit: int = 15, radius: int = 400) -> DataFrame:

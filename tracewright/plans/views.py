@@ -11,13 +11,15 @@ from pyspark.sql import Window as W
 
 from tracewright.functions import text as X
 from tracewright.operators import fit
-from tracewright.operators.ordered import runs
+from tracewright.operators.ordered import runs, top
 from tracewright.operators.session import S, Sessions, titled
 from tracewright.plans import reports
+from tracewright.sources.sinks import named_files
 
-TOOL = "session-extract"  # the command that views name for looking further
+TOOL = "python -m tracewright.cli"  # the command that views name for looking further
 
-# Fixed values of the views: what stands before an action of each kind, and boxes of plan items.
+# Fixed values of the views: what stands before an action of each kind, and boxes of plan items. The headings, table heads and
+# sentences of the functions below are fixed values too.
 ICONS = {"exec": "$", "file": "±", "read": "›", "mcp": "⚙", "search": "?", "ext": "·", "image": "▣", "delegate": "→", "compaction": "✂", "skill": "★", "model": "◇", "abort": "■", "error": "!"}
 BOXES = {"completed": "[x]", "in_progress": "[~]"}
 
@@ -69,11 +71,11 @@ def packets(sessions: DataFrame, folded: Sessions) -> DataFrame:
     first = F.col("first_seq").asc()
     of = reports._listed
     failures = folded.failures.select(*S, "first_seq", F.col("shown").alias("cmd"), F.col("exit_text").alias("exit"), "occurrences", "error", "resolved")
-    files = of(folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()], reports.LEDGER_ROWS, "files_changed", "path", "n_add", "n_update", "n_delete", "lines")
+    files = of(folded.files, [F.desc(F.col("n_add") + F.col("n_update")), first, F.col("first_sub").asc()], "files_changed", "path", "n_add", "n_update", "n_delete", "lines")
     lists = (
-        files, of(folded.reads, [F.desc("reads"), first], reports.LEDGER_ROWS, "files_read_most", "path", "reads"), of(folded.commands, [F.desc("runs"), first], reports.LEDGER_ROWS, "commands_run", "cmd", "runs", F.col("failures").alias("failed")),
-        of(folded.tools, [F.desc("calls"), first], reports.LEDGER_ROWS, "tools", "tool", "calls"), of(failures, [first], reports.LEDGER_ROWS, "failures", "cmd", "exit", "occurrences", "error", "resolved"),
-        of(folded.searches, [F.col("seq").asc()], reports.LEDGER_ROWS, "searches", "query"), of(folded.delegations, [F.col("seq").asc()], reports.LEDGER_ROWS, "delegations", "kind", "summary", "report"), of(folded.summaries, [F.desc("seq")], 1, "summary", "ts", "text"),
+        files, of(folded.reads, [F.desc("reads"), first], "files_read_most", "path", "reads"), of(folded.commands, [F.desc("runs"), first], "commands_run", "cmd", "runs", F.col("failures").alias("failed")),
+        of(folded.tools, [F.desc("calls"), first], "tools", "tool", "calls"), of(failures, [first], "failures", "cmd", "exit", "occurrences", "error", "resolved"),
+        of(folded.searches, [F.col("seq").asc()], "searches", "query"), of(folded.delegations, [F.col("seq").asc()], "delegations", "kind", "summary", "report"), of(top(folded.summaries, S, [F.desc("seq")], 1).drop("rank"), [F.desc("seq")], "summary", "ts", "text"),
     )
     t = folded.turns
     last = lambda c: F.max_by(F.struct("n", F.col("started_at").alias("ts"), F.col("ask_source").alias("source"), F.col(c).alias("text")), F.when(F.col(c).isNotNull(), F.col("n")))
@@ -217,18 +219,18 @@ def session_views(sessions: DataFrame, folded: Sessions, budget_tokens: int | No
     v = p.join(timeline, S, "left").join(notes, S, "left")
     foot = _cat(f"_Generated {made} from ", X.human_size(F.col("bytes"), " "), " of ", X.source_label(F.col("source")), " session data. Deterministic condensation — no model in the loop._")
     text = _doc(F.col("_spine"), "## Conversation timeline", "", F.nullif(F.col("_note"), F.lit("")), F.col("_timeline"), F.col("_reference"), "---", foot)
-    name = F.concat_ws("-", F.lit("session-view"), "source", X.slug(F.col("title")), _id8())
+    name = F.concat_ws("-", F.lit("session-view"), "source", X.slug(F.col("title")), F.regexp_replace("session_id", "[^0-9A-Za-z._-]", "_"))
     listed = folded.turns.groupBy(*S).agg(F.array_sort(F.collect_list(F.struct("n", *[c for c in folded.turns.columns if c not in (*S, "n")]))).alias("turn_list"))
     v = v.withColumn("markdown", text).withColumn("name", name).join(listed, S, "left")
     header = [c for c in v.columns if not c.startswith("_") and c not in ("markdown", "name")]
     return v.select(*S, "name", "markdown", F.to_json(F.struct(F.lit(made).alias("generated_at"), *header)).alias("packet"), X.tokens(F.length("markdown")).alias("tokens"))
 
 
-def write_views(views: DataFrame, folder: str) -> None:
-    """The views as text files, Markdown under ``folder``/markdown and packets under ``folder``/json, a sub-folder for each
-    session by its name, written by the executors."""
-    for column, kind in (("markdown", "markdown"), ("packet", "json")):
-        views.select("name", F.col(column).alias("value")).write.mode("overwrite").partitionBy("name").text(f"{folder.rstrip('/')}/{kind}")
+def write_views(views: DataFrame, folder: str) -> DataFrame:
+    """The views as files ``name``.md and ``name``.json of a folder that all executors reach, written by them; a row per
+    session with the path of its Markdown file as ``packet``."""
+    files = named_files(views.select(*S, F.col("name"), F.create_map(F.lit("md"), "markdown", F.lit("json"), "packet").alias("texts")), S, folder)
+    return files.select(*S, F.element_at("paths", "md").alias("packet"))
 
 
 def table_lines(sessions: DataFrame, limit: int = 20, *, now: datetime | None = None) -> list[str]:
@@ -249,18 +251,6 @@ def shown(session: DataFrame) -> str:
     return session.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]
 
 
-def write_local(views: DataFrame, folder: str) -> list[str]:
-    """The few views of a command as files of the driver's folder: name.md and name.json; their paths."""
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for r in views.toLocalIterator():
-        for ending, text in (("md", r["markdown"]), ("json", r["packet"])):
-            paths.append(os.path.join(folder, f"{r['name']}.{ending}"))
-            with open(paths[-1], "w", encoding="utf-8") as f:
-                f.write(text)
-    return paths
-
-
 # ---------------------------------------------------------------- the report over many sessions
 
 
@@ -322,7 +312,8 @@ def report_lines(c: DataFrame, folded: Sessions, *, folder: str | None = None, w
         parts += [literal(14, "## Outstanding failures", "", "Commands that failed and were never seen to succeed later in the same session. Repeats across sessions come first.", ""), _lines(ranked(failures, 10).join(held, "shown_key"), 15, F.col("place"), line)]
         parts += [literal(16, *([f"- _…{n_failures - 10} more in the JSON_"] if n_failures > 10 else []), "")]
     made = (now or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
-    foot = ["## Drill down", "", f"- One session in detail: `{TOOL} view <id>`", f'- Anything said or run in a session, including output: `{TOOL} search <id> "<text>"`', f"- One turn in full: `{TOOL} turn <id> <n>`", "", "---", f"_Generated {made} from {size} of session data. Deterministic condensation — no model in the loop._"]
+    where = ["- Each session's own view is at the `packet` path on its card in the JSON"] if "packet" in c.columns else []
+    foot = ["## Drill down", "", *where, f"- One session in detail: `{TOOL} view <id>`", f'- Anything said or run in a session, including output: `{TOOL} search <id> "<text>"`', f"- One turn in full: `{TOOL} turn <id> <n>`", "", "---", f"_Generated {made} from {size} of session data. Deterministic condensation — no model in the loop._"]
     spine = parts[0]
     for more in parts[1:]:
         spine = spine.union(more)
@@ -370,12 +361,59 @@ def _card(folder: str | None) -> Column:
     )
 
 
-def write_report(lines: DataFrame, c: DataFrame, folder: str, base: str) -> tuple[str, str]:
-    """The report as base.md and its cards as base.json, a card a line, in the driver's folder; both are streamed to it."""
+def report_json(c: DataFrame, folded: Sessions, *, folder: str | None = None, window: tuple[datetime | None, datetime | None] | None = None, now: datetime | None = None) -> DataFrame:
+    """(section, place, text): the whole report as data, one JSON text a row: totals, then every folder, file, failure and tool
+    and every card with all its requests. Sorted by section and place they are what :func:`write_report` puts together."""
+    made = (now or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    text = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    codes = lambda numbers: F.transform(numbers, lambda n: _cat("S", n)).alias("sessions")
+    since, until = (d.isoformat() if d else None for d in window or (None, None))
+    head = reports.totals(c, folded).select(text(F.lit(made).alias("generated_at"), F.lit(folder).alias("folder"), F.lit(since).alias("since"), F.lit(until).alias("until"), F.struct("*").alias("totals")).alias("text"))
+    number = c.select(*S, "number")
+    held = folded.files.join(number, S).groupBy("path").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    failed = folded.failures.filter("not resolved").join(number, S).groupBy(X.cmd_key(F.col("shown")).alias("shown_key")).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    by = lambda df, order, *cols: (df, order, text(*cols))
+    most = F.desc("n_sessions")
+    parts = {
+        "folders": by(reports.folder_rollup(c), [most, F.desc("turns"), F.col("numbers")[0].asc()], "folder", codes("numbers"), "turns"),
+        "files": by(reports.file_rollup(c, folded).join(held, "path"), [most, F.desc("changes"), F.col("first").asc()], "path", codes("numbers"), "changes"),
+        "failures": by(reports.failure_rollup(c, folded).join(failed, "shown_key"), [most, F.desc("occurrences"), F.col("first").asc()], "cmd", codes("numbers"), "occurrences", "last_line"),
+        "tools": by(reports.tool_rollup(folded), [F.desc("calls"), F.col("tool").asc()], "tool", "calls"),
+        "sessions": by(c, [F.col("number").asc()], *c.columns),
+    }
+    rows = head.select(F.lit("").alias("section"), F.lit(0).cast("long").alias("place"), "text")
+    for name, (df, order, made_of) in parts.items():
+        placed = df.withColumn("_text", made_of).withColumn("_place", F.row_number().over(W.orderBy(*order)) if name != "sessions" else F.col("number"))
+        rows = rows.unionByName(placed.select(F.lit(name).alias("section"), F.col("_place").cast("long").alias("place"), F.col("_text").alias("text")))
+    return rows
+
+
+SECTIONS = ("folders", "files", "failures", "tools", "sessions")
+
+
+def write_report(lines: DataFrame, rows: DataFrame, folder: str, base: str) -> tuple[str, str]:
+    """The report's lines as base.md and its data (:func:`report_json`) as base.json, one JSON object, in the driver's folder.
+    Both are streamed to it."""
     os.makedirs(folder, exist_ok=True)
     paths = os.path.join(folder, f"{base}.md"), os.path.join(folder, f"{base}.json")
     with open(paths[0], "w", encoding="utf-8") as f:
         f.writelines(r["line"] + "\n" for r in lines.toLocalIterator())
+    rank = F.array_position(F.array(F.lit(""), *(F.lit(x) for x in SECTIONS)), F.col("section"))
     with open(paths[1], "w", encoding="utf-8") as f:
-        f.writelines(r["j"] + "\n" for r in c.orderBy("number").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator())
+        last = ""
+        for r in rows.orderBy(rank, "place").toLocalIterator():
+            if r["section"] == "":
+                f.write(r["text"][:-1])
+                continue
+            while last != r["section"]:  # the sections before it, if they have no rows
+                f.write("]" if last else "")
+                last = SECTIONS[SECTIONS.index(last) + 1 if last else 0]
+                f.write(f',\n"{last}": [\n')
+                first = True
+            f.write(("" if first else ",\n") + r["text"])
+            first = False
+        for name in SECTIONS[SECTIONS.index(last) + 1 if last else 0 :]:
+            f.write(("]" if last else "") + f',\n"{name}": [')
+            last = name
+        f.write("]}\n")
     return paths

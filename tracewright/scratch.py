@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder, read from there: columns, not rows, so that what reads it takes only
+    what it needs. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _made:
+        atexit.register(_release)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _release() -> None:
+    while _made:
+        spark, path = _made.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; its cluster owns the folder
+            return
