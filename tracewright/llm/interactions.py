@@ -63,7 +63,8 @@ def repeated(docs: DataFrame, marked: DataFrame) -> DataFrame:
             drop_written(left)
         left = smaller
     rows = left.distinct()
-    texts = keyed(docs.select("id", "text")).join(rows, ["id", *KEY])
+    # texts are dealt by id whatever the number of rows left, so that nothing grows but in proportion
+    texts = keyed(docs.select("id", "text")).join(rows.hint("shuffle_hash"), ["id", *KEY])
     least = texts.groupBy(*KEY, "text").agg(F.min("id").alias("id")).select("id", *KEY)
     return rows.join(least, ["id", *KEY], "left_anti")
 
