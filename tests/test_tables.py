@@ -1,6 +1,7 @@
 """Every query over the driver's tables against its SQL in DuckDB, and the operators against plain Python models."""
 
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -59,6 +60,30 @@ def test_tier_fit(spark):
         assert (r["f"]["used"], r["f"]["tiers"]) == model_fit(costs, budget, 10, 2, 4)
 
 
+def test_fit_of_rows(spark):
+    rng = random.Random(4)
+    for n, budget, guaranteed in ((0, 50, 1), (1, 0, 1), (40, 600, 1), (300, 900, 3), (300, 20, 0), (500, 30_000, 2)):
+        costs = [[0, a, a + b] for a, b in ((rng.randrange(40, 900), rng.choice((40, 41, 400, 4000))) for _ in range(n))]
+        rows = spark.createDataFrame([(n - k, c) for k, c in enumerate(costs)], "number long, cost array<bigint>").repartition(7)
+        got = {r["number"]: r["tier"] for r in fit.fit_rows(rows, "number", budget, guaranteed=guaranteed, n_tiers=3, least=10).collect()}
+        assert [got.get(n - k, 0) for k in range(n)] == model_fit(costs, budget, 0, guaranteed, 3)[1]
+
+
+def test_fit_of_a_million(spark):
+    """Rows in any number, and one long array: both in near-linear time."""
+    import numpy as np
+
+    cost = F.array(F.lit(0), 60 + F.pmod(F.xxhash64("id"), F.lit(500)), 600 + F.pmod(F.xxhash64("id"), F.lit(5000)))
+    rows = spark.range(1_000_000).select(F.col("id").alias("number"), cost.cast("array<bigint>").alias("cost"))
+    began = time.perf_counter()
+    got = {r["number"]: r["tier"] for r in fit.fit_rows(rows, "number", 40_000, guaranteed=1, n_tiers=3, least=10).collect()}
+    assert time.perf_counter() - began < 60
+    costs = np.array([r["cost"] for r in rows.orderBy(F.desc("number")).limit(100_000).collect()])
+    began = time.perf_counter()
+    _, tiers = fit.greedy(costs, 40_000, 0, 1)
+    assert time.perf_counter() - began < 5 and {999_999 - k: v for k, v in enumerate(tiers.tolist()) if v} == {k: v for k, v in got.items() if k > 900_000 - 1}
+
+
 def test_texts(spark):
     row = spark.range(1).select(
         X.clip(F.lit("abcdef  "), 3).alias("a"), X.clip_tail(F.lit("abcdef"), 2).alias("b"), X.one_line(F.lit(" a \n  b "), 10).alias("c"), X.telltale_line(F.lit("+ x error\nno such word\nlast one")).alias("d"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import session
 from tracewright.plans import reports
 from tracewright.scratch import checkpointed
+from tracewright.shipping import ship
 from tracewright.sources import format_a, format_b
 from tracewright.sources.logs import is_json_object
 
@@ -75,7 +76,7 @@ def _sql(template: str) -> str:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
     e = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), k.alias("k"))
     number = F.floor(F.col("id") / 64).cast("string")

@@ -323,18 +323,18 @@ def card_costs(c: DataFrame) -> DataFrame:
     return c.withColumn("cost", F.array(F.lit(0), brief, full).cast("array<bigint>"))
 
 
+LEAST_STEP = 10  #: tokens that a card's next tier takes at least: 40 characters
+
+
 def fitted_cards(c: DataFrame, budget_tokens: int | None) -> DataFrame:
     """Cards with their tier: 0 in the table only, 1 abbreviated, 2 in full. Without a budget, or where all fit, all are in
-    full; else the newest is, and the others as far as the budget goes. Only numbers and costs are folded, in one array."""
+    full; else the newest is, and the others as far as the budget goes."""
     costs = card_costs(c)
-    if budget_tokens is None:
+    whole = None if budget_tokens is None else costs.agg(X.tokens(F.sum(F.element_at("cost", 3))).alias("n")).first()["n"] or 0
+    if budget_tokens is None or whole <= budget_tokens:
         return costs.withColumn("tier", F.lit(2)).drop("cost")
-    one = costs.agg(F.array_sort(F.collect_list(F.struct((-F.col("number")).alias("k"), "cost"))).alias("x"))
-    cost = F.transform("x", lambda x: x["cost"])
-    whole = F.aggregate(cost, F.lit(0).cast("bigint"), lambda acc, x: acc + x[2])
-    tiers = F.when(X.tokens(whole) <= budget_tokens, F.transform(cost, lambda _: F.lit(2))).otherwise(fit.fit_tiers(cost, F.lit(budget_tokens), F.lit(0), 1, len(fit.CARD_TIERS))["tiers"])
-    by_number = one.select(F.explode(F.arrays_zip(F.transform("x", lambda x: -x["k"]).alias("number"), tiers.alias("tier"))).alias("z")).select("z.number", "z.tier")
-    return costs.drop("cost").join(by_number, "number")
+    tiers = fit.fit_rows(costs.select("number", "cost"), "number", budget_tokens, guaranteed=1, n_tiers=len(fit.CARD_TIERS), least=LEAST_STEP)
+    return costs.drop("cost").join(F.broadcast(tiers), "number", "left").withColumn("tier", F.coalesce("tier", F.lit(0)))  # as many as the budget pays for
 
 
 # ---------------------------------------------------------------- fitting one session

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tracewright.functions import text as X
 from tracewright.operators import fit, ledger, ordered, session
 from tracewright.plans import reports
+from tracewright.shipping import ship
 from tracewright.sources import logs
 
 _queries: dict[str, Callable] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k(c: str = "props"):
@@ -274,9 +275,22 @@ def request_prefix_fit(spark, sf_dir):
     return ordered.prefix_fit(u, ["conv_id"], [F.desc("turn")], F.col("chars") + 40, 600).select("conv_id", "turn", F.col("used").cast("long").alias("used"))
 
 
-@query()
+FIT_SQL = """WITH RECURSIVE l AS (SELECT conv_id, turn, length(text) AS n, turn % 2 = 0 AS asked FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN asked THEN n ELSE 0 END AS a, CASE WHEN asked THEN 0 ELSE coalesce(n, 0) END AS f FROM l),
+k AS (SELECT conv_id, turn, [0, 60 + least(coalesce(a, 0), 140) + least(f, 140), 180 + least(coalesce(a, 0), 1200) + least(f, 1200), 80 + coalesce(a, 0) + f] AS cost FROM x),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, cost DESC) - 1 AS i FROM k),
+s AS (SELECT conv_id, count(*) AS n, 40 + CAST(floor(sum(cost[4]) / 4.0 + 0.5) AS BIGINT) AS whole, 40 + CAST(floor(max(cost[4]) FILTER (i = 0) / 4.0 + 0.5) AS BIGINT) AS used FROM c GROUP BY conv_id),
+r AS (SELECT conv_id, n, 0 AS step, used, list_transform(range(0, n), lambda i: CASE WHEN i = 0 THEN 3 ELSE 0 END) AS tiers FROM s WHERE whole > 300
+  UNION ALL SELECT conv_id, n, step + 1, CASE WHEN take THEN used + d ELSE used END, CASE WHEN take THEN list_concat(list_concat(tiers[1:i], [rank]), tiers[i + 2:n]) ELSE tiers END
+  FROM (SELECT *, tiers[i + 1] < rank AND used + d <= 300 AS take FROM (SELECT r.*, c.i, CAST(step // n + 1 AS INTEGER) AS rank, CAST(floor((cost[step // n + 2] - cost[tiers[c.i + 1] + 1]) / 4.0 + 0.5) AS BIGINT) AS d
+    FROM r JOIN c ON r.conv_id = c.conv_id AND c.i = r.step % r.n WHERE step < 3 * n))),
+e AS (SELECT conv_id, used, tiers FROM r WHERE step = 3 * n UNION ALL SELECT conv_id, whole, list_transform(range(0, n), lambda i: 3) FROM s WHERE whole <= 300)
+SELECT c.conv_id, e.used, c.turn, CAST(e.tiers[c.i + 1] AS INTEGER) AS tier FROM c JOIN e ON c.conv_id = e.conv_id"""
+
+
+@query(FIT_SQL)
 def tier_fit(spark, sf_dir):
-    """The tier of every turn of each conversation within 300 tokens; a fold whose state SQL cannot carry."""
+    """The tier of every turn of each conversation within 300 tokens."""
     c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
     user = F.col("turn") % 2 == 0
     cost = fit.turn_costs(F.when(user, F.col("chars")), F.when(~user, F.col("chars")), F.lit(20))
@@ -286,6 +300,22 @@ def tier_fit(spark, sf_dir):
     return fitted.select("conv_id", F.col("f.used").alias("used"), F.explode(zipped).alias("z")).select("conv_id", "used", "z.turn", "z.tier")
 
 
+CARD_FIT_SQL = """WITH RECURSIVE c AS (SELECT c_custkey AS number, [0, 160 + c_custkey * 37 % 300, 500 + c_custkey * 91 % 3000] AS cost, row_number() OVER (ORDER BY c_custkey DESC) AS i FROM customer),
+z AS (SELECT count(*) AS n, {first} AS used FROM c WHERE i = 1),
+a AS (SELECT 1 AS i, (SELECT used FROM z) AS used, 2 AS tier UNION ALL SELECT c.i, CASE WHEN a.used + d <= 5000 THEN a.used + d ELSE a.used END, CASE WHEN a.used + d <= 5000 THEN 1 ELSE 0 END FROM a JOIN (SELECT *, {brief} AS d FROM c) AS c ON c.i = a.i + 1),
+b AS (SELECT 1 AS i, (SELECT used FROM a ORDER BY i DESC LIMIT 1) AS used, 2 AS tier UNION ALL SELECT x.i, CASE WHEN b.used + d <= 5000 THEN b.used + d ELSE b.used END, CASE WHEN b.used + d <= 5000 THEN 2 ELSE x.tier END
+  FROM b JOIN (SELECT c.i, a.tier, CAST(floor((cost[3] - cost[a.tier + 1]) / 4.0 + 0.5) AS BIGINT) AS d FROM c JOIN a ON a.i = c.i) AS x ON x.i = b.i + 1)
+SELECT number, CAST(b.tier AS INTEGER) AS tier FROM c JOIN b ON b.i = c.i WHERE b.tier > 0""".format(first="any_value(CAST(floor(cost[3] / 4.0 + 0.5) AS BIGINT))", brief="CAST(floor(cost[2] / 4.0 + 0.5) AS BIGINT)")
+
+
+@query(CARD_FIT_SQL)
+def card_fit(spark, sf_dir):
+    """Which of all customers, the newest first, are raised within 5000 tokens: a fit over rows that never meet in one task."""
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"), F.col("c_custkey").alias("n"))
+    costs = c.select("number", F.array(F.lit(0), 160 + F.col("n") * 37 % 300, 500 + F.col("n") * 91 % 3000).cast("array<bigint>").alias("cost"))
+    return fit.fit_rows(costs, "number", 5000, guaranteed=1, n_tiers=3, least=10)
+
+
 # ---------------------------------------------------------------- rollups
 
 
