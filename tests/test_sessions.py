@@ -5,13 +5,14 @@ import json
 import os
 import shutil
 import sqlite3
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright import cli
-from tracewright.plans import reports, views
+from tracewright.plans import pruning, reports, verify, views
 from tracewright.scratch import written
 from tracewright.sources import format_a, format_b, index, logs
 
@@ -341,3 +342,34 @@ def test_json_objects(spark, value):
 
 def test_flat_yaml():
     assert format_b.flat_yaml("a: 1\nb: ~\nc: 'x''y'\nd: >\n  one\n  two\ne:\n") == {"a": 1, "b": None, "c": "x'y", "d": "one two", "e": None}
+
+
+def test_recounts_agree(spark, everything):
+    """Both formats' folds and views against the recount from raw records; and each kind of fault is found."""
+    sessions, f = everything
+    records = reports.read_records(spark, sessions)
+    a, b = records.filter("source = 'codex'"), records.filter("source = 'copilot'")
+    counts = [verify.recount_a(a), verify.recount_b(b, sessions)]
+    both = [written(x.unionByName(y)) for x, y in zip(*counts)]
+    assert verify.recounted(f, *both).collect() == []
+    assert {r["session_id"]: (r["commands"], r["failures"]) for r in both[0].collect()} == {A_ID: (3, 2), "abcdef12-0000-0000-0000-000000000001": (3, 2)}
+    spoilt = verify.recounted(replace(f, files=f.files.filter("path <> '/w/proj/old.py'"), failures=f.failures.filter("key <> 'npm test'")), *both)
+    assert sorted((r["problem"], r["ledger"], r["recount"]) for r in spoilt.collect()) == [("failures", "1", "2"), ("file", None, "/w/proj/old.py")]
+    made = written(views.session_views(sessions, f, None))
+    assert verify.rendered(made, f).collect() == []
+    assert {r["problem"] for r in verify.rendered(made.filter("source = 'codex'").withColumn("markdown", F.lit("x")), f).collect()} == {"session id missing", "no view"}
+
+
+def test_narrowed_search(spark, everything, root_b, tmp_path):
+    """The index leaves out sessions that cannot hold a text, and never one that does."""
+    sessions, _ = everything
+    at = pruning.SearchIndex(spark, str(tmp_path / "trigrams"))
+    assert at.candidates(sessions, "denied").count() == 2  # nothing is indexed yet
+    assert at.update(sessions) == 2 and at.update(sessions) == 0
+    key = lambda r: (r["session_id"], r["seq"], r["label"], r["excerpt"], r["total"])
+    texts = reports.searchable(reports.read_records(spark, sessions))
+    for query, left in (("denied", 1), ("please", 2), ("no such text anywhere", 0)):
+        assert at.candidates(sessions, query).count() == left, query
+        assert list(map(key, pruning.search_all(spark, sessions, at, query).collect())) == list(map(key, reports.search(texts, query).collect()))
+    changed = sessions.withColumn("updated_at", F.when(F.col("source") == "codex", F.timestamp_seconds(F.lit(9))).otherwise(F.col("updated_at")))
+    assert at.candidates(changed, "no such text anywhere").count() == 1  # changed since, so it may hold anything
