@@ -85,6 +85,22 @@ def test_fit_of_a_million(spark):
     assert time.perf_counter() - began < 5 and {999_999 - k: v for k, v in enumerate(tiers.tolist()) if v} == {k: v for k, v in got.items() if k > 900_000 - 1}
 
 
+def test_carried_over_segments(spark):
+    """The same as one window, for keys of any length; one key's rows lie in many tasks."""
+    at = F.xxhash64("id")
+    df = spark.range(60_000).select((F.col("id") % 100 % 7 % 3).alias("key"), F.col("id").alias("seq"), F.when(at % 50 == 0, at).alias("x"), F.when(at % 9001 == 0, F.lit("y")).alias("y"))
+    want = df.select("key", "seq", ordered.carry_forward(F.col("x"), ["key"], "seq").alias("a"), ordered.carry_forward(F.col("y"), ["key"], "seq").alias("b"))
+    got = ordered.carried(df, {"a": F.col("x"), "b": F.col("y")}, ["key"], "seq", bits=9)
+    assert got.columns == ["key", "seq", "x", "y", "a", "b"] and got.select(*want.columns).exceptAll(want).isEmpty() and got.count() == 60_000
+    one = ordered.carried(df.withColumn("key", F.lit(1)), {"a": F.col("x")}, ["key"], "seq", bits=9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 8 and max(rows) < 20_000
+
+
 def test_texts(spark):
     row = spark.range(1).select(
         X.clip(F.lit("abcdef  "), 3).alias("a"), X.clip_tail(F.lit("abcdef"), 2).alias("b"), X.one_line(F.lit(" a \n  b "), 10).alias("c"), X.telltale_line(F.lit("+ x error\nno such word\nlast one")).alias("d"),

@@ -24,6 +24,23 @@ def carry_forward(value: Column, keys: list[str], *order: str) -> Column:
     return F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
 
 
+SEGMENT_BITS = 24  #: of a record's place: 16 MiB of a log are one segment
+
+
+def carried(df: DataFrame, values: dict[str, Column], keys: list[str], seq: str, *, bits: int = SEGMENT_BITS) -> DataFrame:
+    """``df`` with the last non-null of each of ``values`` so far, as :func:`carry_forward` says it, in two levels: rows are
+    dealt by ``keys`` and segment (``seq`` without its low ``bits``), and what a segment starts with comes from a table of one
+    row a segment. One key of any number of rows is spread over all tasks."""
+    w = W.partitionBy(*keys, "_segment").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    cut = df.withColumns({"_segment": F.shiftright(seq, bits), **{f"_{k}": v for k, v in values.items()}})
+    ends = cut.groupBy(*keys, "_segment").agg(*(F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), F.col(seq))).alias(f"_{k}") for k in values))
+    before = W.partitionBy(*keys).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)  # a row a segment
+    starts = ends.select(*keys, "_segment", *(F.last(f"_{k}", ignorenulls=True).over(before).alias(f"_start_{k}") for k in values))
+    inside = cut.withColumns({f"_{k}": F.last(f"_{k}", ignorenulls=True).over(w) for k in values})
+    both = inside.join(starts, [*keys, "_segment"])
+    return both.withColumns({k: F.coalesce(f"_{k}", f"_start_{k}") for k in values}).drop("_segment", *(f"_{k}" for k in values), *(f"_start_{k}" for k in values))
+
+
 def is_twin(form: Column, one: str, other: str, keys: list[str], *order: str) -> Column:
     """Whether the row is the second copy of a message that is logged in two forms: its form has been seen no more often
     than the other."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions import text as X
-from tracewright.operators.ordered import asof_latest, carry_forward, roots
+from tracewright.operators.ordered import asof_latest, carried, roots
 from tracewright.sources.logs import SESSION, existing, exploded, fact, first_lines, full, get, listing
 
 SOURCE = "copilot"  # the name by which logs and links of this format are known
@@ -163,7 +163,7 @@ def located(records: DataFrame) -> DataFrame:
     r = records.filter("ok").withColumns({"type": F.coalesce(typ, F.lit("")), "parent": parent, "iid": iid, "call_id": call, "inner": ~own_call & (parent.isNotNull() | agent.isNotNull())})
     opens = F.when(typ.isin(*TURN_EVENTS) & parent.isNull() & agent.isNull(), iid)
     where = F.when(typ == "session.start", get(f"{D}.context.cwd")).when(typ == "session.resume", get(f"{D}.context.cwd")).when(typ == "session.context_changed", get(f"{D}.cwd"))
-    r = r.withColumn("current", carry_forward(opens, SESSION, "seq")).withColumn("cwd", carry_forward(where, SESSION, "seq"))
+    r = carried(r, {"current": opens, "cwd": where}, SESSION, "seq")
     starts = r.filter("type = 'tool.execution_start'").select(
         *SESSION, "seq", F.col("call_id").alias("key"), "parent", F.coalesce(F.when(F.col("parent").isNull(), F.col("iid")), F.col("current")).alias("turn"),
         get(f"{D}.toolName").alias("name"), F.get_json_object("value", f"{D}.arguments").alias("args"),
