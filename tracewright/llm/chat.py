@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracewright.llm.common import named, written
+from tracewright.shipping import ship
+
 _HASH = ("h0", "h1", "h2", "h3")
+_MARK, _ESCAPED = r"<(\\*)\|", r"<\\$1|"
 
 
 def _element(position: Column) -> list[Column]:
@@ -21,7 +25,8 @@ def _element(position: Column) -> list[Column]:
 def turns_of(conversations: DataFrame, *, block_turns: int = 512) -> DataFrame:
     """Distinct turns with their block: conv_id, block, turn, role, text. Blocks of turn numbers keep a very long
     conversation in many tasks."""
-    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    ship(conversations.sparkSession)
+    c = conversations.select(named("conv_id").cast("long").alias("conv_id"), named("turn").cast("long").alias("turn"), named("role").cast("string").alias("role"), named("text").cast("string").alias("text"))
     return c.distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).cast("long"))
 
 
@@ -71,11 +76,14 @@ def format_chats(conversations: DataFrame, *, block_turns: int = 512) -> DataFra
     empty ones in comparison; an empty table gives no rows.
 
     Returns conv_id, n_turns, n_copies, part, rendered: a rendered turn is ``<|role|>``, a new line, the text,
-    ``<|end|>``, a new line; each part holds the turns of one block of ``block_turns`` turn numbers, in order.
+    ``<|end|>``, a new line; each part holds the turns of one block of ``block_turns`` turn numbers, in order. Within roles
+    and texts ``<|`` gets a backslash between its signs, and one more if it has some, so no text forges a turn and every
+    text can be read back. Turns with a null number, and with one number, are in one block.
     """
-    turns = turns_of(conversations, block_turns=block_turns)
-    kept = maximal_conversations(prefix_hashes(turns))
-    one = F.concat(F.lit("<|"), F.coalesce("t.role", F.lit("")), F.lit("|>\n"), F.coalesce("t.text", F.lit("")), F.lit("<|end|>\n"))
+    turns = written(turns_of(conversations, block_turns=block_turns), "turns")
+    kept = maximal_conversations(written(prefix_hashes(turns), "prefixes"))
+    safe = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), _MARK, _ESCAPED)
+    one = F.concat(F.lit("<|"), safe("t.role"), F.lit("|>\n"), safe("t.text"), F.lit("<|end|>\n"))
     both = turns.alias("t").join(kept.alias("k"), _same("t", "k", "conv_id")).select("t.*", "k.n_turns", "k.n_copies", one.alias("one"))
     listed = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), "one")))
     parts = both.groupBy("conv_id", "n_turns", "n_copies", "block").agg(F.array_join(F.transform(listed, lambda x: x["one"]), "").alias("rendered"))

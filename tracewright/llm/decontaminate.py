@@ -84,11 +84,11 @@ class NgramIndex:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     """The test items with the block of each, and the number of blocks of about ``block_bytes``: what is broadcast at once
-    is bounded however large the table is."""
-    items = benchmark.select(named(id_col).cast("long").alias("item"), named(text_col).cast("string").alias("text")).filter("text is not null")
+    is bounded however large the table is. Repeated rows count once; items with one text are dealt apart."""
+    items = benchmark.select(named(id_col).cast("long").alias("item"), named(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    return items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))), blocks
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), blocks
 
 
 def _found(texts: DataFrame, items: DataFrame, block: int, n: int) -> DataFrame:
@@ -149,8 +149,9 @@ def _covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def report(hits: DataFrame) -> DataFrame:
-    """A row per document of :func:`contamination`: n_words, n_hit (words inside any hit window), n_items,
-    items_sha256 (hex, of the item ids sorted as text and joined by commas), contaminated."""
+    """A row per row of :func:`contamination`, repeated ones too: n_words, n_hit (words inside any hit window), n_items,
+    items_sha256 (hex, of the item ids sorted as text and joined by commas, without null ids), contaminated. A null or empty
+    text has 0 words and no hits; an empty table gives no rows."""
     last = F.array_sort(F.arrays_zip("starts", "ends"))
     merged = F.aggregate(last, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda acc, w: F.struct((acc["n"] + F.greatest(F.lit(0), w["ends"] - F.greatest(w["starts"], acc["to"]))).alias("n"), F.greatest(acc["to"], w["ends"]).alias("to")), lambda acc: acc["n"])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -158,7 +159,8 @@ def report(hits: DataFrame) -> DataFrame:
 
 
 def without_spans(hits: DataFrame) -> DataFrame:
-    """(doc_id, text, n_removed) with the words of every hit window cut out of the text, blanks between them included."""
+    """(doc_id, text, n_removed) with the words of every hit window cut out of the text, blanks between them included. Texts
+    without hits, null ones too, stay as they are; repeated rows are cut one by one; an empty table gives no rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -199,7 +201,8 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, item_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "drop", **options) -> DataFrame:
     """Documents without contamination: ``drop`` leaves contaminated ones out and keeps all columns, ``spans`` cuts the
-    hit words and gives (doc_id, text)."""
+    hit words and gives (doc_id, text). Null and empty texts stay, repeated rows are judged one by one, and an empty table, or
+    an empty benchmark, changes nothing."""
     if action == "spans":
         return without_spans(contamination(docs, benchmark, keep_text=True, **options)).drop("n_removed")
     if action != "drop":

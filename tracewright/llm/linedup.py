@@ -179,8 +179,7 @@ def _near(classes: DataFrame, low: int, high: int | None, threshold: int) -> Dat
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: chosen.select(F.col("h").alias(c), F.col("r.line").alias(f"line_{c}"))
         texts = pairs.join(side("h"), "h").join(side("a"), "a")
-        # Spark's own banded distance passes few pairs on to the masks, which are slower a pair
-        good = (F.levenshtein("line_h", "line_a", threshold) >= 0) & within_distance(F.col("line_h"), F.col("line_a"), threshold)
+        good = within_distance(F.col("line_h"), F.col("line_a"), threshold)  # lengths and letters have passed before
         return written(texts.filter(good).select("h").distinct(), "near")
 
     # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import crc_mod, doc_text, written
+from tracewright.llm.common import crc_mod, doc_text, lean, slices, written
 
 _SLICE_ROWS = 1_000
 _KEPT = 150_000
@@ -49,12 +49,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out_hash, out_bucket, new
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _SLICE_ROWS):
-            yield batch.slice(at, _SLICE_ROWS)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -63,12 +57,12 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, bucket, c) of every token of the training texts; a word is its 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, _SLICE_ROWS):
             hashes, buckets, _ = _tokens(part.column("text"))
             found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(found), pa.array(buckets[first].astype(np.int32)), pa.array(counts)], ["word", "bucket", "c"])
 
-    return training.select("text").mapInArrow(run, "word long, bucket int, c long").groupBy("word", "bucket").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(lean(run), "word long, bucket int, c long").groupBy("word", "bucket").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -117,13 +111,13 @@ def type_bigrams(training: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        for part in _slices(batches):
+        for part in slices(batches, _SLICE_ROWS):
             hashes, buckets, bounds = _tokens(part.column("text"))
             types, _ = v.look_up(hashes, buckets)
             pairs, counts = np.unique(v.before(types, bounds) << 20 | types, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
 
-    sums = training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = training.select("text").mapInArrow(lean(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return sums.select(F.shiftright("pair", 20).cast("int").alias("x"), F.col("pair").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("y"), "n")
 
 
@@ -289,7 +283,7 @@ def score(docs: DataFrame, model: ClassModel | None, counts: DataFrame, *, fold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         base_size = m.base_size
-        for part in _slices(batches):
+        for part in slices(batches, _SLICE_ROWS):
             hashes, buckets, bounds = _tokens(part.column("text"))
             types, known = m.vocabulary.look_up(hashes, buckets)
             before = m.vocabulary.before(types, bounds)
@@ -316,7 +310,7 @@ def score(docs: DataFrame, model: ClassModel | None, counts: DataFrame, *, fold:
                 pa.array(np.concatenate((base, pad * 0.0))), pa.array(np.concatenate((full, pad * 0.0))),
             ], ["doc_id", "text_hash", "word", "tf", "texts", "n_tokens", "n_known", "base", "score"])
 
-    parts = texts.mapInArrow(run, PARTS).join(counts.select("word", "c"), "word", "left")
+    parts = texts.mapInArrow(lean(run), PARTS).join(counts.select("word", "c"), "word", "left")
     half = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     # rows that are equal in id and text meet here, count as texts, and come out as often as they went in
     sums = parts.groupBy("doc_id", "text_hash").agg(

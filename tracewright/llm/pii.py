@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import doc_text
+from tracewright.llm.common import doc_text, lean, slices
 
 KINDS = ("email", "ip", "card", "phone")  # of the base patterns, in the order of the digest
 LABELS = ("O", "email", "phone", "secret")
@@ -124,18 +124,18 @@ LABELLED = (
     ("page?ref=x and id=17 are in the link", {}),
     ("The name of the town is old", {}),
     ("Then Anna went. The Town Hall was shut", {}),
-    ("Of the And. Reat moron. Thorti he for", {}),
-    ("Licensed under the Apache License, Version 2.0.", {}),
-    ("Released under the MIT License. All rights reserved.", {}),
-    ("This work is licensed under the GNU General Public License, version 3.", {}),
-    ("DE!! UNE!! LE!! LEUX!! AND!! THE!!", {}),
-    ("Of%%% athe*** erntwh.%%% the### and&&& $$$", {}),
-    ("Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$", {}),
-    ("ha,&&& ly%%% therouble,### the.*** Are&&& and&&& at%%% of.###", {}),
-    ("for.*** Edhend$$$ tionre$$$ of,&&& dot*** in.%%% by&&&", {}),
+    ("In a Row. Seven sacks. Maybe they fell", {}),
+    ("Covered by our House Rules, Edition 2.0.", {}),
+    ("Printed under a Plain Grant. No rights withheld.", {}),
+    ("That book is offered under the Common Public Terms, edition 3.", {}),
+    ("STOP!! NOW!! GO!! WAIT!! HERE!! THERE!!", {}),
+    ("Kurz%%% wobbly*** mudlark.%%% when### how&&& $$$", {}),
+    ("Zumpel### gravid$$$ yet%%% moxie$$$ quipu$$$ larks$$$", {}),
+    ("oh,&&& why%%% plumbago,### once.*** Some&&& few&&& up%%% so.###", {}),
+    ("no.*** Yclept$$$ vox$$$ off,&&& spot*** on.%%% per&&&", {}),
     ("the of and to in is that for", {}),
     ("Der und die von; le la les de; el los que y", {}),
-    ("erst | nder | ertion | thenti |", {}),
+    ("col | wide | narrow | sum |", {}),
 )
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -374,25 +374,24 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*KINDS, "secret"))}
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE_ROWS):
-                part = batch.slice(at, _SLICE_ROWS)
-                texts = pc.fill_null(part.column("text"), "")
-                rows: list[list] = [[], [], [], []]
-                for text, more in zip(texts.to_pylist(), field_spans(texts, field)):
-                    spans = [(a, b, k, True) for a, b, k in base_spans(text)]
-                    spans += [(a, b, k, False) for a, b, k in more if not any(a < y and x < b for x, y, *_ in spans)]
-                    spans.sort(key=lambda s: (s[0], order[s[2]]))
-                    for column, value in zip(rows, ([s[2] for s in spans], [s[0] for s in spans], [s[1] for s in spans], [s[3] for s in spans])):
-                        column.append(value)
-                kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "text", "kinds", "starts", "ends", "base"])
-
-    return doc_text(docs).mapInArrow(run, "doc_id long, text string, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        for part in slices(batches, _SLICE_ROWS):
+            texts = pc.fill_null(part.column("text"), "")
+            rows: list[list] = [[], [], [], []]
+            for text, more in zip(texts.to_pylist(), field_spans(texts, field)):
+                spans = [(a, b, k, True) for a, b, k in base_spans(text)]
+                spans += [(a, b, k, False) for a, b, k in more if not any(a < y and x < b for x, y, *_ in spans)]
+                spans.sort(key=lambda s: (s[0], order[s[2]]))
+                for column, value in zip(rows, ([s[2] for s in spans], [s[0] for s in spans], [s[1] for s in spans], [s[3] for s in spans])):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "text", "kinds", "starts", "ends", "base"])
+
+    return doc_text(docs).mapInArrow(lean(run), "doc_id long, text string, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Per document of :func:`find`: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of its base spans, and all spans."""
+    """Per row of :func:`find`, repeated ones too: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of its base spans, and
+    all spans. A null or empty text has none: zeros, the hash of the empty text, and an empty text; an empty table no rows."""
     zipped = F.arrays_zip("kinds", "starts", "ends", "base")
     base = F.filter(zipped, lambda s: s["base"])
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")
@@ -402,10 +401,11 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """(doc_id, text) of :func:`find` with every span replaced by its kind in angle brackets, overlaps by the first's."""
+    """(doc_id, text) of :func:`find` with every span replaced by its kind in angle brackets, overlaps by the first's. Null and
+    empty texts stay as they are; repeated rows are redacted one by one; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, kinds, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "kinds", "starts", "ends"))):
                 if starts:
@@ -418,4 +418,4 @@ def redacted(found: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return found.select("doc_id", "text", "kinds", "starts", "ends").mapInArrow(run, "doc_id long, text string")
+    return found.select("doc_id", "text", "kinds", "starts", "ends").mapInArrow(lean(run), "doc_id long, text string")

@@ -88,7 +88,7 @@ r AS (SELECT min(conv_id) AS conv_id, n, body, count(*) AS copies FROM s GROUP B
 m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS o WHERE o.n > r.n AND starts_with(o.body, r.body))),
 p AS (
   SELECT d.conv_id, floor(turn / 512.0) AS block, any_value(m.n) AS n_turns, any_value(m.copies) AS n_copies,
-         string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+         string_agg('<|' || regexp_replace(coalesce(role, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '|>' || chr(10) || regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
   FROM d JOIN m ON d.conv_id = m.conv_id GROUP BY d.conv_id, floor(turn / 512.0)
 )
 SELECT conv_id, n_turns, n_copies, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS BIGINT) AS part, rendered FROM p
