@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
 from tracewright.operators import fit, ordered
-from tracewright.plans import audit_queries, log_queries, table_queries
+from tracewright.plans import audit_queries, log_queries, table_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
@@ -28,7 +28,7 @@ def normal(df):
     return sorted(tuple("-" if pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
-_PLANS = (table_queries, log_queries, audit_queries)
+_PLANS = (table_queries, log_queries, audit_queries, text_queries)
 QUERIES, SQL = ({k: v for p in _PLANS for k, v in of(p).items()} for of in (lambda p: p.queries(), lambda p: p.oracle_sql()))
 
 
