@@ -113,7 +113,8 @@ def within_distance(a: Column, b: Column, threshold: int) -> Column:
                     out = _let(out, with_mask(d, e))
                 return out
 
-            return _let(equal, masks)
+            # no prefix is within reach any more: what is left of the line changes nothing
+            return F.when(F.get(acc, F.lit(threshold)) == 0, acc).otherwise(_let(equal, masks))
 
         m, n = F.size(x), F.size(y)
         steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
