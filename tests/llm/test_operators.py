@@ -144,7 +144,43 @@ def test_html_template_decides():
     trees = [html_extract.parse(body(k)) for k in range(6)]
     found = html_extract.induce(trees, {})
     assert [html_extract.article_text(t, x) for t, x in zip(trees, found)] == [(f"varying words of page {k} " * 3).strip() for k in range(6)]
-    assert all("same words" in html_extract.article_text(t, set()) for t in trees)
+    assert all("same words" in html_extract.article_text(t, html_extract.Slots(set())) for t in trees)
+
+
+def test_html_slots_decide_without_names():
+    """Named by nothing but plain elements, the content is where most varying text lies over the host's pages; lists of links in
+    it go, and a page whose own content is short keeps its slot."""
+    words = lambda k, n: " ".join(f"w{k}_{j}" for j in range(n))
+    page = lambda k: f"<body><div><p>{words(k, 3)}</p><p>{words(k + 50, 3)}</p></div><div><p>{words(k, 2 if k == 3 else 60)}</p><ul><li><a href='/{k}'>{words(k + 90, 4)}</a></li></ul><p>{words(k + 9, 1 if k == 3 else 30)}</p></div><table><tr><td><a>{words(k, 5)}</a></td></tr></table></body>"
+    trees = [html_extract.parse(page(k)) for k in range(7)]
+    found = html_extract.induce(trees, {})
+    want = [f"{words(k, 2 if k == 3 else 60)}\n\n{words(k + 9, 1 if k == 3 else 30)}" for k in range(7)]
+    for names in (True, False):
+        assert [html_extract.article_text(t, x, names) for t, x in zip(trees, found)] == want
+    # brute force: of all elements that hold blocks, the deepest with at least half of what each element above it has
+    amounts = Counter()
+    for t, x in zip(trees, found):
+        plain, _ = html_extract._amounts(html_extract.annotate(t, {}), x.template)
+        todo = [(t, ())]
+        while todo:
+            node, path = todo.pop()
+            amounts[path] += plain[node.index]
+            todo += [(c, (*path, k)) for k, c in enumerate(node.children) if html_extract._holds_blocks(c)]
+    good = [p for p in amounts if p and all(2 * amounts[p[: k + 1]] >= amounts[p[:k]] > 0 for k in range(len(p)))]
+    path, node = max(good, key=len), trees[0]
+    for k in path:
+        node = node.children[k]
+    assert node is found[0].content
+
+
+def test_html_many_siblings():
+    """Pages of very many equal siblings are aligned in linear time."""
+    import time
+
+    trees = [html_extract.parse("<ul>" + f"<li>x{k}</li>" * 60_000 + "</ul>" + "<p>end</p>" * (k % 2)) for k in range(4)]
+    began = time.perf_counter()
+    html_extract.induce(trees, {})
+    assert time.perf_counter() - began < 20
 
 
 def test_tree_matching_is_best():

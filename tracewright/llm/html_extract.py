@@ -7,6 +7,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,16 +154,15 @@ def align(a: Node, b: Node, known: dict) -> list[tuple[Node, Node]]:
             todo.extend(zip(x.children, y.children))
             continue
         left, right = x.children, y.children
-        while left and right and left[0].shape == right[0].shape:
-            todo.append((left[0], right[0]))
-            left, right = left[1:], right[1:]
-        tail = []
-        while left and right and left[-1].shape == right[-1].shape:
-            tail.append((left[-1], right[-1]))
-            left, right = left[:-1], right[:-1]
-        todo.extend(tail)
-        if left and right:
-            todo.extend(_best_children(left, right, known))
+        at, to, other = 0, len(left), len(right)  # what both have alike at their beginnings and ends is paired without a table
+        while at < min(to, other) and left[at].shape == right[at].shape:
+            todo.append((left[at], right[at]))
+            at += 1
+        while to > at and other > at and left[to - 1].shape == right[other - 1].shape:
+            to, other = to - 1, other - 1
+            todo.append((left[to], right[other]))
+        if to > at and other > at:
+            todo.extend(_best_children(left[at:to], right[at:other], known))
     return pairs
 
 
@@ -207,28 +207,88 @@ MIN_PAGES = 4  # different pages a template is induced from at least
 CONSTANT_SHARE = 0.5  # of a slot's pages, from which its text is template
 
 
-def induce(trees: list[Node], shapes: dict) -> list[set[int]]:
-    """For each page of a host the text nodes that are template; all other text varies and is content or furniture.
+#: Elements whose text no page shows.
+HIDDEN = RAW | frozenset("head noscript template".split())
+LINK_SHARE = 0.7  # of a slot's text over all pages, from which it is a list of links
+
+
+@dataclass
+class Slots:
+    """What the wrapper says of one page: its text nodes that are template, the element in the slot where the content of the
+    host's pages lies (None where no slot stands out), and the elements in slots that hold links."""
+
+    template: set[int]
+    content: Node | None = None
+    links: set[int] = field(default_factory=set)
+
+
+def _amounts(order: list[Node], template: set[int]) -> tuple[list[int], list[int]]:
+    """Characters of varying text below each node of a page, outside links and in them."""
+    plain, linked, inside = [0] * len(order), [0] * len(order), [False] * len(order)
+    for x in order:
+        inside[x.index] = x.tag == "a" or (x.parent is not None and inside[x.parent.index])
+    for x in reversed(order):
+        if x.tag == "#" and x.index not in template:
+            (linked if inside[x.index] else plain)[x.index] = len(x.text.strip())
+        if x.tag in HIDDEN:
+            plain[x.index] = linked[x.index] = 0
+        if x.parent is not None:
+            plain[x.parent.index] += plain[x.index]
+            linked[x.parent.index] += linked[x.index]
+    return plain, linked
+
+
+def _holds_blocks(x: Node) -> bool:
+    return any(c.tag != "#" and c.tag not in INLINE for c in x.children)
+
+
+def _content_slot(wrapper: Node, plain: Counter) -> int | None:
+    """The slot where most text lies: from the root on, the child that holds blocks and at least half of what is there."""
+    x, found = wrapper, None
+    while True:
+        best = max((c for c in x.children if _holds_blocks(c) and c.tag not in HIDDEN), key=lambda c: (plain[c.index], -c.index), default=None)
+        if best is None or not plain[best.index] or 2 * plain[best.index] < plain[x.index]:
+            return found
+        x, found = best, best.index
+
+
+def induce(trees: list[Node], shapes: dict) -> list[Slots]:
+    """For each page of a host what its slots are.
 
     The page of middle size is the wrapper; every other is aligned with it. A slot of the wrapper whose text is the
     same on more than ``CONSTANT_SHARE`` of the different pages is constant, and the nodes that hold that text there
-    are template. Fewer than ``MIN_PAGES`` different pages have no template.
+    are template. Of what varies, the amounts of text and of linked text in each slot, summed over the different pages, say
+    where the content lies and which slots only link. Fewer than ``MIN_PAGES`` different pages say nothing.
     """
     orders = [annotate(t, shapes) for t in trees]
     distinct: dict[tuple, int] = {}
     for k, order in enumerate(orders):
         distinct.setdefault(tuple(n.text for n in order if n.text), k)
     if len(distinct) < MIN_PAGES:
-        return [set() for _ in trees]
+        return [Slots(set()) for _ in trees]
     by_size = sorted(distinct.values(), key=lambda k: (len(orders[k]), k))
     wrapper, known = trees[by_size[len(by_size) // 2]], {}
-    aligned = [[(x.index, y.index, " ".join(y.text.split())) for x, y in align(wrapper, t, known) if y.tag == "#"] for t in trees]
+    pairs = [align(wrapper, t, known) for t in trees]
+    aligned = [[(x.index, y.index, " ".join(y.text.split())) for x, y in p if y.tag == "#"] for p in pairs]
     seen: dict[int, Counter] = {}
     for k in distinct.values():
         for slot, _, text in aligned[k]:
             seen.setdefault(slot, Counter())[text] += 1
     constant = {(slot, text) for slot, texts in seen.items() for text, n in texts.items() if n > CONSTANT_SHARE * len(distinct) and n >= MIN_PAGES}
-    return [{index for slot, index, text in pairs if (slot, text) in constant} for pairs in aligned]
+    out = [Slots({index for slot, index, text in row if (slot, text) in constant}) for row in aligned]
+    plain, linked, pages = Counter(), Counter(), Counter()
+    for k in distinct.values():
+        p, q = _amounts(orders[k], out[k].template)
+        for x, y in pairs[k]:
+            plain[x.index] += p[y.index]
+            linked[x.index] += q[y.index]
+            pages[x.index] += 1
+    content = _content_slot(wrapper, plain)
+    linking = {s for s, n in pages.items() if n >= MIN_PAGES and linked[s] > LINK_SHARE * (linked[s] + plain[s])}
+    for slots, row in zip(out, pairs):
+        slots.content = next((y for x, y in row if x.index == content), None)
+        slots.links = {y.index for x, y in row if x.index in linking and _holds_blocks(y)}
+    return out
 
 
 def _varying(node: Node, template: set[int]) -> int:
@@ -263,11 +323,35 @@ def _regions(root: Node, template: set[int]) -> list[Node]:
     return chosen if chosen and 2 * of(chosen) >= of([root]) else [root]
 
 
-def article_text(root: Node, template: set[int]) -> str:
-    """The blocks of the article, joined by blank lines: the varying text of the regions where it lies. Parts whose
-    element, role, class or id names a menu, header, footer, sidebar, notice, advert, form, script or reader comments
-    are left out."""
-    regions = _regions(root, template)
+def _within(x: Node | None, nodes: list[Node]) -> bool:
+    while x is not None:
+        if any(x is n for n in nodes):
+            return True
+        x = x.parent
+    return False
+
+
+def _chosen(root: Node, slots: Slots, names: bool) -> list[Node]:
+    """The regions of the article: the content's slot; where names show a region too, of one inside the other the named one,
+    of two that lie apart the one with more varying text."""
+    if not names:
+        return [slots.content or root]
+    named_ = _regions(root, slots.template)
+    if slots.content is None or slots.content.drop:
+        return named_
+    if named_ == [root]:
+        return [slots.content]
+    apart = not _within(slots.content, named_) and not any(_within(x, [slots.content]) for x in named_)
+    more = apart and _varying(slots.content, slots.template) > sum(_varying(x, slots.template) for x in named_)
+    return [slots.content] if more else named_
+
+
+def article_text(root: Node, slots: Slots, names: bool = True) -> str:
+    """The blocks of the article, joined by blank lines: the varying text of the regions where it lies, without the slots that
+    only link. With ``names`` parts whose element, role, class or id names a menu, header, footer, sidebar, notice, advert,
+    form, script or reader comments are left out too."""
+    template, regions = slots.template, _chosen(root, slots, names)
+    left_out = (lambda x: x.drop or (x.tag == "header" and regions == [root])) if names else (lambda x: x.tag in HIDDEN)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -287,7 +371,7 @@ def article_text(root: Node, template: set[int]) -> str:
                 parts.append(x.text)
         elif x.tag == "br":
             parts.append(" ")
-        elif not x.drop and not (x.tag == "header" and regions == [root]):
+        elif not left_out(x) and x.index not in slots.links:
             if x.tag not in INLINE:
                 flush()
                 todo.append(None)
@@ -300,13 +384,14 @@ GROUP_BYTES = 32 << 20  # of pages that a task aligns at once; a group with more
 BROADCAST_HOSTS = 200_000  # of more than one group; beyond that their sizes are joined by a shuffle
 
 
-def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+def extract(pages: DataFrame, *, group_pages: int = 32, names: bool = True, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """Extract the main text of every page (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Pages of a host are dealt by hash to groups of about ``group_pages``, so that a host of any size spreads over many
     tasks, and each group induces its wrapper. The host is what stands between ``//`` and the next ``/``, ``?`` or
     ``#`` of the url, in lower case; pages without one share a host of their own. A null or empty html gives an empty
-    text. Repeated rows are extracted one by one and count once for the template; an empty table gives no rows.
+    text. Repeated rows are extracted one by one and count once for the template; an empty table gives no rows. Without
+    ``names`` the wrapper's slots alone decide.
     """
     p = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url"), F.coalesce(named(html_col).cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*//([^/?#]*)", 1)))
@@ -319,7 +404,7 @@ def extract(pages: DataFrame, *, group_pages: int = 32, url_col: str = "url", ht
     def texts_of(group: pa.Table) -> pa.RecordBatch:
         group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
         trees = [parse(x) for x in group.column("html").to_pylist()]
-        texts = [article_text(t, s) for t, s in zip(trees, induce(trees, {}))]
+        texts = [article_text(t, s, names) for t, s in zip(trees, induce(trees, {}))]
         return pa.RecordBatch.from_arrays([group.column("page_id").combine_chunks(), group.column("url").combine_chunks(), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
