@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import lineage
 from tracewright.plans import profile, pruning, verify
+from tracewright.sources import format_a
 from tracewright.sources.logs import is_json_object
 
 
@@ -112,3 +113,8 @@ def test_trigrams(spark):
     for r in pruning.trigrams_of(df, ["k"]).collect():
         got.setdefault(r["k"], set()).add(r["tri"])
     assert got[1] == {"aba", "bab"} and 2 not in got and 3 not in got and 4 in got
+
+
+def test_objects_keep_their_order_as_text(spark):
+    r = records(spark, ['{"type":"token_usage_record","timestamp":"t","payload":{"thread_token_usage":{"z":1,"a":{"y":2,"b":"é"}},"usage":7}}', '{"type":"token_usage_record","payload":{"usage":7}}'], "codex")
+    assert [x["text"] for x in format_a.facts(r).filter("kind = 'token_record'").orderBy("seq").collect()] == ['{"z":1,"a":{"y":2,"b":"é"}}', "7"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import session
 from tracewright.plans import reports
-from tracewright.scratch import checkpointed
+from tracewright.scratch import written
 from tracewright.shipping import ship
 from tracewright.sources import format_a, format_b
 from tracewright.sources.logs import is_json_object
@@ -174,7 +174,7 @@ def format_a_facts(spark, sf_dir):
 def folded_a(spark: SparkSession, sf_dir: str) -> session.Sessions:
     records = records_a(spark, sf_dir)
     read = records.groupBy(*session.S).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("ok")).alias("parse_failures"))
-    return session.fold(checkpointed(format_a.facts(records)), read)
+    return session.fold(written(format_a.facts(records), "facts"), read)
 
 
 #: Twins: of a turn's asks in two forms the k-th copy in one form goes if the other has k already.

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tracewright.functions import text as X
 from tracewright.operators import fit, ledger, ordered, session
 from tracewright.plans import reports
+from tracewright.scratch import written
 from tracewright.shipping import ship
 from tracewright.sources import logs
 
@@ -134,7 +135,7 @@ FROM g LEFT JOIN a USING (conv_id, raw) WHERE ask IS NOT NULL OR final IS NOT NU
 def session_turns(spark, sf_dir):
     """Conversations through the fold: asks, the last final, and notes of finals that a later one replaced. Clipped texts,
     whose form clip_functions checks, are left out."""
-    turns = session.fold(conversation_facts(spark, sf_dir)).turns
+    turns = session.fold(written(conversation_facts(spark, sf_dir), "facts")).turns
     whole = lambda c, n: F.when(~F.contains(F.col(c), F.lit("…[+")), F.col(c)).alias(c)
     return turns.select("session_id", "turn", F.col("n").cast("long").alias("n"), whole("ask", 4000), whole("final", 3000), F.size("notes").cast("long").alias("notes"))
 
@@ -161,7 +162,7 @@ def searchable(spark, sf_dir) -> DataFrame:
 @query(f"WITH {MESSAGES_SQL} SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, text, substr(text, 1, 30) AS output FROM m WHERE raw = 2 AND role IN ('user', 'assistant')")
 def turn_replay(spark, sf_dir):
     """The second turn of every conversation as it was logged, output cut."""
-    turns = session.fold(conversation_facts(spark, sf_dir)).turns
+    turns = session.fold(written(conversation_facts(spark, sf_dir), "facts")).turns
     second = turns.withColumn("n", F.col("turn").cast("int"))  # by the number that the SQL has
     return reports.replay(searchable(spark, sf_dir), second, 2, max_chars=30).select("session_id", "seq", "text", "output")
 

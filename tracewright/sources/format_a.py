@@ -158,7 +158,7 @@ def facts(records: DataFrame) -> DataFrame:
         fact("model_first", meta, text=get(f"{P}.base_instructions.provenance.model")), fact("context_window", meta, num=get(f"{P}.context_window", "long")),
         fact("instructions", typ == "world_state", text=full(get(f"{P}.state.agents_md.text"))),
         fact("compaction", typ == "compacted", turn=F.coalesce(full(get(f"{P}.replacement_history[0].{_META}.turn_id")), orphan), text="context compacted — earlier history replaced by a summary"),
-        fact("token_record", typ == "token_usage_record", text=F.coalesce(get(f"{P}.thread_token_usage"), get(f"{P}.usage"))),
+        fact("token_record", typ == "token_usage_record", text=F.coalesce(F.get_json_object("value", f"{P}.thread_token_usage"), F.get_json_object("value", f"{P}.usage"))),
         fact("ask", response & (ptype == "message") & (get(f"{P}.role") == "user") & _message(P).isNotNull(), turn=theirs, text=_message(P), aux="append", path="user", form="response"),
         fact("touch", thread_call, turn=theirs),
         fact("ask", thread_call & given.isNotNull(), turn=theirs, text=given, aux="if-empty", path=F.when(get(f"{P}.name") == "create_thread", "delegated-in").otherwise("delegated-message")),
