@@ -18,3 +18,14 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module")
+def interpreted(spark):
+    """For a few rows and very large plans: to compile these takes far longer than to run them without."""
+    kept = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    yield
+    for k in kept:
+        spark.conf.unset(k)

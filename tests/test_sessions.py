@@ -16,34 +16,19 @@ from tracewright.plans import pruning, reports, verify, views
 from tracewright.scratch import written
 from tracewright.sources import format_a, format_b, index, logs
 
-
-
-@pytest.fixture(scope="module", autouse=True)
-def interpreted(spark):
-    """A few rows and very large plans: to compile these takes far longer than to run them without."""
-    kept = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
-    for k, v in kept.items():
-        spark.conf.set(k, v)
-    yield
-    for k in kept:
-        spark.conf.unset(k)
-
-
+pytestmark = pytest.mark.usefixtures("interpreted")
 A_ID = "11111111-2222-3333-4444-555555555555"
 
 
 def _a(kind, payload, n):
     return json.dumps({"type": kind, "timestamp": f"2025-01-01T00:00:{n:02d}.000Z", "payload": payload})
 
-
 def _item(turn, n, **item):
     return _a("event_msg", {"type": "item_completed", "turn_id": turn, "item": item}, n)
 
-
 def _cmd(turn, n, id_, cmd, code, **more):
     return _item(turn, n, id=id_, type="CommandExecution", parsed_cmd=[{"cmd": cmd}], exit_code=code, **more)
 
-
 @pytest.fixture(scope="module")
 def root_a(tmp_path_factory):
     root = tmp_path_factory.mktemp("a") / "2025" / "01"
@@ -77,11 +62,9 @@ def root_a(tmp_path_factory):
     (root / f"rollout-2025-01-02T00-00-00-{A_ID}.jsonl").write_text("\n".join(second) + "\n")
     return str(root.parent.parent)
 
-
 def _b(kind, n, agent=None, **data):
     return json.dumps({"type": kind, "timestamp": f"2025-02-01T00:00:{n:02d}.000Z", "data": data} | ({"agentId": agent} if agent else {}))
 
-
 @pytest.fixture(scope="module")
 def root_b(tmp_path_factory):
     root = tmp_path_factory.mktemp("b") / "session-state"
@@ -118,17 +101,14 @@ def root_b(tmp_path_factory):
     (root / ".hidden" / "events.jsonl").write_text(rows[0] + "\n")
     return str(root)
 
-
 @pytest.fixture(scope="module")
 def everything(spark, root_a, root_b):
     sessions = written(reports.list_sessions(spark, {"codex": root_a, "copilot": root_b}))
     return sessions, reports.settled(reports.condense(spark, sessions))
 
-
 def rows(df, source, *cols):
     return [tuple(r) for r in df.filter(F.col("source") == source).select(*cols).collect()]
 
-
 def test_format_a(everything):
     sessions, f = everything
     s = sessions.filter("source = 'codex'").collect()
@@ -147,7 +127,6 @@ def test_format_a(everything):
     state = f.state.filter("source = 'codex'").first()
     assert json.loads(state["plan"]) == [{"step": 's "1"', "status": "pending"}] and state["context_window"] == 1000
 
-
 def test_format_b(everything):
     sessions, f = everything
     s = sessions.filter("source = 'copilot'").collect()
@@ -168,7 +147,6 @@ def test_format_b(everything):
     state = f.state.filter("source = 'copilot'").first()
     assert (state["model"], state["instructions"]) == ("m2", "be nice") and f.stats.filter("source = 'copilot'").first()["total_tokens"] == 11
 
-
 def test_rollups_and_fit(everything):
     sessions, f = everything
     c = written(reports.cards(sessions, f))
@@ -189,7 +167,6 @@ def test_rollups_and_fit(everything):
     assert all(r["tier"] == 3 for r in reports.fitted_turns(f, None).collect())
     assert reports.collapsed_actions(f.actions).count() == f.actions.count()
 
-
 def test_session_views(everything, tmp_path):
     sessions, f = everything
     found = {r["source"]: r for r in views.session_views(sessions, f, None).collect()}
@@ -209,7 +186,6 @@ def test_session_views(everything, tmp_path):
     listing = views.table_lines(sessions, 1)
     assert listing[0].startswith("  #   SOURCE") and listing[2] == "  …1 more" and json.loads(views.shown(sessions.filter("source = 'codex'")))["session_id"] == A_ID
 
-
 def test_commands(spark, root_a, root_b, tmp_path):
     run = lambda *x: cli.run(spark, ["--codex", root_a, "--copilot", root_b, "--out", str(tmp_path), *x])
     assert "1 session(s)" in run("find", "fine")
@@ -229,7 +205,6 @@ def test_commands(spark, root_a, root_b, tmp_path):
     assert "1 session(s)" in run("--index", str(tmp_path / "index"), "find", "fine") and "1 session(s)" in run("--index", str(tmp_path / "index"), "--refresh", "find", "fine")
     assert run("view", "--find", "fine").endswith(".md")
 
-
 def test_promises_of_the_report(spark, tmp_path):
     """Wherever the Markdown says that the JSON has more, it has all: 30 sessions of 30 folders, files and failures."""
     root = tmp_path / "codex"
@@ -246,7 +221,6 @@ def test_promises_of_the_report(spark, tmp_path):
         assert said in text
     assert (len(whole["folders"]), len(whole["files"]), len(whole["failures"]), sum(len(c["asks"]) for c in whole["sessions"])) == (30, 90, 90, 90)
 
-
 def test_selection(spark, everything):
     sessions, _ = everything
     assert reports.resolve(sessions, "111111").count() == 1 and reports.resolve(sessions, f"codex://threads/{A_ID}").count() == 1
@@ -264,7 +238,6 @@ def test_selection(spark, everything):
     with pytest.raises(ValueError, match="unknown source"):
         reports.list_sessions(spark, {}, source="codex")
 
-
 def test_search_and_replay(spark, everything):
     sessions, f = everything
     records = reports.searchable(reports.read_records(spark, sessions))
@@ -276,7 +249,6 @@ def test_search_and_replay(spark, everything):
     assert [p["label"] for p in played][:2] == ["UserMessage", "command (exit 2): make all"]
     assert reports.replay(records, f.turns, 3).filter("source = 'codex'").count() == 0  # pictures carry nothing to replay
 
-
 def test_line_numbers(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n":{k}}}\n' + "\n" * (k % 3 == 0) for k in range(3000)))
@@ -314,7 +286,6 @@ def test_index_of_headers(spark, root_a, root_b, tmp_path, monkeypatch):
     kept = glob.glob(f"{at}/codex-*/data/*")
     assert len(kept) <= 2 * index.MOST_TABLES + 2 and len(glob.glob(f"{at}/codex-*/snapshots/*[0-9]")) == 2
 
-
 def test_index_survives_a_crash(spark, root_a, tmp_path):
     """A table without a pointer, or a pointer that was not finished, changes nothing."""
     kept = index.HeaderIndex(spark, str(tmp_path), "x")
@@ -329,7 +300,6 @@ def test_index_survives_a_crash(spark, root_a, tmp_path):
     assert kept.latest() == (number, tables)
     assert format_a.headers(spark, root_a + "/nowhere").count() == 0 and format_b.sessions(spark, root_a + "/nowhere").count() == 0
 
-
 def test_heads_are_bounded(spark, tmp_path):
     """At most a MiB of a file is read, whatever its first line is."""
     (tmp_path / "a b.jsonl").write_text("\n  \n" + '{"n":"é"}\r\n' + "x" * 500_000)
@@ -343,7 +313,6 @@ def test_heads_are_bounded(spark, tmp_path):
     assert found["a b.jsonl"]["value"] == '{"n":"é"}' and found["a b.jsonl"]["head_bytes"] == logs.HEAD_CHUNK
     assert found["vast.jsonl"]["head_bytes"] == len(found["vast.jsonl"]["value"]) == logs.HEAD_BYTES and found["vast.jsonl"]["size"] == 8 << 30
 
-
 @pytest.mark.parametrize("value", ['{"a":1}', ' {"a":[{}]} ', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}], {}', '{"a":1}} {', "null", "[]", "1", '{"a":NaN}', "{'a':1}", '{"a":1', "", '{"a":1}]', '{"a":"}]"}'])
 def test_json_objects(spark, value):
     try:
@@ -352,11 +321,9 @@ def test_json_objects(spark, value):
         want = False
     assert spark.createDataFrame([(value,)], "v string").select(logs.is_json_object(F.col("v")).alias("x")).first()["x"] == want
 
-
 def test_flat_yaml():
     assert format_b.flat_yaml("a: 1\nb: ~\nc: 'x''y'\nd: >\n  one\n  two\ne:\n") == {"a": 1, "b": None, "c": "x'y", "d": "one two", "e": None}
 
-
 def test_recounts_agree(spark, everything):
     """Both formats' folds and views against the recount from raw records; and each kind of fault is found."""
     sessions, f = everything
@@ -372,7 +339,6 @@ def test_recounts_agree(spark, everything):
     assert verify.rendered(made, f).collect() == []
     assert {r["problem"] for r in verify.rendered(made.filter("source = 'codex'").withColumn("markdown", F.lit("x")), f).collect()} == {"session id missing", "no view"}
 
-
 def test_narrowed_search(spark, everything, root_b, tmp_path):
     """The index leaves out sessions that cannot hold a text, and never one that does."""
     sessions, _ = everything

@@ -12,6 +12,7 @@ from tracewright.functions import text as X
 from tracewright.operators import fit, ordered
 from tracewright.plans import audit_queries, log_queries, table_queries, text_queries
 
+pytestmark = pytest.mark.usefixtures("interpreted")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 

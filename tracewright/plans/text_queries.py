@@ -106,7 +106,7 @@ _TEXT_B = "concat_ws(chr(10), " + ", ".join(f"nullif({x}, '')" for x in (_D.form
 st AS (SELECT session_id, {_D.format("toolCallId")} AS call, tool, {_D.format("interactionId")} AS turn, {_D.format("arguments.command")} AS cmd, {_D.format("arguments.path")} AS path, {_D.format("mcpServerName")} || '.' || {_D.format("mcpToolName")} AS mcp FROM b WHERE type = 'tool.execution_start'),
 c AS (SELECT b.*, w.now, st.tool AS name, st.turn AS of_call, st.cmd, st.path, st.mcp, b.type = 'tool.execution_complete' AS done, {_D.format("success")} = 'false' AS failed, {_D.format("source")} AS src
   FROM b JOIN w ON w.id = b.seq // 2 LEFT JOIN st ON st.session_id = b.session_id AND st.call = {_D.format("toolCallId")} AND b.type IN ('tool.execution_start', 'tool.execution_complete')),
-k AS (SELECT *, CASE WHEN failed THEN 'blocked' ELSE coalesce({_D.format("shellExecution.exitCode")}, nullif(regexp_extract({_D.format("result.content")}, 'exit code (-?\d+)>', 1), ''), '0') END AS code FROM c),
+k AS (SELECT *, CASE WHEN failed THEN 'blocked' ELSE coalesce({_D.format("shellExecution.exitCode")}, nullif(regexp_extract({_D.format("result.content")}, 'exit code (-?\\d+)>', 1), ''), '0') END AS code FROM c),
 x AS (SELECT session_id, seq, coalesce(of_call, now) AS turn,
 CASE WHEN src LIKE 'skill-%' THEN 'skill loaded: ' || substr(src, 7) WHEN type = 'user.message' AND src <> 'user' THEN 'message from ' || src WHEN type = 'user.message' THEN 'user message' WHEN type = 'assistant.message' THEN 'assistant message'
   WHEN type IN ('tool.execution_start', 'tool.execution_complete') THEN CASE WHEN name IS NULL THEN 'tool result' WHEN name IN ('bash', 'powershell') THEN 'command (exit ' || CASE WHEN done THEN code ELSE '…' END || '): ' || cmd
