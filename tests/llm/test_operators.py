@@ -456,6 +456,35 @@ def test_line_dedup_by_length(spark):
     assert got == want and sum(want.values()) > 50 and rows.index("short") not in got
 
 
+def test_line_dedup_keys(spark):
+    """A line of 4, 2 or 1 edits has 13, 5 or 2 keys in its class, and lines that near share one that is the shorter one's own."""
+    import random
+
+    rng, rows, pairs = random.Random(8), [], []
+    for low, high, edits in ((24, 48, 1), (48, 96, 2), (96, None, 4)):
+        for n in (low, low + 1, low + edits, 2 * low - 1, *((239, 240, 241, 244, 500) if high is None else ())):
+            for _ in range(25):
+                base = [rng.choice("abc") for _ in range(n)]
+                line, where = base[:], rng.randrange(3)
+                for _ in range(edits):
+                    at = rng.randrange(len(line)) if where == 0 else rng.randrange(12) if where == 1 else len(line) - 1 - rng.randrange(12)
+                    kind = rng.randrange(3)
+                    line[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("xyz")]
+                if min(len(line), n) >= low and (high is None or min(len(line), n) < high):
+                    pairs.append((edits, len(rows), len(rows) + 1))
+                    rows += [(len(rows), n, "".join(base)), (len(rows) + 1, len(line), "".join(line))]
+    lines = spark.createDataFrame(rows, "h long, n int, line string").select("h", "n", F.struct("line").alias("r"))
+    for low, high, edits, most in ((24, 48, 1, 2), (48, 96, 2, 5), (96, None, 4, 13)):
+        own, every = defaultdict(set), defaultdict(list)
+        for r in linedup._keyed(lines, low, high, edits).collect():
+            every[r["h"]].append(r["key"])
+            own[r["h"]] |= {r["key"]} if r["own"] else set()
+        assert min(map(len, every.values())) == most and max(map(len, every.values())) <= 2 * most
+        for x, y in [(x, y) for e, x, y in pairs if e == edits]:
+            short, long = sorted((x, y), key=lambda i: rows[i][1])
+            assert own[short] & set(every[long]), (rows[short], rows[long])
+
+
 def test_line_dedup_awkward(spark, odd, none):
     kept = linedup.without_repeats(odd)
     assert kept.columns == odd.columns and linedup.without_repeats(none).count() == 0 and linedup.report(none).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,56 +13,81 @@ from tracewright.llm.common import tidy, whole_rows, written
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Characters whose counts, modulo 8, a line's signature holds, sixteen in a number: an edit changes at most two, by one.
 SIGNATURE = ("etaoinshrdlucmfw", "ypvbgkjqxzé,. -'")
-#: Characters at a line's beginning that segments divide at most. Edits there are edits of the line, so no pair is lost.
+#: Characters of a line that segments divide at most, at its beginning and end. Edits there are edits of the line, so no pair is lost.
 SEGMENTED = 240
 
 
-def _bound(n: Column, low: int) -> Column:
-    """The lower bound of the length class of ``n`` characters: classes from ``low`` on grow by a fifth each, to ``SEGMENTED``."""
-    step = F.floor(F.log(n / F.lit(float(low))) / F.lit(math.log(1.2)) + F.lit(1e-9))
-    return F.when(n >= SEGMENTED, SEGMENTED).otherwise(F.ceil(F.lit(float(low)) * F.pow(F.lit(1.2), step)).cast("int"))
+def _bounds(low: int, high: int | None, threshold: int) -> list[int]:
+    """The lower bounds of the length classes from ``low`` to ``high`` - 1 characters: they grow by a fifth each, to
+    ``SEGMENTED``, and none is narrower than ``threshold``, so that lines as near as that are in one class or two that follow."""
+    out, size = [min(low, SEGMENTED)], float(low)
+    while (size := size * 1.2) < min(SEGMENTED, high or SEGMENTED):
+        if math.ceil(size) - out[-1] >= threshold:
+            out.append(math.ceil(size))
+    for end, own in ((SEGMENTED, not high or high > SEGMENTED), (high, False)):
+        while end and len(out) > 1 and 0 <= end - out[-1] < threshold:
+            out.pop()
+        out += [SEGMENTED] if own and out[-1] < SEGMENTED else []
+    return out
+
+
+def _bound(n: Column, bounds: list[int]) -> Column:
+    """The lower bound of the length class of ``n`` characters."""
+    return functools.reduce(lambda found, bound: F.when(n >= bound, bound).otherwise(found), bounds[1:], F.lit(bounds[0]))
 
 
 def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
     """(h, key, own): hashes of a line's own segments (``own``), if it has ``low`` to ``high`` - 1 characters, and of the
     substrings that can equal a segment of a line that is as long or up to ``threshold`` characters shorter.
 
-    Segments divide the first characters of a line, as many as its length class has at least. With at most ``threshold``
-    edits there is a segment i that none touches and before which there are i; so in the longer line it stands at most i
-    places off, and, as at most ``threshold`` - i follow, not further left than that.
+    A line has as many characters in segments as its length class has at least: the first half of the segments (and the
+    middle one) divide its beginning, the others its end. With at most ``threshold`` edits there is a segment i that none
+    touches, before which there are i and behind which at most ``threshold`` - i. So in the longer line it stands at most
+    i places off, from the beginning, and at most ``threshold`` - i, from the end: the smaller number is tried.
     """
     parts = threshold + 1
-    places = [(i, s) for i in range(parts) for s in range(max(-i, i - threshold), i + 1)]
+    ending = threshold // 2 + 1  # the first segment that is placed from the end
+    places = [(i, s) for i in range(parts) for s in range(-min(i, threshold - i), min(i, threshold - i) + 1)]
     n = F.col("n")
     lines = classes.filter((n >= low) & (n < high + threshold if high else F.lit(True))).select("h", "n", F.col("r.line").alias("line"))
 
-    def keys(rows: DataFrame) -> DataFrame:
-        cut = rows.withColumn("line", F.substring("line", F.lit(1), F.col("bound") + threshold))
-        sized = cut.withColumn("size", F.floor(F.col("bound") / parts).cast("int")).withColumn("short", F.lit(parts) - F.col("bound") % parts)
-
-        def key(i: int, s: int) -> Column:
-            start = F.lit(1 + s) + F.lit(i) * F.col("size") + F.greatest(F.lit(0), F.lit(i) - F.col("short"))
-            return F.xxhash64(F.substring("line", start, F.col("size") + F.when(F.lit(i) >= F.col("short"), 1).otherwise(0)), F.lit(i), "bound")
+    inside, bounds = n < high if high else F.lit(True), _bounds(low, high, threshold)
+    view = lambda n, mine: F.struct(_bound(n, bounds).alias("bound"), F.lit(mine).alias("mine"))
+    longer = (n - threshold >= low) & (~inside | (_bound(n - threshold, bounds) != _bound(n, bounds)))
+    views = F.array_compact(F.array(F.when(inside, view(n, True)), F.when(longer, view(n - threshold, False))))
+    rows = lines.select("*", F.explode(views).alias("v")).select("h", "n", "line", "v.bound", "v.mine")
+    rows = rows.withColumn("size", F.floor(F.col("bound") / parts).cast("int")).withColumn("short", F.lit(parts) - F.col("bound") % parts)
+
+    def before(i: int) -> Column:
+        """The characters in the segments before segment i."""
+        return F.lit(i) * F.col("size") + F.greatest(F.lit(0), F.lit(i) - F.col("short"))
+
+    rows = rows.withColumn("from", F.greatest(F.lit(0), n - F.col("bound") + before(ending) - (threshold - ending)))
+    rows = rows.select(
+        "h", "bound", "mine", "size", "short", (n - F.col("bound") - F.col("from")).alias("back"),
+        F.substring("line", F.lit(1), before(ending) + threshold // 2).alias("head"), F.substring("line", F.col("from") + 1, n).alias("tail"),
+    )
 
-        return sized.select("h", "mine", F.posexplode(F.array(*(key(i, s) for i, s in places))).alias("place", "key"))
+    def key(i: int, s: int) -> Column:
+        start = F.lit(1 + s) + before(i) + (F.lit(0) if i < ending else F.col("back"))
+        size = F.col("size") + F.when(F.lit(i) >= F.col("short"), 1).otherwise(0)
+        return F.xxhash64(F.substring("head" if i < ending else "tail", start, size), F.lit(i), "bound", F.lit(threshold))
 
-    own = keys((lines.filter(n < high) if high else lines).withColumn("bound", _bound(n, low)).withColumn("mine", F.lit(True)))
-    shorter = lines.filter(n - threshold >= low).withColumn("bound", _bound(n - threshold, low)).withColumn("mine", F.lit(False))
-    differs = F.col("bound") != _bound(n, low)
-    both = own.union(keys(shorter.filter(differs | (n >= high) if high else differs)))
+    keys = rows.select("h", "mine", F.posexplode(F.array(*(key(i, s) for i, s in places))).alias("place", "key"))
     first = [k for k, (_, s) in enumerate(places) if s == 0]
-    return both.select("h", "key", (F.col("mine") & F.col("place").isin(first)).alias("own"))
+    return keys.select("h", "key", (F.col("mine") & F.col("place").isin(first)).alias("own"))
 
 
 #: Four bits for each count modulo 8, of which as many differ between two counts as these are apart, around the circle.
 _CIRCLE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
 
 
-def _signature(line: Column, length: Column) -> Column:
+def _signature(line: Column) -> Column:
     def packed(letters: str) -> Column:
         out, codes = F.lit(0).cast("long"), F.array(*(F.lit(c).cast("long") for c in _CIRCLE))
         for k, letter in enumerate(letters):
-            count = (length - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("int").bitwiseAND(F.lit(7))
+            fewer = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))  # bytes need not be counted
+            count = F.shiftright(fewer, len(letter.encode()) - 1).bitwiseAND(F.lit(7))
             out = out.bitwiseOR(F.shiftleft(F.get(codes, count), 4 * k))
         return out
 
@@ -157,36 +183,47 @@ BY_LENGTH = ((24, 1), (48, 2), (96, 4))
 ROUNDS = 3
 
 
-def _near(classes: DataFrame, low: int, high: int | None, threshold: int) -> DataFrame:
-    """(h): the lines within ``threshold`` edits of an earlier one, where the shorter one has ``low`` to ``high`` - 1 characters.
+def _near(classes: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(h): the lines within the edits that the shorter one's length allows of an earlier one; ``steps`` are (characters from, edits).
 
     Many variants of one line share their keys, so their pairs are not listed. In each round the earliest open line of a
     key is its centre, and every open line behind it is tried against the likeliest of its keys' centres; lines that are
     found near are closed. The lines that are still open are then tried against all earlier ones of their keys.
     """
     spark, at = classes.sparkSession, Window.partitionBy("key")  # dealt once; a semi-join would make and deal all keys twice
-    shared = _keyed(classes, low, high, threshold).select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high"))
-    met = written(shared.filter("any and low <> high").select("h", "key", "own"), "met")
-    tidy(spark)
+    ends = [low for low, _ in steps[1:]] + [None]
+    found = []
+    for (low, edits), high in zip(steps, ends):  # one after the other, so that no two passes' shuffles take disk at once
+        shared = _keyed(classes, low, high, edits).select("*", F.max("own").over(at).alias("any"), F.min("h").over(at).alias("low"), F.max("h").over(at).alias("high"))
+        found.append(written(shared.filter("any and low <> high").select("h", "key", "own"), "met"))
+        tidy(spark)
+    met = functools.reduce(DataFrame.union, found)
     ids = written(met.select("h").distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
-    chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"), F.col("n"))), "chosen")
+    chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"))), "chosen")
     tidy(spark)
     place = F.struct("r.doc_id", "r.text_hash", "r.line_no").alias("place")
     rows = written(met.join(chosen.select("h", "n", "sig", place), "h"), "placed")
     none = spark.range(0)  # of the JVM's own, so that no Python worker is started
     near, tried = none.select(F.col("id").alias("h")), none.select(F.col("id").alias("h"), F.col("id").alias("a"))
 
+    def by_length(n: Column, value) -> Column:
+        """``value`` of the edits that a shorter line of ``n`` characters allows."""
+        out = value(steps[0][1])
+        for low, edits in steps[1:]:
+            out = F.when(n >= low, value(edits)).otherwise(out)
+        return out
+
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c: chosen.select(F.col("h").alias(c), F.col("r.line").alias(f"line_{c}"))
+        side = lambda c: chosen.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"), F.col("r.line").alias(f"line_{c}"))
         texts = pairs.join(side("h"), "h").join(side("a"), "a")
-        good = within_distance(F.col("line_h"), F.col("line_a"), threshold)  # lengths and letters have passed before
+        good = by_length(F.least("n_h", "n_a"), lambda edits: within_distance(F.col("line_h"), F.col("line_a"), edits))  # lengths and letters have passed before
         return written(texts.filter(good).select("h").distinct(), "near")
 
-    # of two lines the shorter one's segment is met, and it is as long or up to ``threshold`` shorter
-    apart = F.col("n") - F.col("a_n")
-    fits = (F.col("own") & apart.between(-threshold, 0)) | (F.col("a_own") & apart.between(0, threshold))
-    may = (F.col("a_place") < F.col("place")) & fits & (_signatures_apart("sig", "a_sig") <= 2 * threshold)
+    # of two lines the shorter one's segment is met, and it is as long or up to ``allowed`` shorter
+    apart, allowed = F.col("n") - F.col("a_n"), by_length(F.least("n", "a_n"), F.lit)
+    fits = (F.col("own") & apart.between(-allowed, 0)) | (F.col("a_own") & apart.between(0, allowed))
+    may = (F.col("a_place") < F.col("place")) & fits & (_signatures_apart("sig", "a_sig") <= 2 * allowed)
     of_a = lambda df: df.select("key", *(F.col(c).alias(f"a_{c}") for c in ("h", "own", "n", "sig", "place")))
     for _ in range(ROUNDS):
         open_ = rows.join(near, "h", "left_anti")
@@ -197,9 +234,9 @@ def _near(classes: DataFrame, low: int, high: int | None, threshold: int) -> Dat
         found = verified(pairs)
         near, tried = near.union(found), tried.unionByName(pairs)
         tidy(spark)
-    step = F.floor(F.col("n") / F.lit(threshold + 1))
+    step = F.floor(F.col("n") / F.lit(max(edits for _, edits in steps) + 1))
     left = rows.join(near, "h", "left_anti").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
-    right = of_a(rows).withColumn("step", F.floor(F.col("a_n") / F.lit(threshold + 1)))
+    right = of_a(rows).withColumn("step", F.floor(F.col("a_n") / F.lit(max(edits for _, edits in steps) + 1)))
     pairs = left.join(right, ["key", "step"]).filter(may).select("h", F.col("a_h").alias("a")).distinct()
     pairs = written(pairs.join(tried, ["h", "a"], "left_anti"), "pairs")
     return near.union(verified(pairs))
@@ -214,7 +251,7 @@ def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], .
     not given), are compared exactly only.
 
     Equal lines are collapsed first. Lines at most ``threshold`` edits apart share one of the shorter one's
-    ``threshold`` + 1 segments at nearly the same place, so each distinct line is found through hashes of its segments
+    ``threshold`` + 1 segments at nearly the same place from one end, so each distinct line is found through hashes of its segments
     and of the matching substrings of others, filtered by letter counts, and verified character by character.
 
     Null texts have no lines, rows with a null doc_id come first, rows equal in id and text are one document, and an empty
@@ -222,15 +259,11 @@ def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], .
     """
     steps = ((min_chars, threshold),) if isinstance(threshold, int) else tuple(threshold)
     lines = lines_of(docs, steps[0][0] if exact_chars is None else min(exact_chars, steps[0][0]))
-    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no", "check", "line")).alias("r"))
+    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no", "check", "line")).alias("r"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("n", F.length("r.line")), "lines")
     tidy(docs.sparkSession)
-    near = None
-    for k, (low, edits) in enumerate(steps):
-        found = _near(classes, low, steps[k + 1][0] if k + 1 < len(steps) else None, edits)
-        near = found if near is None else near.union(found)
-    later = near.distinct().withColumn("near", F.lit(True))
-    heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.text_hash").alias("first_text"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check")).join(later, "h", "left")
+    later = _near(classes, steps).distinct().withColumn("near", F.lit(True))
+    heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.text_hash").alias("first_text"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check"), "copies").join(later, "h", "left").filter("near or copies > 1")
     placed = lines.select("doc_id", "text_hash", "line_no", "h", "check").join(heads, "h")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line"))
     same = F.col("check") == F.col("first_check")
