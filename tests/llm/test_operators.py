@@ -456,6 +456,43 @@ def test_line_dedup_by_length(spark):
     assert got == want and sum(want.values()) > 50 and rows.index("short") not in got
 
 
+def test_line_dedup_rounds(spark, monkeypatch):
+    """Lines that share a segment and are not near end the rounds after the first, as no line is closed; variants of one line
+    go on. Either way the lines found are those of brute force."""
+    import random
+
+    kept, made = linedup.written, []
+    monkeypatch.setattr(linedup, "written", lambda df, name: made.append(name) or kept(df, name))
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    opening, base = words(60), f"x{words(118)}y"
+    apart = [f"x{opening}{words(60)}y" for _ in range(12)]
+    variants = [base] + [base[:at] + "é" + base[at + 1 :] for at in range(5, 115, 9)]
+    for rows, rounds in ((apart, 1), (variants + apart[:2], 2)):
+        made.clear()
+        want = {d for d, s in enumerate(rows) if any(distance(o, s) <= 4 for o in rows[:d])}
+        got = {r["doc_id"] for r in linedup.repeated_lines(frame(spark, list(enumerate(rows))), threshold=linedup.BY_LENGTH).filter("near").collect()}
+        assert got == want and len(want) == (0 if rows is apart else len(variants) - 1)
+        assert made.count("pairs") == rounds + 1  # with the last search, of all pairs that are left
+
+
+def test_line_distance(spark):
+    """The masks against brute force: equal ends of all lengths, nothing between them, letters of several bytes."""
+    import random
+
+    rng, rows = random.Random(11), [("", ""), ("a", ""), ("", "aaaaa"), ("aaaa", "aaaaaaaa"), ("abab" * 9, "ab" * 19), ("é" * 40, "é" * 36), ("日本語" * 9, "日本" + "語日本" * 8)]
+    for n in (1, 2, 7, 63, 64, 65, 200):
+        for edits in (0, 1, 2, 3, 4, 5, 6):
+            line = [rng.choice("abé") for _ in range(n)]
+            other = line[:]
+            for _ in range(edits):
+                at, kind = rng.randrange(len(other) + 1), rng.randrange(3)
+                other[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice("ab日😀")]
+            rows.append(("".join(line), "".join(other)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", *(linedup.within_distance(F.col("a"), F.col("b"), t).alias(f"t{t}") for t in (1, 2, 4))).collect()
+    assert [(r["t1"], r["t2"], r["t4"]) for r in got] == [tuple(distance(r["a"], r["b"]) <= t for t in (1, 2, 4)) for r in got]
+
+
 def test_line_dedup_keys(spark):
     """A line of 4, 2 or 1 edits has 13, 5 or 2 keys in its class, and lines that near share one that is the shorter one's own."""
     import random

@@ -54,8 +54,8 @@ def _keyed(classes: DataFrame, low: int, high: int | None, threshold: int) -> Da
     inside, bounds = n < high if high else F.lit(True), _bounds(low, high, threshold)
     view = lambda n, mine: F.struct(_bound(n, bounds).alias("bound"), F.lit(mine).alias("mine"))
     longer = (n - threshold >= low) & (~inside | (_bound(n - threshold, bounds) != _bound(n, bounds)))
-    views = F.array_compact(F.array(F.when(inside, view(n, True)), F.when(longer, view(n - threshold, False))))
-    rows = lines.select("*", F.explode(views).alias("v")).select("h", "n", "line", "v.bound", "v.mine")
+    views = F.array(F.when(inside, view(n, True)), F.when(longer, view(n - threshold, False)))
+    rows = lines.select("*", F.explode(views).alias("v")).filter("v is not null").select("h", "n", "line", "v.bound", "v.mine")
     rows = rows.withColumn("size", F.floor(F.col("bound") / parts).cast("int")).withColumn("short", F.lit(parts) - F.col("bound") % parts)
 
     def before(i: int) -> Column:
@@ -84,11 +84,12 @@ _CIRCLE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
 
 def _signature(line: Column) -> Column:
     def packed(letters: str) -> Column:
-        out, codes = F.lit(0).cast("long"), F.array(*(F.lit(c).cast("long") for c in _CIRCLE))
+        out, codes = F.lit(0).cast("long"), F.lit(sum(code << 4 * count for count, code in enumerate(_CIRCLE)))
         for k, letter in enumerate(letters):
             fewer = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))  # bytes need not be counted
             count = F.shiftright(fewer, len(letter.encode()) - 1).bitwiseAND(F.lit(7))
-            out = out.bitwiseOR(F.shiftleft(F.get(codes, count), 4 * k))
+            code = F.call_function("shiftright", codes, count * 4).bitwiseAND(F.lit(15))
+            out = out.bitwiseOR(F.shiftleft(code, 4 * k))
         return out
 
     return F.struct(*(packed(letters).alias(f"s{i}") for i, letters in enumerate(SIGNATURE)))
@@ -104,10 +105,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _apart_at(x: Column, y: Column) -> Column:
-    """How many elements two arrays have in common at their beginnings."""
-    first = F.array_position(F.zip_with(x, y, lambda l, r: ~l.eqNullSafe(r)), F.lit(True)).cast("int")
-    return F.when(first > 0, first - 1).otherwise(F.size(x))
+#: Characters of the pieces that are compared whole to find where two lines part; what they leave in common is read by the masks.
+_PIECES = tuple(1 << k for k in range(16, -1, -1))
+
+
+def _common(x: Column, y: Column, most: Column, start) -> Column:
+    """How many of ``most`` characters two lines have in common; ``start`` places a piece, by the characters before and its length."""
+
+    def longer(found: Column, piece: Column) -> Column:
+        held = lambda line: F.substring(line, start(line, found, piece), piece)
+        return F.when((found + piece <= most) & (held(x) == held(y)), found + piece).otherwise(found)
+
+    return F.aggregate(F.array(*map(F.lit, _PIECES)), F.lit(0), longer)
 
 
 def within_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -149,11 +158,17 @@ def within_distance(a: Column, b: Column, threshold: int) -> Column:
 
     def middle(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        cut = lambda c, n: F.slice(c, n + 1, F.size(c))
-        ends = _let(F.least(_apart_at(x, y), F.size(x), F.size(y)), lambda n: F.struct(F.reverse(cut(x, n)).alias("x"), F.reverse(cut(y, n)).alias("y")))
-        return _let(ends, lambda p: _let(F.least(_apart_at(p["x"], p["y"]), F.size(p["x"]), F.size(p["y"])), lambda n: F.struct(cut(p["x"], n).alias("x"), cut(p["y"], n).alias("y"))))
+        most = F.least(F.length(x), F.length(y))
+        first = _common(x, y, most, lambda _, found, piece: found + 1)
+        ends = lambda n: _common(x, y, most - n, lambda line, found, piece: F.length(line) - found - piece + 1)
+
+        def chars(line: Column, n: Column, last: Column) -> Column:
+            rest = F.length(line) - n - last
+            return F.when(rest > 0, F.split(F.substring(line, n + 1, rest), "")).otherwise(F.array().cast("array<string>"))
+
+        return _let(first, lambda n: _let(ends(n), lambda last: F.struct(chars(x, n, last).alias("x"), chars(y, n, last).alias("y"))))
 
-    return _let(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda pair: _let(middle(pair), reached))
+    return _let(F.struct(a.alias("x"), b.alias("y")), lambda pair: _let(middle(pair), reached))
 
 
 def trimmed(line: Column) -> Column:
@@ -180,7 +195,8 @@ BY_LENGTH = ((24, 1), (48, 2), (96, 4))
 
 
 #: Rounds in which each open line is tried against one line of its keys; what they leave open is then searched whole.
-ROUNDS = 3
+#: After a round that closes fewer than one in ``FRUITFUL`` of the lines it leaves open, there is no other.
+ROUNDS, FRUITFUL = 3, 10
 
 
 def _near(classes: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -199,7 +215,8 @@ def _near(classes: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
         tidy(spark)
     met = functools.reduce(DataFrame.union, found)
     ids = written(met.select("h").distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
+    n_open = ids.count()
+    ids = F.broadcast(ids) if n_open <= BROADCAST_LINES else ids  # so that the other lines need no shuffle
     chosen = written(classes.join(ids, "h", "left_semi").withColumn("sig", _signature(F.col("r.line"))), "chosen")
     tidy(spark)
     place = F.struct("r.doc_id", "r.text_hash", "r.line_no").alias("place")
@@ -234,6 +251,9 @@ def _near(classes: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
         found = verified(pairs)
         near, tried = near.union(found), tried.unionByName(pairs)
         tidy(spark)
+        closed = found.count()
+        if closed * FRUITFUL < (n_open := n_open - closed):
+            break  # centres stay as they are where nothing was closed
     step = F.floor(F.col("n") / F.lit(max(edits for _, edits in steps) + 1))
     left = rows.join(near, "h", "left_anti").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
     right = of_a(rows).withColumn("step", F.floor(F.col("a_n") / F.lit(max(edits for _, edits in steps) + 1)))
@@ -260,7 +280,7 @@ def repeated_lines(docs: DataFrame, *, threshold: int | tuple[tuple[int, int], .
     steps = ((min_chars, threshold),) if isinstance(threshold, int) else tuple(threshold)
     lines = lines_of(docs, steps[0][0] if exact_chars is None else min(exact_chars, steps[0][0]))
     classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no", "check", "line")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes.withColumn("n", F.length("r.line")), "lines")
+    classes = written(classes.withColumn("n", F.length("r.line")).sortWithinPartitions("n"), "lines")  # a pass skips the other lengths' pages
     tidy(docs.sparkSession)
     later = _near(classes, steps).distinct().withColumn("near", F.lit(True))
     heads = classes.select("h", F.col("r.doc_id").alias("first_doc"), F.col("r.text_hash").alias("first_text"), F.col("r.line_no").alias("first_line"), F.col("r.check").alias("first_check"), "copies").join(later, "h", "left").filter("near or copies > 1")
