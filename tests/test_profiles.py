@@ -2,6 +2,7 @@
 
 import json
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -118,3 +119,32 @@ def test_trigrams(spark):
 def test_objects_keep_their_order_as_text(spark):
     r = records(spark, ['{"type":"token_usage_record","timestamp":"t","payload":{"thread_token_usage":{"z":1,"a":{"y":2,"b":"é"}},"usage":7}}', '{"type":"token_usage_record","payload":{"usage":7}}'], "codex")
     assert [x["text"] for x in format_a.facts(r).filter("kind = 'token_record'").orderBy("seq").collect()] == ['{"z":1,"a":{"y":2,"b":"é"}}', "7"]
+
+
+def stored(spark, path, rows):
+    """Records (session_id, value, ...) of format B that are read from files, and what takes these away."""
+    rows = [("copilot", s, n, json.dumps(v)) for n, (s, v) in enumerate(rows)]
+    spark.createDataFrame(rows, "source string, session_id string, seq long, value string").write.parquet(str(path))
+    r = spark.read.parquet(str(path)).withColumn("ok", is_json_object(F.col("value")))
+    return r.withColumn("rec", F.when(F.col("ok"), F.try_parse_json("value"))), lambda: shutil.rmtree(path)
+
+
+def _call(name, n, kind="start", **data):
+    return {"type": f"tool.execution_{'start' if kind == 'start' else 'complete'}", "data": {"toolCallId": f"c{n}", **({"toolName": name} if kind == "start" else {"success": True}), **data}}
+
+
+def test_recount_reads_records_once(spark, tmp_path):
+    """Changed paths lie below the folder of their time, over many folders; once the counts are made, no record is read again."""
+    rows, want = [], set()
+    for n in range(300):
+        session, cwd = f"s{n % 2}", f"/w{n // 2 // 10}" if n >= 20 else None
+        if cwd and n % 20 < 2:
+            rows.append((session, {"type": "session.context_changed", "data": {"cwd": cwd}}))
+        rows += [(session, _call("edit", n, arguments={"path": f"f{n % 3}"})), (session, _call("edit", n, "complete"))]
+        want.add((session, f"{cwd}/f{n % 3}" if cwd else f"f{n % 3}"))
+    rows += [("s1", _call("bash", 7, arguments={"command": "x"})), ("s1", _call("bash", 7, "complete", shellExecution={"exitCode": 1})), ("s1", _call("bash", 999, "complete"))]
+    records, gone = stored(spark, tmp_path / "r", rows)
+    counts, files = verify.recount_b(records)
+    gone()
+    assert {(r["session_id"], r["path"]) for r in files.collect()} == want
+    assert {r["session_id"]: (r["commands"], r["failures"]) for r in counts.collect()} == {"s0": (0, 0), "s1": (1, 1)}

@@ -29,16 +29,17 @@ SEGMENT_BITS = 24  #: of a record's place: 16 MiB of a log are one segment
 
 def carried(df: DataFrame, values: dict[str, Column], keys: list[str], seq: str, *, bits: int = SEGMENT_BITS) -> DataFrame:
     """``df`` with the last non-null of each of ``values`` so far, as :func:`carry_forward` says it, in two levels: rows are
-    dealt by ``keys`` and segment (``seq`` without its low ``bits``), and what a segment starts with comes from a table of one
-    row a segment. One key of any number of rows is spread over all tasks."""
-    w = W.partitionBy(*keys, "_segment").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    dealt by ``keys`` and segment (``seq`` without its low ``bits``), and what a segment starts with comes as one more row
+    before its first. One key of any number of rows is spread over all tasks, and no row is dealt twice. ``df`` is read twice:
+    write it first if it takes long to make."""
+    w = W.partitionBy(*keys, "_segment").orderBy(F.col(seq).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     cut = df.withColumns({"_segment": F.shiftright(seq, bits), **{f"_{k}": v for k, v in values.items()}})
     ends = cut.groupBy(*keys, "_segment").agg(*(F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), F.col(seq))).alias(f"_{k}") for k in values))
     before = W.partitionBy(*keys).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)  # a row a segment
-    starts = ends.select(*keys, "_segment", *(F.last(f"_{k}", ignorenulls=True).over(before).alias(f"_start_{k}") for k in values))
-    inside = cut.withColumns({f"_{k}": F.last(f"_{k}", ignorenulls=True).over(w) for k in values})
-    both = inside.join(starts, [*keys, "_segment"])
-    return both.withColumns({k: F.coalesce(f"_{k}", f"_start_{k}") for k in values}).drop("_segment", *(f"_{k}" for k in values), *(f"_start_{k}" for k in values))
+    starts = ends.select(*keys, "_segment", *(F.last(f"_{k}", ignorenulls=True).over(before).alias(f"_{k}") for k in values)).na.drop("all", subset=[f"_{k}" for k in values])
+    both = cut.unionByName(starts.withColumn("_start", F.lit(True)), allowMissingColumns=True)
+    inside = both.withColumns({k: F.last(f"_{k}", ignorenulls=True).over(w) for k in values})
+    return inside.filter("_start is null").drop("_segment", "_start", *(f"_{k}" for k in values))
 
 
 def is_twin(form: Column, one: str, other: str, keys: list[str], *order: str) -> Column:
@@ -49,14 +50,16 @@ def is_twin(form: Column, one: str, other: str, keys: list[str], *order: str) ->
     return F.when(form == one, a <= b).when(form == other, b <= a).otherwise(False)
 
 
-def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], seq: str, payload: list[str]) -> DataFrame:
+def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], seq: str, payload: list[str], own: Column | None = None) -> DataFrame:
     """Each left row with ``payload`` of the latest right row of the same ``keys`` at or before its ``seq`` (nulls if none).
+    Where ``own``, a struct of the payload, is not null, a left row counts as a right one too, the last of its ``seq``.
 
     One union and one window: no row multiplies, however many rows a key has on either side.
     """
     held = F.struct(*(F.col(c) for c in payload))
     kind = right.select(held.alias("h")).schema["h"].dataType
-    both = left.select(*keys, seq, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_h"))
+    mine = F.lit(None) if own is None else own
+    both = left.select(*keys, seq, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), mine.cast(kind).alias("_h"))
     both = both.unionByName(right.select(*keys, seq, F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), held.alias("_h")))
     last = F.last("_h", ignorenulls=True).over(W.partitionBy(*keys).orderBy(seq, "_side").rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn("_f", last).filter("_side = 1").select("_l.*", *(F.col(f"_f.{c}").alias(c) for c in payload))

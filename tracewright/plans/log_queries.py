@@ -14,7 +14,7 @@ from tracewright.plans import reports
 from tracewright.scratch import written
 from tracewright.shipping import ship
 from tracewright.sources import format_a, format_b
-from tracewright.sources.logs import is_json_object
+from tracewright.sources.logs import parsed
 
 _META = '"internal_chat_message_metadata_passthrough":{"turn_id":${turn}}'
 
@@ -91,8 +91,7 @@ EVENTS_SQL = """e AS (SELECT *, id % 29 = 7 AS lost, CASE WHEN id % 29 = 7 THEN
 
 def _as_records(df: DataFrame, source: str) -> DataFrame:
     """Rows (session_id, seq, value) as the records of a scan."""
-    ok = df.select(F.lit(source).alias("source"), "session_id", "seq", F.lit("f").alias("file"), "value", is_json_object(F.col("value")).alias("ok"))
-    return ok.withColumn("rec", F.when(F.col("ok"), F.try_parse_json("value")))
+    return parsed(df.select(F.lit(source).alias("source"), "session_id", "seq", F.lit("f").alias("file"), "value"))
 
 
 def records_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +389,8 @@ RECORDS_B = (
 def records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = _events(spark, sf_dir)
     whole = F.coalesce(*(F.when(F.col("id") % len(RECORDS_B) == m, F.array(*(_filled(t, v) for t in ts))) for m, ts in enumerate(RECORDS_B)))
-    rows = e.select(F.col("user").alias("session_id"), "id", F.posexplode(whole).alias("i", "value"))
+    dealt = e.repartition(4 * spark.sparkContext.defaultParallelism, "id")  # a row group of events makes a gigabyte of records
+    rows = dealt.select(F.col("user").alias("session_id"), "id", F.posexplode(whole).alias("i", "value"))
     return _as_records(rows.select("session_id", (F.col("id") * 2 + F.col("i")).alias("seq"), "value"), format_b.SOURCE)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewright.operators.lineage import set_difference
+from tracewright.operators.ordered import carried, carry_forward
 from tracewright.operators.session import S, Sessions
+from tracewright.scratch import written
 
 # Fixed values of the formats, as the recount needs them.
 _SHELLS = ("powershell", "bash", "shell", "local_shell")
@@ -41,29 +43,28 @@ def recount_a(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recount_b(records: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(session, commands, failures) and (session, path) of format B: completions with the last start of their call before
     them; paths below the folder of that time, at first the one of ``sessions`` (session, cwd)."""
-    r = records.filter("ok").select(*S, "seq", "value", _text("$.type").alias("type"))
-    moved = F.when(F.col("type").isin("session.start", "session.resume"), _text("$.data.context.cwd")).when(F.col("type") == "session.context_changed", _text("$.data.cwd"))
-    of_call = r.filter(F.col("type").isin("tool.execution_start", "tool.execution_complete")).withColumn("call", _text("$.data.toolCallId"))
-    starts = of_call.filter("type = 'tool.execution_start'").select(*S, "call", F.col("seq").alias("from"), F.struct(_text("$.data.toolName").alias("tool"), _text("$.data.arguments").alias("args")).alias("start"))
-    done = of_call.filter("type = 'tool.execution_complete'")
-    met = done.join(starts, [*S, "call"]).filter(F.col("from") < F.col("seq")).groupBy(*S, "seq").agg(F.max_by("start", "from").alias("s"), F.any_value("value").alias("value"))
+    typ = _text("$.type")
+    moved = F.when(typ.isin("session.start", "session.resume"), _text("$.data.context.cwd")).when(typ == "session.context_changed", _text("$.data.cwd"))
+    begun, ended = typ == "tool.execution_start", typ == "tool.execution_complete"
     tail = F.regexp_extract(F.coalesce(_text("$.data.result.content"), F.lit("")), r"exit code (-?\d+)>\s*$", 1)
     code = F.coalesce(_text("$.data.shellExecution.exitCode"), F.nullif(tail, F.lit("")), F.lit("0"))
     refused = F.coalesce(_text("$.data.success") == "false", F.lit(False))
+    start = F.struct(_text("$.data.toolName").alias("tool"), _text("$.data.arguments").alias("args"))
+    # each record is read once, for the few fields that count
+    r = written(records.filter("ok").select(*S, "seq", moved.alias("moved"), F.when(begun | ended, _text("$.data.toolCallId")).alias("call"), F.when(begun, start).alias("start"), F.when(ended, refused).alias("refused"), F.when(ended & ~refused, code).alias("code")), "recount")
+    at = carried(r, {"cwd": F.col("moved")}, S, "seq")
+    if sessions is not None:
+        first = sessions.filter("cwd is not null").groupBy(*S).agg(F.any_value("cwd").alias("_first"))
+        at = at.join(first, S, "left").withColumn("cwd", F.coalesce("cwd", "_first")).drop("_first")
+    met = at.filter("call is not null").withColumn("s", carry_forward(F.col("start"), [*S, "call"], "seq")).filter("refused is not null and s is not null")
     shell = F.col("s.tool").isin(*_SHELLS)
-    counts = met.groupBy(*S).agg(F.count_if(shell).alias("commands"), F.count_if(shell & (refused | (code != "0"))).alias("failures"))
     patch = F.coalesce(F.get_json_object("s.args", "$.input"), F.col("s.args"))
     one = F.get_json_object("s.args", "$.path")
     named = F.when(F.col("s.tool").isin(*_EDITS) & (one != ""), F.array(one)).when(F.col("s.tool") == "apply_patch", F.regexp_extract_all(patch, F.lit(_PATCHED), 1))
-    named = met.filter(~shell & ~refused).select(*S, "seq", F.explode(named).alias("path"))
-    folders = r.select(*S, "seq", moved.alias("cwd")).filter("cwd is not null")
-    if sessions is not None:
-        folders = folders.union(sessions.filter("cwd is not null").select(*S, F.lit(-1).cast("long"), "cwd"))
-    spans = folders.withColumn("to", F.lead("seq").over(W.partitionBy(*S).orderBy("seq")))
-    far = F.lit((1 << 63) - 1)
-    at = named.join(spans.select(*S, F.col("seq").alias("since"), "to", "cwd"), S, "left").filter(F.col("since").isNull() | ((F.col("seq") >= F.col("since")) & (F.col("seq") < F.coalesce("to", far))))
-    homeless = named.join(spans.groupBy(*S).agg(F.min("seq").alias("first")), S).filter("seq < first").select(*S, "path")
-    return counts, at.select(*S, _whole_path(F.col("cwd"), F.col("path")).alias("path")).union(homeless).distinct()
+    met = written(met.select(*S, "cwd", shell.alias("shell"), (F.col("refused") | (F.col("code") != "0")).alias("failed"), F.when(~shell & ~F.col("refused"), named).alias("named")), "recount")
+    counts = met.groupBy(*S).agg(F.count_if("shell").alias("commands"), F.count_if(F.col("shell") & F.col("failed")).alias("failures"))
+    paths = met.select(*S, "cwd", F.explode("named").alias("path")).distinct()
+    return counts, paths.select(*S, _whole_path(F.col("cwd"), F.col("path")).alias("path")).distinct()
 
 
 def recounted(folded: Sessions, counts: DataFrame, files: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions import text as X
-from tracewright.operators.ordered import asof_latest, carried, roots
+from tracewright.operators.ordered import asof_latest, carried, carry_forward, roots
+from tracewright.scratch import written
 from tracewright.sources.logs import SESSION, existing, exploded, fact, first_lines, full, get, listing
 
 SOURCE = "copilot"  # the name by which logs and links of this format are known
@@ -156,25 +157,34 @@ def located(records: DataFrame) -> DataFrame:
     A tool call takes the interaction of its outermost parent call, so what a sub-agent does counts for the turn that
     started it; a completion takes that of its start; other events that of the last interaction seen.
     """
-    typ, parent = get("$.type"), full(get(f"{D}.parentToolCallId"))
-    iid, call = full(get(f"{D}.interactionId")), get(f"{D}.toolCallId")
-    agent = full(get("$.agentId"))
-    own_call = F.coalesce(typ.isin("tool.execution_start", "tool.execution_complete", *SUBAGENT_EVENTS), F.lit(False))
-    r = records.filter("ok").withColumns({"type": F.coalesce(typ, F.lit("")), "parent": parent, "iid": iid, "call_id": call, "inner": ~own_call & (parent.isNotNull() | agent.isNotNull())})
-    opens = F.when(typ.isin(*TURN_EVENTS) & parent.isNull() & agent.isNull(), iid)
-    where = F.when(typ == "session.start", get(f"{D}.context.cwd")).when(typ == "session.resume", get(f"{D}.context.cwd")).when(typ == "session.context_changed", get(f"{D}.cwd"))
-    r = carried(r, {"current": opens, "cwd": where}, SESSION, "seq")
-    starts = r.filter("type = 'tool.execution_start'").select(
-        *SESSION, "seq", F.col("call_id").alias("key"), "parent", F.coalesce(F.when(F.col("parent").isNull(), F.col("iid")), F.col("current")).alias("turn"),
-        get(f"{D}.toolName").alias("name"), F.get_json_object("value", f"{D}.arguments").alias("args"),
-        F.when(full(get(f"{D}.mcpServerName")).isNotNull(), F.concat_ws(".", get(f"{D}.mcpServerName"), get(f"{D}.mcpToolName"))).alias("mcp"),
-    )
-    above = asof_latest(starts.filter("parent is not null").select(*SESSION, "seq", F.col("parent").alias("key")), starts.select(*SESSION, "seq", "key", F.col("seq").alias("up")), [*SESSION, "key"], "seq", ["up"])
-    calls = roots(starts.join(above.select(*SESSION, "seq", "up"), [*SESSION, "seq"], "left"), SESSION, "seq", "up", "turn")
-    calls = calls.withColumn("call", F.struct("key", "name", "args", "mcp", F.col("turn").alias("turn"), F.col("parent").isNotNull().alias("sub")))
-    looks = r.select(*SESSION, "seq", F.when(F.col("inner"), F.coalesce("parent", agent)).when(F.col("type").isin("tool.execution_start", "tool.execution_complete", *SUBAGENT_EVENTS), F.col("call_id")).alias("key")).filter("key is not null")
-    found = asof_latest(looks, calls.select(*SESSION, "seq", "key", "call"), [*SESSION, "key"], "seq", ["call"])
-    r = r.join(found.select(*SESSION, "seq", "call"), [*SESSION, "seq"], "left")
+    # each record is parsed once for where it belongs, and written: what follows takes the columns that it needs. What is no
+    # object goes after that, as a filter before it would parse once more
+    r = records.withColumns({"type": F.coalesce(get("$.type"), F.lit("")), "parent": get(f"{D}.parentToolCallId"), "iid": get(f"{D}.interactionId"), "call_id": get(f"{D}.toolCallId"), "agent": get("$.agentId")})
+    r = r.withColumns({c: full(F.col(c)) for c in ("parent", "iid", "agent")})
+    typ, below = F.col("type"), F.col("parent").isNotNull() | F.col("agent").isNotNull()
+    started, of_call = typ == "tool.execution_start", typ.isin("tool.execution_start", "tool.execution_complete", *SUBAGENT_EVENTS)
+    where = F.when(typ.isin("session.start", "session.resume"), get(f"{D}.context.cwd")).when(typ == "session.context_changed", get(f"{D}.cwd"))
+    mcp = F.when(full(get(f"{D}.mcpServerName")).isNotNull(), F.concat_ws(".", get(f"{D}.mcpServerName"), get(f"{D}.mcpToolName")))
+    r = r.withColumns({"inner": ~of_call & below, "opens": F.when(typ.isin(*TURN_EVENTS) & ~below, F.col("iid")), "where": where, "name": F.when(started, get(f"{D}.toolName")), "mcp": F.when(started, mcp)})
+    r = written(r.drop("rec"), "records").filter("ok").drop("ok")
+    nested = started & F.col("parent").isNotNull()
+    flat = r.filter(nested).isEmpty()
+    r = carried(r, {"current": F.col("opens"), "cwd": F.col("where")}, SESSION, "seq").drop("opens", "where")
+    own_turn = F.coalesce(F.when(F.col("parent").isNull(), F.col("iid")), F.col("current"))
+    said = lambda turn: F.struct(F.col("call_id").alias("key"), "name", F.get_json_object("value", f"{D}.arguments").alias("args"), "mcp", turn.alias("turn"), F.col("parent").isNotNull().alias("sub"))
+    key = F.when(F.col("inner"), F.coalesce("parent", "agent")).when(of_call, F.col("call_id"))
+    # records without a call are dealt one by one
+    keyed, keys = r.withColumn("key", key).withColumn("lone", F.when(F.col("key").isNull(), F.col("seq"))), [*SESSION, "key", "lone"]
+    outer = started & F.col("key").isNotNull() & F.col("parent").isNull()
+    if flat:
+        r = keyed.withColumn("call", carry_forward(F.when(outer, said(own_turn)), keys, "seq"))
+    else:
+        each = r.filter(started).withColumn("key", F.col("call_id")).withColumn("turn", own_turn)
+        above = asof_latest(r.filter(nested).select(*SESSION, "seq", F.col("parent").alias("key")), each.select(*SESSION, "seq", "key", F.col("seq").alias("up")), [*SESSION, "key"], "seq", ["up"])
+        calls = roots(each.join(above.select(*SESSION, "seq", "up"), [*SESSION, "seq"], "left"), SESSION, "seq", "up", "turn").filter("parent is not null and key is not null")
+        right = calls.select(*SESSION, "key", F.lit(None).cast("long").alias("lone"), "seq", said(F.col("turn")).alias("call"))
+        r = asof_latest(keyed, right, keys, "seq", ["call"], own=F.when(outer, F.struct(said(own_turn).alias("call"))))
+    r = r.drop("key", "lone").withColumn("rec", F.try_parse_json("value"))
     done = F.col("type") == "tool.execution_complete"
     turn = F.coalesce("call.turn", F.when(done, F.col("iid")), "current")
     sub = F.when(F.col("inner"), True).when(F.col("type") == "tool.execution_start", F.col("parent").isNotNull()).when(done, F.coalesce("call.sub", F.col("parent").isNotNull())).otherwise(False)

@@ -24,13 +24,20 @@ FACT_COLUMNS = [*SESSION, "seq", "sub", "ts", *FIELDS]
 HEAD_BYTES, HEAD_CHUNK = 1 << 20, 1 << 16  # of a file in which its first line is looked for, read a chunk at a time
 
 
-def is_json_object(value: Column) -> Column:
-    """Whether a text is one JSON object and nothing else.
+def parsed(df: DataFrame) -> DataFrame:
+    """``df`` with ``ok``, whether ``value`` is one JSON object and nothing else, and ``rec``, that object. One parse by the
+    variant parser serves both."""
+    first = df.withColumn("rec", F.try_parse_json("value"))
+    return first.withColumn("ok", is_json_object(F.col("value"), F.col("rec"))).withColumn("rec", F.when(F.col("ok"), F.col("rec")))
+
+
+def is_json_object(value: Column, first: Column | None = None) -> Column:
+    """Whether a text is one JSON object and nothing else; ``first`` is the text parsed as a variant, if that is at hand.
 
     The variant parser is strict but stops behind the first value. What follows it is found by parsing the text again inside
     an array, which only ``]`` can end early, and inside an object, which only ``}`` can.
     """
-    first = F.try_parse_json(value)
+    first = F.try_parse_json(value) if first is None else first
     alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
     inside = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), value, F.lit("}")))) == 1
     return F.coalesce(F.startswith(F.schema_of_variant(first), F.lit("OBJECT")) & alone & inside, F.lit(False))
@@ -120,8 +127,7 @@ def records(numbered: DataFrame, files: DataFrame) -> DataFrame:
     placed = files.select(*SESSION, "file").distinct().withColumn("rank", rank)
     both = numbered.join(placed, "file")
     seq = F.shiftleft(F.col("rank").cast("long"), 40) + F.col("line_no")
-    strict = both.select(*SESSION, seq.alias("seq"), "file", "value", is_json_object(F.col("value")).alias("ok"))
-    return strict.withColumn("rec", F.when(F.col("ok"), F.try_parse_json("value")))
+    return parsed(both.select(*SESSION, seq.alias("seq"), "file", "value")).select(*SESSION, "seq", "file", "value", "ok", "rec")
 
 
 def get(path: str, kind: str = "string", of: str | Column = "rec") -> Column:
