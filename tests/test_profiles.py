@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import lineage
 from tracewright.plans import profile, pruning, verify
-from tracewright.sources import format_a
+from tracewright.sources import format_a, format_b
 from tracewright.sources.logs import is_json_object
 
 
@@ -148,3 +148,26 @@ def test_recount_reads_records_once(spark, tmp_path):
     gone()
     assert {(r["session_id"], r["path"]) for r in files.collect()} == want
     assert {r["session_id"]: (r["commands"], r["failures"]) for r in counts.collect()} == {"s0": (0, 0), "s1": (1, 1)}
+
+
+NESTED = [
+    ("s", {"type": "user.message", "data": {"interactionId": "t1", "content": "go"}}),
+    ("s", _call("task", 1, interactionId="t1", arguments={"agent_type": "x", "name": "y"})),
+    ("s", {"type": "user.message", "data": {"interactionId": "t2", "content": "on"}}),
+    ("s", _call("bash", 2, interactionId="u", parentToolCallId="c1", arguments={"command": "ls"})),
+    ("s", _call("bash", 2, "complete", parentToolCallId="c1", result={"content": "out"})),
+    ("s", _call("bash", 3, arguments={"command": "pwd"})),
+    ("s", _call("bash", 3, "complete")),
+    ("s", _call("bash", 1, "complete")),
+    ("s", _call("bash", 9, "complete")),
+    ("s", 7),
+]
+
+
+def test_facts_read_records_once(spark, tmp_path, interpreted):
+    """Turns of nested, plain and unknown calls; once the facts are planned, no record is read again."""
+    records, gone = stored(spark, tmp_path / "r", NESTED)
+    facts = format_b.facts(records)
+    gone()
+    found = facts.filter("kind in ('command', 'tool')").select("seq", "kind", "turn", "text", "quiet").collect()
+    assert {tuple(r) for r in found} == {(4, "command", "t1", "ls", True), (6, "command", "t2", "pwd", False), (8, "tool", "t2", "unknown-tool", False)}
