@@ -171,3 +171,15 @@ def test_facts_read_records_once(spark, tmp_path, interpreted):
     gone()
     found = facts.filter("kind in ('command', 'tool')").select("seq", "kind", "turn", "text", "quiet").collect()
     assert {tuple(r) for r in found} == {(4, "command", "t1", "ls", True), (6, "command", "t2", "pwd", False), (8, "tool", "t2", "unknown-tool", False)}
+
+
+def test_texts_read_records_once(spark, tmp_path, interpreted):
+    """Labels and turns of nested, plain and unknown calls; once the texts are planned, no record is read again."""
+    records, gone = stored(spark, tmp_path / "r", NESTED)
+    texts = format_b.searchable(records)
+    gone()
+    got = {r["seq"]: (r["turn"], r["label"], r["output"]) for r in texts.filter("seq > 2").collect()}
+    assert got == {
+        3: ("t1", "command (exit …): ls [sub-agent]", None), 4: ("t1", "command (exit 0): ls [sub-agent]", "out"), 5: ("t2", "command (exit …): pwd", None), 6: ("t2", "command (exit 0): pwd", None),
+        7: ("t1", "sub-agent x: y", None), 8: ("t2", "tool result", None),
+    }
